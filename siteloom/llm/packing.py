@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import heapq
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -27,66 +26,25 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-CAPACITY, CHUNK, BLOCK, END_ID = 2048, 512, 384, 1
+from .stretches import StretchCache
 
-#: White space by Unicode, as the pre-tokenizer sees it (fixed values).
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: No token crosses from a character into white space after it.
-STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+CAPACITY, CHUNK, BLOCK, END_ID = 2048, 512, 384, 1
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
-class StretchEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
-
-    A text is cut at the starts of white space, where no token crosses; the
-    ids of short stretches are remembered in two generations of a bounded size.
-    """
-
-    def __init__(self, tokenizer_path: str, remember: int = 400_000, longest: int = 48):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
-        self.remember, self.longest = remember, longest
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, stretches: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(stretches, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, text: str) -> bytes:
-        stretches = STRETCH.findall(text)
-        try:
-            return b"".join(map(self.young.__getitem__, stretches))
-        except KeyError:
-            pass
-        if len(self.young) > self.remember:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing, long = [], {}
-        for s in set(stretches):
-            if s not in young:
-                if s in old:
-                    young[s] = old[s]
-                elif len(s) > self.longest:
-                    long[s] = b""
-                else:
-                    missing.append(s)
-        for s, ids in zip(missing, self._encode(missing), strict=True):
-            young[s] = ids
-        if not long:
-            return b"".join(map(young.__getitem__, stretches))
-        long = dict(zip(long, self._encode(list(long)), strict=True))
-        return b"".join(long[s] if s in long else young[s] for s in stretches)
-
-
 @cache
-def encoder(tokenizer_path: str) -> StretchEncoder:
-    return StretchEncoder(tokenizer_path)
+def encoder(tokenizer_path: str) -> StretchCache:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    tokenizer.encode_special_tokens = True
+    return StretchCache(
+        lambda stretches: [
+            np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(stretches, add_special_tokens=False)
+        ]
+    )
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:

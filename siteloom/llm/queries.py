@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing
+from . import bpe, chat, packing
 from .common import prepare, table
 
 
@@ -27,6 +27,12 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -53,6 +59,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_chat_format": op2_chat_format,
+        "op5_byte_bpe": op5_byte_bpe,
     }
 
 
