@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing
+from . import bpe, chat, packing, quality
 from .common import prepare, table
 
 
@@ -27,6 +27,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return quality.judge(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -55,10 +60,59 @@ FROM placed GROUP BY conv_id
 """
 
 
+OP4_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents
+), lines AS (
+  SELECT rid, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS nr FROM docs
+), split AS (
+  SELECT rid, nr, line, regexp_extract_all(line, '[^ 	-
+]+') AS words FROM lines
+), counted AS (
+  SELECT rid, line, words, len(words) AS n, row_number() OVER (PARTITION BY rid, line ORDER BY nr) > 1 AS again FROM split
+), judged AS (
+  SELECT rid, n, again, again
+    OR length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > 0.5::DOUBLE * n
+    OR length(line) - length(replace(line, '!', '')) > 0.34::DOUBLE * n
+    OR (n >= 8 AND NOT regexp_matches(line, '[.!?:;…]'))
+    OR (n >= 3 AND len(list_filter(words, lambda w: w IN ('|', '>', '»', '·', '•'))) >= 0.2::DOUBLE * n)
+    OR (n >= 10 AND len(list_distinct(words)) < 0.3::DOUBLE * n)
+    OR regexp_matches(lower(line), 'all rights reserved|click here|cookie policy|enable javascript|privacy policy|sign up for our newsletter|terms of use')
+    AS fails
+  FROM counted WHERE n > 0
+), by_line AS (
+  SELECT rid, count_if(again) AS n_dup_lines, CAST(coalesce(sum(CASE WHEN fails THEN n END), 0) AS BIGINT) AS n_removed_words
+  FROM judged GROUP BY rid
+), all_words AS (
+  SELECT rid, regexp_extract_all(text, '[^ 	-
+]+') AS words FROM docs
+), windows AS (
+  SELECT rid, i, array_to_string(list_slice(words, i, i + 4), ' ') AS gram
+  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM all_words WHERE len(words) >= 5)
+), repeated AS (
+  SELECT rid, i FROM windows QUALIFY count(*) OVER (PARTITION BY rid, gram) > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM repeated) GROUP BY rid
+), figures AS (
+  SELECT doc_id, len(words) AS n_words,
+    length(regexp_replace(text, '[ 	-
+]', '', 'g')) AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+    coalesce(n_removed_words, 0) AS n_removed_words
+  FROM docs JOIN all_words USING (rid) LEFT JOIN by_line USING (rid) LEFT JOIN covered USING (rid)
+), base AS (
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM figures
+)
+SELECT *, NOT base_failed AND n_removed_words <= 0.4::DOUBLE * n_words AS kept FROM base
+"""
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_chat_format": op2_chat_format,
+        "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
     }
 
@@ -66,4 +120,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": OP2_SQL,
+        "op4_quality_rules": OP4_SQL,
     }
