@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, packing, quality
+from . import bpe, chat, fingerprint, packing, quality
 from .common import prepare, table
 
 
@@ -27,6 +27,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns))
 
 
+def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.compare_neighbours(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     return quality.judge(table(spark, sf_dir, "documents"), with_text=False)
@@ -112,6 +116,7 @@ def queries() -> dict:
     return {
         "op1_packing": op1_packing,
         "op2_chat_format": op2_chat_format,
+        "op3_fingerprint": op3_fingerprint,
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
     }
