@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, packing, quality
+from . import bpe, chat, fingerprint, langid, packing, quality
 from .common import prepare, table
 
 
@@ -42,6 +42,15 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    identifier = langid.Identifier(docs.where(~langid.held_out(F.col("doc_id"))))
+    return identifier.identify(docs).select(
+        "doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -119,6 +128,7 @@ def queries() -> dict:
         "op3_fingerprint": op3_fingerprint,
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
+        "op6_language_id": op6_language_id,
     }
 
 
