@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, packing, quality
+from . import bpe, chat, fingerprint, langid, lm, packing, quality
 from .common import prepare, table
 
 
@@ -51,6 +51,20 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return lm.score(docs, ~lm.held_out(F.col("doc_id")), vocabulary).select(
+        "doc_id",
+        (~F.col("learned")).alias("held_out"),
+        "n_tokens",
+        "n_known",
+        "train_tokens",
+        "base_score",
+        "score",
+    )
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -129,6 +143,7 @@ def queries() -> dict:
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
+        "op9_lm_score": op9_lm_score,
     }
 
 
