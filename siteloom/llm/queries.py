@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, langid, lm, packing, quality
+from . import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality
 from .common import prepare, table
 
 
@@ -65,6 +65,10 @@ def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -135,6 +139,29 @@ SELECT *, NOT base_failed AND n_removed_words <= 0.4::DOUBLE * n_words AS kept F
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), grams AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM docs WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)
+), reach AS (
+  SELECT DISTINCT doc_id AS node, doc_id AS root FROM docs
+  UNION
+  SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node
+)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, (SELECT min(root) FROM reach WHERE node = d.doc_id) AS component_id
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+"""
+
+
 def queries() -> dict:
     return {
         "op1_packing": op1_packing,
@@ -144,6 +171,7 @@ def queries() -> dict:
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
         "op9_lm_score": op9_lm_score,
+        "op10_jaccard_join": op10_jaccard_join,
     }
 
 
@@ -151,4 +179,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_chat_format": OP2_SQL,
         "op4_quality_rules": OP4_SQL,
+        "op10_jaccard_join": OP10_SQL,
     }
