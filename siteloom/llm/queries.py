@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, lm, packing, quality
+from . import bpe, chat, fingerprint, jaccard, langid, license, lm, packing, quality, urlfilter
 from .common import prepare, table
 
 
@@ -51,6 +51,26 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The rules that people keep for the query's hosts and paths.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    return license.scan(docs, license.train(docs))
+
+
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     vocabulary = public_tokenizers.path("piece_bpe_32k.model")
@@ -163,13 +183,18 @@ FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 
 
 def queries() -> dict:
+    import corpus_pipeline
+
     return {
+        "pipeline": corpus_pipeline.run,
         "op1_packing": op1_packing,
         "op2_chat_format": op2_chat_format,
         "op3_fingerprint": op3_fingerprint,
         "op4_quality_rules": op4_quality_rules,
         "op5_byte_bpe": op5_byte_bpe,
         "op6_language_id": op6_language_id,
+        "op7_url_filter": op7_url_filter,
+        "op8_license_scan": op8_license_scan,
         "op9_lm_score": op9_lm_score,
         "op10_jaccard_join": op10_jaccard_join,
     }
