@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import scalar_queries
+
+MODULES = [scalar_queries]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["pf7_section_rollup"](spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: q for module in MODULES for name, q in module.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
