@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import scalar_queries
+from . import performance_queries, scalar_queries
 
-MODULES = [scalar_queries]
+MODULES = [scalar_queries, performance_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
