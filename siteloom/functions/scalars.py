@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import once
+
 OTHERS = "OTHERS"
 HIGH, LLM_THRESHOLD = 0.85, 0.85
 LEVELS = ["L0_HOMEPAGE", "L1_PRIMARY_NAV_HUB", "L2_SUB_NAV_HUB", "L3_LEAF_PAGE", "UTILITY_PAGE"]
@@ -86,6 +88,7 @@ def confident(score: Column, kind: Column) -> Column:
     return (score >= HIGH) & (kind != "UNKNOWN")
 
 
+@once
 def is_client_rendered(html: Column) -> Column:
     """A hydration root, and hardly any text once code and tags are out."""
     root = html.rlike(r"(?is)<div[^>]+id\s*=\s*[\"'](root|__next|app|__nuxt|svelte)[\"'][^>]*>.*?</div>")
@@ -113,19 +116,23 @@ def is_refusal(status: Column) -> Column:
     return status.isin(401, 403, 407, 429) | (status >= 500)
 
 
+@once
 def section_trail(trail: Column) -> Column:
     return F.when(F.size(trail) > 0, trail).otherwise(F.array(F.lit(OTHERS)))
 
 
+@once
 def trail_depth(trail: Column) -> Column:
     """Depth of a real placement, 0 for OTHERS and none."""
     return F.when((F.size(trail) <= 0) | (F.get(trail, F.lit(0)) == OTHERS), 0).otherwise(F.size(trail))
 
 
+@once
 def prefixes(trail: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(trail)), lambda n: F.slice(trail, 1, n))
 
 
+@once
 def robots_regex(pattern: Column) -> Column:
     """A robots pattern (``*``, last ``$``) as a regular expression."""
     plain = F.regexp_replace(F.regexp_replace(pattern, r"\$$", ""), r"([.+?^${}()|\[\]\\])", r"\\$1")
@@ -154,6 +161,7 @@ def level_rank(level: Column) -> Column:
     return rank
 
 
+@once
 def clock(seconds: Column) -> Column:
     whole = F.floor(F.greatest(seconds, F.lit(0)))
     return F.concat(F.lpad((F.floor(whole / 60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))

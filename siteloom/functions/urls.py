@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .binding import let, once
+
 # Fixed values ------------------------------------------------------------
 NON_PAGE_SUFFIXES = (
     "jpg jpeg png gif webp svg ico bmp eps ai psd css js json xml rss atom zip gz tar rar 7z "
@@ -35,6 +37,7 @@ MAX_DEPTH, MAX_PARAMS, TRAP_LENGTH = 15, 5, 3
 SPLIT = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#(.*))?$"
 
 
+@once
 def split_url(url: Column) -> Column:
     """scheme, netloc, path, query, fragment; null where brackets don't balance."""
     u = F.regexp_replace(url, r"^\s+|\s+$", "")
@@ -62,6 +65,7 @@ def _decoded(text: Column) -> Column:
     return F.coalesce(F.try_url_decode(text), F.replace(text, F.lit("+"), F.lit(" ")))
 
 
+@once
 def query_pairs(query: Column) -> Column:
     """Array of (k, v), decoded, blank values kept, tracking parameters dropped."""
     pairs = F.transform(
@@ -86,48 +90,56 @@ def sorted_query(query: Column) -> Column:
 KEPT_ESCAPES = r"(?i)%(2f|3f|23|25|5c)"
 
 
+@once
 def decode_path(path: Column) -> Column:
     """Percent escapes decoded, but for those of / ? # % and backslash; a path
     whose escapes aren't UTF-8 stays as it is."""
     guarded = F.replace(F.regexp_replace(path, KEPT_ESCAPES, "%25$1"), F.lit("+"), F.lit("%2B"))
-    read = F.try_url_decode(guarded)
-    sound = read.isNotNull() & ~read.contains("�")
-    return F.when(~path.contains("%"), path).when(sound, F.regexp_replace(read, r"%([0-9a-f])([0-9A-Fa-f])", "%$1$2")).otherwise(path)
+    sound = lambda read: F.when(read.isNotNull() & ~read.contains("\ufffd"), read).otherwise(path)
+    return F.when(~path.contains("%"), path).otherwise(let(F.try_url_decode(guarded), sound))
 
 
+@once
 def normalize_path(path: Column) -> Column:
     kept = F.filter(F.transform(F.split(decode_path(path), "/"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.when(F.size(kept) == 0, "/").otherwise(F.concat(F.lit("/"), F.lower(F.array_join(kept, "/")), F.lit("/")))
+    named = lambda k: F.when(F.size(k) == 0, "/").otherwise(F.concat(F.lit("/"), F.lower(F.array_join(k, "/")), F.lit("/")))
+    return let(kept, named)
+
+
+@once
+def _asked(query: Column) -> Column:
+    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise("")
 
 
 def _bare_netloc(netloc: Column) -> Column:
     return F.regexp_replace(F.lower(netloc), r"^www\.", "")
 
 
+@once
 def normalize_url(url: Column, strip_locale: bool = False) -> Column:
     """The key under which pages are one: https, no ``www.``, normal path,
     sorted parameters without tracking, no fragment."""
-    parts = split_url(url)
+    return let(split_url(url), lambda parts: _normal(url, parts, strip_locale))
+
+
+def _normal(url: Column, parts: Column, strip_locale: bool) -> Column:
     path = F.when(parts["path"] == "", "/").otherwise(parts["path"])
     if strip_locale:
         path = strip_locale_prefix(path)["path"]
     scheme = F.when(parts["scheme"].isin("http", "https"), "https").otherwise(parts["scheme"])
-    query = sorted_query(parts["query"])
-    host = _bare_netloc(parts["netloc"])
     made = F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(""),
-        F.when(host != "", F.concat(F.lit("//"), host)).otherwise(""),
+        F.when(parts["scheme"] != "", F.concat(scheme, F.lit(":"))).otherwise(""),
+        let(_bare_netloc(parts["netloc"]), lambda host: F.when(host != "", F.concat(F.lit("//"), host)).otherwise("")),
         normalize_path(path),
-        F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""),
+        _asked(sorted_query(parts["query"])),
     )
     return F.when(parts.isNull(), F.trim(url)).otherwise(made)
 
 
+@once
 def path_key(url: Column) -> Column:
     """Host-free identity: normal path and sorted parameters."""
-    parts = split_url(url)
-    query = sorted_query(parts["query"])
-    return F.concat(normalize_path(parts["path"]), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    return let(split_url(url), lambda parts: F.concat(normalize_path(parts["path"]), _asked(sorted_query(parts["query"]))))
 
 
 def match_key(url: Column) -> Column:
@@ -135,17 +147,18 @@ def match_key(url: Column) -> Column:
     return normalize_path(path_of(url))
 
 
+@once
 def compare_key(url: Column) -> Column:
     """Another crawler's spelling: https, no ``www.``, no last slash, case kept."""
-    p = split_url(url)
-    path = F.regexp_replace(p["path"], "/+$", "")
-    return F.concat(F.lit("https://"), _bare_netloc(p["netloc"]), path, F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))
+    return F.concat(F.lit("https://"), address(url))
 
 
+@once
 def link_path_key(href: Column) -> Column:
     return normalize_path(strip_locale_prefix(F.when(path_of(href) == "", "/").otherwise(path_of(href)))["path"])
 
 
+@once
 def site_host(netloc: Column) -> Column:
     host = F.substring_index(F.lower(netloc), "@", -1)
     plain = F.when(host.startswith("["), F.regexp_extract(host, r"^(\[[^\]]*\])", 1)).otherwise(F.substring_index(host, ":", 1))
@@ -156,6 +169,7 @@ def host_of(url: Column) -> Column:
     return site_host(split_url(url)["netloc"])
 
 
+@once
 def registrable_domain(host: Column) -> Column:
     low = F.trim(F.lower(host), F.lit("."))
     labels = F.split(low, r"\.")
@@ -171,6 +185,7 @@ def same_site(a: Column, b: Column) -> Column:
     return F.coalesce(host_of(a) == host_of(b), F.lit(False))
 
 
+@once
 def is_locale_segment(segment: Column, known: list[str] | None = None) -> Column:
     low = F.lower(segment)
     if known is not None:
@@ -178,9 +193,13 @@ def is_locale_segment(segment: Column, known: list[str] | None = None) -> Column
     return low.rlike("^[a-z]{2}[-_][a-z]{2,4}$") | low.isin(*LANGUAGES)
 
 
+@once
 def strip_locale_prefix(path: Column, known: list[str] | None = None) -> Column:
     """(path, locale): the path without its first segment if that is a locale."""
-    segs = segments_of(path)
+    return let(segments_of(path), lambda segs: _stripped(path, segs, known))
+
+
+def _stripped(path: Column, segs: Column, known: list[str] | None) -> Column:
     first = F.get(segs, F.lit(0))
     has = F.coalesce(is_locale_segment(first, known), F.lit(False))
     rest = F.array_join(F.slice(segs, 2, F.size(segs)), "/")
@@ -198,6 +217,7 @@ def is_crawlable(url: Column) -> Column:
     return F.coalesce(~F.lower(path_of(url)).rlike(r"\.(" + "|".join(NON_PAGE_SUFFIXES) + ")$"), F.lit(True))
 
 
+@once
 def is_malformed(url: Column) -> Column:
     path = path_of(url)
     decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
@@ -207,22 +227,30 @@ def is_malformed(url: Column) -> Column:
     return F.coalesce(path.rlike(r"(?i)^/(%20|%09|%0[ad]|\s)") | marked, F.lit(False))
 
 
+@once
 def is_spider_trap(url: Column) -> Column:
-    segs = segments_of(path_of(url))
-    long = F.filter(F.transform(segs, F.lower), lambda s: F.length(s) > TRAP_LENGTH)
-    return F.coalesce((F.size(segs) > MAX_DEPTH) | (F.size(long) != F.size(F.array_distinct(long))), F.lit(False))
+    segs = F.transform(segments_of(path_of(url)), lambda s: F.lower(s))
+    long = lambda a: F.filter(a, lambda s: F.length(s) > TRAP_LENGTH)
+    trap = lambda a: (F.size(a) > MAX_DEPTH) | let(long(a), lambda x: F.size(x) != F.size(F.array_distinct(x)))
+    return F.coalesce(let(segs, trap), F.lit(False))
 
 
+@once
 def is_faceted(url: Column) -> Column:
     keys = F.transform(query_pairs(split_url(url)["query"]), lambda p: F.lower(p["k"]))
     filters = F.array(*map(F.lit, FILTER_PARAMS))
     return F.coalesce((F.size(keys) > MAX_PARAMS) | F.arrays_overlap(keys, filters), F.lit(False))
 
 
+@once
 def fast_path(url: Column) -> Column:
     """(level, page_type) where the URL alone decides, else null."""
     path = path_of(url)
-    segs = F.transform(segments_of(strip_locale_prefix(F.when(path == "", "/").otherwise(path))["path"]), F.lower)
+    segs = F.transform(segments_of(strip_locale_prefix(F.when(path == "", "/").otherwise(path))["path"]), lambda s: F.lower(s))
+    return let(segs, lambda s: _decided(url, s))
+
+
+def _decided(url: Column, segs: Column) -> Column:
     pair = lambda level, kind: F.struct(F.lit(level).alias("level"), F.lit(kind).alias("page_type"))
     root = F.size(segs) == 0
     plain = F.size(query_pairs(split_url(url)["query"])) == 0
@@ -239,6 +267,7 @@ def path_segments(url: Column) -> Column:
     return segments_of(path_of(url))
 
 
+@once
 def tail_of(url: Column, size: int = 3) -> Column:
     """(tail, depth): the last segments joined, null with fewer."""
     segs = path_segments(url)
@@ -248,11 +277,13 @@ def tail_of(url: Column, size: int = 3) -> Column:
     )
 
 
+@once
 def label_from_url(url: Column) -> Column:
     segs = path_segments(url)
     return F.when(F.size(segs) == 0, "Home").otherwise(F.initcap(F.regexp_replace(F.element_at(segs, -1), "[-_]", " ")))
 
 
+@once
 def locale_of(url: Column) -> Column:
     first = F.get(path_segments(url), F.lit(0))
     return F.when(is_locale_segment(first), F.lower(first))
@@ -270,9 +301,11 @@ def is_paginated(url: Column) -> Column:
     return url.rlike(r"(?i)[?&]page=\d+") | path_of(url).rlike(r"(?i)/page/\d+/?$")
 
 
+@once
 def address(url: Column) -> Column:
-    p = split_url(url)
-    return F.concat(_bare_netloc(p["netloc"]), F.regexp_replace(p["path"], "/+$", ""), F.when(p["query"] != "", F.concat(F.lit("?"), p["query"])).otherwise(""))
+    return let(
+        split_url(url), lambda p: F.concat(_bare_netloc(p["netloc"]), F.regexp_replace(p["path"], "/+$", ""), _asked(p["query"]))
+    )
 
 
 def same_address(a: Column, b: Column) -> Column:

@@ -2,107 +2,118 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
+from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
 from siteloom.operators import opportunities as O
 from siteloom.operators import performance as P
 from siteloom.operators import resolve as R
-from siteloom.functions import scalars as S
+from siteloom.operators.staging import staged
 
 from . import inputs as I
 
 
-def _pages(spark, d):
-    return R.dedupe(I.crawl(spark, d))
-
-
-def _exported(spark, d):
-    """The export, some rows in other spellings that no page has."""
-    g = I.gsc(spark, d)
-    url = (
-        F.when(F.col("ord") % 13 == 1, F.regexp_replace("url", r"^(https?://)", "$1staging."))
-        .when(F.col("ord") % 13 == 3, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/abcd/abcd/")))
-        .when(F.col("ord") % 17 == 2, "not an address")
-        .when(F.col("ord") % 17 == 5, F.concat(F.lit("https://elsewhere.test/"), F.col("ord").cast("string")))
-        .otherwise(F.col("url"))
-    )
-    return g.withColumn("url", url)
-
-
-def _resolved(spark, d):
-    return R.resolve(_exported(spark, d), _pages(spark, d))
-
-
-def _ga4(spark, d):
-    return R.resolve(I.ga4(spark, d), _pages(spark, d), "path")
-
-
-def _metrics(spark, d):
-    return P.page_metrics(_resolved(spark, d), _ga4(spark, d))
-
+class Audit:
+    """The steps of one audit, each made once; what several read is staged."""
 
-def _measured(spark, d):
-    p, m = _pages(spark, d), _metrics(spark, d).where("clicks is not null")
-    joined = p.join(m, p["url"] == m["page_url"])
-    return joined.withColumn("position", F.coalesce(S.weighted_position(F.col("weight"), F.col("impressions")), F.lit(0.0)))
+    def __init__(self, spark, d):
+        self.spark, self.d = spark, d
 
+    @cached_property
+    def pages(self):
+        return staged(R.dedupe(I.crawl(self.spark, self.d)))
 
-def _share(spark, d):
-    return O.orphan_share(_pages(spark, d))
+    @cached_property
+    def exported(self):
+        """The export, some rows in other spellings that no page has."""
+        nr = F.col("ord")
+        url = (
+            F.when(nr % 13 == 1, F.regexp_replace("url", r"^(https?://)", "$1staging."))
+            .when(nr % 13 == 3, F.concat(F.regexp_replace("url", "[?#].*$", ""), F.lit("/abcd/abcd/")))
+            .when(nr % 17 == 2, "not an address")
+            .when(nr % 17 == 5, F.concat(F.lit("https://elsewhere.test/"), nr.cast("string")))
+            .otherwise(F.col("url"))
+        )
+        return I.gsc(self.spark, self.d).withColumn("url", url)
 
+    @cached_property
+    def resolved(self):
+        return staged(R.resolve(self.exported, self.pages))
 
-def _orphans(spark, d):
-    return O.orphans(_measured(spark, d), _share(spark, d))
+    @cached_property
+    def ga4(self):
+        return staged(R.resolve(I.ga4(self.spark, self.d), self.pages, "path"))
 
+    @cached_property
+    def metrics(self):
+        return P.page_metrics(self.resolved, self.ga4)
 
-def _buried(spark, d):
-    return O.buried(_measured(spark, d), _orphans(spark, d))
+    @cached_property
+    def rollup(self):
+        return P.rollup(self.pages, self.metrics).withColumn("section", F.array_join("section", " > "))
 
+    @cached_property
+    def measured(self):
+        m = self.metrics.where("clicks is not null")
+        joined = self.pages.join(m, self.pages["url"] == m["page_url"])
+        return staged(joined.withColumn("position", F.coalesce(S.weighted_position(F.col("weight"), F.col("impressions")), F.lit(0.0))))
 
-def _traps(spark, d):
-    return O.traps(_resolved(spark, d).where("failure is not null"))
+    @cached_property
+    def share(self):
+        return O.orphan_share(self.pages)
 
+    @cached_property
+    def orphans(self):
+        return O.orphans(self.measured, self.share)
 
-def _subdomains(spark, d):
-    r = _resolved(spark, d)
-    totals = r.agg(F.sum("clicks").alias("all_clicks"), F.count("*").alias("all_rows"))
-    return O.subdomains(P.unmatched_groups(r), totals)
+    @cached_property
+    def buried(self):
+        return O.buried(self.measured, self.orphans)
 
+    @cached_property
+    def traps(self):
+        return O.traps(self.resolved.where("failure is not null"))
 
-def _siblings(spark, d):
-    reported = _orphans(spark, d).select("url").union(_buried(spark, d).select("url"))
-    return O.siblings(_measured(spark, d), _pages(spark, d), reported, _share(spark, d))
+    @cached_property
+    def subdomains(self):
+        totals = self.resolved.agg(F.sum("clicks").alias("all_clicks"), F.count("*").alias("all_rows"))
+        return O.subdomains(P.unmatched_groups(self.resolved), totals)
 
+    @cached_property
+    def siblings(self):
+        reported = self.orphans.select("url").union(self.buried.select("url"))
+        return O.siblings(self.measured, self.pages, reported, self.share)
 
-def _all(spark, d):
-    found = _orphans(spark, d)
-    for more in (_buried, _traps, _subdomains, _siblings):
-        found = found.union(more(spark, d))
-    return O.ranked(found)
+    @cached_property
+    def ranked(self):
+        found = staged(self.orphans.union(self.buried).union(self.traps).union(self.subdomains).union(self.siblings))
+        return O.ranked(found)
 
 
 def queries() -> dict:
     return {
-        "pf1_dedupe_profiles": lambda s, d: _pages(s, d).select("key", "url", "ord"),
-        "pf2_tier_index": lambda s, d: R.tier_index(_pages(s, d)),
-        "pf3_merge_tiers": lambda s, d: R.merge_tiers(R.tier_index(_pages(s, d))),
-        "pf4_resolve": lambda s, d: _resolved(s, d).select("ord", "page_url", "via", "failure"),
-        "pf5_resolution_report": lambda s, d: R.report(_resolved(s, d)),
-        "pf6_page_metrics": lambda s, d: _metrics(s, d),
-        "pf6_unattributed": lambda s, d: P.unattributed(_resolved(s, d), _ga4(s, d)),
-        "pf7_section_rollup": lambda s, d: P.rollup(_pages(s, d), _metrics(s, d)).withColumn("section", F.array_join("section", " > ")),
-        "pf8_unmatched_groups": lambda s, d: P.unmatched_groups(_resolved(s, d)),
-        "pf9_matched_listing": lambda s, d: P.matched_listing(_pages(s, d), _metrics(s, d)),
-        "pf10_top_sections": lambda s, d: P.rollup(_pages(s, d), _metrics(s, d)).where("depth = 1").select(F.array_join("section", " > ").alias("section"), "clicks", "pages").orderBy(F.desc("clicks"), "section"),
-        "op_1_orphan_share": _share,
-        "op_2_orphan_with_traffic": _orphans,
-        "op_3_buried_with_traffic": _buried,
-        "op_4_indexed_trap": _traps,
-        "op_5_indexed_subdomain": _subdomains,
-        "op_6_weak_sibling": _siblings,
-        "op_7_ranked": _all,
-        "op_8_report_order": lambda s, d: O.report_order(_all(s, d)).select("kind", "severity", "url", "score"),
+        "pf1_dedupe_profiles": lambda s, d: Audit(s, d).pages.select("key", "url", "ord"),
+        "pf2_tier_index": lambda s, d: R.tier_index(Audit(s, d).pages),
+        "pf3_merge_tiers": lambda s, d: R.merge_tiers(R.tier_index(Audit(s, d).pages)),
+        "pf4_resolve": lambda s, d: Audit(s, d).resolved.select("ord", "page_url", "via", "failure"),
+        "pf5_resolution_report": lambda s, d: R.report(Audit(s, d).resolved),
+        "pf6_page_metrics": lambda s, d: Audit(s, d).metrics,
+        "pf6_unattributed": lambda s, d: P.unattributed((a := Audit(s, d)).resolved, a.ga4),
+        "pf7_section_rollup": lambda s, d: Audit(s, d).rollup,
+        "pf8_unmatched_groups": lambda s, d: P.unmatched_groups(Audit(s, d).resolved),
+        "pf9_matched_listing": lambda s, d: P.matched_listing((a := Audit(s, d)).pages, a.metrics),
+        "pf10_top_sections": lambda s, d: Audit(s, d).rollup.where("depth = 1").select("section", "clicks", "pages").orderBy(F.desc("clicks"), "section"),
+        "op_1_orphan_share": lambda s, d: Audit(s, d).share,
+        "op_2_orphan_with_traffic": lambda s, d: Audit(s, d).orphans,
+        "op_3_buried_with_traffic": lambda s, d: Audit(s, d).buried,
+        "op_4_indexed_trap": lambda s, d: Audit(s, d).traps,
+        "op_5_indexed_subdomain": lambda s, d: Audit(s, d).subdomains,
+        "op_6_weak_sibling": lambda s, d: Audit(s, d).siblings,
+        "op_7_ranked": lambda s, d: Audit(s, d).ranked,
+        "op_8_report_order": lambda s, d: O.report_order(Audit(s, d).ranked).select("kind", "severity", "url", "score"),
     }
 
 
