@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import performance_queries, scalar_queries
+from . import audit_queries, performance_queries, scalar_queries
 
-MODULES = [scalar_queries, performance_queries]
+MODULES = [scalar_queries, performance_queries, audit_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
