@@ -141,3 +141,26 @@ def path_tree(pages: DataFrame) -> DataFrame:
         "page",
         "descendants",
     )
+
+
+def folder_mismatch(pages: DataFrame) -> DataFrame:
+    """Pages of two folders or more whose first folder is in no label of their trail."""
+    segs = U.path_segments(F.col("url"))
+    rows = pages.select("url", F.size(segs).alias("n"), U.flatten(F.get(segs, F.lit(0))).alias("folder"), "trail").where("n >= 2 and size(trail) > 0")
+    named = F.exists("trail", lambda label: U.flatten(label).contains(F.col("folder")) | F.col("folder").contains(U.flatten(label)))
+    return rows.where(~named).select("url", "folder")
+
+
+def trail_disagreement(sets: DataFrame, pages: DataFrame) -> DataFrame:
+    """leaf, trails: sets whose pages have more than one trail (counts, not lists)."""
+    trails = pages.where(F.size("trail") > 0).select("url", F.array_join("trail", " > ").alias("trail"))
+    return sets.join(trails, "url").groupBy("leaf").agg(F.countDistinct("trail").alias("trails")).where("trails > 1")
+
+
+def verify_missed(missed: DataFrame, probes: DataFrame, ours: DataFrame) -> DataFrame:
+    """url, state, held: what a probe (url, status, location) says of missed pages."""
+    held = ours.select(U.compare_key(F.col("url")).alias("there")).distinct().withColumn("held", F.lit(True))
+    rows = missed.join(probes, "url", "left").withColumn("there", U.compare_key(F.coalesce("location", F.lit(""))))
+    status = F.coalesce("status", F.lit(0))
+    state = F.when(status == 0, "UNREACHABLE").when(status.between(300, 399), "REDIRECTED").when(status >= 400, "GONE").otherwise("LIVE")
+    return rows.join(held, "there", "left").select("url", state.alias("state"), F.coalesce("held", F.lit(False)).alias("held"))

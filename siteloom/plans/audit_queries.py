@@ -125,6 +125,19 @@ def queries() -> dict:
         "au5_silos": lambda s, d: A.silos(I.pages(s, d), s.createDataFrame([(m,) for m in MENU], "label string")),
         "au6_paginated": lambda s, d: I.spelled(s, d).where(U.is_paginated(c("url"))).select("url"),
         "au8_unclassified": lambda s, d: I.crawl(s, d).where("score = 0").select("url"),
+        "au7_folder_mismatch": lambda s, d: A.folder_mismatch(I.crawl(s, d).where("ord % 2 = 0").withColumn("trail", F.when(c("page_id") % 4 == 0, c("trail")).otherwise(F.slice("trail", 1, 1)))),
+        "au10_trail_disagreement": lambda s, d: A.trail_disagreement(
+            I.crawl(s, d).select(c("level").alias("leaf"), "url"), I.crawl(s, d).select("url", "trail")
+        ),
+        "rc5_verified_missed": lambda s, d: A.verify_missed(
+            I.pages(s, d).select("url"),
+            I.pages(s, d).where("page_id % 5 <> 0").select(
+                "url",
+                F.element_at(F.array(*map(F.lit, [200, 301, 404, 0])), (c("page_id") % 4 + 1).cast("int")).alias("status"),
+                F.when(c("page_id") % 4 == 1, F.concat(F.lit("http://www.x.test/"), (c("page_id") % 8).cast("string"))).alias("location"),
+            ),
+            s.range(3).select(F.concat(F.lit("https://x.test/"), c("id").cast("string")).alias("url")),
+        ),
         "rc1_reconcile": lambda s, d: A.reconcile(I.crawl(s, d).select("url", "ord"), I.frog(s, d)),
         "rc8_reconcile_summary": lambda s, d: A.reconcile(I.crawl(s, d).select("url", "ord"), I.frog(s, d)).groupBy("side", "reason").agg(F.count("*").alias("n")),
         "ev1_accuracy": lambda s, d: A.accuracy(I.labels(s, d), Site(s, d).predictions),
@@ -228,6 +241,9 @@ def oracle_sql() -> dict[str, str]:
         "au6_paginated": w(rf"SELECT url FROM spelled WHERE regexp_matches(url, '(?i)[?&]page=\d+') OR regexp_matches({_P}, '(?i)/page/\d+/?$')", "spelled"),
         "au5_silos": f"SELECT seg, pages FROM (SELECT list_extract({_SEG}, 1) AS seg, count(*) AS pages FROM pages GROUP BY 1) WHERE seg IS NOT NULL AND pages >= 25 AND pages >= 0.01 * (SELECT count(*) FROM pages) AND NOT list_bool_or(list_transform(['aboutus', 'englishen', 'deutsch'], lambda m: contains(m, regexp_replace(lower(seg), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(seg), '[^a-z0-9]', '', 'g'), m)))",
         "au8_unclassified": w("SELECT url FROM crawl WHERE score = 0", "crawl"),
+        "au7_folder_mismatch": w("+q AS (SELECT url, len({S}) AS n, regexp_replace(lower({S}[1]), '[^a-z0-9]', '', 'g') AS folder, CASE WHEN page_id % 4 = 0 THEN trail ELSE trail[1:1] END AS t FROM crawl WHERE ord % 2 = 0) SELECT url, folder FROM q WHERE n >= 2 AND len(t) > 0 AND NOT list_bool_or(list_transform(t, lambda x: contains(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), folder) OR contains(folder, regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))))".replace("{S}", _SEG), "crawl"),
+        "au10_trail_disagreement": w("SELECT level AS leaf, count(DISTINCT array_to_string(trail, ' > ')) AS trails FROM crawl WHERE len(trail) > 0 GROUP BY 1 HAVING count(DISTINCT array_to_string(trail, ' > ')) > 1", "crawl"),
+        "rc5_verified_missed": "SELECT url, CASE WHEN page_id % 5 = 0 THEN 'UNREACHABLE' ELSE ['LIVE', 'REDIRECTED', 'GONE', 'UNREACHABLE'][CAST(page_id % 4 AS INTEGER) + 1] END AS state, page_id % 5 <> 0 AND page_id % 4 = 1 AND page_id % 8 < 3 AS held FROM pages",
         "rc1_reconcile": w(_REC + "SELECT * FROM rec", "crawl", "frog"),
         "rc8_reconcile_summary": w(_REC + "SELECT side, reason, count(*) AS n FROM rec GROUP BY 1, 2", "crawl", "frog"),
         "ev1_accuracy": w(_J + "SELECT archetype, count(*) FILTER (page_type IS NOT NULL) AS evaluated, count(*) FILTER (page_type IS NULL) AS missing, count(*) FILTER (level = want_level) AS level_hits, count(*) FILTER (page_type = want_type) AS type_hits, count(*) FILTER (level = want_level AND page_type = want_type) AS exact_hits, count(*) FILTER (page_type = 'UNKNOWN') AS unknown, count(*) FILTER (score < 0.85) AS escalated, coalesce(count(*) FILTER (level = want_level AND page_type = want_type) / nullif(count(*) FILTER (page_type IS NOT NULL), 0), 0)::DOUBLE AS exact_rate, count(*) FILTER (page_type IS NOT NULL) >= 50 AS sufficient FROM j GROUP BY GROUPING SETS ((archetype), ())", "crawl", "labelled"),

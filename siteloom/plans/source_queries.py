@@ -70,8 +70,17 @@ def _stream_counts(s, d):
     return T.run_once(counts, "complete", _folder(s), f"counts_{os.urandom(4).hex()}")
 
 
+def _stream_loops(s, d):
+    """Tails confirmed as loops, address by address."""
+    log = s.readStream.schema("page_id long, url string, html string").parquet(f"{d}/pages*.parquet")
+    url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.repeat(F.lit("/q"), (c("page_id") % 5).cast("int")), F.lit("/a/b/c/"))
+    found = T.confirm_loops(log.select(url.alias("url")))
+    return T.run_once(found, "append", _folder(s), f"loops_{os.urandom(4).hex()}").select("tail")
+
+
 def queries() -> dict:
     return {
+        "st1_confirmed_loops": _stream_loops,
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
         "src4_wordpress_records": lambda s, d: B.wordpress_records(_listings(s, d)),
         "src5_shopify_records": lambda s, d: B.shopify_records(_shop(s, d)),
@@ -90,6 +99,7 @@ def oracle_sql() -> dict[str, str]:
         "src5_shopify_records": "SELECT 'https://shop' || (page_id // 500) || '.test/products/item-' || page_id AS url, 'products' AS record_type, false AS has_children FROM pages",
         "src7_search_export": "SELECT url, CAST((page_id % 7) * 1000 + 123 AS BIGINT) AS clicks, page_id AS impressions, (page_id % 40) + 0.5::DOUBLE AS position FROM pages WHERE page_id % 50 <> 0",
         "src13_robots_rules": "SELECT 'h' || page_id AS host, agent, pattern, allow FROM pages, (VALUES ('*', 'x', false), ('bot', 'x', false), ('*', '/y', true), ('bot', '/y', true), ('other', '/', false)) v(agent, p0, allow), LATERAL (SELECT CASE WHEN p0 = 'x' THEN '/x' || page_id ELSE p0 END AS pattern)",
+        "st1_confirmed_loops": f"SELECT tail FROM (SELECT url, array_to_string(g[-3:], '/') AS tail, len(g) AS depth FROM (SELECT url, {I.sql_segs(I.sql_path('url'))} AS g FROM (SELECT regexp_replace(url, '[?#].*$', '') || repeat('/q', CAST(page_id % 5 AS INTEGER)) || '/a/b/c/' AS url FROM pages))) GROUP BY 1 HAVING count(DISTINCT url) >= 25 AND count(DISTINCT depth) >= 4",
         "st3_stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
         "st_hourly_fetches": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }
