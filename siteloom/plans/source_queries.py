@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from siteloom.operators.staging import staged
 from siteloom.sources import bodies as B
+from siteloom.sources import html as H
 from siteloom.streaming import crawl_stream as T
 
 from . import inputs as I
@@ -81,6 +82,8 @@ def _stream_loops(s, d):
 def queries() -> dict:
     return {
         "st1_confirmed_loops": _stream_loops,
+        "htm2_nav_links": lambda s, d: H.nav_links(I.pages(s, d)).select("url", "nr", "href", "depth"),
+        "htm3_menu": lambda s, d: H.menu(I.pages(s, d)).select("url", "ord", "target", F.array_join("labels", " > ").alias("labels")),
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
         "src4_wordpress_records": lambda s, d: B.wordpress_records(_listings(s, d)),
         "src5_shopify_records": lambda s, d: B.shopify_records(_shop(s, d)),
@@ -94,6 +97,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "htm2_nav_links": """SELECT url, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS nr, unnest(l) AS href, 0 AS depth
+  FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS l FROM pages)""",
         "src2_sitemap_entries": "SELECT DISTINCT 'sitemap-' || (page_id // 1000) || '.xml' AS name, 'URLSET' AS kind, url AS loc FROM pages",
         "src4_wordpress_records": "WITH r AS (SELECT 'list' || (page_id // 500) AS endpoint, page_id AS id, url AS link, nullif(CASE WHEN page_id % 10 = 0 THEN 0 ELSE page_id - page_id % 10 END, 0) AS parent FROM pages) SELECT r.*, p.link AS parent_url, EXISTS (SELECT 1 FROM r x WHERE x.endpoint = r.endpoint AND x.parent = r.id) AS has_children FROM r LEFT JOIN r p ON p.endpoint = r.endpoint AND p.id = r.parent",
         "src5_shopify_records": "SELECT 'https://shop' || (page_id // 500) || '.test/products/item-' || page_id AS url, 'products' AS record_type, false AS has_children FROM pages",
