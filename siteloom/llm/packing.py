@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from .stretches import StretchCache
 
 CAPACITY, CHUNK, BLOCK, END_ID = 2048, 512, 384, 1
+#: Stretches whose ids a worker keeps, in each of two generations (about 0.2 kB each).
+REMEMBER = 800_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
@@ -43,7 +45,8 @@ def encoder(tokenizer_path: str) -> StretchCache:
     return StretchCache(
         lambda stretches: [
             np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(stretches, add_special_tokens=False)
-        ]
+        ],
+        remember=REMEMBER,
     )
 
 
