@@ -5,14 +5,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch. Texts may be long, so batches are kept small.
 ARROW_ROWS = 1000
 
-#: A word: a run without the six ASCII white-space characters.
-WORD = r"[^\x20\x09-\x0D]+"
-
 _ASCII_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
@@ -30,15 +26,5 @@ def lower_ascii(text: str) -> str:
     return text.lower() if text.isascii() else text.translate(_ASCII_LOWER)
 
 
-def split_words(text: str) -> list[bytes]:
-    """Words between ASCII white space, as UTF-8; ``bytes.split`` uses just the
-    six characters that ``WORD`` leaves out."""
-    return text.encode("utf-8", "surrogatepass").split()
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def blank_nulls(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names})
