@@ -329,17 +329,27 @@ def place(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.nd
     yield flush()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int, most: int) -> Iterator[list[tuple]]:
-    """Rows that agree in the first ``width`` columns, in lists of at most ``most``."""
+def _runs(batches: Iterator[pa.RecordBatch], width: int, at: int, most: int) -> Iterator[tuple[list[tuple], bool]]:
+    """Rows that agree in the first ``width`` columns, in lists of at most
+    ``most``, and whether the run was cut.  Of rows that follow each other with
+    the same key in column ``at`` the first is kept; the lists of a cut run
+    overlap by one row."""
     held: list[tuple] = []
+    cut = False
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if held and (row[:width] != held[-1][:width] or len(held) >= most):
-                yield held
-                held = held[-1:] if row[:width] == held[-1][:width] else []
+            if held and row[:width] != held[-1][:width]:
+                yield held, cut
+                held, cut = [], False
+            elif held and row[at] == held[-1][at]:
+                continue
+            elif len(held) >= most:
+                cut = True
+                yield held, cut
+                held = held[-1:]
             held.append(row)
     if held:
-        yield held
+        yield held, cut
 
 
 EDGES, EDGE_KINDS, EDGE_NAMES = "a long, b long", [pa.int64(), pa.int64()], ["a", "b"]
@@ -369,17 +379,16 @@ def near_pairs(sizes: list[int], bits: list[bytes], groups: list[int], percent:
                     yield i, j
 
 
-def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, local, key, size, bits) by gram: pairs that may link by their
-    sizes and bitmaps.  ``need`` is 1 where they hang together at once (these
+def meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, local, key, size, bits) by gram and key: pairs that may link by
+    their sizes and bitmaps.  ``need`` is 1 where they hang together at once (these
     pairs are a forest of the run), else how many n-grams they must meet at.
-    The runs of a very common n-gram overlap by one row, and hang together."""
+    All sets of an n-gram that more than ``most`` hold hang together."""
     out: list[tuple] = []
-    for run in _runs(batches, 1, BLOCK):
-        run = list({r[2]: r for r in run}.values())
+    for run, cut in _runs(batches, 1, 2, most):
         if len(run) < 2:
             continue
-        if len(run) >= BLOCK - 1:  # too many to tell; what hangs together is compared later
+        if cut:  # too many to tell; what hangs together is compared later
             out += [(run[0][2], r[2], 1) for r in run[1:]]
         else:
             run.sort(key=lambda r: (r[3], r[2]))
@@ -429,7 +438,7 @@ def join_sets(keys: list[int], roots: list[int], sets: list[np.ndarray], sides:
 
 def compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Rows (cluster, block, side, key, root, hashes) by cluster and block: links."""
-    for run in _runs(batches, 2, 1 << 60):
+    for run, _ in _runs(batches, 2, 3, 1 << 60):
         run = list({r[3]: r for r in run}.values())
         sets = [np.frombuffer(r[5], np.uint64) for r in run]
         yield _edges(join_sets([r[3] for r in run], [r[4] for r in run], sets, [r[2] for r in run], percent))
@@ -470,8 +479,8 @@ def components(edges: DataFrame) -> DataFrame:
             return links
 
 
-def _dealt(df: DataFrame, *by: str) -> DataFrame:
-    return df.repartition(*by).sortWithinPartitions(*by)
+def _dealt(df: DataFrame, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
+    return df.repartition(*by).sortWithinPartitions(*by, *then)
 
 
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -488,7 +497,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
     shared = grams.groupBy("gram").agg(F.min("local").alias("low"), F.max("local").alias("high")).where("low <> high")
     bits = placed.where("bits is not null").groupBy("key").agg(F.first("bits").alias("bits"))
     meetings = grams.join(shared.select("gram"), "gram", "left_semi").join(bits, "key")
-    near = _dealt(meetings.select("gram", "local", "key", "size", "bits"), "gram").mapInArrow(lambda b: meet(b, percent), NEAR)
+    most = BLOCK
+    near = _dealt(meetings.select("gram", "local", "key", "size", "bits"), "gram", then=("key",)).mapInArrow(lambda b: meet(b, percent, most), NEAR)
     met = near.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
     near = met.where("n >= need").select("a", "b").checkpoint()
     local = placed.where("key <> local").select("key", "local").distinct()

@@ -343,6 +343,16 @@ def test_jaccard_large_clusters(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.near_duplicates(made, 3, 80).collect()} == brute(rows, 3, 80)
 
 
+def test_jaccard_common_gram(spark):
+    """More sets than a block, many met in several tasks, that meet at one n-gram only."""
+    base = " ".join(f"b{i}" for i in range(92))
+    rows = [(i, base + "".join(f" y{i}_{k}" for k in range(10))) for i in range(1, 5001)]
+    rows += [(10_000 + i, t) for i, t in rows[::5]] + [(0, base)]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = jaccard.near_duplicates(made, 3, 90).groupBy("n_shingles", "component_id").count().collect()
+    assert {tuple(r) for r in got} == {(90, 0, 1), (100, 0, 6000)}
+
+
 def test_jaccard_odd(odd, empty):
     rows = jaccard.near_duplicates(odd, 5, 80).collect()
     assert len(rows) == len(ODD)
