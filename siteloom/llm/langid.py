@@ -6,7 +6,8 @@ rows); Viterbi over the words, with a penalty for every switch, labels spans.
 A text's language is that of the most letters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0;
-with no labelled row all texts are ``und``; a text of any length is read whole;
+with no labelled row all texts are ``und``; texts and words of any length are
+read whole (a word of more than ``MOST`` bytes counts as several, its pieces);
 ties go to the language that sorts first; rows that repeat give equal rows; an
 empty table gives no rows; ``identify`` leaves other columns out, ``keep``
 returns all columns.  Training rows with a null language or text are left out.
@@ -37,25 +38,64 @@ SCRIPTS = [0, 1, 0, 1, 0, 1, 0, 1, 0, 1, 0, 2, 3, 4, 5, 6, 0, 7,
 SCRIPT_OF = np.array(SCRIPTS)
 N_SCRIPTS = 16
 
-#: n-grams of up to LONGEST bytes (of the first MOST of a word) are hashed into
-#: FEATURES; about SAMPLE rows of a language are learned from, by COUNTERS tasks.
+#: n-grams of up to LONGEST bytes are hashed into FEATURES; words of more than
+#: MOST bytes are labelled in pieces; about SAMPLE rows of a language are learned from, by COUNTERS tasks.
 FEATURE_BITS, LONGEST, MOST, SAMPLE, COUNTERS = 16, 5, 100, 4000, 16
 FEATURES = 1 << FEATURE_BITS
+SLICE = 20_000  # words whose n-grams are held at a time
 SWITCH = 12.0  # nats that a change of language costs
 DAMPING = 2.5  # n-grams of a word overlap, so each counts for less
 
 
+def pieces(word: bytes) -> list[bytes]:
+    """A long word in pieces of at most ``MOST`` bytes, cut between code points.
+
+    A piece stands after a space and what n-grams over the joint need of the
+    piece before; all but the last end in a space.
+    """
+    made, start = [], 0
+    while start < len(word):
+        end = min(start + MOST, len(word))
+        while end < len(word) and word[end] & 0xC0 == 0x80:
+            end -= 1
+        made.append(word[max(0, start - LONGEST + 1) : start] + b" " + word[start:end] + (b" " if end < len(word) else b""))
+        start = end
+    return made
+
+
+def words_of(text: str) -> list[bytes]:
+    """The words of a text, long ones as their ``pieces``."""
+    words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
+    if max(map(len, words), default=0) <= MOST:
+        return words
+    return [p for w in words for p in ([w] if len(w) <= MOST else pieces(w))]
+
+
 def word_grams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed n-grams of all words, each between its ends, and the word's number for each."""
-    data = np.frombuffer(b"".join([b"^" + w[:MOST] + b"$" for w in words]), np.uint8)
-    sizes = np.array([min(len(w), MOST) + 2 for w in words], np.int64)
+    """Hashed n-grams of all words, each between its ends, and the word's number
+    for each.  Those of a piece end in it, so pieces have the n-grams of their word."""
+    marked, before = [], []
+    for w in words:
+        joint, space, piece = w.partition(b" ")
+        if space:
+            before.append(len(joint))
+            marked.append((joint or b"^") + (piece[:-1] if piece.endswith(b" ") else piece + b"$"))
+        else:
+            before.append(0)
+            marked.append(b"^" + w + b"$")
+    data = np.frombuffer(b"".join(marked), np.uint8)
+    sizes = np.array([len(m) for m in marked], np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
     left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(data))  # bytes to the end of the word
     rolled = data.astype(np.uint64)
+    inside = np.repeat(sizes - np.array(before, np.int64), sizes) if any(before) else None  # bytes from the piece's start to its end
     grams, numbers = [], []
     for size in range(2, LONGEST + 1):
         rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + data[size - 1 :]
-        at = np.flatnonzero(left[: len(rolled)] >= size)
+        at = left[: len(rolled)] >= size
+        if inside is not None:  # the n-gram's last byte is in the piece
+            at &= left[: len(rolled)] - size < inside[: len(rolled)]
+        at = np.flatnonzero(at)
         mixed = rolled[at] ^ (rolled[at] >> np.uint64(31))
         grams.append((mixed * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - FEATURE_BITS)).astype(np.int64))
         numbers.append(word[at])
@@ -96,6 +136,7 @@ class Model:
 
     def _narrow(self, word: bytes, score: np.ndarray) -> int:
         """Letters of a word; languages not written in their scripts score least."""
+        word = word.partition(b" ")[2] or word
         letters = [c for c in word.decode("utf-8", "surrogatepass") if c.isalpha()]
         scripts = {int(SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, ord(c), "right") - 1]) for c in set(letters) if c > "\x7f"} - {0}
         if scripts:
@@ -110,8 +151,8 @@ class Model:
             self.words.clear()
         new = set().union(*texts) if texts else set()
         new = sorted(w for w in new if w not in self.words)
-        if new:
-            self._learn(new)
+        for k in range(0, len(new), SLICE):
+            self._learn(new[k : k + SLICE])
         get = self.words.__getitem__
         return [np.fromiter(map(get, words), np.int64, len(words)) for words in texts]
 
@@ -133,7 +174,7 @@ class Model:
 
     def judge(self, texts: list[str | None]) -> list[tuple[str, float, np.ndarray, list[bytes]]]:
         """Language, score, labels of the words, and the words of each text."""
-        split = [lower_ascii(t).encode("utf-8", "surrogatepass").split() if t else [] for t in texts]
+        split = [words_of(t) if t else [] for t in texts]
         if not self.languages:
             return [(UNKNOWN, 0.0, np.zeros(len(words), np.int64), words) for words in split]
         out = []
@@ -189,7 +230,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
         scripts: dict[str, np.ndarray] = {}
         for batch in batches:
             for t, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words.setdefault(name, Counter()).update(lower_ascii(t).encode("utf-8", "surrogatepass").split())
+                words.setdefault(name, Counter()).update(words_of(t))
                 codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4")
                 kinds = SCRIPT_OF[np.searchsorted(SCRIPT_STARTS, codes, "right") - 1]
                 seen = scripts.setdefault(name, np.zeros(N_SCRIPTS, np.int64))
@@ -197,9 +238,11 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
         names = sorted(words)
         grams = {name: np.zeros(FEATURES, np.int64) for name in names}
         for name in names:
-            found, numbers = word_grams(list(words[name]))
-            times = np.fromiter(words[name].values(), np.int64, len(words[name]))
-            np.add.at(grams[name], found, times[numbers])
+            own = list(words[name])
+            times = np.fromiter(words[name].values(), np.int64, len(own))
+            for k in range(0, len(own), SLICE):
+                found, numbers = word_grams(own[k : k + SLICE])
+                np.add.at(grams[name], found, times[k + numbers])
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(names, pa.string()),

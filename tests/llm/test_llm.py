@@ -217,6 +217,21 @@ def test_language_odd(docs, odd, empty):
     assert {r["lang_pred"] for r in langid.Identifier(empty).identify(odd).collect()} == {"und"}
 
 
+def test_language_without_spaces(spark):
+    """Lines without a space are read to their end, in training too."""
+    rng = np.random.default_rng(8)
+    line = lambda first, n: "".join(chr(first + int(x)) for x in rng.integers(0, 40, n))
+    rows = [(i, line(0x4E00, 40) + line(a, 200), lang) for i, (a, lang) in enumerate([(0x5000, "p"), (0x6000, "q")] * 30)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(made)
+    assert [f[0] for f in model.judge([line(0x5000, 40) + line(0x6000, 400), line(0x6000, 40) + line(0x5000, 400)])] == ["q", "p"]
+    word = ("a" + line(0x5000, 500)).encode()
+    whole, parts = langid.word_grams([word]), langid.word_grams(langid.words_of(word.decode()))
+    assert Counter(whole[0].tolist()) == Counter(parts[0].tolist())
+    at = model.places([langid.words_of(word.decode())])[0]
+    assert model.letters[at].sum() == 501
+
+
 def test_viterbi_by_brute_force():
     rng = np.random.default_rng(1)
     for _ in range(20):
