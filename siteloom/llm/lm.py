@@ -11,9 +11,10 @@ count of whole words is given beside it.
 
 How it runs: a task cuts its rows into blocks of bounded size and makes each
 block's dictionary.  Every distinct word of a block goes once to the task that
-gathers this word, and comes back with its count over the whole corpus and its
-log-probability, so the corpus vocabulary is never in one place; only one count
-for each piece of the vocabulary (a fixed number) reaches the driver.
+gathers this word, which cuts each training word of the corpus into pieces, and
+comes back with its count over the whole corpus and its log-probability, so the
+corpus vocabulary is never in one place; only one count for each piece of the
+vocabulary (a fixed number) reaches the driver.
 
 Defined results: a null text is an empty one, of one token, its end; texts and
 words of any length are scored whole; with no training row all counts are 0;
@@ -94,10 +95,9 @@ class Block:
     def full(self) -> bool:
         return len(self.number) >= BLOCK_DISTINCT or self.words >= BLOCK_WORDS
 
-    def parts(self, block: int, buckets: int, vocabulary: str) -> Iterator[tuple]:
+    def parts(self, block: int, buckets: int) -> Iterator[tuple]:
         """Rows of ``PARTS``: the block's texts as places in its dictionary, the
-        dictionary by bucket, and counts of pieces in its distinct training words
-        (each word gives the same discount to the pieces, however often it occurs)."""
+        dictionary by bucket, and how many training texts and words it has."""
         learned = np.zeros(len(self.number), np.int64)
         places, times, sizes = [], [], []
         for own, (_, learn, _) in zip(self.counts, self.rows, strict=True):
@@ -131,18 +131,11 @@ class Block:
         at = new[np.concatenate(places)] if places else new
         n = np.concatenate(times).astype(np.uint32) if times else new
         yield "texts", block, 0, _squeeze(np.concatenate(head)), zlib.compress(at.tobytes(), 1) + len(n).to_bytes(8, "little") + _squeeze(n)
-        pieces = np.zeros(_processor(vocabulary).get_piece_size(), np.int64)
-        some = [i for i in np.flatnonzero(learned).tolist() if len(words[i]) <= 1000]
-        for k in range(0, len(some), 10_000):
-            chosen = some[k : k + 10_000]
-            ids = _processor(vocabulary).encode([words[i].decode("utf-8", "surrogatepass") for i in chosen])
-            flat = np.concatenate([np.array(x, np.int64) for x in ids]) if ids else np.zeros(0, np.int64)
-            np.add.at(pieces, flat, 1)
         ends = sum(x for _, x, _ in self.rows)
-        yield "pieces", block, 0, _squeeze(pieces), _squeeze(np.array([ends, int(learned.sum())], np.int64))
+        yield "sums", block, 0, b"", _squeeze(np.array([ends, int(learned.sum())], np.int64))
 
 
-def _split(texts: Iterator[pa.RecordBatch], buckets: int, vocabulary: str) -> Iterator[pa.RecordBatch]:
+def _split(texts: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
     block_id = (task.partitionId() if task else 0) << 24
     block = Block()
@@ -150,10 +143,10 @@ def _split(texts: Iterator[pa.RecordBatch], buckets: int, vocabulary: str) -> It
         for doc_id, learn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             block.add(doc_id, bool(learn), text or "")
             if block.full():
-                yield _batch(list(block.parts(block_id, buckets, vocabulary)))
+                yield _batch(list(block.parts(block_id, buckets)))
                 block, block_id = Block(), block_id + 1
     if block.rows:
-        yield _batch(list(block.parts(block_id, buckets, vocabulary)))
+        yield _batch(list(block.parts(block_id, buckets)))
 
 
 class Lattice:
@@ -193,10 +186,12 @@ class Lattice:
         return forward[n]
 
 
-def _gather(group: pa.Table, lattice: Lattice) -> pa.Table:
-    """All blocks' words of a bucket: corpus counts and log10-probabilities go
-    back to each block, in its order; a row ``seen`` has, in place of a block,
-    the number of the bucket's distinct training words."""
+def _gather(group: pa.Table, vocabulary: str) -> pa.Table:
+    """All blocks' words of a bucket.  A row ``pieces`` has the number of its
+    distinct training words, in place of a block, and the pieces in these (each
+    word gives the same discount to the pieces, however often it occurs); a row
+    ``words`` has the bucket's words; then come, for each block in its order,
+    corpus counts and places in the bucket's words."""
     number: dict[bytes, int] = {}
     blocks = []
     for words, learned in zip(group.column("data").to_pylist(), group.column("more").to_pylist(), strict=True):
@@ -205,16 +200,33 @@ def _gather(group: pa.Table, lattice: Lattice) -> pa.Table:
     total = np.zeros(len(number), np.int64)
     for at, learned in blocks:
         total[at] += learned
-    logs = np.array([lattice.word(w.decode("utf-8", "surrogatepass")) / LOG10 for w in number])
     bucket = group.column("bucket")[0].as_py()
-    rows = [
-        ("counts", block, bucket, _squeeze(total[at]), logs[at].astype("<f4").tobytes())
+    some = [w.decode("utf-8", "surrogatepass") for w, n in zip(number, total.tolist(), strict=True) if n]
+    pieces = np.zeros(_processor(vocabulary).get_piece_size(), np.int64)
+    for k in range(0, len(some), 1000):
+        for ids in _processor(vocabulary).encode(some[k : k + 1000]):
+            np.add.at(pieces, np.array(ids, np.int64), 1)
+    rows = [("pieces", len(some), bucket, _squeeze(pieces), b""), ("words", 0, bucket, zlib.compress(b"\n".join(number), 1), b"")]
+    rows += [
+        ("counts", block, bucket, _squeeze(total[at]), _squeeze(at.astype("<u4")))
         for block, (at, _) in zip(group.column("block").to_pylist(), blocks, strict=True)
     ]
-    rows.append(("seen", int(np.count_nonzero(total)), bucket, b"", b""))
     return pa.Table.from_batches([_batch(rows)])
 
 
+def _weigh(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_gather`` in its order: log10-probabilities in place of places."""
+    logs, of = np.zeros(0, "<f4"), -1
+    for batch in batches:
+        for kind, block, bucket, data, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if kind == "words":
+                words = zlib.decompress(data).split(b"\n")
+                logs, of = np.array([lattice.word(w.decode("utf-8", "surrogatepass")) / LOG10 for w in words], "<f4"), bucket
+            elif kind == "counts":
+                assert of == bucket
+                yield _batch([(kind, block, bucket, data, logs[_expand(more, "<u4")].tobytes())])
+
+
 SCORES = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -265,28 +277,28 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, doc_id: str = "doc_id
     prepare(spark)
     rows = docs.select(docs[doc_id].cast("long"), F.coalesce(learn, F.lit(False)), docs[text].cast("string"))
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    parts = rows.mapInArrow(lambda batches: _split(batches, buckets, vocabulary), PARTS).checkpoint()
+    size = _processor(vocabulary).get_piece_size()
+    parts = rows.mapInArrow(lambda batches: _split(batches, buckets), PARTS).checkpoint()
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, other = None, np.zeros(2, np.int64)
+        total, other = np.zeros(size, np.int64), np.zeros(2, np.int64)
         for batch in batches:
             for data, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = _expand(data, "<i8")
-                total = own.copy() if total is None else total + own
-                other += _expand(more, "<i8")
-        if total is not None:
-            at = np.flatnonzero(total)
-            ids = np.concatenate([at, [-1, -2]])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int32()), pa.array(np.concatenate([total[at], other]), pa.int64())], names=["piece", "n"]
-            )
+                if data:
+                    total += _expand(data, "<i8")
+                if more:
+                    other += _expand(more, "<i8")
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.concatenate([at, [-1, -2]]), pa.int32()), pa.array(np.concatenate([total[at], other]), pa.int64())], names=["piece", "n"]
+        )
 
+    gathered = parts.where("kind = 'words'").groupBy("bucket").applyInArrow(lambda group: _gather(group, vocabulary), PARTS).checkpoint()
+    summed = parts.where("kind = 'sums'").unionByName(gathered.where("kind = 'pieces'")).select("data", "more")
     # at most one row for each piece of the vocabulary
-    found = (
-        parts.where("kind = 'pieces'").select("data", "more").mapInArrow(pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    )
+    found = summed.mapInArrow(pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     count = {r["piece"]: r["n"] for r in found}
-    counts = np.zeros(_processor(vocabulary).get_piece_size(), np.int64)
+    counts = np.zeros(size, np.int64)
     for piece, n in count.items():
         if piece >= 0:
             counts[piece] = n
@@ -294,16 +306,10 @@ def score(docs: DataFrame, learn: Column, vocabulary: str, doc_id: str = "doc_id
     lattice = Lattice(vocabulary, counts, ends)
     shared = spark.sparkContext.broadcast(lattice)  # a row for each piece of the vocabulary
 
-    gathered = (
-        parts.where("kind = 'words'")
-        .groupBy("bucket")
-        .applyInArrow(lambda group: _gather(group, shared.value), PARTS)
-        .checkpoint()
-    )
-    distinct = gathered.where("kind = 'seen'").agg(F.sum("block")).first()[0] or 0
+    distinct = gathered.where("kind = 'pieces'").agg(F.sum("block")).first()[0] or 0
     distinct += ends > 0
     tokens, log_end = words + ends, lattice.end
-    back = gathered.where("kind = 'counts'")
+    back = gathered.mapInArrow(lambda batches: _weigh(batches, shared.value), PARTS)
     return (
         parts.where("kind = 'texts'")
         .groupBy("block")

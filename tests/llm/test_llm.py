@@ -286,6 +286,21 @@ def test_lm_base_by_counting(docs, texts):
         assert (r["n_tokens"], r["train_tokens"]) == (len(ws), n) and r["score"] < 0
 
 
+def test_lm_counts_pieces_once(spark):
+    """Scores don't depend on the number of tasks, and long words are learned from."""
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+
+    def scores(rows, tasks):
+        made = spark.createDataFrame(rows, "doc_id long, text string").repartition(tasks)
+        return {r["doc_id"]: r["score"] for r in lm.score(made, F.col("doc_id") > 0, vocabulary).collect()}
+
+    rows = [(i, "wonderful mornings everywhere") for i in range(40)] + [(40, "Türen öffnen")]
+    one, many = scores(rows, 1), scores(rows, 8)
+    assert one.keys() == many.keys() and all(one[d] == pytest.approx(many[d], rel=1e-9) for d in one)
+    near, far = (scores([(0, "wonderfulwonderful"), (1, part * 1800)], 1)[0] for part in ("wonderful", "zqzqzqzqz"))
+    assert near > far
+
+
 def test_lattice_by_brute_force():
     made = lm.Lattice.__new__(lm.Lattice)
     made.logs = {p: math.log(q) for p, q in {"▁": 0.2, "▁a": 0.1, "a": 0.2, "ab": 0.1, "b": 0.3, "▁ab": 0.05}.items()}
