@@ -41,7 +41,7 @@ URLS = {
         f"array_to_string(list_filter(list_transform(string_split({_Q}, '&'), lambda x: split_part(x, '=', 1)), lambda k: lower(k) IN {I._in(U.TRACKING)} OR regexp_matches(lower(k), '^({'|'.join(U.TRACKING_PREFIXES)})')), ',')",
     ),
     "url3_decode_path": (
-        lambda: U.decode_path(F.concat(U.path_of(u()), F.lit("%41%C3%A9%2Fx%"))).substr(1, 500),
+        lambda: U.decode_path(F.concat(U.path_of(u()), F.lit("%41%C3%A9%2Fx%"))),
         None,
     ),
     "url4_normalize_path": (lambda: U.normalize_path(U.path_of(u())), I.sql_norm_path(_P)),
@@ -174,7 +174,7 @@ def queries() -> dict:
         I.pages(spark, sf_dir).select(U.locale_of(u()).alias("locale")).where("locale is not null").distinct()
     )
     found["fn13_client_rendered"] = lambda spark, sf_dir: I.pages(spark, sf_dir).select(
-        "page_id", S.is_client_rendered(F.when(c("page_id") % 3 == 0, F.concat(F.lit('<div id="root"></div>'), F.substring("html", 1, 400))).otherwise(c("html"))).alias("value")
+        "page_id", S.is_client_rendered(F.when(c("page_id") % 3 == 0, F.concat(F.lit('<div id="root"></div>'), c("html"))).otherwise(c("html"))).alias("value")
     )
     return found
 

@@ -59,3 +59,15 @@ def test_join_href(spark):
     base = F.lit("https://e.com/a/b?x=1")
     got = values(spark, ["/c", "d", "../e", "//f.com/g", "?y", "#z", "https://h.com/"], lambda h: U.join_href(h, base))
     assert got == ["https://e.com/c", "https://e.com/a/d", "https://e.com/e", "https://f.com/g", "https://e.com/a/b?y", "https://e.com/a/b?x=1", "https://h.com/"]
+
+
+def test_whole_paths_and_pages(spark, tmp_path):
+    """Queries over long texts see their ends."""
+    from siteloom.plans import scalar_queries as Q
+
+    body = "<br>" * 150 + "<p>" + "plain words of a page " * 200 + "</p>"
+    spark.createDataFrame([(12, "https://e.com/" + "a" * 600, body)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    (path,) = Q.queries()["url3_decode_path"](spark, str(tmp_path)).collect()
+    assert path["value"] == "/" + "a" * 600 + "%41%C3%A9%2Fx%"
+    (page,) = Q.queries()["fn13_client_rendered"](spark, str(tmp_path)).collect()
+    assert page["value"] is False
