@@ -9,9 +9,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from siteloom.functions import urls as U
 
@@ -67,31 +69,54 @@ def confirm_loops(log: DataFrame) -> DataFrame:
 
 def progress_rate(samples: DataFrame) -> DataFrame:
     """job, completed, rate: the smoothed rate of each job, from samples (job, ts
-    in seconds, completed), a fold over a job's samples in order.
+    in seconds, completed), a fold over rows in order of job and time.
 
-    The samples of one job are one crawl's progress reports, a bounded series.
+    What is held of a job is its last sample that counted, and the rate.
     """
-    ordered = samples.groupBy("job").agg(F.array_sort(F.collect_list(F.struct("ts", "completed"))).alias("s"))
-    start = F.struct(
-        F.lit(None).cast("double").alias("ts"), F.lit(0).cast("long").alias("done"), F.lit(None).cast("double").alias("rate")
-    )
-
-    def step(a, x):
-        gap = x["ts"] - a["ts"]
-        now = (x["completed"] - a["done"]) / gap
-        rate = F.when(a["rate"].isNull(), now).otherwise(ALPHA * now + (1 - ALPHA) * a["rate"])
-        moved = F.struct(x["ts"].alias("ts"), x["completed"].alias("done"), rate.alias("rate"))
-        first = F.struct(x["ts"].alias("ts"), x["completed"].alias("done"), F.lit(None).cast("double").alias("rate"))
-        return F.when(a["ts"].isNull(), first).when(gap < LEAST_GAP, a).otherwise(moved)
 
-    folded = ordered.select("job", F.aggregate("s", start, step).alias("a"))
-    return folded.select("job", F.col("a.done").alias("completed"), F.col("a.rate").alias("rate"))
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = kind = None
+
+        def rows(done: list[tuple]) -> pa.RecordBatch:
+            columns = [pa.array([d[k] for d in done], t) for k, t in ((0, kind), (2, pa.int64()), (3, pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["job", "completed", "rate"])
+
+        for batch in batches:
+            kind, done = batch.schema.field(0).type, []
+            for job, ts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held is None or job != held[0]:
+                    if held is not None:
+                        done.append(held)
+                    held = (job, ts, n, None)
+                elif held[1] is None:
+                    held = (job, ts, n, None)
+                elif ts - held[1] >= LEAST_GAP:
+                    now = None if n is None or held[2] is None else (n - held[2]) / (ts - held[1])
+                    rate = now if held[3] is None or now is None else ALPHA * now + (1 - ALPHA) * held[3]
+                    held = (job, ts, n, rate)
+            yield rows(done)
+        if held is not None:
+            yield rows([held])
+
+    ordered = samples.select("job", F.col("ts").cast("double"), F.col("completed").cast("long"))
+    schema = StructType([ordered.schema["job"], StructField("completed", LongType()), StructField("rate", DoubleType())])
+    return ordered.repartition("job").sortWithinPartitions("job", "ts", "completed").mapInArrow(fold, schema)
 
 
 def run_once(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
-    """All that is there now, through the stream, into a table of the session."""
+    """All that is there now, through the stream, into files beside its checkpoint."""
+    folders: dict[int, str] = {}
+
+    def write(rows: DataFrame, batch: int) -> None:
+        folders[batch] = f"{checkpoint}-rows/{batch}"
+        rows.write.mode("overwrite").parquet(folders[batch])
+
     query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    spark, made = stream.sparkSession, [folders[b] for b in sorted(folders)]
+    if not made:
+        return spark.createDataFrame([], stream.schema)
+    # in complete mode the last batch has the whole result
+    return spark.read.schema(stream.schema).parquet(*(made[-1:] if mode == "complete" else made))

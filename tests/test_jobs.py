@@ -15,6 +15,21 @@ def test_progress_rate(spark):
     assert got["b"]["rate"] is None
 
 
+def test_streams_gather_nothing(spark, tmp_path):
+    """Stream results are files, not rows of the driver; samples of a job aren't one row."""
+    samples = spark.createDataFrame([("a", float(t), 2 * t) for t in range(5000)] + [(None, 1.0, 1)], "job string, ts double, completed long")
+    rate = T.progress_rate(samples)
+    assert {r["job"]: (r["completed"], r["rate"]) for r in rate.collect()} == {"a": (9998, pytest.approx(2.0)), None: (1, None)}
+    assert "collect_list" not in rate._jdf.queryExecution().toString()
+    for part in range(2):
+        spark.range(10).selectExpr("id % 2 AS k").write.parquet(f"{tmp_path}/in/p{part}.parquet")
+    stream = spark.readStream.schema("k long").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/p*.parquet")
+    counts = T.run_once(stream.groupBy("k").count(), "complete", f"{tmp_path}/counts", "counts")
+    assert sorted(map(tuple, counts.collect())) == [(0, 10), (1, 10)] and counts.inputFiles()
+    rows = T.run_once(stream, "append", f"{tmp_path}/rows", "rows")
+    assert rows.count() == 20 and rows.inputFiles()
+
+
 def test_sitemap_bodies(spark):
     rows = [("i", "junk <?xml?><sitemapindex><sitemap><loc> a </loc></sitemap><s:loc>b</s:loc><loc>a</loc></sitemapindex>"), ("u", "<p>"), ("n", None)]
     got = B.sitemap_entries(spark.createDataFrame(rows, "name string, body string")).orderBy("nr").collect()
