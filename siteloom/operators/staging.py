@@ -2,19 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint: its plan ends here, and lost executors don't matter.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that the session names in ``spark.checkpoint.dir``.
 
-    The folder is the one that the session names in ``spark.checkpoint.dir``;
-    only without one (as in tests) is a temporary one set.
+    Without one a temporary folder serves, but only where driver and tasks are
+    one machine (as in tests); a cluster must name a folder that all share.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or f"/tmp/siteloom-checkpoints-{uuid.uuid4().hex}")
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint: its plan ends here, and lost executors don't matter."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the checkpoint folder: as ``staged``, and readers take
+    only the columns and rows that they want."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
