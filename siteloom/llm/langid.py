@@ -15,7 +15,6 @@ returns all columns.  Training rows with a null language or text are left out.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -24,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii
+from .common import lower_ascii, sample_limit
 
 UNKNOWN = "und"
 #: Starts of Unicode ranges and their scripts (fixed values); 0 is common to all.
@@ -212,8 +211,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     """A model from about ``sample`` rows of each language at most.
 
     The sample is by a hash of the row, at a rate that the number of rows of the
-    language gives; feature counts are summed by Spark and the driver gets one
-    row of ``FEATURES`` counts for each language.
+    language gives, and rows that repeat count once; feature counts are summed by
+    Spark and the driver gets one row of ``FEATURES`` counts for each language.
     """
     rows = labelled.select(
         F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h")
@@ -221,9 +220,10 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: s
     known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not known:
         return Model([], np.zeros((0, FEATURES)), np.zeros((0, N_SCRIPTS)))
-    rate = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, int(min(1.0, sample / n) * 1_000_000))])
+    limit = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, sample_limit(sample, n))])
     # the sample is bounded, and so is the number of tasks that count in it
-    chosen = rows.where(F.pmod("h", F.lit(1_000_000)) < rate[F.col("lang")]).select("text", "lang").repartition(COUNTERS)
+    chosen = rows.where(F.col("h") <= limit[F.col("lang")]).dropDuplicates(["lang", "h"])
+    chosen = chosen.select("text", "lang").repartition(COUNTERS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
