@@ -2,8 +2,14 @@
 
 The trees judge lexical features of a URL - its length, depth, share of digits,
 entropy, number of parameters, and how often labelled URLs of its suffix were
-blocked.  They are trained from labelled URLs; without other labels, those that
-the rules decide serve.
+blocked.  They are trained from labelled URLs.  Without such labels
+(``weak_labels``), those that the rules decide serve, and of the others those
+whose host holds a word that names spam are blocked, the rest allowed.
+
+A suffix's rate never comes from the row's own label: labelled hosts are dealt
+into ``FOLDS`` folds, and a row that trains the trees sees the rate of the
+other folds.  Half of the sample is blocked and half allowed where there are
+enough of both; a URL that repeats enters it once.
 
 Defined results: a null URL, or one without ``://``, has an empty host and path
 and no rule, and is judged by the trees like any other; the longest of the
@@ -19,15 +25,20 @@ from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_limit
+
 #: (verdict, host and path)
 Rule = tuple[str, str]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: About so many labelled URLs train the trees; a suffix's rate leans on so many others.
-SAMPLE, LEAN = 20_000, 20.0
+SAMPLE, LEAN, FOLDS = 20_000, 20.0, 5
 TREES, DEPTH, SEED = 12, 4, 7
+#: Words of hosts that label a URL as spam where nothing else labels it.
+SPAM_WORDS = ("adult", "bets", "casino", "escort", "gambl", "jackpot", "loans", "lottery", "pills", "poker", "porn", "spam", "viagra", "warez", "xxx")
 
 FEATURES = [
     "url_length", "host_length", "path_length", "depth", "host_labels", "digit_ratio", "hyphens", "entropy",
@@ -73,8 +84,13 @@ def entropy(text: Column) -> Column:
     )
 
 
-def with_features(urls: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
-    """``urls`` (with host, path) and the columns of ``FEATURES``."""
+def suffix_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    return F.substring_index(host, ".", -2)
+
+
+def with_features(urls: DataFrame) -> DataFrame:
+    """``urls`` (with url, host, path, rate) and the columns of ``FEATURES``."""
     url = F.coalesce("url", F.lit(""))
     query = F.coalesce(F.regexp_extract(url, r"(?s)\?([^#]*)", 1), F.lit(""))
     length = F.greatest(F.length(url), F.lit(1))
@@ -86,82 +102,88 @@ def with_features(urls: DataFrame, rates: DataFrame, prior: float) -> DataFrame:
         "host_labels": F.size(F.split("host", r"\.")),
         "digit_ratio": _count(url, "[0-9]") / length,
         "hyphens": _count(F.col("host"), "-"),
-        "entropy": entropy(F.substring("host", 1, 1_000_000)),
+        "entropy": entropy(F.col("host")),
         "n_params": F.size(F.filter(F.split(query, "&"), lambda p: p != "")),
         "query_length": F.length(query),
         "upper_ratio": _count(url, "[A-Z]") / length,
         "escapes": _count(url, "%"),
+        "suffix_known": F.col("rate").isNotNull(),
+        "suffix_rate": F.coalesce("rate", F.lit(0.5)),
     }
-    # a rate for each suffix: Spark broadcasts it where it is small
-    return (
-        urls.withColumn("suffix", suffix_of(F.col("host")))
-        .join(rates, "suffix", "left")
-        .withColumns({k: v.cast("double") for k, v in plain.items()})
-        .withColumn("suffix_known", F.col("rate").isNotNull().cast("double"))
-        .withColumn("suffix_rate", F.coalesce("rate", F.lit(prior)))
-        .drop("rate")
+    return urls.withColumns({k: v.cast("double") for k, v in plain.items()})
+
+
+def weak_labels(rows: DataFrame) -> DataFrame:
+    """url, host, path, block of rows (with said): the rules' verdict, else by words of the host."""
+    spam = F.col("host").rlike("|".join(SPAM_WORDS))
+    return rows.select("url", "host", "path", F.coalesce(F.col("said") == "block", spam).cast("double").alias("block"))
+
+
+def suffix_rates(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(suffix, rate) from all labelled rows, and (suffix, fold, rate) without those of a fold."""
+    lean = lambda bad, n: (bad + LEAN / 2) / (n + LEAN)
+    by = known.groupBy("suffix", "fold").agg(F.sum("block").alias("bad"), F.count("*").alias("n"))
+    whole = by.groupBy("suffix").agg(F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+    others = by.join(whole, "suffix").select(
+        "suffix", "fold", F.when(F.col("all_n") > F.col("n"), lean(F.col("all_bad") - F.col("bad"), F.col("all_n") - F.col("n"))).alias("rate")
     )
+    return whole.select("suffix", lean(F.col("all_bad"), F.col("all_n")).alias("rate")), others
 
 
-def suffix_of(host: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(host, ".", -2)
+def sampled(known: DataFrame, counts: dict[float, int], sample: int) -> DataFrame:
+    """About ``sample`` distinct URLs, half of either label, with ``weight``s that make both count as much."""
+    half = max(sample // 2, 1)
+    limit = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, sample_limit(half, n))])
+    expected = {label: min(n, half) for label, n in counts.items()}
+    weight = F.create_map(*[F.lit(x) for label, n in expected.items() for x in (label, sum(expected.values()) / (2.0 * max(n, 1)))])
+    near = known.where(F.xxhash64("url", "block") <= limit[F.col("block")])
+    return near.dropDuplicates(["url", "block"]).withColumn("weight", weight[F.col("block")])
 
 
 def judge(
-    pages: DataFrame, rules: list[Rule], labelled: DataFrame | None = None, page_id: str = "page_id", url: str = "url"
+    pages: DataFrame,
+    rules: list[Rule],
+    labelled: DataFrame | None = None,
+    page_id: str = "page_id",
+    url: str = "url",
+    sample: int = SAMPLE,
 ) -> DataFrame:
     """``page_id``, ``host``, ``path``, ``rule``, ``verdict`` and ``score`` (the
     trees' probability of ``block``).  ``labelled`` has ``url`` and ``block`` (0, 1)."""
     host, path = host_of(pages[url]), path_of(pages[url])
     rows = pages.select(pages[page_id].alias("page_id"), pages[url].cast("string").alias("url"), host.alias("host"), path.alias("path"))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.withColumn("rule", text).withColumn("said", verdict)
+    rows = rows.withColumn("rule", text).withColumn("said", verdict).withColumn("suffix", suffix_of(F.col("host")))
     if labelled is None:
-        known = rows.where("said is not null").withColumn("block", (F.col("said") == "block").cast("double"))
+        known = weak_labels(rows)
     else:
         known = labelled.select(
             "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.col("block").cast("double")
         )
-    known = known.select("url", "host", "path", "block")
-    suffix = suffix_of(F.col("host"))
-    totals = known.agg(F.count("*").alias("n"), F.sum("block").alias("bad")).first()
-    n, bad = totals["n"], totals["bad"] or 0.0
-    if bad in (0, n):
-        sure = "block" if n and bad == n else "allow"
+    known = known.where("block is not null").withColumn("suffix", suffix_of(F.col("host")))
+    known = known.withColumn("fold", F.pmod(F.xxhash64("host"), F.lit(FOLDS)))
+    counts = {r["block"]: r["count"] for r in known.groupBy("block").count().collect()}  # two rows
+    if len(counts) < 2:
+        sure = "block" if 1.0 in counts else "allow"
         return rows.select("page_id", "host", "path", "rule", F.coalesce("said", F.lit(sure)).alias("verdict"), F.lit(float(sure == "block")).alias("score"))
-    # either verdict weighs as much, whichever the rules happen to give more often
-    prior = 0.5
-    known = known.withColumn("weight", F.when(F.col("block") > 0.5, n / (2.0 * bad)).otherwise(n / (2.0 * (n - bad))))
-    rates = known.groupBy(suffix.alias("suffix")).agg(
-        ((F.sum(F.col("block") * F.col("weight")) + LEAN * prior) / (F.sum("weight") + LEAN)).alias("rate")
-    )
-    part = min(1.0, SAMPLE / n)
-    chosen = known.where(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(part * 1_000_000))
+    # a rate for each suffix: Spark broadcasts it where it is small
+    rates, others = suffix_rates(known)
     assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
+    learned = with_features(sampled(known, counts, sample).join(others, ["suffix", "fold"], "left"))
     trees = GBTClassifier(labelCol="block", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, seed=SEED, cacheNodeIds=False)
-    model = trees.fit(assemble.transform(with_features(chosen, rates, prior)).select("features", "block", "weight").repartition(8))
-    scored = model.transform(assemble.transform(with_features(rows, rates, prior)))
-    bad_chance = F.element_at(F.col("p"), 2)
-    return (
-        scored.withColumn("p", _array(F.col("probability")))
-        .select(
-            "page_id",
-            "host",
-            "path",
-            "rule",
-            F.coalesce("said", F.when(bad_chance > 0.5, "block").otherwise("allow")).alias("verdict"),
-            bad_chance.alias("score"),
-        )
+    model = trees.fit(assemble.transform(learned).select("features", "block", "weight").repartition(8))
+    scored = model.transform(assemble.transform(with_features(rows.join(rates, "suffix", "left"))))
+    chance = F.element_at(vector_to_array("probability"), 2)
+    return scored.withColumn("chance", chance).select(
+        "page_id",
+        "host",
+        "path",
+        "rule",
+        F.coalesce("said", F.when(F.col("chance") > 0.5, "block").otherwise("allow")).alias("verdict"),
+        F.col("chance").alias("score"),
     )
 
 
-def _array(vector: Column) -> Column:
-    from pyspark.ml.functions import vector_to_array
-
-    return vector_to_array(vector)
-
-
 def rules_sql(rules: list[Rule]) -> str:
     """The rules' part as SQL over columns host and path, for tests."""
     order = sorted(rules, key=lambda r: (-len(r[1]), r[1]))
