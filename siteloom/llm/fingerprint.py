@@ -10,7 +10,7 @@ Defined results: a null text is an empty one, whose fingerprint is empty and is
 like only another empty one; a text shorter than a window is one feature; a
 text of any length is read whole; equal texts have equal fingerprints and
 likeness 1; in ``compare_neighbours`` rows follow each other by id, nulls first,
-ties by text, and the first follows the last; an empty table gives no rows;
+ties by a hash of the text, and the first follows the last; an empty table gives no rows;
 other columns are left out.
 """
 
@@ -22,7 +22,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import prepare
@@ -31,6 +32,8 @@ WINDOW, POPULARITY, FILTER_BITS, FILTER_HASHES, FILTER_FEATURES = 16, 4, 2048, 5
 #: Entropies are in thousandths of the most possible; ``ORDINARY`` is that of the
 #: middle window of prose, below ``VOID`` a window says nothing.
 RANKS, ORDINARY, VOID = 1000, 790, 250
+#: Windows, and filters, that are held at a time.
+AT_ONCE, FILTERS_AT_ONCE = 1 << 18, 256
 
 # n log2 n of a count, as whole numbers, so that sums don't depend on their order
 _SCALE = 1 << 20
@@ -39,11 +42,17 @@ _STEP = np.diff(_NLOGN)  # from n to n + 1 of a byte value
 
 
 def window_entropies(data: np.ndarray) -> np.ndarray:
-    """Entropy of each window of bytes, in thousandths of the most possible.
+    """Entropy of each window of bytes, in thousandths of the most possible;
+    ``AT_ONCE`` windows at a time, so long texts need no more than their ranks."""
+    n = len(data) - WINDOW + 1
+    if n <= AT_ONCE:
+        return _entropies(data)
+    return np.concatenate([_entropies(data[k : k + AT_ONCE + WINDOW - 1]) for k in range(0, n, AT_ONCE)])
 
-    As the window moves by one byte, only two counts change, and how often a
-    byte occurs just before or after it is read from its sorted places.
-    """
+
+def _entropies(data: np.ndarray) -> np.ndarray:
+    """As the window moves by one byte, only two counts change, and how often a
+    byte occurs just before or after it is read from its sorted places."""
     n = len(data) - WINDOW + 1
     order = np.argsort(data, kind="stable")
     keys = data[order].astype(np.int64) * (len(data) + WINDOW) + order
@@ -57,14 +66,14 @@ def window_entropies(data: np.ndarray) -> np.ndarray:
     # its equal, the count goes down and up again
     total = int(_NLOGN[first].sum()) + np.concatenate([[0], np.cumsum(moved)])
     entropy = np.log2(WINDOW) - total / (_SCALE * WINDOW)
-    return np.clip(np.rint(entropy / np.log2(WINDOW) * RANKS), 0, RANKS).astype(np.int64)
+    return np.clip(np.rint(entropy / np.log2(WINDOW) * RANKS), 0, RANKS).astype(np.int16)
 
 
 def rarity(entropy: np.ndarray) -> np.ndarray:
     """Precedence of windows: entropies far from those of ordinary prose come
     first (least value); runs of one or two byte values come last."""
     rank = RANKS - np.abs(entropy - ORDINARY)
-    return np.where(entropy < VOID, 2 * RANKS, rank).astype(np.int64)
+    return np.where(entropy < VOID, 2 * RANKS, rank).astype(np.int16)
 
 
 def feature_places(rank: np.ndarray) -> np.ndarray:
@@ -72,14 +81,18 @@ def feature_places(rank: np.ndarray) -> np.ndarray:
     of ``WINDOW`` windows that hold them (of any run, if there is no full one)."""
     n = len(rank)
     span = min(WINDOW, n)
-    key = rank * (1 << 40) + np.arange(n)
-    done, least = 1, key
-    while done < span:  # sliding least by doubling
-        step = min(done, span - done)
-        least = np.minimum(least[: len(least) - step], least[step:])
-        done += step
-    votes = np.bincount(least & ((1 << 40) - 1), minlength=n)
-    return np.flatnonzero((votes >= min(POPULARITY, len(least))) & (rank < 2 * RANKS))
+    runs = n - span + 1
+    votes = np.zeros(n, np.int8)
+    for start in range(0, runs, AT_ONCE):
+        own = rank[start : min(start + AT_ONCE, runs) + span - 1].astype(np.int64)
+        key = own * (1 << 40) + np.arange(len(own))
+        done, least = 1, key
+        while done < span:  # sliding least by doubling
+            step = min(done, span - done)
+            least = np.minimum(least[: len(least) - step], least[step:])
+            done += step
+        votes[start : start + len(own)] += np.bincount(least & ((1 << 40) - 1), minlength=len(own)).astype(np.int8)
+    return np.flatnonzero((votes >= min(POPULARITY, runs)) & (rank < 2 * RANKS))
 
 
 def _mixed(words: np.ndarray) -> np.ndarray:
@@ -117,7 +130,7 @@ class Prepared:
         self.text = text
         self.data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) if data is None else data
         if rank is None:
-            rank = rarity(window_entropies(self.data)) if len(self.data) >= WINDOW else np.zeros(0, np.int64)
+            rank = rarity(window_entropies(self.data)) if len(self.data) >= WINDOW else np.zeros(0, np.int16)
         self.rank = rank
         if len(self.data) < WINDOW:
             digest = hashlib.sha1(self.data.tobytes()).digest()[:8]
@@ -155,13 +168,20 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
         a, b = b, a
     if len(a) == len(b) and (a == b).all():
         return 1.0
-    x, y = a.astype(np.float32), b.astype(np.float32)
-    shared, bits_a, bits_b = x @ y.T, x.sum(1)[:, None], y.sum(1)[None, :]
-    least = np.minimum(bits_a, bits_b)
-    chance = bits_a * bits_b / FILTER_BITS
-    floor = chance + 0.1 * (least - chance)  # a little over chance, so that noise counts as nothing
-    share = np.clip((shared - floor) / np.maximum(least - floor, 1e-6), 0, 1)
-    return float(share.max(1).mean())
+    bits_b = b.sum(1, dtype=np.float32)[None, :]
+    best = np.zeros(len(a), np.float32)
+    for k in range(0, len(a), FILTERS_AT_ONCE):
+        x = a[k : k + FILTERS_AT_ONCE].astype(np.float32)
+        top = best[k : k + FILTERS_AT_ONCE]
+        for m in range(0, len(b), FILTERS_AT_ONCE):
+            few = bits_b[:, m : m + FILTERS_AT_ONCE]
+            shared, bits_a = x @ b[m : m + FILTERS_AT_ONCE].astype(np.float32).T, x.sum(1)[:, None]
+            least = np.minimum(bits_a, few)
+            chance = bits_a * few / FILTER_BITS
+            floor = chance + 0.1 * (least - chance)  # a little over chance, so that noise counts as nothing
+            share = np.clip((shared - floor) / np.maximum(least - floor, 1e-6), 0, 1)
+            np.maximum(top, share.max(1), out=top)
+    return float(best.mean())
 
 
 def chain_of(name: str) -> np.ndarray:
@@ -212,63 +232,57 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, kinds, strict=True)], names)
 
 
+def _pieces(rows: DataFrame, pieces: int) -> tuple[DataFrame, int]:
+    """``rows`` (doc_id, tie, text) with ``piece``: numbers, below the second result, of
+    ranges in the order of (doc_id, tie), nulls first, of about as many rows each.
+
+    Ranges begin at quantiles of the ids; where several fall on one id (a third
+    of all rows may have it, or none), its rows are cut by ``tie`` as well.
+    """
+    spark, lowest = rows.sparkSession, -1.7976931348623157e308
+    number = F.coalesce(F.col("doc_id").cast("double"), F.lit(lowest))
+    found = rows.select(number.alias("d")).approxQuantile("d", [k / pieces for k in range(1, pieces)], 0.2 / pieces)
+    cuts = sorted(set(found) - {lowest})
+    heads = [lowest, *cuts]
+    table, first = [], 0
+    for range_, head in enumerate(heads):
+        shares = max(found.count(head) + (head == lowest), 1)
+        hot = shares > (2 if head == lowest else 1)
+        table.append((range_, head, shares if hot else 0, first))
+        first += shares + 1 if hot else 1
+    # a row for each range, so no more than ``pieces``
+    ranges = F.broadcast(spark.createDataFrame(table, "range int, head double, shares int, first int"))
+    ordered = Bucketizer(splits=[float("-inf"), *cuts, -lowest, float("inf")], inputCol="d", outputCol="b").transform(rows.withColumn("d", number))
+    share = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("shares"))
+    share = F.least(F.greatest(share, F.lit(0)), F.col("shares") - 1)
+    own = F.col("first") + F.when(F.col("shares") == 0, 0).when(F.col("d") == F.col("head"), share).otherwise(F.col("shares"))
+    ordered = ordered.join(ranges, F.col("b").cast("int") == F.col("range"))
+    return ordered.select(own.cast("int").alias("piece"), "doc_id", "tie", "text"), first
+
+
 def compare_neighbours(docs: DataFrame, pieces: int | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Each text beside its edited self (the last half replaced by the start of
     the next text, by id) and beside the next text.
 
-    Ids are cut into ``pieces`` ranges of about as many rows; each range is read
-    in order by one task, and gets the first row of the range after it as a guest.
-    Only the ranges' first ids reach the driver.
+    Ids are cut into about ``pieces`` ranges; each range is read in order by one
+    task, and gets the first row of the range after it as a guest.
     """
     spark = docs.sparkSession
     prepare(spark)
     pieces = pieces or max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(
-        docs[doc_id].cast("long").alias("doc_id"), F.coalesce(docs[text].cast("string"), F.lit("")).alias("text")
-    )
-    cuts = rows.approxQuantile("doc_id", [k / pieces for k in range(1, pieces)], 0.2 / pieces)
-    cuts = sorted({int(c) for c in cuts})
-    # the piece of a row: how many cuts are at or below its id (nulls: none)
-    piece = F.coalesce(_rank_among(F.col("doc_id"), cuts), F.lit(0))
-    firsts = sorted(
-        (r["piece"], r["first"])
-        for r in rows.groupBy(piece.alias("piece")).agg(F.min_by("doc_id", F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first")).collect()
-    )
-    if not firsts:
-        return spark.createDataFrame([], PAIR_SCHEMA)
-    hosts = [(firsts[k - 1][0], first) for k, (_, first) in enumerate(firsts)]
-    own = rows.select(piece.alias("piece"), F.lit(False).alias("guest"), "doc_id", "text")
-    guests = [
-        rows.where(F.col("doc_id").isNull()).select(F.lit(host).alias("piece"), F.lit(True).alias("guest"), "doc_id", "text")
-        for host, first in hosts
-        if first is None
-    ]
-    at_first = {first: host for host, first in hosts if first is not None}
-    if at_first:
-        host_of = F.element_at(
-            F.map_from_arrays(F.array(*map(F.lit, at_first)).cast("array<long>"), F.array(*map(F.lit, at_first.values()))),
-            F.col("doc_id"),
-        )
-        guests.append(
-            rows.where(F.col("doc_id").isin(*at_first)).select(host_of.alias("piece"), F.lit(True).alias("guest"), "doc_id", "text")
-        )
-    for more in guests:
-        own = own.unionByName(more)
-    dealt = own.repartition(pieces, "piece").sortWithinPartitions("piece", "guest", "doc_id", "text")
-    return dealt.mapInArrow(_neighbours, PAIR_SCHEMA)
-
-
-def _rank_among(value, cuts: list[int]):
-    """How many of the sorted ``cuts`` are at most ``value``; a binary search."""
-    if not cuts:
-        return F.lit(0)
-    if len(cuts) == 1:
-        return F.when(value >= cuts[0], 1).otherwise(0)
-
-    def search(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(value >= cuts[middle], search(middle + 1, high)).otherwise(search(low, middle))
-
-    return search(0, len(cuts))
+    own = F.coalesce(docs[text].cast("string"), F.lit(""))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(own).alias("tie"), own.alias("text"))
+    dealt, pieces = _pieces(rows, pieces)
+    at = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
+    # the first row of each piece is the guest of the piece before; the first of all, of the last
+    firsts = dealt.groupBy("piece").agg(F.min(at).alias("f"))
+    order = Window.orderBy("piece")  # one narrow row for each piece
+    last = firsts.agg(F.max("piece").alias("last"))
+    hosts = firsts.withColumn("host", F.lag("piece").over(order)).crossJoin(F.broadcast(last))
+    hosts = hosts.select(F.coalesce("host", "last").alias("host"), F.col("f.doc_id").alias("g_id"), F.col("f.tie").alias("g_tie"))
+    guests = rows.join(F.broadcast(hosts), F.col("doc_id").eqNullSafe(F.col("g_id")) & (F.col("tie") == F.col("g_tie")))
+    guests = guests.select(F.col("host").alias("piece"), F.lit(True).alias("guest"), "doc_id", "tie", "text")
+    guests = guests.dropDuplicates(["piece", "doc_id", "tie"])  # a first row that repeats
+    both = dealt.select("piece", F.lit(False).alias("guest"), "doc_id", "tie", "text").unionByName(guests)
+    placed = both.repartitionById(pieces, F.col("piece")).sortWithinPartitions("piece", "guest", "doc_id", "tie")
+    return placed.select("piece", "guest", "doc_id", "text").mapInArrow(_neighbours, PAIR_SCHEMA)
