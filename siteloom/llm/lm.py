@@ -1,31 +1,35 @@
 """Language-model scores of texts by the marginal of a subword lattice.
 
-The pieces of an existing vocabulary and its scores are taken as they are; the
-scores are ranks, so they give each piece a share by Zipf's law, which counts of
-the pieces in the training rows then outweigh.  The probability of a word is
-the sum over all its segmentations, by a forward recursion in log space; a word
-of the training rows is one more way through its lattice, as a single piece,
-weighed by its count less a discount, and the pieces share what the discounts
-leave.  That of a text is the product over its words and its end.  A smoothed
-count of whole words is given beside it.
+The pieces of an existing vocabulary and its scores weigh the segmentations.
+The probability of a text is the sum over all segmentations of its words and
+its end, by a forward recursion in log space; no piece crosses a space, so it
+is the product over the words, each summed over its own segmentations.
+
+The vocabulary's scores are ranks (minus the number of the merge), not
+logarithms; ``Link`` turns them into probabilities by Zipf's and Mandelbrot's
+law, whose two parameters are the likeliest ones for the pieces of all
+training rows.  ``SHARE`` of a piece's probability is that of its score, however
+large the corpus; the rest is its share of the training pieces (with a share of
+1 the scores alone weigh).  A smoothed count of whole words is given beside the
+score.
 
 How it runs: a task cuts its rows into blocks of bounded size and makes each
-block's dictionary.  Every distinct word of a block goes once to the task that
-gathers this word, which cuts each training word of the corpus into pieces, and
-comes back with its count over the whole corpus and its log-probability, so the
-corpus vocabulary is never in one place; only one count for each piece of the
-vocabulary (a fixed number) reaches the driver.
+block's dictionary, so a word meets the others of its kind once for each block.
+The words of all blocks are dealt by word, where they get their counts over the
+training rows of the corpus; each distinct training word is cut into pieces
+once; and every block gets its words back with counts and log-probabilities.
+No word's rows and no block's words are gathered in one row, and the driver
+gets one count for each piece of the vocabulary.
 
 Defined results: a null text is an empty one, of one token, its end; texts and
-words of any length are scored whole; with no training row all counts are 0;
-rows that repeat are counted and scored as often as they occur; an empty table
-gives no rows; other columns are left out.
+words of any length are scored whole; with no training row all counts are 0 and
+the law has middling parameters; rows that repeat are counted and scored as
+often as they occur; an empty table gives no rows; other columns are left out.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cache
@@ -33,36 +37,24 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.operators.staging import written
+
 from .common import lower_ascii, prepare
 
 #: A block ends at so many distinct words or words.
 BLOCK_DISTINCT, BLOCK_WORDS = 400_000, 6_000_000
-#: Training pieces that the vocabulary's own scores weigh as much as.
-PRIOR = 20_000.0
-#: What the count of a training word gives up to the pieces.
-DISCOUNT = 0.75
+#: How much of a piece's probability comes from the vocabulary's score.
+SHARE = 0.5
 SPACE = "▁"
 LOG10 = math.log(10)
 
-PARTS = "kind string, block long, bucket int, data binary, more binary"
-PART_NAMES = ["kind", "block", "bucket", "data", "more"]
-PART_KINDS = [pa.string(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-
-
-def _squeeze(array: np.ndarray) -> bytes:
-    return zlib.compress(array.tobytes(), 1)
-
-
-def _expand(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), kind)
-
-
-def _batch(rows: list[tuple], names: list[str] = PART_NAMES, kinds: list = PART_KINDS) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+#: A row is a word of a block (``word`` set), or a text as places in its block's dictionary.
+PARTS = "block long, place int, word binary, learned long, doc_id long, learn boolean, n_tokens long, places binary, times binary"
+PART_NAMES = [c.split()[0] for c in PARTS.split(", ")]
+PART_KINDS = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
 
 
 @cache
@@ -77,96 +69,111 @@ class Block:
 
     def __init__(self):
         self.number: dict[bytes, int] = {}
-        self.counts: list[Counter] = []
-        self.rows: list[tuple[int | None, bool, int]] = []
+        self.texts: list[tuple[int | None, bool, int, np.ndarray, np.ndarray]] = []
         self.words = 0
 
     def add(self, doc_id: int | None, learn: bool, text: str) -> None:
         words = lower_ascii(text).encode("utf-8", "surrogatepass").split()
-        own = Counter(words)
-        number = self.number
+        own, number = Counter(words), self.number
         for w in own:
             if w not in number:
                 number[w] = len(number)
-        self.counts.append(own)
-        self.rows.append((doc_id, learn, len(words) + 1))
+        places = np.fromiter(map(number.__getitem__, own), "<u4", len(own))
+        times = np.fromiter(own.values(), "<u4", len(own))
+        self.texts.append((doc_id, learn, len(words) + 1, places, times))
         self.words += len(words)
 
     def full(self) -> bool:
         return len(self.number) >= BLOCK_DISTINCT or self.words >= BLOCK_WORDS
 
-    def parts(self, block: int, buckets: int) -> Iterator[tuple]:
-        """Rows of ``PARTS``: the block's texts as places in its dictionary, the
-        dictionary by bucket, and how many training texts and words it has."""
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
+        """The dictionary with counts over the block's training texts, then its texts."""
         learned = np.zeros(len(self.number), np.int64)
-        places, times, sizes = [], [], []
-        for own, (_, learn, _) in zip(self.counts, self.rows, strict=True):
-            at = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
-            n = np.fromiter(own.values(), np.int64, len(own))
+        for _, learn, _, places, times in self.texts:
             if learn:
-                learned[at] += n
-            places.append(at)
-            times.append(n)
-            sizes.append(len(own))
-        words = list(self.number)
-        by_bucket: list[list[int]] = [[] for _ in range(buckets)]
-        for i, w in enumerate(words):
-            by_bucket[zlib.crc32(w) % buckets].append(i)
-        new = np.zeros(len(words), np.uint32)
-        base = 0
-        for bucket, members in enumerate(by_bucket):
-            if not members:
-                continue
-            members.sort(key=words.__getitem__)
-            new[members] = np.arange(base, base + len(members), dtype=np.uint32)
-            base += len(members)
-            yield "words", block, bucket, zlib.compress(b"\n".join([words[i] for i in members]), 1), _squeeze(learned[members])
-        head = (
-            np.array([d is None for d, _, _ in self.rows], np.int64),
-            np.array([d or 0 for d, _, _ in self.rows], np.int64),
-            np.array([x for _, x, _ in self.rows], np.int64),
-            np.array([n for _, _, n in self.rows], np.int64),
-            np.array(sizes, np.int64),
-        )
-        at = new[np.concatenate(places)] if places else new
-        n = np.concatenate(times).astype(np.uint32) if times else new
-        yield "texts", block, 0, _squeeze(np.concatenate(head)), zlib.compress(at.tobytes(), 1) + len(n).to_bytes(8, "little") + _squeeze(n)
-        ends = sum(x for _, x, _ in self.rows)
-        yield "sums", block, 0, b"", _squeeze(np.array([ends, int(learned.sum())], np.int64))
-
-
-def _split(texts: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+                learned[places] += times
+        n = len(self.number)
+        if n:
+            of = {"block": np.full(n, block), "place": np.arange(n, dtype=np.int32), "word": list(self.number), "learned": learned}
+            yield _batch(n, of)
+        for k in range(0, len(self.texts), 500):
+            doc_ids, learn, sizes, places, times = zip(*self.texts[k : k + 500], strict=True)
+            of = {"doc_id": doc_ids, "learn": learn, "n_tokens": sizes, "places": [p.tobytes() for p in places], "times": [t.tobytes() for t in times]}
+            yield _batch(len(sizes), {"block": np.full(len(sizes), block), **of})
+
+
+def _batch(n: int, of: dict) -> pa.RecordBatch:
+    columns = [pa.array(of[name], k) if name in of else pa.nulls(n, k) for name, k in zip(PART_NAMES, PART_KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays(columns, names=PART_NAMES)
+
+
+def _split(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task = TaskContext.get()
-    block_id = (task.partitionId() if task else 0) << 24
+    number = (task.partitionId() if task else 0) << 24
     block = Block()
     for batch in texts:
         for doc_id, learn, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             block.add(doc_id, bool(learn), text or "")
             if block.full():
-                yield _batch(list(block.parts(block_id, buckets)))
-                block, block_id = Block(), block_id + 1
-    if block.rows:
-        yield _batch(list(block.parts(block_id, buckets)))
+                yield from block.rows(number)
+                block, number = Block(), number + 1
+    yield from block.rows(number)
+
+
+class Vocabulary:
+    """Pieces and ranks of a vocabulary: 0 for the best score; bytes come last."""
+
+    def __init__(self, path: str):
+        sp = _processor(path)
+        n = self.n = sp.get_piece_size()
+        scores = np.array([sp.get_score(i) for i in range(n)])
+        self.byte = np.array([sp.is_byte(i) for i in range(n)])
+        self.usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) for i in range(n)])
+        plain = self.usable & ~self.byte
+        self.rank = np.zeros(n)
+        self.rank[plain] = scores[plain].max(initial=0) - scores[plain]
+        self.rank[self.byte] = self.rank.max(initial=0) + 1
+        self.names = {i: sp.id_to_piece(i) for i in np.flatnonzero(self.usable).tolist()}
+
+
+class Link:
+    """log p of a piece of rank r: minus ``slope`` times log(``shift`` + r), normed
+    over the vocabulary; the parameters that make the counts likeliest."""
+
+    SLOPES, SHIFTS = np.arange(0.1, 2.05, 0.05), (1.0, 3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 3000.0, 10_000.0)
+
+    def __init__(self, vocabulary: Vocabulary, counts: np.ndarray):
+        ranks, n = vocabulary.rank[vocabulary.usable], counts[vocabulary.usable].astype(np.float64)
+        best = -math.inf
+        self.slope, self.shift = 1.0, 10.0
+        if n.sum() > 0:
+            for shift in self.SHIFTS:
+                logs = np.log(shift + ranks)
+                mean = float((n * logs).sum() / n.sum())
+                for slope in self.SLOPES.tolist():
+                    likely = -slope * mean - math.log(np.exp(-slope * logs).sum())
+                    if likely > best:
+                        best, self.slope, self.shift = likely, slope, shift
+        logs = -self.slope * np.log(self.shift + ranks)
+        self.logs = np.full(vocabulary.n, -math.inf)
+        self.logs[vocabulary.usable] = logs - math.log(np.exp(logs).sum())
 
 
 class Lattice:
     """Log-probabilities of words, summed over their segmentations."""
 
-    def __init__(self, vocabulary: str, counts: np.ndarray, ends: int):
-        sp = _processor(vocabulary)
-        n = sp.get_piece_size()
-        scores = np.array([sp.get_score(i) for i in range(n)])
-        usable = np.array([not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)) and scores[i] > -1e8 for i in range(n)])
-        share = np.where(usable, 1.0 / (10.0 - np.minimum(scores, 0)), 0.0)
-        byte = np.array([sp.is_byte(i) for i in range(n)])
-        share[byte] = share[usable].min()
-        weight = np.where(usable, counts, 0) + PRIOR * share / share.sum()
-        total = weight.sum() + ends + 1.0
-        logs = np.log(np.where(weight > 0, weight, 1.0) / total)
-        self.end = math.log((ends + 1.0) / total)
-        self.logs = {sp.id_to_piece(i): float(logs[i]) for i in np.flatnonzero(usable & ~byte).tolist()}
-        ids = [i for i in range(n) if byte[i]]
-        self.bytes = {int(sp.id_to_piece(i)[3:5], 16): float(logs[i]) for i in ids}
+    def __init__(self, vocabulary: Vocabulary, counts: np.ndarray, ends: int, share: float = SHARE):
+        """``counts`` of the pieces, and ``ends``, in the training rows."""
+        chance = np.exp(Link(vocabulary, counts).logs)
+        seen = np.where(vocabulary.usable, counts, 0)
+        if seen.sum() > 0:
+            chance = share * chance + (1 - share) * seen / seen.sum()
+        end = (ends + 1.0) / (seen.sum() + ends + 2.0)
+        self.end = math.log(end)
+        logs = np.log(np.where(vocabulary.usable, chance, 1.0)) + math.log1p(-end)
+        plain = np.flatnonzero(vocabulary.usable & ~vocabulary.byte).tolist()
+        self.logs = {vocabulary.names[i]: float(logs[i]) for i in plain}
+        self.bytes = {int(vocabulary.names[i][3:5], 16): float(logs[i]) for i in np.flatnonzero(vocabulary.byte).tolist()}
         self.longest = max(map(len, self.logs), default=1)
 
     def word(self, word: str) -> float:
@@ -186,135 +193,98 @@ class Lattice:
         return forward[n]
 
 
-def _gather(group: pa.Table, vocabulary: str) -> pa.Table:
-    """All blocks' words of a bucket.  A row ``pieces`` has the number of its
-    distinct training words, in place of a block, and the pieces in these (each
-    word gives the same discount to the pieces, however often it occurs); a row
-    ``words`` has the bucket's words; then come, for each block in its order,
-    corpus counts and places in the bucket's words."""
-    number: dict[bytes, int] = {}
-    blocks = []
-    for words, learned in zip(group.column("data").to_pylist(), group.column("more").to_pylist(), strict=True):
-        split = zlib.decompress(words).split(b"\n")
-        blocks.append((np.array([number.setdefault(w, len(number)) for w in split], np.int64), _expand(learned, "<i8")))
-    total = np.zeros(len(number), np.int64)
-    for at, learned in blocks:
-        total[at] += learned
-    bucket = group.column("bucket")[0].as_py()
-    some = [w.decode("utf-8", "surrogatepass") for w, n in zip(number, total.tolist(), strict=True) if n]
-    pieces = np.zeros(_processor(vocabulary).get_piece_size(), np.int64)
-    for k in range(0, len(some), 1000):
-        for ids in _processor(vocabulary).encode(some[k : k + 1000]):
-            np.add.at(pieces, np.array(ids, np.int64), 1)
-    rows = [("pieces", len(some), bucket, _squeeze(pieces), b""), ("words", 0, bucket, zlib.compress(b"\n".join(number), 1), b"")]
-    rows += [
-        ("counts", block, bucket, _squeeze(total[at]), _squeeze(at.astype("<u4")))
-        for block, (at, _) in zip(group.column("block").to_pylist(), blocks, strict=True)
-    ]
-    return pa.Table.from_batches([_batch(rows)])
+def _pieces(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
+    """Rows (word, c), each word of the corpus once: pieces by occurrence."""
+    sp = _processor(vocabulary)
+    total = np.zeros(sp.get_piece_size(), np.int64)
+    for batch in batches:
+        words, times = batch.column(0).to_pylist(), batch.column(1).to_numpy()
+        for k in range(0, len(words), 1000):
+            found = sp.encode([w.decode("utf-8", "surrogatepass") for w in words[k : k + 1000]])
+            ids = np.concatenate([np.array(x, np.int64) for x in found])
+            n = np.repeat(times[k : k + 1000], [len(x) for x in found])
+            np.add.at(total, ids, n)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["piece", "n"])
 
 
 def _weigh(batches: Iterator[pa.RecordBatch], lattice: Lattice) -> Iterator[pa.RecordBatch]:
-    """Rows of ``_gather`` in its order: log10-probabilities in place of places."""
-    logs, of = np.zeros(0, "<f4"), -1
+    """Rows (block, place, c, word), equal words together: the word's log10-probability in its place."""
+    word, held = None, 0.0
     for batch in batches:
-        for kind, block, bucket, data, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if kind == "words":
-                words = zlib.decompress(data).split(b"\n")
-                logs, of = np.array([lattice.word(w.decode("utf-8", "surrogatepass")) / LOG10 for w in words], "<f4"), bucket
-            elif kind == "counts":
-                assert of == bucket
-                yield _batch([(kind, block, bucket, data, logs[_expand(more, "<u4")].tobytes())])
+        logs = np.empty(batch.num_rows)
+        for k, w in enumerate(batch.column(3).to_pylist()):
+            if w != word:
+                word, held = w, lattice.word(w.decode("utf-8", "surrogatepass")) / LOG10
+            logs[k] = held
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(logs)], names=["block", "place", "c", "log"])
 
 
 SCORES = "doc_id long, learned boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def _score(texts: pa.Table, counts: pa.Table, tokens: int, distinct: int, ends: int, log_end: float) -> pa.Table:
-    names = [c.split()[0] for c in SCORES.split(", ")]
-    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    order = np.argsort(np.array(counts.column("bucket").to_pylist(), np.int64))
-    data, more = counts.column("data").to_pylist(), counts.column("more").to_pylist()
-    c = np.concatenate([_expand(data[i], "<i8") for i in order]) if len(order) else np.zeros(0, np.int64)
-    logs = np.concatenate([np.frombuffer(more[i], "<f4") for i in order]).astype(np.float64) if len(order) else np.zeros(0)
+def _score(texts: pa.Table, words: pa.Table, tokens: int, distinct: int, ends: int, log_end: float) -> pa.Table:
+    """The scores of a block's texts from its words (place, c, log)."""
+    n = words.num_rows
+    c, logs = np.zeros(n, np.int64), np.zeros(n)
+    at = words.column("place").to_numpy()
+    c[at], logs[at] = words.column("c").to_numpy(), words.column("log").to_numpy()
     scale = math.log10(tokens + 0.5 * (distinct + 1))
     base = np.log10(c + 0.5) - scale
-    # the whole word's way beside those of its pieces, in log space
-    spare = math.log10(DISCOUNT * distinct / tokens) if tokens else 0.0
-    alone = np.log10(np.maximum(c - DISCOUNT, 0), out=np.full(len(c), -np.inf), where=c > DISCOUNT) - math.log10(tokens or 1)
-    whole = np.logaddexp(alone * LOG10, (spare + logs) * LOG10) / LOG10
-    end = math.log10(max(ends - DISCOUNT, 0) / (tokens or 1) + 10.0 ** (spare + log_end / LOG10))
-    out = []
-    for head, body in zip(texts.column("data").to_pylist(), texts.column("more").to_pylist(), strict=True):
-        null, doc_ids, learned, sizes, distincts = _expand(head, "<i8").reshape(5, -1)
-        inflate = zlib.decompressobj()
-        at = np.frombuffer(inflate.decompress(body), "<u4")
-        n = _expand(inflate.unused_data[8:], "<u4").astype(np.int64)
-        cut = np.concatenate([[0], np.cumsum(distincts)])
-        # sums by text; reduceat can't take empty texts, running sums would lose digits
-        row = np.repeat(np.arange(len(sizes)), distincts)
-        add = lambda values: np.bincount(row, values, len(sizes))  # noqa: B023, E731
-        known = add(np.where(c[at] > 0, n, 0)) + (ends > 0)
-        base_sum = add(base[at] * n) + math.log10(ends + 0.5) - scale
-        score = add(whole[at] * n) + end
-        assert cut[-1] == len(at)
-        out += zip(
-            [None if x else d for x, d in zip(null.tolist(), doc_ids.tolist(), strict=True)],
-            (learned > 0).tolist(),
-            sizes.tolist(),
-            known.astype(np.int64).tolist(),
-            [tokens] * len(sizes),
-            base_sum.tolist(),
-            score.tolist(),
-            strict=True,
-        )
-    return pa.Table.from_batches([_batch(out, names, kinds)])
-
-
-def score(docs: DataFrame, learn: Column, vocabulary: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    known, bases, scores = [], [], []
+    for places, times in zip(texts.column("places").to_pylist(), texts.column("times").to_pylist(), strict=True):
+        p, t = np.frombuffer(places, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
+        known.append(int(t[c[p] > 0].sum()) + (ends > 0))
+        bases.append(float((base[p] * t).sum()) + math.log10(ends + 0.5) - scale)
+        scores.append(float((logs[p] * t).sum()) + log_end)
+    return pa.table(
+        {
+            "doc_id": texts.column("doc_id"),
+            "learned": texts.column("learn"),
+            "n_tokens": texts.column("n_tokens"),
+            "n_known": pa.array(known, pa.int64()),
+            "train_tokens": pa.array([tokens] * texts.num_rows, pa.int64()),
+            "base_score": pa.array(bases, pa.float64()),
+            "score": pa.array(scores, pa.float64()),
+        }
+    )
+
+
+def score(
+    docs: DataFrame, learn: Column, vocabulary: str, doc_id: str = "doc_id", text: str = "text", share: float = SHARE
+) -> DataFrame:
     """``SCORES`` of every row; rows where ``learn`` is true train the model."""
     spark = docs.sparkSession
     prepare(spark)
     rows = docs.select(docs[doc_id].cast("long"), F.coalesce(learn, F.lit(False)), docs[text].cast("string"))
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    size = _processor(vocabulary).get_piece_size()
-    parts = rows.mapInArrow(lambda batches: _split(batches, buckets), PARTS).checkpoint()
-
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, other = np.zeros(size, np.int64), np.zeros(2, np.int64)
-        for batch in batches:
-            for data, more in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data:
-                    total += _expand(data, "<i8")
-                if more:
-                    other += _expand(more, "<i8")
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([at, [-1, -2]]), pa.int32()), pa.array(np.concatenate([total[at], other]), pa.int64())], names=["piece", "n"]
-        )
-
-    gathered = parts.where("kind = 'words'").groupBy("bucket").applyInArrow(lambda group: _gather(group, vocabulary), PARTS).checkpoint()
-    summed = parts.where("kind = 'sums'").unionByName(gathered.where("kind = 'pieces'")).select("data", "more")
+    parts = written(rows.mapInArrow(_split, PARTS))
+    texts = parts.where("word is null").select("block", "doc_id", "learn", "n_tokens", "places", "times")
+    words = parts.where("word is not null").select("word", "block", "place", "learned")
+
+    # counts over the corpus; what lies together of a word is one row for each block
+    own = Window.partitionBy("word")
+    counted = words.withColumn("c", F.sum("learned").over(own))
+    counted = written(counted.withColumn("first", F.row_number().over(own.orderBy("block")) == 1).select("word", "block", "place", "c", "first"))
+    trained = counted.where("first and c > 0")
+    sums = trained.agg(F.sum("c").alias("words"), F.count("*").alias("distinct")).first()
+    ends = texts.where("learn").count()
+
     # at most one row for each piece of the vocabulary
-    found = summed.mapInArrow(pieces, "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n")).collect()
-    count = {r["piece"]: r["n"] for r in found}
-    counts = np.zeros(size, np.int64)
-    for piece, n in count.items():
-        if piece >= 0:
-            counts[piece] = n
-    ends, words = count.get(-1, 0), count.get(-2, 0)
-    lattice = Lattice(vocabulary, counts, ends)
+    found = trained.select("word", "c").mapInArrow(lambda b: _pieces(b, vocabulary), "piece int, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = Vocabulary(vocabulary)
+    counts = np.zeros(pieces.n, np.int64)
+    for r in found.collect():
+        counts[r["piece"]] = r["n"]
+    lattice = Lattice(pieces, counts, ends, share)
     shared = spark.sparkContext.broadcast(lattice)  # a row for each piece of the vocabulary
 
-    distinct = gathered.where("kind = 'pieces'").agg(F.sum("block")).first()[0] or 0
-    distinct += ends > 0
-    tokens, log_end = words + ends, lattice.end
-    back = gathered.mapInArrow(lambda batches: _weigh(batches, shared.value), PARTS)
+    tokens, distinct = (sums["words"] or 0) + ends, sums["distinct"] + (ends > 0)
+    log_end = lattice.end / LOG10
+    back = counted.select("block", "place", "c", "word").mapInArrow(lambda b: _weigh(b, shared.value), "block long, place int, c long, log double")
     return (
-        parts.where("kind = 'texts'")
-        .groupBy("block")
+        texts.groupBy("block")
         .cogroup(back.groupBy("block"))
-        .applyInArrow(lambda texts, counts_: _score(texts, counts_, tokens, distinct, ends, log_end), SCORES)
+        .applyInArrow(lambda t, w: _score(t, w, tokens, distinct, ends, log_end), SCORES)
     )
 
 
