@@ -2,18 +2,21 @@
 
 Two sets that are similar enough share one of the rarest n-grams of each (the
 prefix filter), so sets meet by n-gram.  Over the sets that meet, a signature
-tree is built: its nodes hold the OR of their sets' bitmaps and the range of
-their sizes, and a dual traversal leaves out pairs of nodes whose greatest
-possible overlap is too small, or that hang together already.  What is left
-hangs together in clusters; within each, the same trees over whole sets give
-the links, and every link is checked set by set.
+tree is built: its nodes hold the OR and the AND of their sets' bitmaps, the
+least number of bits, the range of sizes, and the most n-grams that a set has
+left from the meeting n-gram on.  A dual traversal leaves out pairs of nodes
+whose greatest possible overlap is too small, or that hang together already.
+What is left hangs together in clusters; within each, the same trees over whole
+sets give the links, and every link is checked set by set.
 
 Groups of copies cost no pairs: equal sets are one node, named by a 64-bit
 digest (two of a thousand million different sets share one with probability
 0.03), sets that a task meets together are linked there at once, and no pair of
-nodes under one root is compared.  A cluster of more than ``BLOCK`` sets is cut
-into blocks, joined inside, then by a few members of each block, and then every
-set outside of the cluster's main root is compared with every block.
+nodes under one root is compared.  A cluster of more than ``BLOCK`` sets or
+``BLOCK_GRAMS`` n-grams is cut into blocks by size and least n-gram, joined
+inside, then by a few members of neighbouring blocks; then the sets outside of
+the cluster's main root are compared with those other blocks whose bitmaps and
+sizes leave room for a link.
 
 Defined results: a null or empty text, or one without words, has an empty set
 and links with nothing; a text of fewer words than the n-gram is one n-gram;
@@ -25,17 +28,22 @@ null); an empty table gives no rows; other columns are left out.
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.operators.staging import written
+
 from .common import lower_ascii, prepare
 
 BITMAP_WORDS = 16  # 1024 bits
-LEAF, BLOCK, SAMPLES = 8, 4000, 8
+FEW, BLOCK, BLOCK_GRAMS, SAMPLES = 8, 4000, 4_000_000, 8
+#: Pairs of nodes that are judged at a time, and most bits of a wide bitmap.
+PAIRS_AT_ONCE, WIDEST = 4096, 1 << 16
 #: A task links what it meets among so many texts, or n-grams, at a time.
 LOCAL_TEXTS, LOCAL_GRAMS = 8000, 6_000_000
 #: Sets of more n-grams are told apart by how many of these they share, unless
@@ -135,89 +143,90 @@ class Union:
         return True
 
 
-def bitmap(hashes: np.ndarray) -> np.ndarray:
-    bits = np.zeros(BITMAP_WORDS * 64, bool)
-    bits[(hashes >> np.uint64(7)).astype(np.int64) % len(bits)] = True
+def bitmap(hashes: np.ndarray, width: int = BITMAP_WORDS * 64) -> np.ndarray:
+    bits = np.zeros(width, bool)
+    bits[(hashes >> np.uint64(7)).astype(np.int64) % width] = True
     return np.packbits(bits).view(np.uint64)
 
 
 class SignatureTree:
-    """Sets in order of size, ``LEAF`` to a leaf, two nodes to a parent."""
-
-    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, groups: np.ndarray):
-        self.sizes, self.bitmaps, self.groups = sizes, bitmaps, groups
-        n = len(sizes)
-        self.nodes: list[tuple] = []  # first, end, OR, least size, most size, group or -1, children
-        level = [self._leaf(i, min(i + LEAF, n)) for i in range(0, n, LEAF)]
-        while len(level) > 1:
-            level = [self._parent(level[i : i + 2]) for i in range(0, len(level), 2)]
-        self.root = level[0]
-
-    def _add(self, first: int, end: int, bits: np.ndarray, low: int, high: int, group: int, children: tuple) -> int:
-        self.nodes.append((first, end, bits, low, high, group, children))
-        return len(self.nodes) - 1
-
-    def _leaf(self, first: int, end: int) -> int:
-        s, g = self.sizes[first:end], self.groups[first:end]
-        same = int(g[0]) if (g == g[0]).all() else -1
-        return self._add(first, end, np.bitwise_or.reduce(self.bitmaps[first:end], 0), int(s.min()), int(s.max()), same, ())
-
-    def _parent(self, children: list[int]) -> int:
-        own = [self.nodes[c] for c in children]
-        same = own[0][5] if all(o[5] == own[0][5] for o in own) else -1
-        return self._add(
-            own[0][0], own[-1][1], np.bitwise_or.reduce([o[2] for o in own]), min(o[3] for o in own), max(o[4] for o in own), same, tuple(children)
-        )
-
-
-def may_link(bits_a: np.ndarray, low_a: int, high_a: int, bits_b: np.ndarray, low_b: int, high_b: int, percent: int) -> bool:
-    """Whether any set below one node may link with any below the other.
-
-    A set of ``a`` elements misses at least as many elements as its bits that
-    the other bitmap lacks; only single sets give such a bound, so for nodes the
-    bits in common bound nothing but an empty overlap and sizes.
+    """Sets in a given order as leaves, two nodes to a parent.
+
+    ``levels[0]`` are the sets, the last level is the root.  Each has arrays over
+    its nodes: least and most size, most n-grams left (``reach``), OR and AND of
+    the bitmaps, least bits of a set, and the group if all sets are of one (-1).
     """
-    if 100 * min(high_a, high_b) < percent * max(low_a, low_b):
-        return False
-    return bool((bits_a & bits_b).any())
+
+    def __init__(self, sizes: np.ndarray, bitmaps: np.ndarray, groups: np.ndarray, reach: np.ndarray | None = None, height: int = 0):
+        least = np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
+        level = (sizes, sizes, sizes if reach is None else reach, bitmaps, bitmaps, least, groups)
+        self.levels = [level]
+        while len(level[0]) > 1 or len(self.levels) < height:
+            at = np.arange(0, len(level[0]), 2)
+            last = np.minimum(at + 1, len(level[0]) - 1)
+            level = (
+                np.minimum(level[0][at], level[0][last]),
+                np.maximum(level[1][at], level[1][last]),
+                np.maximum(level[2][at], level[2][last]),
+                level[3][at] | level[3][last],
+                level[4][at] & level[4][last],
+                np.minimum(level[5][at], level[5][last]),
+                np.where(level[6][at] == level[6][last], level[6][at], -1),
+            )
+            self.levels.append(level)
+
+
+def may_link(x: tuple, i: np.ndarray, y: tuple, j: np.ndarray, percent: int) -> np.ndarray:
+    """Whether any set below node ``i`` of level ``x`` may link with any below node
+    ``j`` of level ``y`` and is of another group.
+
+    A set misses at least as many of its elements in the other as it has bits
+    that the other lacks.  For all sets below a node, those are at least the bits
+    that all have and none of the others has, and at least the bits of the
+    poorest set less those that any have in common.  With ``m`` elements missing,
+    sets of ``a`` and ``b`` elements link only if (100 + p) (a - m) >= p (a + b).
+    """
+    low_x, high_x, reach_x, or_x, and_x, least_x, group_x = (c[i] for c in x)
+    low_y, high_y, reach_y, or_y, and_y, least_y, group_y = (c[j] for c in y)
+    common = np.bitwise_count(or_x & or_y).sum(1, dtype=np.int64)
+    miss_x = np.maximum(np.bitwise_count(and_x & ~or_y).sum(1, dtype=np.int64), least_x - common)
+    miss_y = np.maximum(np.bitwise_count(and_y & ~or_x).sum(1, dtype=np.int64), least_y - common)
+    both = 100 + percent
+    return (
+        (100 * high_x >= both * np.maximum(miss_x, 0) + percent * low_y)
+        & (100 * high_y >= both * np.maximum(miss_y, 0) + percent * low_x)
+        & (both * np.minimum(reach_x, reach_y) >= percent * (low_x + low_y))
+        & ((group_x < 0) | (group_x != group_y))
+    )
 
 
-def tree_pairs(a: SignatureTree, b: SignatureTree, percent: int) -> Iterator[tuple[int, int]]:
-    """Places in ``a`` and ``b`` of sets that may link and are in different groups."""
-    stack = [(a.root, b.root)]
+def tree_pairs(a: SignatureTree, b: SignatureTree, percent: int, tally: Counter | None = None) -> Iterator[tuple[int, int]]:
+    """Places in ``a`` and ``b`` (of equal height) of sets that may link and are in
+    different groups.  ``tally`` counts pairs of nodes: judged and pruned."""
     same = a is b
+    one = np.zeros(1, np.int64)
+    stack = [(len(a.levels) - 1, one, one)]
     while stack:
-        i, j = stack.pop()
-        x, y = a.nodes[i], b.nodes[j]
-        if x[5] >= 0 and x[5] == y[5]:
-            continue
-        if not may_link(x[2], x[3], x[4], y[2], y[3], y[4], percent):
+        level, i, j = stack.pop()
+        if len(i) > PAIRS_AT_ONCE:
+            stack += [(level, i[k : k + PAIRS_AT_ONCE], j[k : k + PAIRS_AT_ONCE]) for k in range(0, len(i), PAIRS_AT_ONCE)]
             continue
-        if x[6] or y[6]:
-            if same and i == j:
-                c = x[6]
-                stack += [(c[k], c[m]) for k in range(len(c)) for m in range(k, len(c))]
-            elif x[6] and (not y[6] or x[1] - x[0] >= y[1] - y[0]):
-                stack += [(c, j) for c in x[6]]
-            else:
-                stack += [(i, c) for c in y[6]]
+        fits = may_link(a.levels[level], i, b.levels[level], j, percent)
+        if tally is not None:
+            tally["judged"] += len(i)
+            tally["pruned"] += int(len(i) - fits.sum())
+        i, j = i[fits], j[fits]
+        if not len(i):
             continue
-        p, q = np.arange(x[0], x[1]), np.arange(y[0], y[1])
-        left, right = np.repeat(p, len(q)), np.tile(q, len(p))
-        keep = a.groups[left] != b.groups[right]
-        if same:
-            keep &= left < right
-        left, right = left[keep], right[keep]
-        if not len(left):
+        if level == 0:
+            yield from zip(i.tolist(), j.tolist(), strict=True)
             continue
-        u, v = a.bitmaps[left], b.bitmaps[right]
-        n, m = a.sizes[left], b.sizes[right]
-        # elements of one set that surely are not in the other: its bits that the other lacks
-        only_u = np.bitwise_count(u & ~v).sum(1).astype(np.int64)
-        only_v = np.bitwise_count(v & ~u).sum(1).astype(np.int64)
-        most = np.minimum(n - only_u, m - only_v)
-        fits = 100 * most >= percent * (n + m - most)
-        yield from zip(left[fits].tolist(), right[fits].tolist(), strict=True)
+        left = np.concatenate([2 * i, 2 * i, 2 * i + 1, 2 * i + 1])
+        right = np.concatenate([2 * j, 2 * j + 1, 2 * j, 2 * j + 1])
+        inside = (left < len(a.levels[level - 1][0])) & (right < len(b.levels[level - 1][0]))
+        if same:  # each pair once, and no set with itself
+            inside &= left < right if level == 1 else left <= right
+        stack.append((level - 1, left[inside], right[inside]))
 
 
 def _batch(columns: list, kinds: list, names: list[str]) -> pa.RecordBatch:
@@ -281,9 +290,9 @@ def prefix_of(hashes: np.ndarray, levels: np.ndarray, percent: int) -> np.ndarra
     return hashes[order[:size]]
 
 
-PLACED = "doc_id long, size int, key long, local long, grams array<long>, bits binary"
-PLACED_NAMES = ["doc_id", "size", "key", "local", "grams", "bits"]
-PLACED_KINDS = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+PLACED = "doc_id long, mark long, size int, key long, local long, grams array<long>, bits binary"
+PLACED_NAMES = ["doc_id", "mark", "size", "key", "local", "grams", "bits"]
+PLACED_KINDS = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
 
 
 def key_of(hashes: np.ndarray) -> int:
@@ -292,8 +301,8 @@ def key_of(hashes: np.ndarray) -> int:
 
 
 def place(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Every text with the key of its set; the first of each set also with its
-    rarest n-grams and bitmap.  Sets of one task that follow each other at an
+    """Every text (doc_id, mark, text) with the key of its set; the first of each set
+    also with its rarest n-grams and bitmap.  Sets of one task that follow each other at an
     n-gram are compared, and ``local`` is the root that their links lead to."""
     shingles = Shingler(n)
     rows: list[list] = []
@@ -303,17 +312,17 @@ def place(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.nd
 
     def flush() -> pa.RecordBatch:
         for row in rows:
-            row[3] = union.find(row[2])
-        made = _batch(list(zip(*rows, strict=True)) or [()] * 6, PLACED_KINDS, PLACED_NAMES)
+            row[4] = union.find(row[3])
+        made = _batch(list(zip(*rows, strict=True)) or [()] * 7, PLACED_KINDS, PLACED_NAMES)
         rows.clear(), sets.clear(), last.clear(), union.parent.clear()
         return made
 
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, mark, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             own = shingles(text)
             key = key_of(own)
             if key < 0 or key in sets:
-                rows.append([doc_id, len(own), key, key, None, None])
+                rows.append([doc_id, mark, len(own), key, key, None, None])
                 continue
             rare = prefix_of(own, levels, percent).view(np.int64).tolist()
             for other in {last[g] for g in rare if g in last}:
@@ -321,7 +330,7 @@ def place(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.nd
                     union.join(other, key)
             last.update(dict.fromkeys(rare, key))
             sets[key] = own
-            rows.append([doc_id, len(own), key, key, rare, bitmap(own).tobytes()])
+            rows.append([doc_id, mark, len(own), key, key, rare, bitmap(own).tobytes()])
             total += len(own)
             if len(rows) >= LOCAL_TEXTS or total >= LOCAL_GRAMS:
                 yield flush()
@@ -329,27 +338,23 @@ def place(batches: Iterator[pa.RecordBatch], n: int, percent: int, levels: np.nd
     yield flush()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], width: int, at: int, most: int) -> Iterator[tuple[list[tuple], bool]]:
-    """Rows that agree in the first ``width`` columns, in lists of at most
-    ``most``, and whether the run was cut.  Of rows that follow each other with
-    the same key in column ``at`` the first is kept; the lists of a cut run
-    overlap by one row."""
+def _runs(batches: Iterator[pa.RecordBatch], width: int, at: int, most: int) -> Iterator[list[tuple]]:
+    """Rows that agree in the first ``width`` columns, in lists of at most ``most``.
+    Of rows that follow each other with the same key in column ``at`` the first is kept."""
     held: list[tuple] = []
-    cut = False
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if held and row[:width] != held[-1][:width]:
-                yield held, cut
-                held, cut = [], False
+                yield held
+                held = []
             elif held and row[at] == held[-1][at]:
                 continue
             elif len(held) >= most:
-                cut = True
-                yield held, cut
-                held = held[-1:]
+                yield held
+                held = []
             held.append(row)
     if held:
-        yield held, cut
+        yield held
 
 
 EDGES, EDGE_KINDS, EDGE_NAMES = "a long, b long", [pa.int64(), pa.int64()], ["a", "b"]
@@ -362,41 +367,64 @@ def _edges(rows: list[tuple]) -> pa.RecordBatch:
 NEAR, NEAR_KINDS, NEAR_NAMES = "a long, b long, need int", [pa.int64(), pa.int64(), pa.int32()], ["a", "b", "need"]
 
 
-def near_pairs(sizes: list[int], bits: list[bytes], groups: list[int], percent: int) -> Iterator[tuple[int, int]]:
-    """Places of sets in different groups that may link; a few are one leaf."""
-    if len(sizes) > LEAF:
-        rows = np.frombuffer(b"".join(bits), np.uint64).reshape(len(bits), BITMAP_WORDS)
-        tree = SignatureTree(np.array(sizes, np.int64), rows, np.array(groups, np.int64))
-        yield from tree_pairs(tree, tree, percent)
+def near_pairs(sizes: list[int], reach: list[int], bits: list[bytes], groups: list[int], percent: int) -> Iterator[tuple[int, int]]:
+    """Places of sets in different groups that may link; a few make no tree."""
+    if len(sizes) > FEW:
+        # sets of about one size that begin with the same bits are neighbours
+        order = sorted(range(len(sizes)), key=lambda i: (size_class(sizes[i], percent), bits[i]))
+        rows = np.frombuffer(b"".join([bits[i] for i in order]), np.uint64).reshape(len(bits), BITMAP_WORDS)
+        of = lambda values: np.array([values[i] for i in order], np.int64)
+        tree = SignatureTree(of(sizes), rows, of(groups), of(reach))
+        for p, q in tree_pairs(tree, tree, percent):
+            yield order[p], order[q]
         return
     whole = [int.from_bytes(b, "little") for b in bits]
     for j in range(1, len(sizes)):
         for i in range(j):
-            if groups[i] != groups[j] and 100 * sizes[i] >= percent * sizes[j]:
+            if groups[i] != groups[j] and (100 + percent) * min(reach[i], reach[j]) >= percent * (sizes[i] + sizes[j]):
                 common = whole[i] & whole[j]
                 most = min(sizes[i] - (whole[i] ^ common).bit_count(), sizes[j] - (whole[j] ^ common).bit_count())
-                if 100 * most >= percent * (sizes[i] + sizes[j] - most):
+                if (100 + percent) * most >= percent * (sizes[i] + sizes[j]):
                     yield i, j
 
 
+def size_class(size: int, percent: int) -> int:
+    """Sets that link are of one class or of two that follow each other, but for rounding."""
+    return int(math.log(max(size, 1)) / math.log(100.0 / min(percent, 99)))
+
+
 def meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, local, key, size, bits) by gram and key: pairs that may link by
-    their sizes and bitmaps.  ``need`` is 1 where they hang together at once (these
-    pairs are a forest of the run), else how many n-grams they must meet at.
-    All sets of an n-gram that more than ``most`` hold hang together."""
+    """Rows (gram, local, key, size, reach, bits) by gram, size and key: pairs that may
+    link by their sizes, bitmaps and ``reach``, the n-grams that a set has left from
+    this one on, which is the most that two sets share whose first n-gram in common
+    this is.  ``need`` is 1 where they hang together at once (these pairs are a
+    forest of the run), else how many n-grams they must meet at.
+
+    An n-gram that more than ``most`` sets hold is met list by list; two lists whose
+    sizes and reach leave room for a link hang together as a whole.
+    """
     out: list[tuple] = []
-    for run, cut in _runs(batches, 1, 2, most):
-        if len(run) < 2:
-            continue
-        if cut:  # too many to tell; what hangs together is compared later
-            out += [(run[0][2], r[2], 1) for r in run[1:]]
-        else:
-            run.sort(key=lambda r: (r[3], r[2]))
+    lists: list[tuple] = []  # least and most size, most reach, first key of the lists of this n-gram
+    gram = None
+    for run in _runs(batches, 1, 2, most):
+        if run[0][0] != gram:
+            gram, lists = run[0][0], []
+        keys, sizes = [r[2] for r in run], [r[3] for r in run]
+        # sets that are told apart by the number of meetings must meet at all of them
+        reach = [s if s > LONG else left for s, left in zip(sizes, (r[4] for r in run), strict=True)]
+        own = (min(sizes), max(sizes), max(reach), keys[0], keys)
+        for low, high, left, first, others in lists:
+            room = (100 + percent) * min(left, own[2]) >= percent * (low + own[0]) and 100 * high >= percent * own[0]
+            if room:  # too many to tell; what hangs together is compared later
+                out += [(first, k, 1) for k in keys]
+                out += [(first, k, 1) for k in others[1:]]
+        if len(run) >= most or lists:
+            lists.append(own)
+        if len(run) > 1:
             union = Union()
             for r in run:
                 union.join(r[1], r[2])
-            keys, sizes = [r[2] for r in run], [r[3] for r in run]
-            for i, j in near_pairs(sizes, [r[4] for r in run], [union.find(k) for k in keys], percent):
+            for i, j in near_pairs(sizes, reach, [r[5] for r in run], [union.find(k) for k in keys], percent):
                 need = common_needed(sizes[i], sizes[j], percent) if min(sizes[i], sizes[j]) > LONG else 1
                 if need > 1 and len(run) <= CROWD:
                     out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), need))
@@ -411,25 +439,26 @@ def meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator
 def join_sets(keys: list[int], roots: list[int], sets: list[np.ndarray], sides: list[bool], percent: int) -> list[tuple[int, int]]:
     """Links between sets under different roots that join these (a forest).  Of
     two sets of a pair, one at least has a true side."""
-    order = sorted(range(len(keys)), key=lambda i: (len(sets[i]), keys[i]))
+    order = sorted(range(len(keys)), key=lambda i: (size_class(len(sets[i]), percent), int(sets[i][0]), keys[i]))
     union = Union()
     for i in order:
         union.join(roots[i], keys[i])
     groups = np.array([union.find(keys[i]) for i in order], np.int64)
-    bits = np.array([bitmap(sets[i]) for i in order])
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    whole = SignatureTree(sizes, bits, groups)
+    width = min(max(1 << (2 * int(sizes.max()) - 1).bit_length(), BITMAP_WORDS * 64), WIDEST)
+    bits = np.array([bitmap(sets[i], width) for i in order])
     some = np.array([p for p, i in enumerate(order) if sides[i]], np.int64)
     if not len(some):
         return []
+    whole = SignatureTree(sizes, bits, groups)
     if len(some) == len(order):
-        part, pairs = some, tree_pairs(whole, whole, percent)
+        pairs = tree_pairs(whole, whole, percent)
     else:
-        part = some
-        pairs = tree_pairs(SignatureTree(sizes[some], bits[some], groups[some]), whole, percent)
+        part = SignatureTree(sizes[some], bits[some], groups[some], height=len(whole.levels))
+        pairs = tree_pairs(part, whole, percent)
     found = []
     for p, q in pairs:
-        i, j = order[int(part[p])], order[q]
+        i, j = order[int(some[p])], order[q]
         if union.find(keys[i]) != union.find(keys[j]) and linked(sets[i], sets[j], percent):
             union.join(keys[i], keys[j])
             found.append((keys[i], keys[j]))
@@ -437,9 +466,9 @@ def join_sets(keys: list[int], roots: list[int], sets: list[np.ndarray], sides:
 
 
 def compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, block, side, key, root, hashes) by cluster and block: links."""
-    for run, _ in _runs(batches, 2, 3, 1 << 60):
-        run = list({r[3]: r for r in run}.values())
+    """Rows (cluster, block, side, key, root, hashes) by cluster, block and key: links.
+    Blocks are bounded when they are dealt, by sets and by n-grams."""
+    for run in _runs(batches, 2, 3, 1 << 60):
         sets = [np.frombuffer(r[5], np.uint64) for r in run]
         yield _edges(join_sets([r[3] for r in run], [r[4] for r in run], sets, [r[2] for r in run], percent))
 
@@ -486,21 +515,57 @@ def _dealt(df: DataFrame, *by: str, then: tuple[str, ...] = ()) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` of every row: sets link when
     100 * intersection >= ``percent`` * union."""
+    rows, _ = _rooted(docs, n, percent, doc_id, text)
+    named = rows.where("root is not null").groupBy("root").agg(F.min("doc_id").alias("component"))
+    return rows.join(named, "root", "left").select(
+        "doc_id",
+        F.col("size").cast("long").alias("n_shingles"),
+        F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+    )
+
+
+def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each component, with all its columns: that of the least id (null
+    after all others), of rows with this id the first by a hash of the text, of rows
+    that repeat any.  Rows with an empty set stay."""
+    rows, mark = _rooted(docs, n, percent, doc_id, text)
+    rows = rows.where("root is not null")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "mark")
+    kept = rows.groupBy("root").agg(F.min_by(F.struct("doc_id", "mark"), order).alias("w")).select("w.*")
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["mark"] == b["mark"])
+    texts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
+    gone = texts.join(kept, same(texts, kept), "left_anti")
+    twice = texts.where("n > 1").join(kept, same(texts, kept), "left_semi")
+    marked = docs.withColumn("_mark", mark)
+    is_one = lambda df: marked[doc_id].cast("long").eqNullSafe(df["doc_id"]) & (marked["_mark"] == df["mark"])
+    # few rows where copies are few; Spark broadcasts them only up to its limit
+    left = marked.join(gone, is_one(gone), "left_anti")
+    if twice.isEmpty():
+        return left.select(docs.columns)
+    again = marked.join(twice, is_one(twice), "left_semi").dropDuplicates([doc_id, "_mark"])
+    return left.join(twice, left[doc_id].cast("long").eqNullSafe(twice["doc_id"]) & (left["_mark"] == twice["mark"]), "left_anti").unionByName(again).select(docs.columns)
+
+
+def _rooted(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """``doc_id``, ``mark``, ``size``, ``root`` of every row (no root for an empty set),
+    and the mark, a hash of a row's text, as a column of ``docs``."""
     spark = docs.sparkSession
     prepare(spark)
-    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
+    mark = F.xxhash64(docs[text].cast("string"))
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), mark.alias("mark"), docs[text].cast("string").alias("text"))
     levels = spark.sparkContext.broadcast(common_levels(rows, n, "text"))  # LEVELS bytes
-    placed = rows.mapInArrow(lambda b: place(b, n, percent, levels.value), PLACED).checkpoint()
+    placed = written(rows.mapInArrow(lambda b: place(b, n, percent, levels.value), PLACED))
 
     # n-grams at which sets meet that aren't linked
-    grams = placed.where("grams is not null").select(F.explode("grams").alias("gram"), "local", "key", "size")
+    grams = placed.where("grams is not null").select(F.posexplode("grams").alias("pos", "gram"), "local", "key", "size")
     shared = grams.groupBy("gram").agg(F.min("local").alias("low"), F.max("local").alias("high")).where("low <> high")
     bits = placed.where("bits is not null").groupBy("key").agg(F.first("bits").alias("bits"))
     meetings = grams.join(shared.select("gram"), "gram", "left_semi").join(bits, "key")
+    meetings = meetings.select("gram", "local", "key", "size", (F.col("size") - F.col("pos")).alias("reach"), "bits")
     most = BLOCK
-    near = _dealt(meetings.select("gram", "local", "key", "size", "bits"), "gram", then=("key",)).mapInArrow(lambda b: meet(b, percent, most), NEAR)
+    near = _dealt(meetings, "gram", then=("size", "key")).mapInArrow(lambda b: meet(b, percent, most), NEAR)
     met = near.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
-    near = met.where("n >= need").select("a", "b").checkpoint()
+    near = written(met.where("n >= need").select("a", "b"))
     local = placed.where("key <> local").select("key", "local").distinct()
 
     # clusters of sets that hang together, but not by links alone
@@ -513,53 +578,35 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str
         .select("key", F.coalesce("cluster", "key").alias("cluster"), F.coalesce("root", "key").alias("root"))
     )
     open_clusters = near.select(F.col("a").alias("key")).distinct().join(members, "key").select("cluster").distinct()
-    sizes = members.join(open_clusters, "cluster", "left_semi").groupBy("cluster").agg(F.count("*").alias("n"))
-    wanted = members.join(sizes, "cluster").checkpoint()
-
+    wanted = written(members.join(open_clusters, "cluster", "left_semi"))
     sets = _sets(rows, placed, wanted, n)
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1))
-    held = (
-        wanted.join(sets, "key")
-        .select("cluster", F.pmod(F.xxhash64("key"), blocks).cast("int").alias("block"), F.lit(True).alias("side"), "key", "root", "hashes", (F.col("n") > BLOCK).alias("large"))
-    )
-    compared = lambda df: _dealt(df.select("cluster", "block", "side", "key", "root", "hashes"), "cluster", "block").mapInArrow(
-        lambda b: compare(b, percent), EDGES
+
+    # blocks: a small cluster is one; a large one is cut by size class, and that by least n-gram
+    step = F.lit(math.log(100.0 / min(percent, 99)))
+    sized = wanted.join(sets.select("key", "size", "least"), "key").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step).cast("int"))
+    by_class = sized.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    whole = by_class.groupBy("cluster").agg(((F.sum("n") > BLOCK) | (F.sum("s") > BLOCK_GRAMS)).alias("large"))
+    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS))
+    layout = by_class.join(whole, "cluster").select("cluster", "class", "large", parts.alias("parts"))
+    part = F.col("class") * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("least"), "parts")
+    blocked = sized.join(layout, ["cluster", "class"]).select(
+        "key", "cluster", "root", "large", F.when(F.col("large"), part).otherwise(F.lit(0)).alias("block")
     )
-    links = compared(held).union(local).checkpoint()
-    if not wanted.where(F.col("n") > BLOCK).isEmpty():
-        links = _across(held.where("large"), links, compared)
-    root = components(links)
-
-    keyed = placed.select("doc_id", "size", "key")
-    classes = keyed.where("key >= 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    rooted = classes.join(root.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = rooted.groupBy("root").agg(F.min("first").alias("component"))
-    answer = rooted.join(named, "root").select("key", "component")
-    return keyed.join(answer, "key", "left").select(
-        "doc_id",
-        F.col("size").cast("long").alias("n_shingles"),
-        F.when(F.col("key") < 0, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"),
+    held = blocked.join(sets.select("key", "hashes"), "key").withColumn("side", F.lit(True))
+    compared = lambda df: _dealt(df.select("cluster", "block", "side", "key", "root", "hashes"), "cluster", "block", then=("key",)).mapInArrow(
+        lambda b: compare(b, percent), EDGES
     )
-
-
-def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all its columns: that of the least id, of
-    repeats of this id the first by text.  Rows without a component (null ids)
-    and those with an empty set stay."""
-    found = near_duplicates(docs, n, percent, doc_id, text)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    kept = docs.join(gone, doc_id, "left_anti")
-    twice = found.where("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().where("count > 1")
-    if twice.isEmpty():
-        return kept.select(docs.columns)
-    again = kept.join(twice.select(F.col("doc_id").alias(doc_id)), doc_id, "left_semi")
-    order = Window.partitionBy(doc_id).orderBy(text)
-    first = again.withColumn("_nr", F.row_number().over(order)).where("_nr = 1").drop("_nr")
-    return kept.join(twice.select(F.col("doc_id").alias(doc_id)), doc_id, "left_anti").unionByName(first).select(docs.columns)
+    links = written(compared(held).union(local))
+    if not blocked.where("large").isEmpty():
+        links = _across(held.where("large"), links, compared, percent)
+    root = components(links).withColumnRenamed("node", "key")
+    keyed = placed.select("doc_id", "mark", "size", "key")
+    rooted = keyed.join(root, "key", "left")
+    return rooted.select("doc_id", "mark", "size", F.when(F.col("key") >= 0, F.coalesce("root", "key")).alias("root")), mark
 
 
 def _sets(rows: DataFrame, placed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """``key``, ``hashes`` of the wanted sets, made again from the texts.  Rows
+    """``key``, ``size``, ``least``, ``hashes`` of the wanted sets, made again from the texts.  Rows
     that surely aren't wanted are passed over by a bitmap of ids of fixed size."""
     spark, slots = rows.sparkSession, 1 << 23
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int")
@@ -583,36 +630,98 @@ def _sets(rows: DataFrame, placed: DataFrame, wanted: DataFrame, n: int) -> Data
         shingles = Shingler(n)
         for batch in batches:
             some = batch.filter(pa.array(shared.value[batch.column(0).to_numpy()]))
-            made = {key_of(h): h.tobytes() for h in map(shingles, some.column(1).to_pylist())}
-            yield _batch([list(made), list(made.values())], [pa.int64(), pa.binary()], ["key", "hashes"])
+            made = {key_of(h): h for h in map(shingles, some.column(1).to_pylist()) if len(h)}
+            own = list(made.values())
+            columns = [list(made), [len(h) for h in own], [int(h[0] >> np.uint64(1)) for h in own], [h.tobytes() for h in own]]
+            yield _batch(columns, [pa.int64(), pa.int64(), pa.int64(), pa.binary()], ["key", "size", "least", "hashes"])
+
+    made = rows.select(slot, "text").mapInArrow(make, "key long, size long, least long, hashes binary")
+    first = F.first(F.struct("size", "least", "hashes")).alias("s")
+    return written(made.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(first).select("key", "s.*"))
+
 
-    made = rows.select(slot, "text").mapInArrow(make, "key long, hashes binary")
-    return made.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("hashes").alias("hashes")).checkpoint()
+def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (cluster, block, guest, hashes) by cluster and block: for each block, and
+    for its guests, the root of their signature tree as one row."""
+    names = ["cluster", "block", "guest", "low", "high", "either", "all", "least"]
+    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+    nodes: dict[bool, list] = {}
+    at = None
 
+    def rows() -> pa.RecordBatch:
+        made = [(*at, g, low, high, o.tobytes(), a.tobytes(), least) for g, (low, high, o, a, least) in nodes.items()]
+        return _batch(list(zip(*made, strict=True)) or [()] * len(names), kinds, names)
 
-def _across(held: DataFrame, links: DataFrame, compared) -> DataFrame:
+    for batch in batches:
+        for cluster, block, guest, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if at != (cluster, block):
+                if nodes:
+                    yield rows()
+                at, nodes = (cluster, block), {}
+            hashes = np.frombuffer(data, np.uint64)
+            bits, size = bitmap(hashes), len(hashes)
+            count = int(np.bitwise_count(bits).sum())
+            for kind in (False, True) if guest else (False,):  # a guest is also one of its block
+                low, high, either, every, least = nodes.get(kind, (size, size, bits, bits, count))
+                nodes[kind] = (min(low, size), max(high, size), either | bits, every & bits, min(least, count))
+    if nodes:
+        yield rows()
+
+
+SUMMARY = "cluster long, block long, guest boolean, low long, high long, either binary, all binary, least long"
+
+
+def roomy(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of rows (cluster, and of two blocks block, low, high, either, all, least), those whose sets may link."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_pylist() for c in batch.columns]
+        node = lambda k: (
+            np.array(columns[k + 1]), np.array(columns[k + 2]), np.array(columns[k + 2]),
+            *(np.frombuffer(b"".join(columns[k + m]), np.uint64).reshape(-1, BITMAP_WORDS) for m in (3, 4)),
+            np.array(columns[k + 5]), np.full(batch.num_rows, -1),
+        )
+        at = np.arange(batch.num_rows)
+        fits = may_link(node(1), at, node(7), at, percent)
+        kept = batch.filter(pa.array(fits))
+        yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1), kept.column(7)], names=["cluster", "guests", "hosts"])
+
+
+def _across(held: DataFrame, links: DataFrame, compared, percent: int) -> DataFrame:
     """Links between the blocks of large clusters."""
 
     def rooted(by: DataFrame) -> DataFrame:
         root = components(by).withColumnsRenamed({"node": "key", "root": "now"})
         return held.join(root, "key", "left").withColumn("root", F.coalesce("now", "root")).drop("now")
 
-    # some members of the main root of each block, from all blocks together
+    # some members of the main root of each block, with those of the block before
     now = rooted(links)
-    main = now.groupBy("cluster", "block", "root").agg(F.count("*").alias("c")).groupBy("cluster", "block").agg(F.max_by("root", F.struct("c", "root")).alias("root"))
+    top = F.max_by("root", F.struct("c", "root")).alias("root")
+    main = now.groupBy("cluster", "block", "root").agg(F.count("*").alias("c")).groupBy("cluster", "block").agg(top)
     some = now.join(main, ["cluster", "block", "root"], "left_semi").withColumn("slot", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(SAMPLES)))
     some = some.groupBy("cluster", "block", "slot").agg(F.min_by(F.struct("key", "root", "hashes"), "key").alias("s"))
-    links = links.union(compared(some.select("cluster", F.lit(0).alias("block"), F.lit(True).alias("side"), "s.*"))).checkpoint()
+    before = main.select("cluster", "block", F.lag("block").over(Window.partitionBy("cluster").orderBy("block")).alias("before"))
+    ring = some.join(before.where("before is not null"), ["cluster", "block"]).select("cluster", F.col("before").alias("block"), "s")
+    links = written(links.union(compared(ring.unionByName(some.select("cluster", "block", "s")).select("cluster", "block", F.lit(True).alias("side"), "s.*"))))
 
-    # sets outside of the main root of the cluster, against every block
+    # sets outside of the main root of the cluster, against the other blocks that have room for links
     now = rooted(links)
-    main = now.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"))
-    now = now.join(main, "cluster")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    counts = now.where("root <> main").groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
-    now = now.join(counts, "cluster")
-    rest = now.where("root <> main").withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(9)), F.col("chunks")).cast("int"))
-    guests = rest.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("side", F.lit(True))
-    hosts = now.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("side", F.lit(False))
-    both = guests.unionByName(hosts).withColumn("block", F.col("block") * F.col("chunks") + F.col("chunk"))
-    return links.union(compared(both)).checkpoint()
+    main = now.groupBy("cluster", "root").agg(F.count("*").alias("c")).groupBy("cluster").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
+    now = written(now.join(main, "cluster").withColumn("guest", F.col("root") != F.col("main")).drop("main", "side", "large"))
+    nodes = _dealt(now.select("cluster", "block", "guest", "hashes"), "cluster", "block").mapInArrow(summaries, SUMMARY)
+    nodes = written(nodes.withColumn("class", F.shiftright("block", 32)))
+    # sets of classes further apart than two are too different in size
+    of = lambda kind: nodes.where("guest" if kind == "g" else "not guest").select(
+        "cluster", "class", *[F.col(c).alias(f"{kind}_{c}") for c in ("block", "low", "high", "either", "all", "least")]
+    )
+    guests = of("g").withColumn("class", F.explode(F.sequence(F.col("class") - 2, F.col("class") + 2)))
+    pairs = guests.join(of("h"), ["cluster", "class"]).where("g_block <> h_block").drop("class")
+    pairs = written(pairs.mapInArrow(lambda b: roomy(b, percent), "cluster long, guests long, hosts long"))
+    task = F.xxhash64("guests", "hosts").alias("block")
+    sent = now.where("guest").join(pairs.withColumn("block", F.col("guests")), ["cluster", "block"])
+    met = now.join(pairs.withColumn("block", F.col("hosts")), ["cluster", "block"])
+    both = sent.select("cluster", task, F.lit(True).alias("side"), "key", "root", "hashes").unionByName(
+        met.select("cluster", task, F.lit(False).alias("side"), "key", "root", "hashes")
+    )
+    return written(links.union(compared(both)))
