@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,28 +27,52 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .stretches import StretchCache
-
 CAPACITY, CHUNK, BLOCK, END_ID = 2048, 512, 384, 1
-#: Stretches whose ids a worker keeps, in each of two generations (about 0.2 kB each).
-REMEMBER = 800_000
+#: Runs of so many characters, all or none of them white space, go to the tokenizer itself.
+LONG_RUN = 20_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 
 
+def byte_alphabet() -> dict[str, int]:
+    """The characters by which a byte-level vocabulary writes bytes: those that
+    print stand for themselves, the others follow at 256 in their order."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+
+
+class Encoder:
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    The tokenizer's vocabulary and its order of merges (a token's id is its rank)
+    are handed to an encoder that makes no offsets and strings for each token and
+    so takes a fifth of the time; tests hold both equal for every code point.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from public_tokenizers import PATTERN
+        from tiktoken import Encoding
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True
+        alphabet = byte_alphabet()
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(alphabet[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.fast = Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.long = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+
+    def encode(self, text: str) -> bytes:
+        if len(text) >= LONG_RUN and self.long.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+
+
 @cache
-def encoder(tokenizer_path: str) -> StretchCache:
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    tokenizer.encode_special_tokens = True
-    return StretchCache(
-        lambda stretches: [
-            np.array(x.ids, "<u4").tobytes() for x in tokenizer.encode_batch(stretches, add_special_tokens=False)
-        ],
-        remember=REMEMBER,
-    )
+def encoder(tokenizer_path: str) -> Encoder:
+    return Encoder(tokenizer_path)
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
