@@ -93,18 +93,21 @@ class Encoder:
         self.ranks = ranks
         self.hash = PerfectHash(list(ranks))
         self.slot_ids = [ranks[k] for k in self.hash.keys]
-        self.texts = {i: b for b, i in ranks.items()}
-        self.names = {i: str(i) for i in self.texts}
+        top = max(ranks.values(), default=-1) + 1
+        self.texts = [b""] * top
+        for token, i in ranks.items():
+            self.texts[i] = token
+        self.names = [str(i) for i in range(top)]
         self.pattern = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\s", f"[{SPACE}]").replace(r"\S", f"[^{SPACE}]"))
         self.cache = StretchCache(self._stretches)
         self.words: dict[str, bytes] = {}
 
     def _stretches(self, stretches: list[str]) -> list[bytes]:
         """Ids of each stretch; those of its pre-tokens are remembered too."""
-        if len(self.words) > self.cache.remember:
-            self.words = {}
         words, out, findall = self.words, [], self.pattern.findall
         for s in stretches:
+            if len(words) > self.cache.remember:
+                words.clear()
             parts = []
             for match in findall(s):
                 ids = words.get(match)
@@ -162,8 +165,8 @@ def _columns(batches: Iterator[pa.RecordBatch], ranks_path: str, pattern: str, r
     made = encoder(ranks_path, pattern)
     for batch in batches:
         rows = []
-        for text in batch.column(1).to_pylist():
-            ids = made.encode(text or "")
+        for found in made.cache.encode_all([t or "" for t in batch.column(1).to_pylist()]):
+            ids = np.frombuffer(found, "<u4").tolist()
             rows.append((len(ids), *row(made, ids, made.decode(ids))))
         yield batch.column(0), list(zip(*rows, strict=True)) or [()] * 3
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 #: White space by Unicode, as pre-tokenizers see it (fixed values).
 SPACE = (
@@ -12,13 +12,18 @@ SPACE = (
 )
 #: White space, then other characters: no token crosses from these into white space.
 STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
+#: Marks that may follow a word; no token crosses from an ASCII letter into one.
+MARKS = ".,;:!?)\"'"
+AT_ONCE = 400_000
 
 
 class StretchCache:
     """Ids of whole texts as little-endian unsigned 32-bit bytes.
 
     ``encode_many`` gives the ids of stretches; those of short ones are kept in
-    two generations of ``remember`` entries each, so the memory is bounded.
+    two generations of ``remember`` entries each, so the memory is bounded.  A
+    stretch met for the first time is a word and the marks after it, if it ends
+    in marks, and the word may be known.
     """
 
     def __init__(self, encode_many: Callable[[list[str]], list[bytes]], remember: int = 400_000, longest: int = 48):
@@ -27,23 +32,46 @@ class StretchCache:
         self.old: dict[str, bytes] = {}
 
     def encode(self, text: str) -> bytes:
-        stretches = STRETCH.findall(text)
-        try:
-            return b"".join(map(self.young.__getitem__, stretches))
-        except KeyError:
-            pass
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[bytes]:
+        """Ids of each text; what is new in about ``AT_ONCE`` characters is encoded together."""
+        group: list[list[str]] = []
+        size = 0
+        for text in texts:
+            group.append(STRETCH.findall(text))
+            size += len(text)
+            if size >= AT_ONCE:
+                yield from self._encode(group)
+                group, size = [], 0
+        yield from self._encode(group)
+
+    def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
         if len(self.young) > self.remember:
             self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        missing, long = [], []
-        for s in set(stretches):
-            if s not in young:
-                if s in old:
-                    young[s] = old[s]
-                else:
-                    (long if len(s) > self.longest else missing).append(s)
-        young.update(zip(missing, self.encode_many(missing), strict=True))
-        if not long:
-            return b"".join(map(young.__getitem__, stretches))
-        once = dict(zip(long, self.encode_many(long), strict=True))
-        return b"".join(once[s] if s in once else young[s] for s in stretches)
+        known = self.young
+        new = set().union(*group).difference(known)
+        self._recall(new)
+        split = {}
+        for s in new:
+            word = s.rstrip(MARKS)
+            if len(word) < len(s) and word[-1:].isascii() and word[-1:].isalpha():
+                split[s] = word
+        parts = set(split.values())
+        parts.update(s[len(word) :] for s, word in split.items())
+        parts = parts.difference(known)
+        self._recall(parts)
+        missing = list(parts.union(new.difference(split)))
+        known.update(zip(missing, self.encode_many(missing), strict=True))
+        for s, word in split.items():
+            known[s] = known[word] + known[s[len(word) :]]
+        for stretches in group:
+            yield b"".join(map(known.__getitem__, stretches))
+        for s in [s for s in (*missing, *split) if len(s) > self.longest]:
+            known.pop(s, None)
+
+    def _recall(self, stretches: set[str]) -> None:
+        """Those of the older generation become young and leave the set."""
+        again = [s for s in stretches if s in self.old]
+        self.young.update((s, self.old[s]) for s in again)
+        stretches.difference_update(again)
