@@ -45,7 +45,7 @@ from siteloom.operators.staging import written
 from .common import lower_ascii, prepare
 
 #: A block ends at so many distinct words or words.
-BLOCK_DISTINCT, BLOCK_WORDS = 400_000, 6_000_000
+BLOCK_DISTINCT, BLOCK_WORDS = 300_000, 4_000_000
 #: How much of a piece's probability comes from the vocabulary's score.
 SHARE = 0.5
 SPACE = "▁"
