@@ -26,7 +26,7 @@ def tolerant_decimal(value: Column) -> Column:
     """The last point or comma is the decimal one."""
     bare = F.regexp_replace(value, r"[%\s\u00a0\u202f'’]", "")
     one = F.replace(F.regexp_replace(bare, r"[.,](?=.*[.,])", ""), F.lit(","), F.lit("."))
-    return F.coalesce(one.try_cast("double"), F.lit(0.0))
+    return F.greatest(F.coalesce(one.try_cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
 def confidence(value: Column) -> Column:
@@ -109,7 +109,13 @@ def weight_profile(family: Column, client_side: Column, adaptive: bool = False)
 
 
 def tokens(text: Column) -> Column:
-    return F.floor(F.length(text) / F.lit(3.5)).cast("long") + 1
+    """Estimate of a text's tokens; an empty one has none."""
+    return F.when(F.length(text) == 0, F.lit(0).cast("long")).otherwise(F.floor(F.length(text) / F.lit(3.5)).cast("long") + 1)
+
+
+def model_cost(read: Column, written: Column, rates: tuple[float, float], batch: float = 1.0) -> Column:
+    """Cost of a call from tokens read and (at most) written, rates a million, and the discount of a batch."""
+    return (read * rates[0] + written * rates[1]) / 1e6 * batch
 
 
 def is_refusal(status: Column) -> Column:

@@ -8,29 +8,39 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .binding import let, once
+from .binding import let, named, once
 
 # Fixed values ------------------------------------------------------------
 NON_PAGE_SUFFIXES = (
-    "jpg jpeg png gif webp svg ico bmp eps ai psd css js json xml rss atom zip gz tar rar 7z "
-    "mp4 mp3 avi mov wmv wav webm woff woff2 ttf eot exe dmg pkg md markdown"
-).split()
+    "jpg", "jpeg", "png", "gif", "webp", "svg", "ico", "bmp", "eps", "ai", "psd", "css", "js", "json", "xml", "rss",
+    "atom", "zip", "gz", "tar", "rar", "7z", "mp4", "mp3", "avi", "mov", "wmv", "wav", "webm", "woff", "woff2", "ttf",
+    "eot", "exe", "dmg", "pkg", "md", "markdown",
+)
 TRACKING = (
-    "gclid fbclid msclkid dclid gclsrc mc_cid mc_eid igshid ref referrer source qid sr th psc _ga _gl yclid twclid "
-    "ttclid si trk sessionid session_id phpsessid jsessionid"
-).split()
+    "gclid", "fbclid", "msclkid", "dclid", "gclsrc", "mc_cid", "mc_eid", "igshid", "ref", "referrer", "source", "qid",
+    "sr", "th", "psc", "_ga", "_gl", "yclid", "twclid", "ttclid", "si", "trk", "sessionid", "session_id", "phpsessid",
+    "jsessionid",
+)
 TRACKING_PREFIXES = ("utm_", "pf_rd_", "pd_rd_", "_encoding", "spm_", "hsa_", "vero_")
 LANGUAGES = (
-    "ar bg bn cs da de el en es et fa fi fr he hi hu id is ja ko lt lv ms nl no pl pt ro ru sk sl sr sv th tr uk ur vi zh"
-).split()
+    "ar", "bg", "bn", "cs", "da", "de", "el", "en", "es", "et", "fa", "fi", "fr", "he", "hi", "hu", "id", "is", "ja",
+    "ko", "lt", "lv", "ms", "nl", "no", "pl", "pt", "ro", "ru", "sk", "sl", "sr", "sv", "th", "tr", "uk", "ur", "vi",
+    "zh",
+)
 LEGAL_SLUGS = (
-    "privacy-policy privacy terms terms-of-service terms-and-conditions terms-of-use cookie-policy cookies legal "
-    "disclaimer accessibility gdpr imprint impressum sitemap 404 search"
-).split()
-FILTER_PARAMS = "color colour size price brand sort sort_by orderby filter facet".split()
-SECOND_LEVEL = "co com org net ac gov edu gob or ne".split()
+    "privacy-policy", "privacy", "terms", "terms-of-service", "terms-and-conditions", "terms-of-use", "cookie-policy",
+    "cookies", "legal", "disclaimer", "accessibility", "gdpr", "imprint", "impressum", "sitemap", "404", "search",
+)
+FILTER_PARAMS = (
+    "color", "colour", "size", "price", "brand", "sort", "sort_by", "orderby", "filter", "facet",
+)
+SECOND_LEVEL = (
+    "co", "com", "org", "net", "ac", "gov", "edu", "gob", "or", "ne",
+)
 MARKUP = ("<", ">", "href=", "“", "”")
-SLUG_FILLERS = "a an and for in of on the to with".split()
+SLUG_FILLERS = (
+    "a", "an", "and", "for", "in", "of", "on", "the", "to", "with",
+)
 MAX_DEPTH, MAX_PARAMS, TRAP_LENGTH = 15, 5, 3
 # -------------------------------------------------------------------------
 
@@ -48,6 +58,7 @@ def split_url(url: Column) -> Column:
     return F.when(part(2).contains("[") == part(2).contains("]"), whole)
 
 
+@named
 def path_of(url: Column) -> Column:
     return split_url(url)["path"]
 
@@ -87,16 +98,29 @@ def sorted_query(query: Column) -> Column:
     return F.array_join(pairs, "&")
 
 
-KEPT_ESCAPES = r"(?i)%(2f|3f|23|25|5c)"
+#: Runs of escapes, but for those of / ? # % and backslash, which keep their meaning.
+ESCAPES = r"(?:%(?!2[fF]|3[fF]|23|25|5[cC])[0-9A-Fa-f]{2})+"
+ANY_ESCAPES = r"(?:%[0-9A-Fa-f]{2})+"
+
+
+def _decoded_runs(path: Column, pattern: str, strict: bool) -> Column:
+    """Each run of escapes as the text that its bytes are; a run that isn't UTF-8 stays if ``strict``."""
+
+    def text(run: Column) -> Column:
+        made = F.unhex(F.replace(run, F.lit("%"), F.lit(""))).cast("string")
+        return F.when(F.is_valid_utf8(made), made).otherwise(run) if strict else made
+
+    parts = F.zip_with(
+        F.split(path, pattern), F.regexp_extract_all(path, F.lit(f"({pattern})"), F.lit(1)), lambda p, r: F.concat(p, F.coalesce(text(r), F.lit("")))
+    )
+    return F.when(~path.contains("%"), path).otherwise(F.array_join(parts, ""))
 
 
 @once
 def decode_path(path: Column) -> Column:
-    """Percent escapes decoded, but for those of / ? # % and backslash; a path
-    whose escapes aren't UTF-8 stays as it is."""
-    guarded = F.replace(F.regexp_replace(path, KEPT_ESCAPES, "%25$1"), F.lit("+"), F.lit("%2B"))
-    sound = lambda read: F.when(read.isNotNull() & ~read.contains("\ufffd"), read).otherwise(path)
-    return F.when(~path.contains("%"), path).otherwise(let(F.try_url_decode(guarded), sound))
+    """Percent escapes decoded run by run, but for those of / ? # % and backslash;
+    a run whose bytes aren't UTF-8 stays as it is."""
+    return _decoded_runs(path, ESCAPES, strict=True)
 
 
 @once
@@ -142,6 +166,7 @@ def path_key(url: Column) -> Column:
     return let(split_url(url), lambda parts: F.concat(normalize_path(parts["path"]), _asked(sorted_query(parts["query"]))))
 
 
+@named
 def match_key(url: Column) -> Column:
     """Where a page lies among sections: its normal path alone."""
     return normalize_path(path_of(url))
@@ -165,6 +190,7 @@ def site_host(netloc: Column) -> Column:
     return F.regexp_replace(plain, r"^www\.", "")
 
 
+@named
 def host_of(url: Column) -> Column:
     return site_host(split_url(url)["netloc"])
 
@@ -209,10 +235,12 @@ def _stripped(path: Column, segs: Column, known: list[str] | None) -> Column:
     )
 
 
+@named
 def depth_of(path: Column) -> Column:
     return F.least(F.size(segments_of(strip_locale_prefix(path)["path"])), F.lit(MAX_DEPTH))
 
 
+@named
 def is_crawlable(url: Column) -> Column:
     return F.coalesce(~F.lower(path_of(url)).rlike(r"\.(" + "|".join(NON_PAGE_SUFFIXES) + ")$"), F.lit(True))
 
@@ -220,7 +248,10 @@ def is_crawlable(url: Column) -> Column:
 @once
 def is_malformed(url: Column) -> Column:
     path = path_of(url)
-    decoded = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    return let(_decoded_runs(path, ANY_ESCAPES, strict=False), lambda decoded: _marked(path, decoded))
+
+
+def _marked(path: Column, decoded: Column) -> Column:
     marked = F.lit(False)
     for m in MARKUP:
         marked = marked | decoded.contains(m)
@@ -263,6 +294,7 @@ def _decided(url: Column, segs: Column) -> Column:
     )
 
 
+@named
 def path_segments(url: Column) -> Column:
     return segments_of(path_of(url))
 
@@ -312,22 +344,43 @@ def same_address(a: Column, b: Column) -> Column:
     return F.coalesce(address(a) == address(b), F.lit(False))
 
 
+def resolve_dots(path: Column) -> Column:
+    """``.`` and ``..`` segments taken out of an absolute path, however many."""
+    segs = F.slice(F.split(path, "/"), 2, F.greatest(F.size(F.split(path, "/")), F.lit(1)))
+    folded = F.aggregate(
+        segs,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.array_append(done, s)),
+    )
+    last = F.element_at(segs, -1)
+    end = F.when(last.isin(".", "..") & (F.size(folded) > 0), "/").otherwise("")  # a dot at the end names a folder
+    return F.when(~path.contains("/."), path).otherwise(F.concat(F.lit("/"), F.array_join(folded, "/"), end))
+
+
 def join_href(href: Column, base: Column) -> Column:
-    """An href made absolute against its page, fragment cut."""
-    b = split_url(base)
+    """An href made absolute against its page, fragment cut; only the path is reduced."""
+    return let(split_url(base), lambda b: let(F.regexp_replace(F.trim(href), r"(?s)#.*$", ""), lambda bare: _joined(bare, b, base)))
+
+
+def _joined(bare: Column, b: Column, base: Column) -> Column:
     root = F.concat(b["scheme"], F.lit("://"), b["netloc"])
-    bare = F.regexp_replace(F.trim(href), r"(?s)#.*$", "")
+    path = F.regexp_extract(bare, r"(?s)^([^?]*)", 1)
+    asked = F.regexp_extract(bare, r"(?s)(\?.*)$", 1)
     here = F.regexp_replace(F.when(b["path"] == "", "/").otherwise(b["path"]), r"[^/]*$", "")
-    joined = F.concat(here, bare)
-    # a/../ is taken out as often as the path may be deep
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/(?!\.\.?/)[^/?]+/\.\./", "/")
-    joined = F.regexp_replace(F.regexp_replace(joined, r"/\./", "/"), r"^(/\.\.)+/", "/")
     return (
         F.when(bare == "", base)
         .when(bare.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), bare)
         .when(bare.startswith("//"), F.concat(b["scheme"], F.lit(":"), bare))
-        .when(bare.startswith("/"), F.concat(root, bare))
+        .when(bare.startswith("/"), F.concat(root, resolve_dots(path), asked))
         .when(bare.startswith("?"), F.concat(root, b["path"], bare))
-        .otherwise(F.concat(root, joined))
+        .otherwise(F.concat(root, resolve_dots(F.concat(here, path)), asked))
     )
+
+
+def unescape_markup(text: Column) -> Column:
+    """The named and numeric character references that addresses hold."""
+    named = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'", "&#38;": "&", "&#x26;": "&", "&#47;": "/", "&#x2F;": "/", "&#x2f;": "/", "&amp;": "&"}
+    made = text
+    for name, char in named.items():
+        made = F.replace(made, F.lit(name), F.lit(char))
+    return F.when(~text.contains("&"), text).otherwise(made)

@@ -18,7 +18,7 @@ def orphan_list(pages: DataFrame) -> DataFrame:
 
 def sitemap_redirects(pages: DataFrame) -> DataFrame:
     moved = pages.where(F.col("in_sitemap") & ~U.same_address(F.col("url"), F.col("final_url")))
-    return moved.select("url", "final_url", (F.size(U.path_segments(F.col("final_url"))) == 0).alias("lands_home"))
+    return moved.select("url", "final_url", (F.size(U.path_segments("final_url")) == 0).alias("lands_home"))
 
 
 def duplicate_sets(pages: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def duplicate_sets(pages: DataFrame) -> DataFrame:
 
     The first page comes by an aggregate and a join, so no set is collected.
     """
-    segs = F.transform(U.path_segments(F.col("url")), lambda s: U.normalize_segment(s))
+    segs = F.transform(U.path_segments("url"), lambda s: U.normalize_segment(s))
     rows = pages.select("url", "inbound", segs.alias("segs")).where(F.size("segs") >= 2)
     rows = rows.select("url", "inbound", F.element_at("segs", -1).alias("leaf"), F.slice("segs", 1, F.size("segs") - 1).alias("above"))
     rows = rows.where("leaf <> ''")
@@ -43,7 +43,7 @@ def duplicate_sets(pages: DataFrame) -> DataFrame:
 
 def survivors(sets: DataFrame) -> DataFrame:
     """The page of each set to keep: most links, shortest path, no query, then URL."""
-    path = F.length(U.path_of(F.col("url")))
+    path = F.length(U.path_of("url"))
     best = F.struct(F.col("inbound").alias("i"), (-path).alias("p"), (~F.col("url").contains("?")).alias("q"))
     top = sets.groupBy("leaf").agg(F.max(best).alias("best"))
     return sets.join(top, "leaf").where(best == F.col("best")).groupBy("leaf").agg(F.min("url").alias("keep"))
@@ -52,18 +52,18 @@ def survivors(sets: DataFrame) -> DataFrame:
 def silos(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """First folders with many pages that no menu label names (bounded list of labels)."""
     total = pages.agg(F.count("*").alias("total"))
-    by = pages.select(F.get(U.path_segments(F.col("url")), F.lit(0)).alias("seg")).where("seg is not null").groupBy("seg").agg(F.count("*").alias("pages"))
+    by = pages.select(F.get(U.path_segments("url"), F.lit(0)).alias("seg")).where("seg is not null").groupBy("seg").agg(F.count("*").alias("pages"))
     large = by.crossJoin(F.broadcast(total)).where((F.col("pages") >= SILO_PAGES) & (F.col("pages") >= SILO_SHARE * F.col("total")))
     name, label = U.flatten(F.col("seg")), U.flatten(F.col("label"))
-    return large.join(F.broadcast(labels), label.contains(name) | name.contains(label), "left_anti").select("seg", "pages")
+    return large.join(labels, label.contains(name) | name.contains(label), "left_anti").select("seg", "pages")
 
 
 def reconcile(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """key, side and reason; ``theirs`` has url, ord, status, indexable; the last of a key counts."""
-    left = ours.groupBy(U.compare_key(F.col("url")).alias("key")).agg(F.max_by("url", "ord").alias("our_url"))
-    right = theirs.groupBy(U.compare_key(F.col("url")).alias("key")).agg(F.max_by(F.struct("url", "status", "indexable"), "ord").alias("t"))
+    left = ours.groupBy(U.compare_key("url").alias("key")).agg(F.max_by("url", "ord").alias("our_url"))
+    right = theirs.groupBy(U.compare_key("url").alias("key")).agg(F.max_by(F.struct("url", "status", "indexable"), "ord").alias("t"))
     both = left.join(right, "key", "full")
-    hosts = ours.select(U.host_of(F.col("url")).alias("host")).distinct()
+    hosts = ours.select(U.host_of("url").alias("host")).distinct()
     both = both.join(hosts.withColumn("known", F.lit(True)), U.host_of(F.col("t.url")) == F.col("host"), "left")
     url, status = F.col("t.url"), F.col("t.status")
     theirs_why = (
@@ -76,14 +76,14 @@ def reconcile(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         .otherwise("MISSED_PAGE")
     )
     alone = both.where("t is null")
-    tails = alone.select(U.tail_of(F.col("our_url"))["tail"].alias("tail")).where("tail is not null").groupBy("tail").count().where(F.col("count") >= REPEATED)
+    tails = alone.select(U.tail_of("our_url")["tail"].alias("tail")).where("tail is not null").groupBy("tail").count().where(F.col("count") >= REPEATED)
     ours_why = (
-        F.when(U.is_malformed(F.col("our_url")), "MALFORMED")
+        F.when(U.is_malformed("our_url"), "MALFORMED")
         .when(F.col("count").isNotNull(), "REPEATED_SUFFIX")
         .when(F.col("our_url").contains("?"), "QUERY_VARIANT")
         .otherwise("SITEMAP_ORPHAN")
     )
-    mine = alone.join(tails, U.tail_of(F.col("our_url"))["tail"] == F.col("tail"), "left").select("key", F.lit("ours").alias("side"), ours_why.alias("reason"))
+    mine = alone.join(tails, U.tail_of("our_url")["tail"] == F.col("tail"), "left").select("key", F.lit("ours").alias("side"), ours_why.alias("reason"))
     other = both.where("our_url is null").select("key", F.lit("theirs").alias("side"), theirs_why.alias("reason"))
     shared = both.where("our_url is not null and t is not null").select("key", F.lit("both").alias("side"), F.lit(None).cast("string").alias("reason"))
     return mine.union(other).union(shared)
@@ -127,7 +127,7 @@ def escalation_curve(labels: DataFrame, predictions: DataFrame) -> DataFrame:
 
 def path_tree(pages: DataFrame) -> DataFrame:
     """path, parent, depth, page (if one lies there; the last by URL), descendants."""
-    segs = U.path_segments(F.col("url"))
+    segs = U.path_segments("url")
     rows = pages.select("url", F.transform(F.sequence(F.lit(0), F.size(segs)), lambda n: F.slice(segs, 1, n)).alias("p"), segs.alias("segs"))
     spread = rows.select("url", "segs", F.explode("p").alias("path"))
     nodes = spread.groupBy("path").agg(F.max(F.when(F.col("path") == F.col("segs"), F.col("url"))).alias("page"))
@@ -145,7 +145,7 @@ def path_tree(pages: DataFrame) -> DataFrame:
 
 def folder_mismatch(pages: DataFrame) -> DataFrame:
     """Pages of two folders or more whose first folder is in no label of their trail."""
-    segs = U.path_segments(F.col("url"))
+    segs = U.path_segments("url")
     rows = pages.select("url", F.size(segs).alias("n"), U.flatten(F.get(segs, F.lit(0))).alias("folder"), "trail").where("n >= 2 and size(trail) > 0")
     named = F.exists("trail", lambda label: U.flatten(label).contains(F.col("folder")) | F.col("folder").contains(U.flatten(label)))
     return rows.where(~named).select("url", "folder")
@@ -159,7 +159,7 @@ def trail_disagreement(sets: DataFrame, pages: DataFrame) -> DataFrame:
 
 def verify_missed(missed: DataFrame, probes: DataFrame, ours: DataFrame) -> DataFrame:
     """url, state, held: what a probe (url, status, location) says of missed pages."""
-    held = ours.select(U.compare_key(F.col("url")).alias("there")).distinct().withColumn("held", F.lit(True))
+    held = ours.select(U.compare_key("url").alias("there")).distinct().withColumn("held", F.lit(True))
     rows = missed.join(probes, "url", "left").withColumn("there", U.compare_key(F.coalesce("location", F.lit(""))))
     status = F.coalesce("status", F.lit(0))
     state = F.when(status == 0, "UNREACHABLE").when(status.between(300, 399), "REDIRECTED").when(status >= 400, "GONE").otherwise("LIVE")

@@ -101,7 +101,7 @@ def consensus(signals: DataFrame, profile: str = "default", by: tuple[str, ...]
 
 def cascade(pages: DataFrame, voted: DataFrame) -> DataFrame:
     """URL rule, then consensus, else unresolved."""
-    rule = U.fast_path(F.col("url"))
+    rule = U.fast_path("url")
     decided = pages.select("url", rule.alias("r"))
     found = decided.join(voted, "url", "left")
     return found.select(

@@ -11,15 +11,18 @@ from siteloom.functions import urls as U
 from .staging import staged
 
 LOOP_URLS, LOOP_DEPTHS = 25, 4
+#: The href of an anchor, quoted or not.
+ANCHOR = r"(?i)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
 SCHEMES = r"(?i)^\s*(#|javascript:|mailto:|tel:|data:|sms:)"
 
 
 def links(pages: DataFrame) -> DataFrame:
     """src, href of every link to a page of the same site, once for each page."""
-    found = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(r"(?i)<a\s[^>]*href\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))).alias("raw"))
+    found = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("raw"))
+    found = found.select("src", U.unescape_markup(F.regexp_replace("raw", "^[\"']|[\"']$", "")).alias("raw"))
     usable = found.where(~F.col("raw").rlike(SCHEMES) & (F.trim("raw") != ""))
     made = usable.select("src", U.join_href(F.col("raw"), F.col("src")).alias("href"))
-    here = made.where(F.col("href").rlike("(?i)^https?://") & U.same_site(F.col("src"), F.col("href")) & U.is_crawlable(F.col("href")))
+    here = made.where(F.col("href").rlike("(?i)^https?://") & U.same_site(F.col("src"), F.col("href")) & U.is_crawlable("href"))
     return here.distinct()
 
 
@@ -33,7 +36,7 @@ def refusal(url: Column) -> Column:
 def merge_sources(found: DataFrame) -> DataFrame:
     """One node per normal address from rows url, ord, source (sitemap, link, cms), depth."""
     source = F.col("source")
-    return found.groupBy(U.normalize_url(F.col("url")).alias("key")).agg(
+    return found.groupBy(U.normalize_url("url").alias("key")).agg(
         F.min_by("url", "ord").alias("url"),
         F.bool_or(source == "sitemap").alias("in_sitemap"),
         F.bool_or(source == "link").alias("in_links"),
@@ -45,17 +48,18 @@ def merge_sources(found: DataFrame) -> DataFrame:
 
 def within_budget(nodes: DataFrame, most: int, reserve: float = 0.2) -> DataFrame:
     """The page budget (the feature): sitemap and CMS pages leave ``reserve`` of it
-    to pages that only links found.  Top-k, so no task ranks all nodes."""
-    listed = nodes.where("in_sitemap or in_cms").orderBy("ord").limit(int(most * (1 - reserve)))
-    listed = staged(listed)
+    to pages that links found, listed ones that had no room among them.  Top-k, so
+    no task ranks all nodes."""
+    listed = staged(nodes.where("in_sitemap or in_cms").orderBy("ord").limit(int(most * (1 - reserve))))
     room = most - listed.count()
-    return listed.union(nodes.where("not (in_sitemap or in_cms)").orderBy("ord").limit(room))
+    rest = nodes.where("in_links").join(listed.select("key"), "key", "left_anti").select(*nodes.columns)
+    return listed.union(rest.orderBy("ord").limit(room))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Inbound links (distinct hrefs of each page) and outbound links."""
-    inbound = edges.groupBy(U.normalize_url(F.col("href")).alias("key")).agg(F.count("*").alias("inbound"))
-    outbound = edges.groupBy(U.normalize_url(F.col("src")).alias("key")).agg(F.count("*").alias("outbound"))
+    inbound = edges.groupBy(U.normalize_url("href").alias("key")).agg(F.count("*").alias("inbound"))
+    outbound = edges.groupBy(U.normalize_url("src").alias("key")).agg(F.count("*").alias("outbound"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return nodes.join(inbound, "key", "left").join(outbound, "key", "left").select(*nodes.columns, zero("inbound"), zero("outbound"))
 
@@ -78,7 +82,7 @@ def bfs(edges: DataFrame, roots: DataFrame, most: int = 15) -> DataFrame:
 
 def loops(urls: DataFrame, least: int = LOOP_URLS, depths: int = LOOP_DEPTHS) -> DataFrame:
     """Path tails that many addresses of several depths end in."""
-    tails = urls.select("url", U.tail_of(F.col("url")).alias("t")).where("t is not null").select("url", "t.*")
+    tails = urls.select("url", U.tail_of("url").alias("t")).where("t is not null").select("url", "t.*")
     return tails.groupBy("tail").agg(F.countDistinct("url").alias("urls"), F.countDistinct("depth").alias("depths")).where(
         (F.col("urls") >= least) & (F.col("depths") >= depths)
     )
@@ -100,10 +104,15 @@ def report(nodes: DataFrame) -> DataFrame:
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """url, allowed: the longest rule that fits, allow before disallow, else allowed.
 
-    Rules (pattern, allow) of an agent are one file's lines: bounded, so broadcast.
+    Rules (pattern, allow and, if they have one, host) of an agent.  Those of a
+    host meet its addresses by an equal join; rules without a host are those of
+    one file.
     """
-    path = U.path_of(F.col("url"))
-    fits = urls.join(F.broadcast(rules), F.regexp(path, S.robots_regex(F.col("pattern"))), "left")
+    path = U.path_of("url")
+    fit = F.regexp(path, S.robots_regex(F.col("pattern")))
+    if "host" in rules.columns:
+        fit = (U.host_of("url") == F.col("host")) & fit
+    fits = urls.join(rules, fit, "left")
     best = F.struct(F.length("pattern").alias("l"), F.col("allow").alias("a"))
     return fits.groupBy("url").agg(F.max(F.when(F.col("pattern").isNotNull(), best)).alias("b")).select(
         "url", F.coalesce("b.a", F.lit(True)).alias("allowed")

@@ -41,7 +41,7 @@ def buried(measured: DataFrame, orphans_: DataFrame) -> DataFrame:
 
 
 def traps(unmatched: DataFrame) -> DataFrame:
-    bad = unmatched.where(U.is_spider_trap(F.col("url")) | U.is_malformed(F.col("url")))
+    bad = unmatched.where(U.is_spider_trap("url") | U.is_malformed("url"))
     first = bad.groupBy("url").agg(F.min_by("impressions", "ord").alias("impressions"))
     return first.select(*_finding(KINDS[2], F.col("url"), F.col("impressions")))
 

@@ -8,25 +8,24 @@ from pyspark.sql import functions as F
 from siteloom.functions import scalars as S
 
 
-def page_metrics(gsc: DataFrame, ga4: DataFrame) -> DataFrame:
+def page_metrics(resolved: DataFrame) -> DataFrame:
     """One row per page that either source names; a source that doesn't leaves nulls.
 
-    Both inputs are resolved rows; positions stay weights until they are shown.
+    ``resolved`` has the rows of both sources, each with nulls in the columns of
+    the other.  Positions stay weights until they are shown.
     """
-    g = gsc.where("failure is null").groupBy("page_url").agg(
-        F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.sum(F.col("position") * F.col("impressions")).alias("weight")
+    return resolved.where("failure is null").groupBy("page_url").agg(
+        F.sum("clicks").alias("clicks"),
+        F.sum("impressions").alias("impressions"),
+        F.sum(F.col("position") * F.col("impressions")).alias("weight"),
+        F.sum("sessions").alias("sessions"),
     )
-    a = ga4.where("failure is null").groupBy("page_url").agg(F.sum("sessions").alias("sessions"))
-    return g.join(a, "page_url", "full")
 
 
-def unattributed(gsc: DataFrame, ga4: DataFrame) -> DataFrame:
+def unattributed(resolved: DataFrame) -> DataFrame:
     """One row: what reached no page."""
-    rows = gsc.where("failure is not null").select("clicks", "impressions", F.lit(0).cast("long").alias("sessions")).union(
-        ga4.where("failure is not null").select(F.lit(0).cast("long"), F.lit(0).cast("long"), "sessions")
-    )
     zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
-    return rows.agg(F.count("*").alias("rows"), zero("clicks"), zero("impressions"), zero("sessions"))
+    return resolved.where("failure is not null").agg(F.count("*").alias("rows"), zero("clicks"), zero("impressions"), zero("sessions"))
 
 
 def rollup(pages: DataFrame, metrics: DataFrame) -> DataFrame:

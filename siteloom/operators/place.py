@@ -11,7 +11,7 @@ from siteloom.functions import urls as U
 
 def flat_menu(menu: DataFrame) -> DataFrame:
     """key, labels, ord of menu entries (url, labels, ord), the root left out, the first of a key."""
-    rows = menu.select(U.match_key(F.col("url")).alias("key"), "labels", "ord").where("key <> '/'")
+    rows = menu.select(U.match_key("url").alias("key"), "labels", "ord").where("key <> '/'")
     return rows.groupBy("key").agg(F.min_by("labels", "ord").alias("labels"), F.min("ord").alias("ord"))
 
 
@@ -20,7 +20,7 @@ def place(pages: DataFrame, menu: DataFrame) -> DataFrame:
 
     Every prefix of a page's path is looked up by equality; no pattern join.
     """
-    key = U.match_key(F.col("url"))
+    key = U.match_key("url")
     segs = U.segments_of(F.col("key"))
     heads = F.transform(F.sequence(F.lit(1), F.greatest(F.size(segs), F.lit(1))), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(segs, 1, n), "/"), F.lit("/")))
     spread = pages.select("url", "page_type", key.alias("key")).select("url", "page_type", "key", F.explode(heads).alias("head"))
@@ -67,7 +67,7 @@ def sibling_order(tree: DataFrame) -> DataFrame:
 
 def section_counts(pages: DataFrame) -> DataFrame:
     """Pages under each node of the section tree, locale first if the address has one."""
-    first = U.locale_of(F.col("url"))
+    first = U.locale_of("url")
     trail = F.concat(F.when(first.isNotNull(), F.array(first)).otherwise(F.array().cast("array<string>")), S.section_trail(F.col("trail")))
     spread = pages.select(F.explode(S.prefixes(trail)).alias("node"))
     return spread.groupBy("node").agg(F.count("*").alias("pages")).select(F.array_join("node", " > ").alias("node"), "pages")
@@ -84,8 +84,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def write_result(df: DataFrame, path: str, job_id: str) -> None:
-    """One job's rows beside those of others; a run never changes another's."""
-    df.withColumn("job_id", F.lit(job_id)).write.mode("append").partitionBy("job_id").parquet(path)
+    """One job's rows in a folder of its own, written anew if it is run again; a run
+    never changes another's."""
+    df.write.mode("overwrite").parquet(f"{path}/job_id={job_id}")
 
 
 def read_result(spark, path: str, job_id: str) -> DataFrame:

@@ -9,12 +9,13 @@ from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
 
 
-def affordable(pages: DataFrame, cost: float, budget: float) -> DataFrame:
-    """The least certain pages whose running cost stays within a budget (the feature).
-
-    Each costs the same at most, so the cut is a top-k and no task ranks all pages.
-    """
-    return pages.orderBy("score", "url").limit(int(budget // cost))
+def affordable(pages: DataFrame, budget: float, least: float) -> DataFrame:
+    """The least certain pages (score, url, cost) whose running cost stays within a
+    budget (the feature).  None costs less than ``least``, so the budget bounds how
+    many can be afforded, and only so many are ranked together."""
+    some = pages.orderBy("score", "url").limit(int(round(budget / least, 9)))
+    running = F.sum("cost").over(Window.orderBy("score", "url").rowsBetween(Window.unboundedPreceding, 0))
+    return some.withColumn("spent", F.round(running, 9)).where(F.col("spent") <= budget)
 
 
 def level_counts(pages: DataFrame) -> DataFrame:
@@ -26,6 +27,13 @@ def subtree(pages: DataFrame, trail: list[str]) -> DataFrame:
     return pages.where(F.slice("trail", 1, len(trail)) == F.array(*map(F.lit, trail)))
 
 
+def ancestors(pages: DataFrame, chosen: DataFrame) -> DataFrame:
+    """node: the chosen nodes (trail) and all above them that have pages."""
+    nodes = pages.select(F.explode(S.prefixes(F.col("trail"))).alias("node")).distinct()
+    above = chosen.select(F.explode(S.prefixes(F.col("trail"))).alias("node")).distinct()
+    return nodes.join(above, "node", "left_semi")
+
+
 def child_page(pages: DataFrame, size: int, page: int) -> DataFrame:
     """One page of every section's children, with how many remain."""
     order = Window.partitionBy("section").orderBy("url")
@@ -60,7 +68,7 @@ def review_progress(sheet: DataFrame, levels: list[str]) -> DataFrame:
 
 def resume_set(nodes: DataFrame, fetched: DataFrame) -> DataFrame:
     """key, role: what is still to be fetched (seed), and what isn't to be fetched again."""
-    have = fetched.select(U.normalize_url(F.col("url")).alias("key")).distinct().withColumn("have", F.lit(True))
+    have = fetched.select(U.normalize_url("url").alias("key")).distinct().withColumn("have", F.lit(True))
     return nodes.select("key").join(have, "key", "left").select("key", F.when(F.col("have"), "exclude").otherwise("seed").alias("role"))
 
 

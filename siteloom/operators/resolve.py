@@ -24,7 +24,7 @@ def dedupe(pages: DataFrame) -> DataFrame:
     """
     best = F.struct(S.trail_depth(F.col("trail")).alias("d"), (-F.col("ord")).alias("o"))
     whole = F.struct(*[F.col(c) for c in pages.columns])
-    return pages.groupBy(U.normalize_url(F.col("url")).alias("key")).agg(F.max_by(whole, best).alias("p")).select("key", "p.*")
+    return pages.groupBy(U.normalize_url("url").alias("key")).agg(F.max_by(whole, best).alias("p")).select("key", "p.*")
 
 
 def tier_index(pages: DataFrame) -> DataFrame:
@@ -46,33 +46,54 @@ def merge_tiers(index: DataFrame) -> DataFrame:
     return index.groupBy("space", "alias").agg(F.min_by(top, "tier").alias("t")).select("space", "alias", "t.*")
 
 
-def resolve(addresses: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
-    """``addresses`` with page_url and via, or failure.  ``pages`` are deduped."""
-    index = merge_tiers(tier_index(pages))
+#: How an address is looked up: by its whole key, by path and parameters, by path alone.
+SPACES = {"absolute": U.normalize_url, "path": U.path_key, "bare": U.match_key}
+
+
+def claims(pages: DataFrame) -> DataFrame:
+    """tier, owner, ord and the keys of each address that a page goes by."""
+    each = [F.struct(F.lit(n).alias("tier"), F.col(source).alias("address"), F.col("ord"), F.col("url").alias("owner")) for n, (source, _) in enumerate(TIERS)]
+    rows = pages.select(F.explode(F.array(*each)).alias("c")).select("c.*")
+    return rows.select("tier", "ord", "owner", *[make("address").alias(space) for space, make in SPACES.items()])
 
-    def space(name: str) -> DataFrame:
-        return index.where(F.col("space") == name).select(
-            F.col("alias").alias(f"{name}_key"), F.col("owner").alias(f"{name}_owner"), F.col("clash").alias(f"{name}_clash"), F.col("tier").alias(f"{name}_tier")
-        )
 
-    parts = U.split_url(F.col(url))
+def space_index(claimed: DataFrame, space: str) -> DataFrame:
+    """As ``merge_tiers`` of ``tier_index``, for one space and in one aggregate:
+    key, owner, clash and tier of each alias, named after the space."""
+    rows = claimed.select("tier", "ord", "owner", F.col(space).alias("alias")).where("alias is not null and alias <> ''")
+    of = lambda n: F.col("tier") == n
+    firsts = [F.min(F.when(of(n), F.struct("ord", "owner")))["owner"] for n in range(len(TIERS))]
+    counts = [F.count_if(of(n)) for n in range(len(TIERS))]
+    found = rows.groupBy("alias").agg(F.min("tier").alias("tier"), F.array(*firsts).alias("owners"), F.array(*counts).alias("claims"))
+    return found.select(
+        F.col("alias").alias(f"{space}_key"),
+        F.get("owners", F.col("tier")).alias(f"{space}_owner"),
+        (F.get("claims", F.col("tier")) > 1).alias(f"{space}_clash"),
+        F.col("tier").alias(f"{space}_tier"),
+    )
+
+
+def resolve(addresses: DataFrame, pages: DataFrame, url: str = "url") -> DataFrame:
+    """``addresses`` with page_url and via, or failure.  ``pages`` are deduped."""
+    claimed = claims(pages)
+    parts = U.split_url(url)
     host = U.site_host(parts["netloc"])
-    hosts = pages.select(U.host_of(F.col("url")).alias("host")).distinct().where("host <> ''")
-    domains = hosts.select(U.registrable_domain(F.col("host")).alias("domain")).distinct()
+    hosts = pages.select(U.host_of("url").alias("host")).distinct().where("host <> ''")
+    domains = hosts.select(U.registrable_domain("host").alias("domain")).distinct()
     keyed = addresses.withColumns(
         {
-            "absolute_key": U.normalize_url(F.col(url)),
-            "path_key": U.path_key(F.col(url)),
-            "bare_key": U.match_key(F.col(url)),
+            "absolute_key": U.normalize_url(url),
+            "path_key": U.path_key(url),
+            "bare_key": U.match_key(url),
             "host": host,
             "domain": U.registrable_domain(host),
             "usable": parts.isNotNull() & ((parts["netloc"] != "") | parts["path"].startswith("/")),
         }
     )
     joined = (
-        keyed.join(space("absolute"), "absolute_key", "left")
-        .join(space("path"), "path_key", "left")
-        .join(space("bare"), "bare_key", "left")
+        keyed.join(space_index(claimed, "absolute"), "absolute_key", "left")
+        .join(space_index(claimed, "path"), "path_key", "left")
+        .join(space_index(claimed, "bare"), "bare_key", "left")
         .join(hosts.withColumn("crawled_host", F.lit(True)), "host", "left")
         .join(domains.withColumn("crawled_domain", F.lit(True)), "domain", "left")
     )

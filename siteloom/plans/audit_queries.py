@@ -81,11 +81,11 @@ class Site:
 
 
 def _bfs(s, d):
-    """Levels over pages: each page leads to the two of twice its number."""
-    p = I.pages(s, d).select(c("page_id").alias("k"))
-    edges = p.select(c("k").cast("string").alias("src"), F.explode(F.array((c("k") * 2 + 1).cast("string"), (c("k") * 2 + 2).cast("string"))).alias("dst"))
-    known = p.select(c("k").cast("string").alias("dst"))
-    return G.bfs(staged(edges.join(known, "dst", "left_semi")), s.range(1).select(F.lit("0").alias("key")), 20)
+    """Levels over the links, from the first page of each host."""
+    p = I.pages(s, d)
+    edges = staged(G.links(p))
+    roots = p.groupBy(U.host_of("url").alias("host")).agg(F.min("url").alias("key")).select("key")
+    return G.bfs(edges.select("src", c("href").alias("dst")), roots, 5)
 
 
 def _profiles(s, d):
@@ -108,7 +108,7 @@ def queries() -> dict:
         "gr5_bfs_depth": _bfs,
         "gr6_orphans": lambda s, d: Site(s, d).graph.where("inbound = 0").select("key"),
         "gr7_discovery_report": lambda s, d: G.report(Site(s, d).graph),
-        "gr8_unfetched": lambda s, d: Site(s, d).nodes.join(I.pages(s, d).where("page_id % 2 = 0").select(U.normalize_url(c("url")).alias("key")), "key", "left_anti").select("key"),
+        "gr8_unfetched": lambda s, d: Site(s, d).nodes.join(I.pages(s, d).where("page_id % 2 = 0").select(U.normalize_url("url").alias("key")), "key", "left_anti").select("key"),
         "gr10_loops": lambda s, d: G.loops(I.spelled(s, d).select(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.repeat(F.lit("/q"), (c("page_id") % 5).cast("int")), F.lit("/a/b/c/")).alias("url"))),
         "gr12_robots": lambda s, d: G.robots_allowed(I.pages(s, d).select("url"), s.createDataFrame(ROBOTS, "pattern string, allow boolean")),
         "cl6_signals": lambda s, d: Site(s, d).signals,
@@ -138,8 +138,8 @@ def queries() -> dict:
             ),
             s.range(3).select(F.concat(F.lit("https://x.test/"), c("id").cast("string")).alias("url")),
         ),
-        "rc1_reconcile": lambda s, d: A.reconcile(I.crawl(s, d).select("url", "ord"), I.frog(s, d)),
-        "rc8_reconcile_summary": lambda s, d: A.reconcile(I.crawl(s, d).select("url", "ord"), I.frog(s, d)).groupBy("side", "reason").agg(F.count("*").alias("n")),
+        "rc1_reconcile": lambda s, d: A.reconcile(I.crawled(s, d).select("url", "ord"), I.frog(s, d)),
+        "rc8_reconcile_summary": lambda s, d: A.reconcile(I.crawled(s, d).select("url", "ord"), I.frog(s, d)).groupBy("side", "reason").agg(F.count("*").alias("n")),
         "ev1_accuracy": lambda s, d: A.accuracy(I.labels(s, d), Site(s, d).predictions),
         "ev2_confusion": lambda s, d: A.confusion(I.labels(s, d), Site(s, d).predictions),
         "ev5_escalation_curve": lambda s, d: A.escalation_curve(I.labels(s, d), Site(s, d).predictions),
@@ -196,13 +196,13 @@ _VOTED = _SIGNALS + f"voted AS ({_CONS(C.WEIGHTS['default'])}) "
 _CLASS = _VOTED + """, classified AS (
   SELECT o.url, coalesce(v.level, 'L3_LEAF_PAGE') AS level, coalesce(v.page_type, 'UNKNOWN') AS page_type, coalesce(v.confidence, 0) AS confidence,
     CASE WHEN v.confidence >= 0.85 THEN 'LAYER1' WHEN v.confidence IS NOT NULL THEN 'WEIGHTED_CONSENSUS' ELSE 'UNRESOLVED' END AS method FROM one o LEFT JOIN voted v USING (url)) """
-_REC = f"""+a AS (SELECT {_CMP("url")} AS key, arg_max(url, ord) AS our_url FROM crawl GROUP BY 1),
+_REC = f"""+a AS (SELECT {_CMP("url")} AS key, arg_max(url, ord) AS our_url FROM crawled GROUP BY 1),
 b AS (SELECT {_CMP("url")} AS key, arg_max(url, ord) AS url, arg_max(status, ord) AS status, arg_max(indexable, ord) AS indexable FROM frog GROUP BY 1),
 f AS (SELECT coalesce(a.key, b.key) AS key, our_url, url, status, indexable FROM a FULL JOIN b ON a.key = b.key),
 rec AS (SELECT key, CASE WHEN url IS NULL THEN 'ours' WHEN our_url IS NULL THEN 'theirs' ELSE 'both' END AS side,
   CASE WHEN url IS NULL THEN CASE WHEN contains(our_url, '?') THEN 'QUERY_VARIANT' ELSE 'SITEMAP_ORPHAN' END
     WHEN our_url IS NOT NULL THEN NULL
-    WHEN {I.sql_host("url")} NOT IN (SELECT {I.sql_host("url")} FROM crawl) THEN 'OFF_SITE' WHEN status BETWEEN 300 AND 399 THEN 'REDIRECT'
+    WHEN {I.sql_host("url")} NOT IN (SELECT {I.sql_host("url")} FROM crawled) THEN 'OFF_SITE' WHEN status BETWEEN 300 AND 399 THEN 'REDIRECT'
     WHEN status >= 400 OR status = 0 THEN 'CLIENT_ERROR' WHEN {_MEDIA} THEN 'MEDIA' WHEN {_TRAP} THEN 'TRAP' WHEN NOT indexable THEN 'NON_INDEXABLE' ELSE 'MISSED_PAGE' END AS reason FROM f) """
 _J = "+pr AS (SELECT page_id, url, level, page_type, score FROM crawl WHERE ord % 2 = 0), j AS (SELECT l.*, p.url, p.level, p.page_type, p.score FROM labelled l LEFT JOIN pr p USING (page_id)) "
 _DEDUPED = f"+p AS (SELECT * FROM crawl QUALIFY row_number() OVER (PARTITION BY {I.sql_norm_url('url')} ORDER BY len(trail) DESC, ord) = 1) "
@@ -222,8 +222,8 @@ def oracle_sql() -> dict[str, str]:
         "gr1_refusals": w(_FOUND.rstrip(", ") + f" SELECT CASE WHEN {_MEDIA} THEN 'media' WHEN {_TRAP} THEN 'trap' END AS refusal, count(*) AS n FROM found GROUP BY 1", "spelled"),
         "gr2_merged_nodes": w(_GRAPH + "SELECT * FROM nodes", "spelled"),
         "gr4_degrees": w(_GRAPH + "SELECT key, inbound, outbound FROM graph", "spelled"),
-        "gr3_page_budget": w(_GRAPH + ", l AS (SELECT key, ord FROM nodes WHERE in_sitemap OR in_cms ORDER BY ord LIMIT 80) SELECT * FROM l UNION ALL SELECT * FROM (SELECT key, ord FROM nodes WHERE NOT (in_sitemap OR in_cms) ORDER BY ord LIMIT (SELECT 100 - count(*) FROM l))", "spelled"),
-        "gr5_bfs_depth": "WITH RECURSIVE p AS (SELECT page_id AS k FROM pages), r AS (SELECT CAST(0 AS BIGINT) AS k, 0 AS depth UNION SELECT p.k, depth + 1 FROM r JOIN p ON p.k IN (r.k * 2 + 1, r.k * 2 + 2)) SELECT CAST(k AS VARCHAR) AS key, depth FROM r",
+        "gr3_page_budget": w(_GRAPH + ", l AS (SELECT key, ord FROM nodes WHERE in_sitemap OR in_cms ORDER BY ord LIMIT 80) SELECT * FROM l UNION ALL SELECT * FROM (SELECT key, ord FROM nodes WHERE in_links AND key NOT IN (SELECT key FROM l) ORDER BY ord LIMIT (SELECT 100 - count(*) FROM l))", "spelled"),
+        "gr5_bfs_depth": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f", r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN edges e ON e.src = r.key WHERE depth < 5) SELECT key, min(depth) AS depth FROM r GROUP BY 1",
         "gr6_orphans": w(_GRAPH + "SELECT key FROM graph WHERE inbound = 0", "spelled"),
         "gr7_discovery_report": w(_GRAPH + "SELECT count(*) AS nodes, count_if(in_sitemap) AS from_sitemap, count_if(in_links) AS from_links, count_if(in_cms) AS from_cms, count_if(in_sitemap AND NOT in_links AND NOT in_cms) AS sitemap_only, count_if(in_links AND NOT in_sitemap AND NOT in_cms) AS links_only, count_if(inbound = 0) AS orphans FROM graph", "spelled"),
         "gr8_unfetched": w(_GRAPH + f"SELECT key FROM nodes WHERE key NOT IN (SELECT {I.sql_norm_url('url')} FROM pages WHERE page_id % 2 = 0)", "spelled"),
@@ -244,8 +244,8 @@ def oracle_sql() -> dict[str, str]:
         "au7_folder_mismatch": w("+q AS (SELECT url, len({S}) AS n, regexp_replace(lower({S}[1]), '[^a-z0-9]', '', 'g') AS folder, CASE WHEN page_id % 4 = 0 THEN trail ELSE trail[1:1] END AS t FROM crawl WHERE ord % 2 = 0) SELECT url, folder FROM q WHERE n >= 2 AND len(t) > 0 AND NOT list_bool_or(list_transform(t, lambda x: contains(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), folder) OR contains(folder, regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))))".replace("{S}", _SEG), "crawl"),
         "au10_trail_disagreement": w("SELECT level AS leaf, count(DISTINCT array_to_string(trail, ' > ')) AS trails FROM crawl WHERE len(trail) > 0 GROUP BY 1 HAVING count(DISTINCT array_to_string(trail, ' > ')) > 1", "crawl"),
         "rc5_verified_missed": "SELECT url, CASE WHEN page_id % 5 = 0 THEN 'UNREACHABLE' ELSE ['LIVE', 'REDIRECTED', 'GONE', 'UNREACHABLE'][CAST(page_id % 4 AS INTEGER) + 1] END AS state, page_id % 5 <> 0 AND page_id % 4 = 1 AND page_id % 8 < 3 AS held FROM pages",
-        "rc1_reconcile": w(_REC + "SELECT * FROM rec", "crawl", "frog"),
-        "rc8_reconcile_summary": w(_REC + "SELECT side, reason, count(*) AS n FROM rec GROUP BY 1, 2", "crawl", "frog"),
+        "rc1_reconcile": w(_REC + "SELECT * FROM rec", "crawled", "frog"),
+        "rc8_reconcile_summary": w(_REC + "SELECT side, reason, count(*) AS n FROM rec GROUP BY 1, 2", "crawled", "frog"),
         "ev1_accuracy": w(_J + "SELECT archetype, count(*) FILTER (page_type IS NOT NULL) AS evaluated, count(*) FILTER (page_type IS NULL) AS missing, count(*) FILTER (level = want_level) AS level_hits, count(*) FILTER (page_type = want_type) AS type_hits, count(*) FILTER (level = want_level AND page_type = want_type) AS exact_hits, count(*) FILTER (page_type = 'UNKNOWN') AS unknown, count(*) FILTER (score < 0.85) AS escalated, coalesce(count(*) FILTER (level = want_level AND page_type = want_type) / nullif(count(*) FILTER (page_type IS NOT NULL), 0), 0)::DOUBLE AS exact_rate, count(*) FILTER (page_type IS NOT NULL) >= 50 AS sufficient FROM j GROUP BY GROUPING SETS ((archetype), ())", "crawl", "labelled"),
         "ev2_confusion": w(_J + "SELECT want_type, page_type, count(*) AS n, min(url) AS sample FROM j WHERE page_type <> want_type GROUP BY 1, 2", "crawl", "labelled"),
         "ev5_escalation_curve": w(_J + "SELECT threshold, count_if(score < threshold) / count(*)::DOUBLE AS escalated_share, coalesce(count_if(score >= threshold AND level = want_level AND page_type = want_type) / nullif(count_if(score >= threshold), 0), 0)::DOUBLE AS accuracy_of_rest FROM (SELECT *, unnest([0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95]::DOUBLE[]) AS threshold FROM j WHERE page_type IS NOT NULL) GROUP BY 1", "crawl", "labelled"),

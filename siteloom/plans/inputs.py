@@ -34,11 +34,11 @@ def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Classified pages: the even rows, every fifth also under a second spelling
-    with a deeper trail, every seventh with another page's address as canonical."""
+    """Classified pages, every fifth also under a second spelling with a deeper
+    trail, every seventh with another page's address as canonical."""
     i = F.col("page_id")
-    base = pages(spark, sf_dir).where(i % 2 == 0)
-    host, path = U.host_of(F.col("url")), U.path_of(F.col("url"))
+    base = pages(spark, sf_dir)
+    host, path = U.host_of("url"), U.path_of("url")
     first = F.coalesce(F.get(U.segments_of(path), F.lit(0)), F.lit("home"))
     label = F.substring_index(host, ".", 1)
     pick = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (n % len(names) + 1).cast("int"))
@@ -72,6 +72,12 @@ def crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crawled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a crawl that missed every other page holds: gaps are what resolution and
+    reconciliation are about."""
+    return crawl(spark, sf_dir).where("page_id % 2 = 0")
+
+
 def gsc(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
     clicks = i * 37 % 211
@@ -82,7 +88,7 @@ def gsc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ga4(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = F.col("page_id")
-    return pages(spark, sf_dir).where(i % 3 == 0).select(i.alias("ord"), U.path_of(F.col("url")).alias("path"), (i * 17 % 301).alias("sessions"))
+    return pages(spark, sf_dir).where(i % 3 == 0).select(i.alias("ord"), U.path_of("url").alias("path"), (i * 17 % 301).alias("sessions"))
 
 
 def frog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,7 +194,8 @@ VIEWS = {
   )""",
     "src": f"""SELECT page_id, url, {sql_host("url")} AS host, {sql_path("url")} AS path,
   split_part({sql_host("url")}, '.', 1) AS label, coalesce(list_extract({sql_segs(sql_path("url"))}, 1), 'home') AS first
-  FROM pages WHERE page_id % 2 = 0""",
+  FROM pages""",
+    "crawled": "SELECT * FROM crawl WHERE page_id % 2 = 0",
     "gsc": """SELECT page_id AS ord, url, page_id * 37 % 211 AS clicks, (page_id * 37 % 211) * 13 + page_id % 97 AS impressions,
   CAST(1 + page_id % 40 AS DOUBLE) AS position FROM pages""",
     "ga4": f"SELECT page_id AS ord, {sql_path('url')} AS path, page_id * 17 % 301 AS sessions FROM pages WHERE page_id % 3 = 0",
@@ -202,6 +209,8 @@ VIEWS = {
 def with_views(sql: str, *names: str) -> str:
     """``sql`` after the views that it reads."""
     wanted = list(names)
+    if "crawled" in wanted:
+        wanted.insert(0, "crawl")
     if "crawl" in wanted:
         wanted.insert(0, "src")
     recursive = "RECURSIVE " if sql.startswith("--recursive\n") else ""

@@ -17,14 +17,18 @@ from . import inputs as I
 
 
 class Audit:
-    """The steps of one audit, each made once; what several read is staged."""
+    """The steps of one audit.  Deduped pages, which every step reads, are staged;
+    resolved rows where several steps of a query read them (``shared``)."""
 
-    def __init__(self, spark, d):
-        self.spark, self.d = spark, d
+    def __init__(self, spark, d, shared=False):
+        self.spark, self.d, self.shared = spark, d, shared
+
+    def _kept(self, df):
+        return staged(df) if self.shared else df
 
     @cached_property
     def pages(self):
-        return staged(R.dedupe(I.crawl(self.spark, self.d)))
+        return staged(R.dedupe(I.crawled(self.spark, self.d)))
 
     @cached_property
     def exported(self):
@@ -41,15 +45,26 @@ class Audit:
 
     @cached_property
     def resolved(self):
-        return staged(R.resolve(self.exported, self.pages))
+        return self._kept(R.resolve(self.exported, self.pages))
 
     @cached_property
-    def ga4(self):
-        return staged(R.resolve(I.ga4(self.spark, self.d), self.pages, "path"))
+    def both(self):
+        """Rows of the export and of the analytics, resolved together."""
+        none = F.lit(None).cast("long")
+        own = self.exported.withColumn("sessions", none)
+        other = I.ga4(self.spark, self.d).select(
+            "ord", F.col("path").alias("url"), none.alias("clicks"), none.alias("impressions"), F.lit(None).cast("double").alias("position"), "sessions"
+        )
+        return R.resolve(own.unionByName(other), self.pages)
 
     @cached_property
     def metrics(self):
-        return P.page_metrics(self.resolved, self.ga4)
+        return P.page_metrics(self.both)
+
+    @cached_property
+    def found(self):
+        """Search figures alone, by page."""
+        return P.page_metrics(self.resolved.withColumn("sessions", F.lit(None).cast("long"))).drop("sessions")
 
     @cached_property
     def rollup(self):
@@ -57,9 +72,8 @@ class Audit:
 
     @cached_property
     def measured(self):
-        m = self.metrics.where("clicks is not null")
-        joined = self.pages.join(m, self.pages["url"] == m["page_url"])
-        return staged(joined.withColumn("position", F.coalesce(S.weighted_position(F.col("weight"), F.col("impressions")), F.lit(0.0))))
+        joined = self.pages.join(self.found, self.pages["url"] == self.found["page_url"])
+        return self._kept(joined.withColumn("position", F.coalesce(S.weighted_position(F.col("weight"), F.col("impressions")), F.lit(0.0))))
 
     @cached_property
     def share(self):
@@ -89,7 +103,7 @@ class Audit:
 
     @cached_property
     def ranked(self):
-        found = staged(self.orphans.union(self.buried).union(self.traps).union(self.subdomains).union(self.siblings))
+        found = self._kept(self.orphans.union(self.buried).union(self.traps).union(self.subdomains).union(self.siblings))
         return O.ranked(found)
 
 
@@ -101,19 +115,19 @@ def queries() -> dict:
         "pf4_resolve": lambda s, d: Audit(s, d).resolved.select("ord", "page_url", "via", "failure"),
         "pf5_resolution_report": lambda s, d: R.report(Audit(s, d).resolved),
         "pf6_page_metrics": lambda s, d: Audit(s, d).metrics,
-        "pf6_unattributed": lambda s, d: P.unattributed((a := Audit(s, d)).resolved, a.ga4),
+        "pf6_unattributed": lambda s, d: P.unattributed(Audit(s, d).both),
         "pf7_section_rollup": lambda s, d: Audit(s, d).rollup,
         "pf8_unmatched_groups": lambda s, d: P.unmatched_groups(Audit(s, d).resolved),
-        "pf9_matched_listing": lambda s, d: P.matched_listing((a := Audit(s, d)).pages, a.metrics),
+        "pf9_matched_listing": lambda s, d: P.matched_listing((a := Audit(s, d)).pages, a.found),
         "pf10_top_sections": lambda s, d: Audit(s, d).rollup.where("depth = 1").select("section", "clicks", "pages").orderBy(F.desc("clicks"), "section"),
         "op_1_orphan_share": lambda s, d: Audit(s, d).share,
         "op_2_orphan_with_traffic": lambda s, d: Audit(s, d).orphans,
         "op_3_buried_with_traffic": lambda s, d: Audit(s, d).buried,
         "op_4_indexed_trap": lambda s, d: Audit(s, d).traps,
         "op_5_indexed_subdomain": lambda s, d: Audit(s, d).subdomains,
-        "op_6_weak_sibling": lambda s, d: Audit(s, d).siblings,
-        "op_7_ranked": lambda s, d: Audit(s, d).ranked,
-        "op_8_report_order": lambda s, d: O.report_order(Audit(s, d).ranked).select("kind", "severity", "url", "score"),
+        "op_6_weak_sibling": lambda s, d: Audit(s, d, shared=True).siblings,
+        "op_7_ranked": lambda s, d: Audit(s, d, shared=True).ranked,
+        "op_8_report_order": lambda s, d: O.report_order(Audit(s, d, shared=True).ranked).select("kind", "severity", "url", "score"),
     }
 
 
@@ -122,7 +136,7 @@ _bare = lambda u: I.sql_norm_path(I.sql_path(u))
 _dom = lambda h: f"CASE WHEN len(string_split({h}, '.')) < 3 THEN {h} WHEN string_split({h}, '.')[-2] IN {I._in(U.SECOND_LEVEL)} THEN array_to_string(string_split({h}, '.')[-3:], '.') ELSE array_to_string(string_split({h}, '.')[-2:], '.') END"
 
 _CTES = f"""+pages_ AS (
-  SELECT * FROM (SELECT *, {_norm} AS key FROM crawl)
+  SELECT * FROM (SELECT *, {_norm} AS key FROM crawled)
   QUALIFY row_number() OVER (PARTITION BY key ORDER BY len(trail) DESC, ord) = 1
 ), claims AS (
   SELECT * FROM (
@@ -249,4 +263,4 @@ _TAIL = {
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: I.with_views(_CTES + tail, "crawl", "gsc", "ga4") for n, tail in _TAIL.items()}
+    return {n: I.with_views(_CTES + tail, "crawled", "gsc", "ga4") for n, tail in _TAIL.items()}

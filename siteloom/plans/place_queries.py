@@ -13,18 +13,18 @@ c = F.col
 
 
 def _menu(s, d):
-    """The first two folders of every seventh page, as a menu."""
-    p = I.pages(s, d).where("page_id % 7 = 0")
-    segs = U.path_segments(c("url"))
+    """The first or the first two folders of each page, as a menu; every third leads elsewhere."""
+    p = I.pages(s, d)
+    segs = U.path_segments("url")
     return p.select(
-        F.concat(F.lit("https://m.test/"), F.array_join(F.slice(segs, 1, F.when(c("page_id") % 2 == 0, 1).otherwise(2)), "/")).alias("url"),
+        F.concat(F.when(c("page_id") % 3 == 0, "https://m.test/other/").otherwise("https://m.test/"), F.array_join(F.slice(segs, 1, F.when(c("page_id") % 2 == 0, 1).otherwise(2)), "/")).alias("url"),
         F.transform(F.slice(segs, 1, F.when(c("page_id") % 2 == 0, 1).otherwise(2)), lambda x: F.upper(x)).alias("labels"),
         c("page_id").alias("ord"),
     )
 
 
 def _pages(s, d):
-    return I.crawl(s, d).where("ord % 2 = 0 and page_id % 3 <> 0")
+    return I.crawl(s, d).where("ord % 2 = 0")
 
 
 def _placed(s, d):
@@ -60,9 +60,9 @@ def queries() -> dict:
 
 _SEG = I.sql_segs(I.sql_path("url"))
 _N = "CASE WHEN page_id % 2 = 0 THEN 1 ELSE 2 END"
-_M = f"""+menu AS (SELECT key, labels, ord FROM (SELECT CASE WHEN len(g) = 0 THEN '/' ELSE '/' || lower(array_to_string(g, '/')) || '/' END AS key, list_transform(g, lambda x: upper(x)) AS labels, page_id AS ord
-  FROM (SELECT page_id, {_SEG}[1:{_N}] AS g FROM pages WHERE page_id % 7 = 0)) WHERE key <> '/' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1),
-pg AS (SELECT * FROM crawl WHERE ord % 2 = 0 AND page_id % 3 <> 0),
+_M = f"""+menu AS (SELECT key, labels, ord FROM (SELECT CASE WHEN page_id % 3 = 0 THEN '/other' ELSE '' END || CASE WHEN len(g) = 0 THEN '/' ELSE '/' || lower(array_to_string(g, '/')) || '/' END AS key, list_transform(g, lambda x: upper(x)) AS labels, page_id AS ord
+  FROM (SELECT page_id, {_SEG}[1:{_N}] AS g FROM pages)) WHERE key <> '/' QUALIFY row_number() OVER (PARTITION BY key ORDER BY ord) = 1),
+pg AS (SELECT * FROM crawl WHERE ord % 2 = 0),
 placed AS (SELECT p.url, p.trail AS old, m.labels, m.key AS mkey, {I.sql_norm_path(I.sql_path("p.url"))} AS pkey, p.page_type FROM pg p LEFT JOIN menu m ON starts_with({I.sql_norm_path(I.sql_path("p.url"))}, m.key)
   QUALIFY row_number() OVER (PARTITION BY p.url ORDER BY length(m.key) DESC NULLS LAST) = 1),
 shown AS (SELECT url, old, coalesce(labels, ['OTHERS', page_type]) AS trail, CASE WHEN labels IS NULL THEN 'unmatched' WHEN mkey = pkey THEN 'exact' ELSE 'inherited' END AS how FROM placed) """

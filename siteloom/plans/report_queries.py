@@ -40,10 +40,11 @@ def _findings(s, d):
 
 def queries() -> dict:
     return {
-        "cl10_affordable": lambda s, d: P.affordable(_pages(s, d), 0.5, 20.0).select("url"),
+        "cl10_affordable": lambda s, d: P.affordable(_pages(s, d).withColumn("cost", (c("page_id") % 4 + 1) / 10), 20.0, 0.1).select("url", "spent"),
         "cl14_levels": lambda s, d: P.level_counts(_pages(s, d)),
         "tr4_types_present": lambda s, d: _pages(s, d).select("page_type").distinct().orderBy("page_type"),
         "tr12_subtree": lambda s, d: P.subtree(_pages(s, d), ["blog"]).select("url"),
+        "tr12_ancestors": lambda s, d: P.ancestors(_pages(s, d), _pages(s, d).where("page_type = 'UNKNOWN'")).select(F.array_join("node", " > ").alias("node")),
         "tr13_child_paging": lambda s, d: P.child_page(_pages(s, d), 2, 1),
         "ev3_weakest": lambda s, d: P.weakest(A.accuracy(I.labels(s, d), _pages(s, d).select("page_id", "level", "page_type", "score"))),
         "ev6_corpus_coverage": lambda s, d: P.corpus_coverage(I.labels(s, d), s.range(8).select(F.concat(F.lit("archetype"), c("id").cast("string")).alias("archetype"))),
@@ -61,10 +62,11 @@ def oracle_sql() -> dict[str, str]:
     aq = audit_queries
     own = "array_to_string(CASE WHEN len(trail) > 0 THEN trail ELSE ['OTHERS'] END, ' > ')"
     return {
-        "cl10_affordable": w(f"SELECT url FROM {p} ORDER BY score, url LIMIT 40"),
+        "cl10_affordable": w(f"SELECT * FROM (SELECT url, round(sum((page_id % 4 + 1) / 10.0::DOUBLE) OVER (ORDER BY score, url ROWS UNBOUNDED PRECEDING), 9) AS spent FROM {p}) WHERE spent <= 20"),
         "cl14_levels": w(f"SELECT level, count(*) AS pages, count(*) FILTER (page_type = 'UNKNOWN') AS unknown FROM {p} GROUP BY 1"),
         "tr4_types_present": w(f"SELECT DISTINCT page_type FROM {p}"),
         "tr12_subtree": w(f"SELECT url FROM {p} WHERE trail[1] = 'blog'"),
+        "tr12_ancestors": w(f"SELECT DISTINCT array_to_string(trail[1:n], ' > ') AS node FROM (SELECT trail, unnest(range(0, len(trail) + 1)) AS n FROM {p} WHERE page_type = 'UNKNOWN')"),
         "tr13_child_paging": w(f"SELECT section, url, CAST(nr AS INTEGER) AS nr, greatest(n - 4, 0) AS left FROM (SELECT {own} AS section, url, row_number() OVER (PARTITION BY {own} ORDER BY url) AS nr, count(*) OVER (PARTITION BY {own}) AS n FROM {p}) WHERE nr BETWEEN 3 AND 4"),
         "ev3_weakest": w(aq._J + "SELECT arg_min(archetype, (r, archetype)) AS weakest, bool_and(e >= 50) AS trustworthy FROM (SELECT archetype, count(*) FILTER (page_type IS NOT NULL) AS e, count(*) FILTER (level = want_level AND page_type = want_type) / nullif(count(*) FILTER (page_type IS NOT NULL), 0) AS r FROM j GROUP BY 1) WHERE e > 0", "labelled"),
         "ev6_corpus_coverage": w("SELECT 'archetype' || i AS archetype, (SELECT count(*) FROM labelled WHERE archetype = 'archetype' || i) AS entries, greatest(50 - (SELECT count(*) FROM labelled WHERE archetype = 'archetype' || i), 0) AS shortfall FROM range(8) t(i)", "labelled"),

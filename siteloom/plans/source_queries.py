@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import functions as F
 
+from siteloom.functions import scalars as S
+from siteloom.functions import urls as U
 from siteloom.operators.staging import staged
 from siteloom.sources import bodies as B
 from siteloom.sources import html as H
@@ -17,10 +19,20 @@ c = F.col
 
 
 def _sitemaps(s, d):
-    loc = F.concat(F.lit("<url><loc> "), F.col("url"), F.lit(" </loc></url>"))
-    return I.pages(s, d).groupBy(F.floor(c("page_id") / 1000).alias("n")).agg(
+    """Sitemaps of a thousand pages each, with references and CDATA, below an index."""
+    n = c("page_id")
+    text = F.when(n % 3 == 0, F.concat(F.lit("<![CDATA["), F.col("url"), F.lit("]]>"))).otherwise(F.concat(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" ")))
+    loc = F.concat(F.lit("<url><loc> "), text, F.lit("</loc></url>"))
+    parts = I.pages(s, d).groupBy(F.floor(n / 1000).alias("n")).agg(
         F.concat(F.lit("<?xml?><urlset>"), F.array_join(F.array_sort(F.collect_list(loc)), ""), F.lit("</urlset>")).alias("body")
-    ).select(F.concat(F.lit("sitemap-"), c("n").cast("string"), F.lit(".xml")).alias("name"), "body")
+    ).select(F.concat(F.lit("https://s.test/sitemap-"), c("n").cast("string"), F.lit(".xml")).alias("name"), "body")
+    listed = F.concat(F.lit("<sitemap><loc>"), c("name"), F.lit("</loc></sitemap>"))
+    index = parts.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(listed), ""), F.lit("<sitemap><loc>https://s.test/index.xml</loc></sitemap></sitemapindex>")).alias("body"))
+    return parts.union(index.select(F.lit("https://s.test/index.xml").alias("name"), "body"))
+
+
+def _expanded(s, d):
+    return B.expanded_sitemaps(_sitemaps(s, d), s.range(1).select(F.lit("https://s.test/index.xml").alias("name")))
 
 
 def _listings(s, d):
@@ -38,11 +50,37 @@ def _shop(s, d):
 
 
 def _export(s, d):
+    """Two tables of an export with quoted cells, and one that lists something else."""
+    n = c("page_id")
+    german = F.concat_ws(";", F.concat(F.lit('"'), c("url"), F.lit('"')), F.concat((n % 7).cast("string"), F.lit(".123")), n.cast("string"), F.lit("1%"), F.concat((n % 40).cast("string"), F.lit(",5")))
+    english = F.concat_ws(",", c("url"), F.concat((n % 40).cast("string"), F.lit(".5")), F.lit('"1,234"'), n.cast("string"))
+    words = F.concat_ws(",", F.concat(F.lit("word "), n.cast("string")), F.lit("5,6,1%,2"))
+    head = s.createDataFrame(
+        [("de", -1, "Häufigste Seiten;Klicks;Impressionen;CTR;Position"), ("en", -1, "Top pages,Position,Clicks,Impressions"), ("words", -1, "Queries,Clicks,Impressions,CTR,Position")],
+        "file string, nr long, line string",
+    )
+    rows = I.pages(s, d).select(F.explode(F.array(F.struct(F.lit("de").alias("file"), n.alias("nr"), german.alias("line")), *[F.struct(F.lit(f).alias("file"), n.alias("nr"), x.alias("line")) for f, x in (("en", english), ("words", words))])).alias("r"))
+    return head.union(rows.select("r.*"))
+
+
+def _corpus(s, d):
+    """Label files: sites by host, some again in a later file."""
     n = c("page_id")
-    line = F.concat_ws(
-        ";", F.when(n % 50 == 0, F.lit("Top pages")).otherwise(c("url")), F.concat((n % 7).cast("string"), F.lit(".123")), n.cast("string"), F.lit("1%"), F.concat((n % 40).cast("string"), F.lit(",5"))
+    site = lambda add: F.struct(
+        U.host_of("url").alias("name"), F.lit("blog").alias("archetype"),
+        F.array(F.struct(c("url"), F.element_at(F.array(*map(F.lit, I.LEVELS)), ((n + add) % 4 + 1).cast("int")).alias("expected_level"), F.lit("UNKNOWN").alias("expected_page_type"))).alias("entries"),
+    )
+    return I.pages(s, d).select(
+        F.concat((n % 2).cast("string"), F.lit("-"), n.cast("string"), F.lit(".json")).alias("file"),
+        F.when(n % 2 == 0, F.to_json(site(0))).otherwise(F.to_json(F.array(site(1)))).alias("body"),
     )
-    return I.pages(s, d).select(line.alias("line"))
+
+
+def _worksheet(s, d):
+    n = c("page_id")
+    marks = F.element_at(F.array(*map(F.lit, ["yes", " OK", "no", ""])), (n % 4 + 1).cast("int"))
+    level = F.when(n % 5 == 0, "L9").otherwise(F.lower(F.lit("L3_LEAF_PAGE")))
+    return I.pages(s, d).select("url", marks.alias("reviewed"), level.alias("expected_level"), F.lit("UNKNOWN").alias("expected_page_type"))
 
 
 def _robots(s, d):
@@ -87,7 +125,13 @@ def queries() -> dict:
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
         "src4_wordpress_records": lambda s, d: B.wordpress_records(_listings(s, d)),
         "src5_shopify_records": lambda s, d: B.shopify_records(_shop(s, d)),
+        "src3_expanded_sitemaps": _expanded,
         "src7_search_export": lambda s, d: B.search_export(_export(s, d)),
+        "src7_rejected_rows": lambda s, d: B.rejected_rows(_export(s, d)),
+        "src8_picked_table": lambda s, d: B.pick_table(B.export_cells(_export(s, d))),
+        "src9_named_columns": lambda s, d: B.named_columns(B.export_cells(_export(s, d))),
+        "src11_label_corpus": lambda s, d: B.label_corpus(_corpus(s, d)),
+        "src12_reviewed_rows": lambda s, d: B.reviewed_rows(_worksheet(s, d), S.LEVELS, I.TYPES).select("url", "usable"),
         "src13_robots_rules": lambda s, d: B.robots_rules(_robots(s, d)),
         "st2_progress_rate": _progress,
         "st3_stream_counts": _stream_counts,
@@ -99,10 +143,16 @@ def oracle_sql() -> dict[str, str]:
     return {
         "htm2_nav_links": """SELECT url, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS nr, unnest(l) AS href, 0 AS depth
   FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS l FROM pages)""",
-        "src2_sitemap_entries": "SELECT DISTINCT 'sitemap-' || (page_id // 1000) || '.xml' AS name, 'URLSET' AS kind, url AS loc FROM pages",
+        "src2_sitemap_entries": "SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS name, 'URLSET' AS kind, url AS loc FROM pages UNION ALL SELECT 'https://s.test/index.xml', 'INDEX', x FROM (SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS x FROM pages UNION ALL SELECT 'https://s.test/index.xml')",
+        "src3_expanded_sitemaps": "SELECT DISTINCT url, 'sitemap-' || (page_id // 1000) || '.xml' AS sitemap_source FROM pages",
+        "src7_rejected_rows": "SELECT * FROM (VALUES ('de', 0::BIGINT), ('en', 0::BIGINT)) v(file, rejected) UNION ALL SELECT 'words' AS file, count(*) AS rejected FROM pages",
+        "src8_picked_table": "SELECT 'en' AS file, count(*) + 1 AS rows, count(*) / (count(*) + 1)::DOUBLE AS share FROM pages",
+        "src9_named_columns": "SELECT * FROM (VALUES ('de', true, 1, 2, 4), ('en', true, 2, 3, 1), ('words', true, 1, 2, 4)) v(file, header, clicks, impressions, position)",
+        "src11_label_corpus": f"SELECT {I.sql_host('url')} AS name, 'blog' AS archetype, url, {I.sql_pick(I.LEVELS, 'page_id + page_id % 2')} AS expected_level, 'UNKNOWN' AS expected_page_type FROM pages QUALIFY row_number() OVER (PARTITION BY {I.sql_host('url')} ORDER BY (page_id % 2) || '-' || page_id || '.json' DESC) = 1",
+        "src12_reviewed_rows": "SELECT url, page_id % 5 <> 0 AS usable FROM pages WHERE page_id % 4 < 2",
         "src4_wordpress_records": "WITH r AS (SELECT 'list' || (page_id // 500) AS endpoint, page_id AS id, url AS link, nullif(CASE WHEN page_id % 10 = 0 THEN 0 ELSE page_id - page_id % 10 END, 0) AS parent FROM pages) SELECT r.*, p.link AS parent_url, EXISTS (SELECT 1 FROM r x WHERE x.endpoint = r.endpoint AND x.parent = r.id) AS has_children FROM r LEFT JOIN r p ON p.endpoint = r.endpoint AND p.id = r.parent",
         "src5_shopify_records": "SELECT 'https://shop' || (page_id // 500) || '.test/products/item-' || page_id AS url, 'products' AS record_type, false AS has_children FROM pages",
-        "src7_search_export": "SELECT url, CAST((page_id % 7) * 1000 + 123 AS BIGINT) AS clicks, page_id AS impressions, (page_id % 40) + 0.5::DOUBLE AS position FROM pages WHERE page_id % 50 <> 0",
+        "src7_search_export": "SELECT 'de' AS file, url, CAST((page_id % 7) * 1000 + 123 AS BIGINT) AS clicks, page_id AS impressions, (page_id % 40) + 0.5::DOUBLE AS position FROM pages UNION ALL SELECT 'en', url, 1234, page_id, (page_id % 40) + 0.5::DOUBLE FROM pages",
         "src13_robots_rules": "SELECT 'h' || page_id AS host, agent, pattern, allow FROM pages, (VALUES ('*', 'x', false), ('bot', 'x', false), ('*', '/y', true), ('bot', '/y', true), ('other', '/', false)) v(agent, p0, allow), LATERAL (SELECT CASE WHEN p0 = 'x' THEN '/x' || page_id ELSE p0 END AS pattern)",
         "st1_confirmed_loops": f"SELECT tail FROM (SELECT url, array_to_string(g[-3:], '/') AS tail, len(g) AS depth FROM (SELECT url, {I.sql_segs(I.sql_path('url'))} AS g FROM (SELECT regexp_replace(url, '[?#].*$', '') || repeat('/q', CAST(page_id % 5 AS INTEGER)) || '/a/b/c/' AS url FROM pages))) GROUP BY 1 HAVING count(DISTINCT url) >= 25 AND count(DISTINCT depth) >= 4",
         "st3_stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import scalars as S
+from siteloom.functions import urls as U
+from siteloom.operators.staging import staged
+
+#: Words by which exports name their columns, in six languages (fixed values).
+CLICK_WORDS = ("click", "klick", "clic", "clique", "cliques", "クリック")
+IMPRESSION_WORDS = ("impression", "impressionen", "impresion", "impressão", "表示")
+POSITION_WORDS = ("position", "posición", "posição", "posizione", "掲載順位")
+#: Columns of an export whose header says nothing, and how many cells of a row are read.
+USUAL, MOST_CELLS, LEAST_SHARE = (0, 1, 2, 4), 32, 0.6
 
 MOST_LOCS, MOST_LISTINGS = 50_000, 40
 
 
+def _text(inner: Column) -> Column:
+    """The text of an element: a CDATA section as it is, else references decoded."""
+    cdata = F.regexp_extract(inner, r"(?s)<!\[CDATA\[(.*?)\]\]>", 1)
+    return F.trim(F.when(cdata != "", cdata).otherwise(U.unescape_markup(inner)))
+
+
 def sitemap_entries(bodies: DataFrame) -> DataFrame:
     """name, kind, loc, nr from name, body: distinct entries in order, at most 50 000 (the format's own limit)."""
     root = F.regexp_extract("body", r"(?is)<(?:\w+:)?(sitemapindex|urlset)\b", 1)
     locs = F.array_distinct(
         F.filter(
-            F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<(?:\w+:)?loc[^>]*>(.*?)</"), F.lit(1)), lambda x: F.trim(x)), lambda x: x != ""
+            F.transform(F.regexp_extract_all("body", F.lit(r"(?is)<(?:\w+:)?loc[^>]*>(.*?)</(?:\w+:)?loc\s*>"), F.lit(1)), _text), lambda x: x != ""
         )
     )
     return bodies.select(
@@ -59,15 +74,113 @@ def listing_pages(listings: DataFrame) -> DataFrame:
     return first.withColumn("nr", order).where(F.col("nr") <= MOST_LISTINGS)
 
 
+def export_cells(lines: DataFrame) -> DataFrame:
+    """file, nr, cells of rows (file, nr, line): quoted cells whole, by the delimiter
+    that the file's first lines hold more of; empty lines left out."""
+    count = lambda c: F.sum(F.when(F.col("nr") < 20, F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))))  )
+    marks = lines.groupBy("file").agg((F.coalesce(count(";"), F.lit(0)) > F.coalesce(count(","), F.lit(0))).alias("semicolons"))
+    schema = ", ".join(f"c{i} string" for i in range(MOST_CELLS))
+
+    def cells(sep: str) -> Column:
+        row = F.from_csv("line", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'})
+        return F.array(*[row[f"c{i}"] for i in range(MOST_CELLS)])
+
+    read = lines.where("trim(line) <> ''").join(marks, "file")
+    return read.select("file", "nr", F.when(F.col("semicolons"), cells(";")).otherwise(cells(",")).alias("cells"))
+
+
+def table_shares(cells: DataFrame) -> DataFrame:
+    """file, rows, share: how much of each table's first column are addresses."""
+    hit = F.count_if(F.coalesce(S.is_address(F.col("cells")[0]), F.lit(False)))
+    return cells.groupBy("file").agg(F.count("*").alias("rows"), (hit / F.count("*")).alias("share"))
+
+
+def pick_table(cells: DataFrame) -> DataFrame:
+    """One row: the file with the greatest share of addresses, of equals the longest;
+    none if the share is less than six tenths."""
+    return table_shares(cells).agg(F.max_by(F.struct("file", "rows", "share"), F.struct("share", "rows", "file")).alias("t")).select("t.*").where(F.col("share") >= LEAST_SHARE)
+
+
+def named_columns(cells: DataFrame) -> DataFrame:
+    """file, header, clicks, impressions, position: places (from 0) of each file's
+    columns by the words of its first row, the usual ones where it says nothing."""
+    first = cells.groupBy("file").agg(F.min_by("cells", "nr").alias("row"))
+    low = F.transform("row", lambda x: F.lower(F.trim(F.coalesce(x, F.lit("")))))
+
+    def find(words: tuple[str, ...]) -> Column:
+        named = F.transform(low, lambda x, i: F.when((i > 0) & x.rlike("|".join(words)), i))
+        return F.array_min(named)
+
+    address = F.coalesce(S.is_address(F.col("row")[0]), F.lit(False))
+    found = first.select("file", (~address).alias("header"), *[find(w).alias(n) for n, w in (("c", CLICK_WORDS), ("i", IMPRESSION_WORDS), ("p", POSITION_WORDS))])
+    named = F.col("header") & F.col("c").isNotNull() & F.col("i").isNotNull()
+    return found.select(
+        "file",
+        "header",
+        F.when(named, F.col("c")).otherwise(USUAL[1]).alias("clicks"),
+        F.when(named, F.col("i")).otherwise(USUAL[2]).alias("impressions"),
+        F.when(named, F.coalesce("p", F.lit(USUAL[3]))).otherwise(USUAL[3]).alias("position"),
+    )
+
+
 def search_export(lines: DataFrame) -> DataFrame:
-    """url, clicks, impressions, position from rows (line) of an export in the usual column order."""
-    cell = F.split("line", F.when(F.size(F.split("line", ";")) > F.size(F.split("line", ",")), ";").otherwise(","))
-    at = lambda i: F.get(cell, F.lit(i))
-    return lines.where(S.is_address(at(0))).select(
-        F.trim(at(0)).alias("url"), S.tolerant_int(at(1)).alias("clicks"), S.tolerant_int(at(2)).alias("impressions"), S.tolerant_decimal(at(4)).alias("position")
+    """file, url, clicks, impressions, position from rows (file, nr, line) of exports;
+    rows without an address are left out (``rejected_rows`` counts them)."""
+    cells = export_cells(lines)
+    at = lambda c: F.get(F.col("cells"), F.col(c))
+    rows = cells.where(S.is_address(F.col("cells")[0])).join(named_columns(cells), "file")
+    return rows.select(
+        "file",
+        F.trim(F.col("cells")[0]).alias("url"),
+        S.tolerant_int(at("clicks")).alias("clicks"),
+        S.tolerant_int(at("impressions")).alias("impressions"),
+        S.tolerant_decimal(at("position")).alias("position"),
     )
 
 
+def rejected_rows(lines: DataFrame) -> DataFrame:
+    """file, rejected: rows (but for a header) whose first cell is no address."""
+    cells = export_cells(lines)
+    bad = ~F.coalesce(S.is_address(F.col("cells")[0]), F.lit(False))
+    first = cells.groupBy("file").agg(F.min("nr").alias("first"))
+    return cells.join(first, "file").groupBy("file").agg(F.count_if(bad & (F.col("nr") > F.col("first"))).alias("rejected"))
+
+
+def expanded_sitemaps(bodies: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
+    """url, sitemap_source: pages of all sitemaps that the roots (name) lead to over
+    indexes, a level at a time; ``name`` of a body is its address, the source the
+    last part of it.  A sitemap that was met is not met again."""
+    entries = staged(sitemap_entries(bodies))
+    met = staged(roots.select("name").distinct())
+    frontier = met
+    for _ in range(most):
+        below = entries.where("kind = 'INDEX'").join(frontier, "name", "left_semi").select(F.col("loc").alias("name")).distinct()
+        frontier = staged(below.join(met, "name", "left_anti"))
+        if frontier.isEmpty():
+            break
+        met = staged(met.union(frontier))
+    pages = entries.where("kind = 'URLSET'").join(met, "name", "left_semi")
+    return pages.select(F.col("loc").alias("url"), F.substring_index("name", "/", -1).alias("sitemap_source"))
+
+
+def label_corpus(files: DataFrame) -> DataFrame:
+    """name, archetype, url, expected_level, expected_page_type from rows (file, body):
+    a JSON object or an array of them in each file; of sites of one name the one in the last file."""
+    site = "struct<name:string,archetype:string,entries:array<struct<url:string,expected_level:string,expected_page_type:string>>>"
+    one, many = F.from_json("body", site), F.from_json("body", f"array<{site}>")
+    listed = F.when(F.ltrim("body").startswith("["), many).otherwise(F.array(one))
+    sites = files.select("file", F.posexplode(listed).alias("nr", "s")).where("s.name is not null")
+    last = sites.groupBy("s.name").agg(F.max_by("s", F.struct("file", "nr")).alias("s"))
+    return last.select("s.name", "s.archetype", F.explode("s.entries").alias("e")).select("name", "archetype", "e.*")
+
+
+def reviewed_rows(sheet: DataFrame, levels: list[str], types: list[str]) -> DataFrame:
+    """Rows of a worksheet that a person has reviewed, with ``usable``: whether level and type are known ones."""
+    done = F.lower(F.trim("reviewed")).isin("y", "yes", "true", "1", "ok", "done")
+    good = F.upper(F.trim("expected_level")).isin(*levels) & F.upper(F.trim("expected_page_type")).isin(*types)
+    return sheet.where(done).withColumn("usable", F.coalesce(good, F.lit(False)))
+
+
 def robots_rules(files: DataFrame) -> DataFrame:
     """host, agent, pattern, allow from host, body: agents that follow each other share the rules below them."""
     from pyspark.sql import Window

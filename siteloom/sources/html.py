@@ -198,7 +198,7 @@ def section_labels(crumbs: DataFrame) -> DataFrame:
     """url, labels: crumbs without the root, the page itself and a last one without a link."""
     key = U.normalize_url(F.coalesce("target", F.lit("")))
     last = crumbs.groupBy("url").agg(F.max("nr").alias("last"))
-    rows = crumbs.join(last, "url").withColumn("own", F.col("target").isNotNull() & (key == U.normalize_url(F.col("url"))))
+    rows = crumbs.join(last, "url").withColumn("own", F.col("target").isNotNull() & (key == U.normalize_url("url")))
     root = F.col("target").isNotNull() & (U.match_key(F.coalesce("target", F.lit(""))) == "/")
     kept = rows.where(~root & ~F.col("own") & ~((F.col("nr") == F.col("last")) & F.col("target").isNull()))
     return kept.groupBy("url").agg(F.array_sort(F.collect_list(F.struct("nr", "label"))).alias("s")).select("url", F.col("s.label").alias("labels"))

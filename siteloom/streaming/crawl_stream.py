@@ -23,7 +23,7 @@ LOOP_URLS, LOOP_DEPTHS = 25, 4
 
 def link_counts(links: DataFrame) -> DataFrame:
     """Running inbound links of every address (update mode)."""
-    return links.groupBy(U.normalize_url(F.col("href")).alias("key")).agg(F.count("*").alias("inbound"))
+    return links.groupBy(U.normalize_url("href").alias("key")).agg(F.count("*").alias("inbound"))
 
 
 def hourly_fetches(log: DataFrame, late: str = "1 hour") -> DataFrame:
@@ -42,7 +42,7 @@ def confirm_loops(log: DataFrame) -> DataFrame:
     State of a tail: the addresses until it is confirmed (at most ``LOOP_URLS``
     and those of fewer depths), then only that it is.
     """
-    tails = log.select("url", U.tail_of(F.col("url")).alias("t")).where("t is not null").select("url", "t.*")
+    tails = log.select("url", U.tail_of("url").alias("t")).where("t is not null").select("url", "t.*")
 
     def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         done, urls, depths = state.get if state.exists else (False, [], [])
