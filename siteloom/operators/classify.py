@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
 
 # Weights of the five signals, by profile; the order breaks ties.
@@ -99,17 +102,60 @@ def consensus(signals: DataFrame, profile: str = "default", by: tuple[str, ...]
     ).select(*by, "b.level", "b.page_type", F.least(F.lit(1.0), F.col("b.s") / F.col("all")).alias("confidence"), F.col("b.n").alias("supporters"), "votes")
 
 
-def cascade(pages: DataFrame, voted: DataFrame) -> DataFrame:
-    """URL rule, then consensus, else unresolved."""
+def cascade(pages: DataFrame, voted: DataFrame, local: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
+    """URL rule, then consensus, then the vote of a local and of a paid classifier
+    where what stands is not sure enough, else unresolved; the pair made valid.
+
+    ``local`` and ``paid`` are votes (url, level, page_type, confidence) from
+    outside; see ``local_votes`` and ``batch_votes``.
+    """
+    vote_of = lambda method: F.when(
+        F.col("level").isNotNull(), F.struct("level", "page_type", "confidence", F.lit(method).alias("method"))
+    )
     rule = U.fast_path("url")
-    decided = pages.select("url", rule.alias("r"))
-    found = decided.join(voted, "url", "left")
-    return found.select(
-        "url",
-        F.coalesce("r.level", "level", F.lit("L3_LEAF_PAGE")).alias("level"),
-        F.coalesce("r.page_type", "page_type", F.lit("UNKNOWN")).alias("page_type"),
-        F.when(F.col("r").isNotNull(), FAST).otherwise(F.coalesce("confidence", F.lit(0.0))).alias("confidence"),
-        F.when(F.col("r").isNotNull(), "URL_RULE").when(F.col("confidence") >= ACCEPT, "LAYER1").when(F.col("confidence").isNotNull(), "WEIGHTED_CONSENSUS").otherwise("UNRESOLVED").alias("method"),
+    first = F.when(rule.isNotNull(), F.struct(rule["level"].alias("level"), rule["page_type"].alias("page_type"), F.lit(FAST).alias("confidence"), F.lit("URL_RULE").alias("method")))
+    found = pages.select("url", first.alias("first")).join(voted.select("url", vote_of("x").alias("v")), "url", "left")
+    consensus_ = F.when(
+        F.col("v").isNotNull(), F.col("v").withField("method", F.when(F.col("v.confidence") >= ACCEPT, "LAYER1").otherwise("WEIGHTED_CONSENSUS"))
+    )
+    found = found.select("url", F.coalesce("first", consensus_).alias("o"))
+    for votes, method in ((local, "LAYER2_LOCAL"), (paid, "LAYER3_PAID")):
+        if votes is not None:
+            more = votes.select("url", vote_of(method).alias("more"))
+            unsure = F.coalesce(F.col("o.confidence") < ACCEPT, F.lit(True))
+            found = found.join(more, "url", "left").select("url", F.when(unsure & F.col("more").isNotNull(), F.col("more")).otherwise(F.col("o")).alias("o"))
+    level, kind = F.coalesce("o.level", F.lit("L3_LEAF_PAGE")), F.coalesce("o.page_type", F.lit("UNKNOWN"))
+    repaired = S.repaired_pair(F.col("level"), F.col("page_type"))
+    plain = found.select("url", level.alias("level"), kind.alias("page_type"), F.coalesce("o.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("o.method", F.lit("UNRESOLVED")).alias("method"))
+    return plain.select("url", repaired["level"].alias("level"), repaired["page_type"].alias("page_type"), "confidence", "method")
+
+
+def local_votes(pages: DataFrame, classify: Column) -> DataFrame:
+    """Votes of a classifier that judges a page at a time: ``classify`` is a column
+    (of a pandas UDF, or of an expression) that gives level, page_type and
+    confidence, or null where it abstains."""
+    return pages.select("url", classify.alias("v")).where("v is not null").select("url", "v.level", "v.page_type", "v.confidence")
+
+
+def batch_votes(pages: DataFrame, classify: Callable) -> DataFrame:
+    """Votes of a classifier that takes pages by the batch: ``classify`` maps an
+    iterator of pandas frames (url and what ``pages`` has) to frames of votes."""
+    return pages.mapInPandas(classify, "url string, level string, page_type string, confidence double")
+
+
+def external_votes(pages: DataFrame, votes: DataFrame) -> DataFrame:
+    """Votes from outside, keyed by normal address (key, level, page_type, confidence), by page."""
+    return pages.select("url", U.normalize_url("url").alias("key")).join(votes, "key").select("url", "level", "page_type", "confidence")
+
+
+def weight_report(sites: DataFrame, adaptive: bool = False) -> DataFrame:
+    """site, applied, adaptive, detected: the weight profile in use, and the one that
+    the site's family (family, client_side) would have."""
+    return sites.select(
+        "site",
+        S.weight_profile(F.col("family"), F.col("client_side"), adaptive).alias("applied"),
+        F.lit(adaptive).alias("adaptive"),
+        S.weight_profile(F.col("family"), F.col("client_side"), True).alias("detected"),
     )
 
 
@@ -123,3 +169,17 @@ def summary(classified: DataFrame) -> DataFrame:
         F.count_if(F.col("page_type") == "UNKNOWN").alias("unknown"),
         F.count_if(F.col("confidence") < ACCEPT).alias("low_confidence"),
     )
+
+
+def resummarise(pages: DataFrame, orphans: int) -> DataFrame:
+    """The head figures of a changed set of pages (method, confidence, page_type);
+    ``orphans`` come from discovery, which a merge doesn't change."""
+    n, paid = F.count("*"), F.count_if(F.col("method") == "LAYER3_PAID")
+    return pages.agg(
+        n.alias("pages"),
+        paid.alias("escalated"),
+        S.share(paid.cast("double"), n, 0.0).alias("escalation_rate"),
+        F.count_if(F.col("page_type") == "UNKNOWN").alias("unknown"),
+        F.count_if(~S.confident(F.col("confidence"), F.col("page_type"))).alias("low_confidence"),
+        F.lit(orphans).cast("long").alias("orphans"),
+    )

@@ -20,6 +20,7 @@ def links(pages: DataFrame) -> DataFrame:
     """src, href of every link to a page of the same site, once for each page."""
     found = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("raw"))
     found = found.select("src", U.unescape_markup(F.regexp_replace("raw", "^[\"']|[\"']$", "")).alias("raw"))
+    found = found.distinct()  # links that repeat on a page; also deals what few files hold over the tasks
     usable = found.where(~F.col("raw").rlike(SCHEMES) & (F.trim("raw") != ""))
     made = usable.select("src", U.join_href(F.col("raw"), F.col("src")).alias("href"))
     here = made.where(F.col("href").rlike("(?i)^https?://") & U.same_site(F.col("src"), F.col("href")) & U.is_crawlable("href"))
@@ -88,6 +89,37 @@ def loops(urls: DataFrame, least: int = LOOP_URLS, depths: int = LOOP_DEPTHS) ->
     )
 
 
+def evidence(nodes: DataFrame, bodies: DataFrame, crumbs: DataFrame, degrees_: DataFrame) -> DataFrame:
+    """What classification sees of each node (key, url and its sources): its body (key,
+    html), its breadcrumb labels (url, labels), its links (key, inbound, outbound) and
+    the size of the crawl."""
+    size = nodes.agg(F.count("*").alias("total_pages"))
+    none = F.array().cast("array<string>")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    joined = nodes.join(bodies, "key", "left").join(degrees_.select("key", "inbound", "outbound"), "key", "left").join(crumbs, "url", "left")
+    return joined.crossJoin(F.broadcast(size)).select(  # one row
+        *nodes.columns, "html", F.coalesce("labels", none).alias("breadcrumb"), zero("inbound"), zero("outbound"), "total_pages"
+    )
+
+
+def site_profiles(probes: DataFrame) -> DataFrame:
+    """site, family, client_side, has_catalogue, locales from stored probes (site, path,
+    status, body): what answers with JSON, what the home page is made of, and the
+    first folders of the sitemaps that robots.txt names."""
+    ok = (F.col("status") == 200) & (F.trim("body") != "")
+    json = ok & F.coalesce(F.json_array_length("body").isNotNull() | F.json_object_keys("body").isNotNull(), F.lit(False))
+    at = lambda *paths: F.col("path").isin(*paths)
+    maps = F.when(at("/robots.txt") & ok, F.regexp_extract_all("body", F.lit(r"(?im)^\s*sitemap:\s*(\S+)"), F.lit(1)))
+    found = F.filter(F.transform(maps, lambda u: U.locale_of(u)), lambda x: x.isNotNull())
+    by = probes.groupBy("site").agg(
+        F.bool_or(at("/wp-json/wp/v2/types") & json).alias("wordpress"),
+        F.bool_or(at("/products.json", "/collections.json") & json).alias("has_catalogue"),
+        F.bool_or(at("/") & ok & S.is_client_rendered(F.col("body"))).alias("client_side"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(found)))).alias("locales"),
+    )
+    return by.select("site", S.cms_family(F.col("wordpress"), F.col("has_catalogue"), F.col("client_side")).alias("family"), "client_side", "has_catalogue", "locales")
+
+
 def report(nodes: DataFrame) -> DataFrame:
     n = F.count_if
     return nodes.agg(

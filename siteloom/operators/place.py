@@ -42,6 +42,39 @@ def better_trail(pages: DataFrame) -> DataFrame:
     return pages.select("url", trail.alias("trail"), source.alias("source"))
 
 
+def own_breadcrumb(pages: DataFrame) -> DataFrame:
+    """``pages`` (own_breadcrumb, trail_source, trail) with ``breadcrumb``: what a page
+    says of itself; where that was not stored, its trail if a breadcrumb placed it."""
+    none = F.array().cast("array<string>")
+    stored = F.when(F.coalesce(F.size("own_breadcrumb"), F.lit(0)) > 0, F.col("own_breadcrumb"))
+    return pages.withColumn("breadcrumb", F.coalesce(stored, F.when(F.col("trail_source") == "breadcrumb", F.col("trail")), none))
+
+
+def place_pages(pages: DataFrame, menu: DataFrame) -> DataFrame:
+    """url, trail, trail_source of every page (url, page_type, own_breadcrumb,
+    trail_source, trail) by the menu and its own breadcrumb.  Its result, with the
+    stored breadcrumbs, may be placed again and stays the same."""
+    own = own_breadcrumb(pages).select("url", "page_type", "breadcrumb")
+    by_menu = place(pages, menu).select("url", F.col("trail").alias("menu_trail"))
+    return better_trail(own.join(by_menu, "url")).withColumnRenamed("source", "trail_source")
+
+
+def merged(pages: DataFrame, missed: DataFrame, menu: DataFrame) -> DataFrame:
+    """url, page_type, level, confidence, method, trail, trail_source, added: the pages
+    and those that a reconciliation found missing (url, inlinks), classified by what
+    is known of them and placed with all others under the same menu."""
+    from . import classify as C
+
+    total = pages.count() + missed.count()
+    votes = C.collect(missed, C.degree_vote(F.col("inlinks"), F.lit(total)))
+    new = C.cascade(missed, C.consensus(votes))
+    none = F.array().cast("array<string>")
+    added = new.select("*", none.alias("own_breadcrumb"), F.lit("none").alias("trail_source"), none.alias("trail"), F.lit(True).alias("added"))
+    both = pages.withColumn("added", F.lit(False)).unionByName(added)
+    placed = place_pages(both, menu)
+    return both.drop("trail", "trail_source", "own_breadcrumb").join(placed, "url")
+
+
 def coverage(placed: DataFrame) -> DataFrame:
     n = lambda how: F.count_if(F.col("how") == how)
     return placed.agg(

@@ -6,9 +6,10 @@ A page is parsed by itself, in its task; jobs are ``pages(url, html) -> rows``.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin
+from urllib.parse import urljoin, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -106,6 +107,15 @@ def schema_votes(pages: DataFrame) -> DataFrame:
     return first.select("url", C.vote("JSONLD", F.substring_index("pair", "|", 1), F.substring_index("pair", "|", -1), 0.80).alias("v")).select("url", "v.*")
 
 
+#: Attributes by which markup states the level of a menu entry.
+LEVELS = ("data-menu-level", "data-level", "aria-level")
+
+
+def leads_on(href: str) -> bool:
+    """Whether a link leads to a page, and not to a place in this one or to a program."""
+    return bool(href.strip()) and not href.strip().lower().startswith(("#", "javascript:", "mailto:", "tel:", "data:", "sms:"))
+
+
 class _Nav(HTMLParser):
     """Links inside navigation landmarks with their depth in nested lists."""
 
@@ -121,7 +131,8 @@ class _Nav(HTMLParser):
         elif self.inside and tag in ("ul", "ol"):
             self.lists += 1
         elif self.inside and tag == "a" and given.get("href"):
-            self.open = [given["href"], "", max(0, self.lists - 1)]
+            level = next((given[a] for a in LEVELS if given.get(a)), "")
+            self.open = [given["href"], "", max(0, self.lists - 1), level.strip() in ("0", "1")]
 
     def handle_data(self, data):
         if self.open is not None:
@@ -129,8 +140,8 @@ class _Nav(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "a" and self.open is not None:
-            href, text, depth = self.open
-            self.found.append((href, " ".join(text.split()), depth))
+            href, text, depth, top = self.open
+            self.found.append((href, " ".join(text.split()), depth, top))
             self.open = None
         elif self.inside and tag in ("ul", "ol"):
             self.lists = max(0, self.lists - 1)
@@ -140,41 +151,78 @@ class _Nav(HTMLParser):
             self.lists = 0 if not self.inside else self.lists
 
 
-def _nav(html: str) -> list[tuple[str, str, int]]:
+def _nav(html: str) -> list[tuple[str, str, int, bool]]:
     parser = _Nav()
     parser.feed(html or "")
     return parser.found
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
-    """url, nr, href, label, depth of links in navigation landmarks."""
-    rows = lambda _, html: [(i, *f) for i, f in enumerate(_nav(html))]
+    """url, nr, href, label, depth of links to pages in navigation landmarks."""
+    rows = lambda _, html: [(i, *f[:3]) for i, f in enumerate(x for x in _nav(html) if leads_on(x[0]))]
     return _by_page(pages.where(F.col("html").rlike(r"(?i)<nav\b|role\s*=\s*[\"']navigation")), F.col("html"), rows, "url string, nr int, href string, label string, depth int")
 
 
+def _site(url: str) -> str:
+    """The host of an address as ``functions.urls.site_host`` has it."""
+    try:
+        return (urlsplit(url).hostname or "").removeprefix("www.")
+    except ValueError:
+        return ""
+
+
+def _declared_menu(url: str, html: str) -> Iterator[tuple[str, str]]:
+    """Names and targets of JSON-LD navigation elements, for menus that a script draws."""
+    for node in (n for d in _documents(re.findall(BLOCKS, html or "")) for n in _nodes(d)):
+        kinds = node.get("@type")
+        if "SiteNavigationElement" in (kinds if isinstance(kinds, list) else [kinds]):
+            names, targets = (v if isinstance(v, list) else [v] for v in (node.get("name"), node.get("url")))
+            for name, target in zip(names, targets, strict=False):
+                if isinstance(name, str) and isinstance(target, str) and name.strip() and leads_on(target):
+                    yield " ".join(name.split()), urljoin(url, target)
+
+
 def menu(homepages: DataFrame) -> DataFrame:
     """url (of the home page), ord, target, labels: the menu as label paths, at most
-    2000 entries three deep, each target once, of the same site."""
+    2000 entries three deep, each target once, of the same site; entries that the
+    markup calls top-level are roots; without links, the menu that JSON-LD declares."""
 
     def rows(url: str, html: str):
         path: list[str] = []
         seen: set[str] = set()
-        for href, label, depth in _nav(html)[:MOST_NAV]:
+        lifted: dict[str, int] = {}
+        site = _site(url)
+        for href, label, depth, top in _nav(html):
             target = urljoin(url, href)
             path = [*path[: min(depth, NAV_DEPTH - 1)], label]
-            if label and target not in seen:
-                seen.add(target)
-                yield len(seen), target, "\x1f".join(path)
+            if not (label and leads_on(href) and _site(target) == site) or target in seen:
+                continue
+            if len(seen) >= MOST_NAV:
+                break
+            seen.add(target)
+            # an entry that the markup calls top-level is a root, with what lies below it
+            above = [k for k in range(len(path)) if "\x1f".join(path[: k + 1]) in lifted]
+            if top and depth:
+                lifted["\x1f".join(path)] = depth
+                above = [len(path) - 1]
+            yield len(seen), target, "\x1f".join(path[above[-1] :] if above else path)
+        if not seen:
+            for name, target in _declared_menu(url, html):
+                if target not in seen and _site(target) == site:
+                    seen.add(target)
+                    yield len(seen), target, name
 
     flat = _by_page(homepages, F.col("html"), rows, "url string, ord int, target string, labels string")
     return flat.where(U.same_site(F.col("url"), F.col("target"))).withColumn("labels", F.split("labels", "\x1f"))
 
 
 def breadcrumbs(pages: DataFrame) -> DataFrame:
-    """url, nr, label, target: the longest JSON-LD breadcrumb list, by position if all have one, at most 12 steps."""
+    """url, nr, label, target: the longest JSON-LD breadcrumb list, by position if all
+    have one, else the trail that the page shows; at most 12 steps."""
 
-    def rows(url: str, blocks: list[str]):
-        lists = [n for d in _documents(blocks) for n in _nodes(d) if n.get("@type") == "BreadcrumbList" and isinstance(n.get("itemListElement"), list)]
+    def rows(url: str, html: str):
+        blocks = re.findall(BLOCKS, html or "")
+        lists = [n for d in _documents(blocks) for n in _nodes(d) if "BreadcrumbList" in _kinds(n) and isinstance(n.get("itemListElement"), list)]
         best: list[tuple] = []
         for one in lists:
             steps = []
@@ -188,10 +236,54 @@ def breadcrumbs(pages: DataFrame) -> DataFrame:
             if all(isinstance(s[0], int) for s in steps):
                 steps.sort(key=lambda s: s[0])
             best = steps if len(steps) > len(best) else best
-        return [(i, label, target) for i, (_, label, target) in enumerate(best[:MOST_CRUMBS])]
+        steps = [(label, target) for _, label, target in best] or _shown_trail(url, html)
+        return [(i, label, target) for i, (label, target) in enumerate(steps[:MOST_CRUMBS])]
 
-    blocks = F.regexp_extract_all("html", F.lit(BLOCKS), F.lit(1))
-    return _by_page(pages.where(F.col("html").contains("BreadcrumbList")), blocks, rows, "url string, nr int, label string, target string")
+    some = pages.where(F.col("html").rlike("(?i)breadcrumb"))  # all others stay in the JVM
+    return _by_page(some, F.col("html"), rows, "url string, nr int, label string, target string")
+
+
+def _kinds(node: dict) -> list:
+    kinds = node.get("@type")
+    return kinds if isinstance(kinds, list) else [kinds]
+
+
+class _Trail(HTMLParser):
+    """The texts, and links, inside the first element that is called a breadcrumb."""
+
+    VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.level, self.done, self.href, self.steps = 0, False, None, []
+
+    def handle_starttag(self, tag, attrs):
+        given = {k: v or "" for k, v in attrs}
+        if self.level:
+            self.level += tag not in self.VOID
+            if tag == "a":
+                self.href = given.get("href")
+        elif not self.done and tag not in self.VOID and "breadcrumb" in f"{given.get('aria-label', '')} {given.get('class', '')} {given.get('id', '')}".lower():
+            self.level = 1
+
+    def handle_endtag(self, tag):
+        if self.level and tag not in self.VOID:
+            self.level -= 1
+            self.done = self.level == 0
+            self.href = None if tag == "a" else self.href
+
+    def handle_data(self, data):
+        label = " ".join(data.split())
+        if self.level and label.strip("/>|»›·→ "):
+            self.steps.append((label, self.href))
+
+
+def _shown_trail(url: str, html: str) -> list[tuple[str, str | None]]:
+    """The trail as the page shows it; a single step is none."""
+    parser = _Trail()
+    parser.feed(html or "")
+    steps = [(label, urljoin(url, href) if href and leads_on(href) else None) for label, href in parser.steps]
+    return steps if len(steps) > 1 else []
 
 
 def section_labels(crumbs: DataFrame) -> DataFrame:
