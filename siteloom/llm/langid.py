@@ -210,14 +210,14 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE) -> Model:
     """A model from about ``sample`` rows of each language at most.
 
-    The sample is by a hash of the row, at a rate that the number of rows of the
-    language gives, and rows that repeat count once; feature counts are summed by
+    The sample is by a hash of the row, at a rate that the number of different rows of
+    the language gives, and rows that repeat count once; feature counts are summed by
     Spark and the driver gets one row of ``FEATURES`` counts for each language.
     """
     rows = labelled.select(
         F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, text).alias("h")
     ).where("text is not null and lang is not null")
-    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    known = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     if not known:
         return Model([], np.zeros((0, FEATURES)), np.zeros((0, N_SCRIPTS)))
     limit = F.create_map(*[F.lit(x) for k, n in known.items() for x in (k, sample_limit(sample, n))])
