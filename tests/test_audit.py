@@ -11,7 +11,8 @@ from siteloom.plans import registry
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CHOSEN = [
     "url5_normalize_url", "url20_fast_path", "fn11_repaired_pair", "pf4_resolve", "pf7_section_rollup", "pf8_unmatched_groups", "op_7_ranked",
-    "gr2_merged_nodes", "gr4_degrees", "gr10_loops", "cl7_consensus", "cl8_cascade", "rc1_reconcile", "ev1_accuracy", "tr1_path_tree",
+    "gr2_merged_nodes", "gr4_degrees", "gr10_loops", "cl7_consensus", "cl8_all_layers", "rc1_reconcile", "ev1_accuracy", "tr1_path_tree",
+    "url3_decode_path", "src7_search_export", "src3_expanded_sitemaps", "pl5_placed_pages", "rc6_merged", "tr5_nav_tree", "gr11_evidence", "htm4_declared_roots", "snk4_unmatched", "ud2_batch_votes",
 ]
 
 

@@ -50,9 +50,30 @@ def test_malformed(spark):
     assert values(spark, ["https://e.com/%20x", "https://e.com/%3Ca", "https://e.com/a b"], U.is_malformed) == [True, True, False]
 
 
+def test_decode_by_runs(spark):
+    pairs = {"/a%20b/%FF": "/a b/%FF", "/100%/%6D": "/100%/m", "/%2F%41%2f": "/%2FA%2f", "/%C3%A9%E2%80%91": "/é‑", "/plain+x": "/plain+x", "/%zz": "/%zz"}
+    assert values(spark, list(pairs), U.decode_path) == list(pairs.values())
+    assert values(spark, ["https://e.com/%3Ca/100%", "https://e.com/%FF"], U.is_malformed) == [True, False]
+
+
+def test_dot_segments(spark):
+    base = F.lit("https://e.com/a/b/c/d/e/f?x=1")
+    hrefs = ["/a/../b", "../../../../../x", "../../../../../../../x", "q?u=/a/../b", "./g/.", "/a/./b/../c?y"]
+    want = ["/b", "/x", "/x", "/a/b/c/d/e/q?u=/a/../b", "/a/b/c/d/e/g/", "/a/c?y"]
+    assert values(spark, hrefs, lambda h: U.join_href(h, base)) == [f"https://e.com{w}" for w in want]
+
+
+def test_kept_columns_are_the_same(spark):
+    rows = spark.createDataFrame([("http://WWW.Ex.com/A//b?b=2&a=1#f",)], "url string")
+    for f in (U.normalize_url, U.path_key, U.match_key, U.host_of, U.tail_of, U.locale_of):
+        a, b = rows.select(f("url").alias("a"), f(F.col("url")).alias("b")).first()
+        assert a == b and f("url") is f("url")
+
+
 def test_numbers(spark):
     assert values(spark, ["1,234", "1.234", "-", None], S.tolerant_int) == [1234, 1234, 0, 0]
-    assert values(spark, ["1.234,5", "12,34", "x"], S.tolerant_decimal) == [1234.5, 12.34, 0.0]
+    assert values(spark, ["1.234,5", "12,34", "x", "-5,0"], S.tolerant_decimal) == [1234.5, 12.34, 0.0, 0.0]
+    assert values(spark, ["", "abc", None], S.tokens) == [0, 1, None]
 
 
 def test_join_href(spark):
@@ -68,6 +89,6 @@ def test_whole_paths_and_pages(spark, tmp_path):
     body = "<br>" * 150 + "<p>" + "plain words of a page " * 200 + "</p>"
     spark.createDataFrame([(12, "https://e.com/" + "a" * 600, body)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     (path,) = Q.queries()["url3_decode_path"](spark, str(tmp_path)).collect()
-    assert path["value"] == "/" + "a" * 600 + "%41%C3%A9%2Fx%"
+    assert path["value"] == "/" + "a" * 600 + "Aé%2Fx%"
     (page,) = Q.queries()["fn13_client_rendered"](spark, str(tmp_path)).collect()
     assert page["value"] is False

@@ -36,10 +36,42 @@ def test_sitemap_bodies(spark):
     assert [(r["name"], r["kind"], r["loc"]) for r in got] == [("i", "INDEX", "a"), ("i", "INDEX", "b")]
 
 
-def test_search_export_skips_other_rows(spark):
-    lines = [("Top pages,Clicks,Impressions,CTR,Position",), ("https://e.com/,5,10,50%,1.5",), ("/a;1.234;2;1%;12,5",), (None,)]
-    got = B.search_export(spark.createDataFrame(lines, "line string")).collect()
-    assert [tuple(r) for r in got] == [("https://e.com/", 5, 10, 1.5), ("/a", 1234, 2, 12.5)]
+def test_search_export(spark):
+    """Quoted cells, localised headers, a delimiter for each file, and rows that are no addresses."""
+    lines = [
+        ("en", 0, "Top pages,Clicks,Impressions,CTR,Position"), ("en", 1, '"https://e.com/a,b","1,234",10,50%,1.5'), ("en", 2, "https://e.com/,5,10,50%,-1.5"), ("en", 3, "total,1,2,3,4"),
+        ("de", 0, "Häufigste Seiten;Impressionen;Klicks;CTR;Position"), ("de", 1, "/a;1.234;2;1%;12,5"), ("de", 2, ""), ("none", 0, "/b,1,2,3%,4"), ("none", 1, None),
+        ("words", 0, "Queries,Clicks"), ("words", 1, "shoes,5"),
+    ]
+    made = spark.createDataFrame(lines, "file string, nr long, line string")
+    got = {tuple(r) for r in B.search_export(made).collect()}
+    assert got == {("en", "https://e.com/a,b", 1234, 10, 1.5), ("en", "https://e.com/", 5, 10, 0.0), ("de", "/a", 2, 1234, 12.5), ("none", "/b", 1, 2, 4.0)}
+    assert {tuple(r) for r in B.rejected_rows(made).collect()} == {("en", 1), ("de", 0), ("none", 0), ("words", 1)}
+    assert B.pick_table(B.export_cells(made)).first()["file"] == "none"
+    assert B.pick_table(B.export_cells(made.where("file = 'words'"))).count() == 0
+    assert B.search_export(made.limit(0)).count() == 0
+
+
+def test_sitemap_text(spark):
+    body = "<urlset><url><loc>https://e.com/?a=1&amp;b=2</loc></url><url><loc><![CDATA[https://e.com/c?x&y]]></loc></url></urlset>"
+    got = B.sitemap_entries(spark.createDataFrame([("u", body)], "name string, body string")).collect()
+    assert [r["loc"] for r in got] == ["https://e.com/?a=1&b=2", "https://e.com/c?x&y"]
+
+
+def test_links(spark):
+    html = '<a href="/q?a=1&amp;b=2">x</a><a class=c href=/plain>y</a><A HREF=\'/s\'>z</a><a href="/a/../b">d</a><a href="mailto:x@y">m</a>'
+    got = G.links(spark.createDataFrame([("https://e.com/d/", html)], "url string, html string")).collect()
+    assert {r["href"] for r in got} == {"https://e.com/q?a=1&b=2", "https://e.com/plain", "https://e.com/s", "https://e.com/b"}
+
+
+def test_placement_is_idempotent(spark):
+    menu = spark.createDataFrame([("https://e.com/a", ["A"], 1)], "url string, labels array<string>, ord long")
+    rows = [("https://e.com/a/x", "T", None, "none", []), ("https://e.com/b", "T", ["p", "q"], "none", []), ("https://e.com/c", "T", None, "none", [])]
+    pages = spark.createDataFrame(rows, "url string, page_type string, own_breadcrumb array<string>, trail_source string, trail array<string>")
+    once = L.place_pages(pages, menu)
+    assert {tuple(map(str, r)) for r in once.collect()} == {("https://e.com/a/x", "['A']", "menu"), ("https://e.com/b", "['p', 'q']", "breadcrumb"), ("https://e.com/c", "['OTHERS', 'T']", "none")}
+    again = L.place_pages(pages.select("url", "page_type", "own_breadcrumb").join(once, "url"), menu)
+    assert {tuple(map(str, r)) for r in again.collect()} == {tuple(map(str, r)) for r in once.collect()}
 
 
 def test_robots_longest_rule(spark):
@@ -58,4 +90,5 @@ def test_bfs_stops(spark):
 def test_result_round_trip(spark, tmp_path):
     L.write_result(spark.range(3), f"{tmp_path}/jobs", "one")
     L.write_result(spark.range(5), f"{tmp_path}/jobs", "two")
-    assert L.read_result(spark, f"{tmp_path}/jobs", "one").count() == 3
+    L.write_result(spark.range(3), f"{tmp_path}/jobs", "one")  # run again
+    assert L.read_result(spark, f"{tmp_path}/jobs", "one").count() == 3 and L.read_result(spark, f"{tmp_path}/jobs", "two").count() == 5
