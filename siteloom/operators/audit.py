@@ -110,6 +110,20 @@ def accuracy(labels: DataFrame, predictions: DataFrame, threshold: float = 0.85)
     )
 
 
+def profile_accuracy(labels: DataFrame, pages: DataFrame, voted: DataFrame, profiles: list[str]) -> DataFrame:
+    """profile, evaluated, level_hits, type_hits, exact_hits, exact_rate over the labelled
+    pages, the best first.  ``voted`` are consensus rows by profile; a page without one
+    counts as an unknown leaf."""
+    rows = labels.join(pages.select("page_id", "url"), "page_id").withColumn("profile", F.explode(F.array(*map(F.lit, profiles))))
+    found = rows.join(voted.select("profile", "url", "level", "page_type"), ["profile", "url"], "left")
+    level = F.coalesce("level", F.lit("L3_LEAF_PAGE")) == F.col("want_level")
+    kind = F.coalesce("page_type", F.lit("UNKNOWN")) == F.col("want_type")
+    by = found.groupBy("profile").agg(
+        F.count("*").alias("evaluated"), F.count_if(level).alias("level_hits"), F.count_if(kind).alias("type_hits"), F.count_if(level & kind).alias("exact_hits")
+    )
+    return by.withColumn("exact_rate", S.share(F.col("exact_hits").cast("double"), F.col("evaluated"), 0.0)).orderBy(F.desc("exact_rate"), "profile")
+
+
 def confusion(labels: DataFrame, predictions: DataFrame) -> DataFrame:
     wrong = labels.join(predictions, "page_id").where("page_type <> want_type")
     return wrong.groupBy("want_type", "page_type").agg(F.count("*").alias("n"), F.min("url").alias("sample"))

@@ -12,6 +12,8 @@ from siteloom.functions import urls as U
 
 # Weights of the five signals, by profile; the order breaks ties.
 SOURCES = ["CMS", "ARIA", "SITEMAP", "JSONLD", "IN_DEGREE"]
+#: Their names in listings.
+SOURCE_NAMES = ["CMS_API_ENDPOINT", "ARIA_NAV_TREE", "SITEMAP_INDEX", "SCHEMA_JSONLD", "LINK_IN_DEGREE"]
 WEIGHTS = {
     "default": [0.30, 0.25, 0.20, 0.15, 0.10],
     "wordpress": [0.38, 0.20, 0.24, 0.12, 0.06],
@@ -92,8 +94,18 @@ def consensus(signals: DataFrame, profile: str = "default", by: tuple[str, ...]
     A source of weight 0 has no part in it.
     """
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS[profile])), F.col("source") + 1)
-    w = signals.withColumn("w", weight).where("w > 0")
-    sums = w.groupBy(*by, "level", "page_type").agg(
+    return _weighed(signals.withColumn("w", weight), by)
+
+
+def consensus_by_profile(signals: DataFrame) -> DataFrame:
+    """The consensus under each profile's weights, with ``profile``; signals are read once."""
+    each = [F.struct(F.lit(name).alias("profile"), F.array(*map(F.lit, weights)).alias("weights")) for name, weights in WEIGHTS.items()]
+    rows = signals.withColumn("p", F.explode(F.array(*each)))
+    return _weighed(rows.select("*", "p.profile", F.element_at("p.weights", F.col("source") + 1).alias("w")), ("profile", "url"))
+
+
+def _weighed(signals: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    sums = signals.where("w > 0").groupBy(*by, "level", "page_type").agg(
         F.round(F.sum(F.col("w") * F.col("confidence")), 12).alias("s"), F.sum("w").alias("own"), F.min("source").alias("first"), F.count("*").alias("n")
     )
     best = F.struct("s", (-F.col("first")).alias("f"))

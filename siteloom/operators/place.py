@@ -106,9 +106,26 @@ def section_counts(pages: DataFrame) -> DataFrame:
     return spread.groupBy("node").agg(F.count("*").alias("pages")).select(F.array_join("node", " > ").alias("node"), "pages")
 
 
-def worksheet(pages: DataFrame) -> DataFrame:
-    """Draft labels, hardest first."""
-    return pages.select("url", F.col("level").alias("suggested_level"), F.col("page_type").alias("suggested_page_type"), F.bround("score", 3).alias("confidence")).orderBy("confidence", "url")
+def worksheet(pages: DataFrame, signals: DataFrame) -> DataFrame:
+    """Draft labels, hardest first, with the names of the signals that a page has and
+    empty columns for the reviewer."""
+    from . import classify as C
+
+    name = F.element_at(F.array(*map(F.lit, C.SOURCE_NAMES)), F.col("source") + 1)
+    heard = signals.groupBy("url").agg(F.array_join(F.array_sort(F.collect_set(name)), "|").alias("signals"))
+    blank = [F.lit("").alias(n) for n in ("reviewed", "expected_level", "expected_page_type", "notes")]
+    return (
+        pages.join(heard, "url", "left")
+        .select(
+            "url",
+            F.col("level").alias("suggested_level"),
+            F.col("page_type").alias("suggested_page_type"),
+            F.bround("score", 3).alias("confidence"),
+            F.coalesce("signals", F.lit("")).alias("signals"),
+            *blank,
+        )
+        .orderBy("confidence", "url")
+    )
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:

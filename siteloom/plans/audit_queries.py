@@ -118,6 +118,7 @@ def queries() -> dict:
         "cl12_summary": lambda s, d: C.summary(Site(s, d).classified),
         "cl14_types": lambda s, d: Site(s, d).classified.groupBy("page_type", "level").agg(F.count("*").alias("pages")),
         "ev4_weight_profiles": _profiles,
+        "ev4_profile_accuracy": lambda s, d: A.profile_accuracy(I.labels(s, d), Site(s, d).predictions, C.consensus_by_profile(Site(s, d).signals), list(C.WEIGHTS)),
         "au1_orphans": lambda s, d: A.orphan_list(Site(s, d).pages),
         "au2_sitemap_redirects": lambda s, d: A.sitemap_redirects(Site(s, d).pages),
         "au3_duplicate_sets": lambda s, d: Site(s, d).sets,
@@ -236,6 +237,7 @@ def oracle_sql() -> dict[str, str]:
         "cl12_summary": w(_CLASS + "SELECT count(*) AS pages, count_if(page_type = 'UNKNOWN') AS unknown, count_if(confidence < 0.85) AS low_confidence FROM classified", "crawl"),
         "cl14_types": w(_CLASS + "SELECT page_type, level, count(*) AS pages FROM classified GROUP BY ALL", "crawl"),
         "ev4_weight_profiles": w(_SIGNALS.rstrip(", ") + " " + profiles, "crawl"),
+        "ev4_profile_accuracy": w(_SIGNALS + ", ".join(f"v_{n} AS ({_CONS(x)})" for n, x in C.WEIGHTS.items()) + ", v AS (" + " UNION ALL ".join(f"SELECT '{n}' AS profile, url, level, page_type FROM v_{n}" for n in C.WEIGHTS) + f"), l AS (SELECT unnest({list(C.WEIGHTS)!r}) AS profile, url, want_level, want_type FROM labelled JOIN one USING (page_id)), h AS (SELECT profile, coalesce(level, 'L3_LEAF_PAGE') = want_level AS a, coalesce(page_type, 'UNKNOWN') = want_type AS b FROM l LEFT JOIN v USING (profile, url)) SELECT profile, count(*) AS evaluated, count_if(a) AS level_hits, count_if(b) AS type_hits, count_if(a AND b) AS exact_hits, coalesce(count_if(a AND b) / nullif(count(*), 0), 0)::DOUBLE AS exact_rate FROM h GROUP BY 1", "crawl", "labelled"),
         "au1_orphans": w(_DEDUPED + "SELECT url, CASE WHEN in_sitemap THEN 'sitemap' WHEN in_cms THEN 'cms' ELSE 'unlinked' END AS kind, page_type, level FROM p WHERE inbound = 0", "crawl"),
         "au2_sitemap_redirects": w(_DEDUPED + "SELECT url, final_url, false AS lands_home FROM p WHERE in_sitemap AND page_id % 11 = 0", "crawl"),
         "au6_paginated": w(rf"SELECT url FROM spelled WHERE regexp_matches(url, '(?i)[?&]page=\d+') OR regexp_matches({_P}, '(?i)/page/\d+/?$')", "spelled"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls as U
 from siteloom.operators import place as L
 
+from . import audit_queries
 from . import inputs as I
 
 c = F.col
@@ -53,7 +54,7 @@ def queries() -> dict:
             _pages(s, d).select(F.array_join("trail", " > ").alias("parent"), c("url").alias("path"), "level")
         ),
         "tr6_section_counts": lambda s, d: L.section_counts(_pages(s, d)),
-        "snk6_worksheet": lambda s, d: L.worksheet(_pages(s, d)),
+        "snk6_worksheet": lambda s, d: L.worksheet(_pages(s, d), audit_queries.Site(s, d).signals),
         "tr9_node_search": lambda s, d: _pages(s, d).where(F.lower("url").contains("thth")).select("url").orderBy("url").limit(40),
     }
 
@@ -80,6 +81,6 @@ def oracle_sql() -> dict[str, str]:
         "pl7_placement_changes": w("SELECT url, array_to_string(old, ' > ') AS old, array_to_string(trail, ' > ') AS new FROM shown WHERE old IS DISTINCT FROM trail"),
         "tr3_sibling_order": w("SELECT array_to_string(trail, ' > ') AS parent, url AS path, level, CAST(row_number() OVER (PARTITION BY array_to_string(trail, ' > ') ORDER BY CASE level WHEN 'L0_HOMEPAGE' THEN 0 WHEN 'L1_PRIMARY_NAV_HUB' THEN 1 WHEN 'L2_SUB_NAV_HUB' THEN 2 WHEN 'L3_LEAF_PAGE' THEN 3 ELSE 4 END, url) AS INTEGER) AS nr FROM pg"),
         "tr6_section_counts": w(f"SELECT array_to_string(t[1:n], ' > ') AS node, count(*) AS pages FROM (SELECT t, unnest(range(0, len(t) + 1)) AS n FROM (SELECT CASE WHEN {_ISLOC} THEN [lower({_LOC})] ELSE [] END || CASE WHEN len(trail) > 0 THEN trail ELSE ['OTHERS'] END AS t FROM pg)) GROUP BY t[1:n]"),
-        "snk6_worksheet": w("SELECT url, level AS suggested_level, page_type AS suggested_page_type, round_even(score, 3) AS confidence FROM pg"),
+        "snk6_worksheet": I.with_views(audit_queries._SIGNALS + "heard AS (SELECT url, array_to_string(list_sort(list_distinct(list(['CMS_API_ENDPOINT', 'ARIA_NAV_TREE', 'SITEMAP_INDEX', 'SCHEMA_JSONLD', 'LINK_IN_DEGREE'][source + 1]))), '|') AS signals FROM signals GROUP BY 1) SELECT url, level AS suggested_level, page_type AS suggested_page_type, round_even(score, 3) AS confidence, coalesce(signals, '') AS signals, '' AS reviewed, '' AS expected_level, '' AS expected_page_type, '' AS notes FROM one LEFT JOIN heard USING (url)", "crawl"),
         "tr9_node_search": w("SELECT url FROM pg WHERE contains(lower(url), 'thth') ORDER BY url LIMIT 40"),
     }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import scalars as S
+from siteloom.functions import urls as U
 from siteloom.operators import audit as A
 from siteloom.operators import reports as P
 
@@ -35,7 +39,15 @@ def _export(s, d):
 
 def _findings(s, d):
     p = _pages(s, d)
-    return p.where("inbound = 0").select(F.lit("orphan").alias("kind"), "url").union(p.where("page_type = 'UNKNOWN'").select(F.lit("unknown"), "url"))
+    placed = p.withColumn("trail", F.when(c("page_id") % 4 == 0, c("trail")).otherwise(F.slice("trail", 1, 1)))
+    kinds = [
+        ("orphans", "high", A.orphan_list(p)),
+        ("sitemap-redirects", "high", A.sitemap_redirects(p)),
+        ("pagination", "medium", I.spelled(s, d).where(U.is_paginated(c("url")))),
+        ("silo-mismatch", "medium", A.folder_mismatch(placed)),
+        ("unclassified", "low", p.where("score = 0")),
+    ]
+    return reduce(DataFrame.union, [rows.select(F.lit(kind).alias("kind"), F.lit(severity).alias("severity"), "url") for kind, severity, rows in kinds])
 
 
 def queries() -> dict:
@@ -74,5 +86,5 @@ def oracle_sql() -> dict[str, str]:
         "gr9_resume_set": I.with_views(aq._GRAPH + f"SELECT key, CASE WHEN key IN (SELECT {I.sql_norm_url('url')} FROM pages WHERE page_id % 2 = 0) THEN 'exclude' ELSE 'seed' END AS role FROM nodes", "spelled"),
         "src10_crawler_export": "SELECT url, CASE WHEN page_id % 5 = 0 THEN 0 ELSE page_id % 500 END AS status, page_id % 30 AS inlinks, CASE WHEN page_id % 4 <> 0 THEN CAST(page_id % 7 AS INTEGER) END AS depth FROM pages WHERE page_id % 9 <> 0",
         "src15_checkpoint_view": I.with_views("SELECT url, 'L3_LEAF_PAGE' AS level, 'UNKNOWN' AS page_type, 0.0::DOUBLE AS score FROM spelled", "spelled"),
-        "au9_finding_list": w(f"SELECT kind, count(*) AS n, array_to_string((list(url ORDER BY url))[1:5], ' ') AS examples FROM (SELECT 'orphan' AS kind, url FROM {p} WHERE inbound = 0 UNION ALL SELECT 'unknown', url FROM {p} WHERE page_type = 'UNKNOWN') GROUP BY 1"),
+        "au9_finding_list": w("+p AS (SELECT * FROM crawl WHERE ord % 2 = 0), q AS (SELECT url, len({S}) AS n, regexp_replace(lower({S}[1]), '[^a-z0-9]', '', 'g') AS folder, CASE WHEN page_id % 4 = 0 THEN trail ELSE trail[1:1] END AS t FROM p), f AS (SELECT 'orphans' AS kind, 'high' AS severity, url FROM p WHERE inbound = 0 UNION ALL SELECT 'sitemap-redirects', 'high', url FROM p WHERE in_sitemap AND page_id % 11 = 0 UNION ALL SELECT 'pagination', 'medium', url FROM spelled WHERE regexp_matches(url, '(?i)[?&]page=\\d+') OR regexp_matches({P}, '(?i)/page/\\d+/?$') UNION ALL SELECT 'unclassified', 'low', url FROM p WHERE score = 0 UNION ALL SELECT 'silo-mismatch', 'medium', url FROM q WHERE n >= 2 AND len(t) > 0 AND NOT list_bool_or(list_transform(t, lambda x: contains(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), folder) OR contains(folder, regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))))) SELECT kind, severity, count(*) AS n, array_to_string((list(url ORDER BY url))[1:5], ' ') AS examples FROM f GROUP BY 1, 2".replace("{S}", aq._SEG).replace("{P}", aq._P), "spelled"),
     }

@@ -89,9 +89,10 @@ def _robots(s, d):
     return I.pages(s, d).select(F.concat(F.lit("h"), n.cast("string")).alias("host"), body.alias("body"))
 
 
-def _progress(s, d):
+def _samples(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    return T.progress_rate(e.select(c("user_id").alias("job"), F.unix_micros(c("ts").cast("timestamp_ltz")).cast("double").alias("us"), "event_id").select("job", (c("us") / 1e6).alias("ts"), c("event_id").alias("completed")))
+    us = F.unix_micros(c("ts").cast("timestamp_ltz")).cast("double")
+    return e.select(c("user_id").alias("job"), (us / 1e6).alias("ts"), c("event_id").alias("completed"), (c("event_id") + 500).alias("discovered"))
 
 
 def _folder(s) -> str:
@@ -109,17 +110,21 @@ def _stream_counts(s, d):
     return T.run_once(counts, "complete", _folder(s), f"counts_{os.urandom(4).hex()}")
 
 
-def _stream_loops(s, d):
-    """Tails confirmed as loops, address by address."""
+def _verdicts(s, d):
     log = s.readStream.schema("page_id long, url string, html string").parquet(f"{d}/pages*.parquet")
     url = F.concat(F.regexp_replace("url", "[?#].*$", ""), F.repeat(F.lit("/q"), (c("page_id") % 5).cast("int")), F.lit("/a/b/c/"))
-    found = T.confirm_loops(log.select(url.alias("url")))
-    return T.run_once(found, "append", _folder(s), f"loops_{os.urandom(4).hex()}").select("tail")
+    return T.run_once(T.loop_verdicts(log.select(url.alias("url"))), "append", _folder(s), f"loops_{os.urandom(4).hex()}")
+
+
+def _stream_loops(s, d):
+    """Tails confirmed as loops, address by address."""
+    return _verdicts(s, d).where("verdict = 'confirming'").select("tail")
 
 
 def queries() -> dict:
     return {
         "st1_confirmed_loops": _stream_loops,
+        "st1_loop_members": lambda s, d: T.loop_members(_verdicts(s, d)).select("url", "tail"),
         "htm2_nav_links": lambda s, d: H.nav_links(I.pages(s, d)).select("url", "nr", "href", "depth"),
         "htm3_menu": lambda s, d: H.menu(I.pages(s, d)).select("url", "ord", "target", F.array_join("labels", " > ").alias("labels")),
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
@@ -133,12 +138,20 @@ def queries() -> dict:
         "src11_label_corpus": lambda s, d: B.label_corpus(_corpus(s, d)),
         "src12_reviewed_rows": lambda s, d: B.reviewed_rows(_worksheet(s, d), S.LEVELS, I.TYPES).select("url", "usable"),
         "src13_robots_rules": lambda s, d: B.robots_rules(_robots(s, d)),
-        "st2_progress_rate": _progress,
+        "st2_progress_rate": lambda s, d: T.progress_rate(_samples(s, d)),
+        "st2_progress": lambda s, d: T.progress(_samples(s, d), 9000),
+        "st2_recent_items": lambda s, d: T.recent_items(s.read.parquet(f"{d}/events.parquet").select(c("user_id").alias("job"), "ts", c("event_id").alias("item"))),
         "st3_stream_counts": _stream_counts,
         "st_hourly_fetches": lambda s, d: T.hourly_fetches(s.read.parquet(f"{d}/events.parquet")),
     }
 
 
+#: Samples of each job folded in order of time: z the last, s the last that counted with its rate.
+_FOLD = """WITH l AS (SELECT user_id AS job, list({'t': epoch_us(ts) / 1e6, 'n': event_id, 'r': NULL::DOUBLE} ORDER BY ts, event_id) AS xs FROM events WHERE ts IS NOT NULL AND event_id IS NOT NULL GROUP BY 1),
+f AS (SELECT job, xs[-1] AS z, xs[1].t AS began, list_reduce(xs, lambda a, b: CASE WHEN b.t - a.t >= 0.05 THEN {'t': b.t, 'n': b.n, 'r': CASE WHEN coalesce(a.r, 0) = 0 THEN greatest(0, b.n - a.n) / (b.t - a.t) ELSE 0.3::DOUBLE * (greatest(0, b.n - a.n) / (b.t - a.t)) + 0.7::DOUBLE * a.r END} ELSE a END) AS s FROM l)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "htm2_nav_links": """SELECT url, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS nr, unnest(l) AS href, 0 AS depth
@@ -156,5 +169,9 @@ def oracle_sql() -> dict[str, str]:
         "src13_robots_rules": "SELECT 'h' || page_id AS host, agent, pattern, allow FROM pages, (VALUES ('*', 'x', false), ('bot', 'x', false), ('*', '/y', true), ('bot', '/y', true), ('other', '/', false)) v(agent, p0, allow), LATERAL (SELECT CASE WHEN p0 = 'x' THEN '/x' || page_id ELSE p0 END AS pattern)",
         "st1_confirmed_loops": f"SELECT tail FROM (SELECT url, array_to_string(g[-3:], '/') AS tail, len(g) AS depth FROM (SELECT url, {I.sql_segs(I.sql_path('url'))} AS g FROM (SELECT regexp_replace(url, '[?#].*$', '') || repeat('/q', CAST(page_id % 5 AS INTEGER)) || '/a/b/c/' AS url FROM pages))) GROUP BY 1 HAVING count(DISTINCT url) >= 25 AND count(DISTINCT depth) >= 4",
         "st3_stream_counts": "SELECT event_type, count(*) AS n FROM events GROUP BY 1",
+        "st1_loop_members": f"WITH t AS (SELECT DISTINCT url, array_to_string(g[-3:], '/') AS tail, len(g) AS depth FROM (SELECT url, {I.sql_segs(I.sql_path('url'))} AS g FROM (SELECT regexp_replace(url, '[?#].*$', '') || repeat('/q', CAST(page_id % 5 AS INTEGER)) || '/a/b/c/' AS url FROM pages))) SELECT url, tail FROM t WHERE tail IN (SELECT tail FROM t GROUP BY 1 HAVING count(*) >= 25 AND count(DISTINCT depth) >= 4)",
+        "st2_progress_rate": _FOLD + "SELECT job, z.n AS completed, s.r AS rate FROM f",
+        "st2_progress": _FOLD + "SELECT job, completed, total, least(1.0, CASE WHEN total > 0 THEN completed / total ELSE 0 END)::DOUBLE AS share, round(coalesce(r, 0), 3) AS rate, round(CASE WHEN elapsed >= 3 AND r > 0 AND total > 0 THEN greatest(total - completed, 0) / r END, 1) AS eta_seconds FROM (SELECT job, z.n AS completed, least(z.n + 500, 9000) AS total, s.r AS r, z.t - began AS elapsed FROM f)",
+        "st2_recent_items": "SELECT user_id AS job, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS INTEGER) AS nr, event_id AS item FROM events QUALIFY nr <= 20",
         "st_hourly_fetches": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     }

@@ -10,14 +10,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from siteloom.functions import urls as U
 
-ALPHA, LEAST_GAP = 0.3, 0.05
+ALPHA, LEAST_GAP, WARM_UP = 0.3, 0.05, 3.0
 LOOP_URLS, LOOP_DEPTHS = 25, 4
 
 
@@ -36,73 +36,130 @@ def hourly_fetches(log: DataFrame, late: str = "1 hour") -> DataFrame:
     )
 
 
-def confirm_loops(log: DataFrame) -> DataFrame:
-    """tail, urls, depths as soon as a tail is confirmed as a loop.
+def loop_verdicts(log: DataFrame) -> DataFrame:
+    """url, tail, depth, urls, depths, verdict of each new address with a tail:
+    ``admitted`` until its tail is confirmed as a loop, ``confirming`` for the
+    address that does it, ``refused`` after that.
 
-    State of a tail: the addresses until it is confirmed (at most ``LOOP_URLS``
-    and those of fewer depths), then only that it is.
+    Addresses met again are dropped before, by address, so the state of a tail is
+    two numbers and its depths, however many addresses it has.
     """
-    tails = log.select("url", U.tail_of("url").alias("t")).where("t is not null").select("url", "t.*")
+    tails = log.select("url", U.tail_of("url").alias("t")).where("t is not null").select("url", "t.tail", F.col("t.depth").cast("int").alias("depth"))
 
     def watch(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        done, urls, depths = state.get if state.exists else (False, [], [])
-        seen = dict(zip(urls, depths, strict=True))
-        found = []
+        done, urls, depths = state.get if state.exists else (False, 0, [])
+        seen = set(depths)
         for chunk in chunks:
+            rows = []
             for url, depth in zip(chunk["url"], chunk["depth"], strict=True):
-                if not done:
-                    seen[url] = int(depth)
-                    if len(seen) >= LOOP_URLS and len(set(seen.values())) >= LOOP_DEPTHS:
-                        found.append((key[0], len(seen), len(set(seen.values()))))
-                        done, seen = True, {}
-        state.update((done, list(seen), list(seen.values())))
-        yield pd.DataFrame(found, columns=["tail", "urls", "depths"])
-
-    return tails.groupBy("tail").applyInPandasWithState(
-        watch,
-        "tail string, urls long, depths long",
-        "done boolean, urls array<string>, depths array<int>",
-        "append",
-        GroupStateTimeout.NoTimeout,
+                if done:
+                    rows.append((url, key[0], depth, urls, len(seen), "refused"))
+                    continue
+                urls += 1
+                seen.add(int(depth))
+                done = urls >= LOOP_URLS and len(seen) >= LOOP_DEPTHS
+                rows.append((url, key[0], depth, urls, len(seen), "confirming" if done else "admitted"))
+            yield pd.DataFrame(rows, columns=["url", "tail", "depth", "urls", "depths", "verdict"])
+        state.update((done, urls, sorted(seen)))
+
+    return (
+        tails.dropDuplicates(["url"])
+        .groupBy("tail")
+        .applyInPandasWithState(
+            watch,
+            "url string, tail string, depth int, urls long, depths long, verdict string",
+            "done boolean, urls long, depths array<int>",
+            "append",
+            GroupStateTimeout.NoTimeout,
+        )
     )
 
 
-def progress_rate(samples: DataFrame) -> DataFrame:
-    """job, completed, rate: the smoothed rate of each job, from samples (job, ts
-    in seconds, completed), a fold over rows in order of job and time.
+def confirm_loops(log: DataFrame) -> DataFrame:
+    """tail, urls, depths as soon as a tail is confirmed as a loop."""
+    return loop_verdicts(log).where("verdict = 'confirming'").select("tail", "urls", "depths")
+
+
+def loop_members(verdicts: DataFrame) -> DataFrame:
+    """url, tail, role of what a crawl leaves out, from the verdicts so far: addresses
+    refused, and those evicted that came in before their tail was confirmed."""
+    confirmed = verdicts.where("verdict = 'confirming'").select("tail")
+    role = F.when(F.col("verdict") == "admitted", "evicted").otherwise("refused")
+    return verdicts.join(confirmed, "tail", "left_semi").select("url", "tail", role.alias("role"))
+
+
+def _followed(samples: DataFrame) -> DataFrame:
+    """job, began, ts, completed, discovered of the last sample of each job, and rate:
+    a fold over rows in order of job and time.
 
-    What is held of a job is its last sample that counted, and the rate.
+    What is held of a job is its first and last sample, the last that counted, and
+    the rate.  A sample without time or count is passed over.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = kind = None
 
         def rows(done: list[tuple]) -> pa.RecordBatch:
-            columns = [pa.array([d[k] for d in done], t) for k, t in ((0, kind), (2, pa.int64()), (3, pa.float64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["job", "completed", "rate"])
+            kinds = [kind, pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64()]
+            columns = [pa.array([d[k] for d in done], t) for k, t in enumerate(kinds)]
+            return pa.RecordBatch.from_arrays(columns, names=["job", "began", "ts", "completed", "discovered", "rate"])
 
         for batch in batches:
             kind, done = batch.schema.field(0).type, []
-            for job, ts, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for job, ts, n, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held is None or job != held[0]:
                     if held is not None:
-                        done.append(held)
-                    held = (job, ts, n, None)
-                elif held[1] is None:
-                    held = (job, ts, n, None)
-                elif ts - held[1] >= LEAST_GAP:
-                    now = None if n is None or held[2] is None else (n - held[2]) / (ts - held[1])
-                    rate = now if held[3] is None or now is None else ALPHA * now + (1 - ALPHA) * held[3]
-                    held = (job, ts, n, rate)
+                        done.append(held[:6])
+                    held = (job, ts, ts, n, found, None, ts, n)
+                    continue
+                _, began, _, _, _, rate, at, count = held
+                if ts - at >= LEAST_GAP:
+                    now = max(0, n - count) / (ts - at)
+                    rate, at, count = ALPHA * now + (1 - ALPHA) * rate if rate else now, ts, n
+                held = (job, began, ts, n, found, rate, at, count)
             yield rows(done)
         if held is not None:
-            yield rows([held])
-
-    ordered = samples.select("job", F.col("ts").cast("double"), F.col("completed").cast("long"))
-    schema = StructType([ordered.schema["job"], StructField("completed", LongType()), StructField("rate", DoubleType())])
+            yield rows([held[:6]])
+
+    found = F.col("discovered") if "discovered" in samples.columns else F.lit(None)
+    ordered = samples.select("job", F.col("ts").cast("double"), F.col("completed").cast("long"), found.cast("long").alias("discovered"))
+    ordered = ordered.where("ts is not null and completed is not null")
+    doubles, longs = ["began", "ts"], ["completed", "discovered"]
+    schema = StructType(
+        [ordered.schema["job"], *[StructField(n, DoubleType()) for n in doubles], *[StructField(n, LongType()) for n in longs], StructField("rate", DoubleType())]
+    )
     return ordered.repartition("job").sortWithinPartitions("job", "ts", "completed").mapInArrow(fold, schema)
 
 
+def progress_rate(samples: DataFrame) -> DataFrame:
+    """job, completed, rate: the smoothed rate of each job, from samples (job, ts
+    in seconds, completed)."""
+    return _followed(samples).select("job", "completed", "rate")
+
+
+def progress(samples: DataFrame, ceiling: int) -> DataFrame:
+    """job, completed, total, share, rate, eta_seconds from samples that also tell how
+    many pages are ``discovered``; no estimate within the first ``WARM_UP`` seconds."""
+    total = F.least(F.coalesce("discovered", F.lit(0)), F.lit(ceiling))
+    rows = _followed(samples).withColumn("total", total)
+    sure = (F.col("ts") - F.col("began") >= WARM_UP) & (F.col("rate") > 0) & (F.col("total") > 0)
+    left = F.greatest(F.col("total") - F.col("completed"), F.lit(0))
+    return rows.select(
+        "job",
+        "completed",
+        "total",
+        F.least(F.lit(1.0), F.when(F.col("total") > 0, F.col("completed") / F.col("total")).otherwise(0.0)).alias("share"),
+        F.round(F.coalesce("rate", F.lit(0.0)), 3).alias("rate"),
+        F.round(F.when(sure, left / F.col("rate")), 1).alias("eta_seconds"),
+    )
+
+
+def recent_items(log: DataFrame, most: int = 20) -> DataFrame:
+    """job, nr, item: the last items of each job (job, ts, item), the latest first."""
+    order = Window.partitionBy("job").orderBy(F.desc("ts"), F.desc("item"))
+    return log.select("job", F.row_number().over(order).alias("nr"), "item").where(F.col("nr") <= most)
+
+
 def run_once(stream: DataFrame, mode: str, checkpoint: str, name: str) -> DataFrame:
     """All that is there now, through the stream, into files beside its checkpoint."""
     folders: dict[int, str] = {}

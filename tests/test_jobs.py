@@ -2,8 +2,11 @@
 
 import pytest
 
+from siteloom.operators import audit as A
+from siteloom.operators import classify as C
 from siteloom.operators import graph as G
 from siteloom.operators import place as L
+from siteloom.operators import reports as R
 from siteloom.sources import bodies as B
 from siteloom.streaming import crawl_stream as T
 
@@ -92,3 +95,48 @@ def test_result_round_trip(spark, tmp_path):
     L.write_result(spark.range(5), f"{tmp_path}/jobs", "two")
     L.write_result(spark.range(3), f"{tmp_path}/jobs", "one")  # run again
     assert L.read_result(spark, f"{tmp_path}/jobs", "one").count() == 3 and L.read_result(spark, f"{tmp_path}/jobs", "two").count() == 5
+
+
+def test_progress_estimate(spark):
+    rows = [("a", 0.0, 0, 100), ("a", 1.0, 10, 100), ("a", 4.0, 40, 100), ("b", 0.0, 0, 50), ("b", 1.0, 5, 50), ("c", 0.0, 3, None), ("c", None, 9, 9), ("d", 0.0, 9, 5), ("d", 4.0, 2, 5)]
+    got = {r["job"]: r for r in T.progress(spark.createDataFrame(rows, "job string, ts double, completed long, discovered long"), 60).collect()}
+    assert (got["a"]["total"], got["a"]["rate"], got["a"]["eta_seconds"]) == (60, 10.0, 2.0)
+    assert got["a"]["share"] == pytest.approx(40 / 60)
+    assert got["b"]["rate"] == 5.0 and got["b"]["eta_seconds"] is None  # still warming up
+    assert (got["c"]["completed"], got["c"]["total"], got["c"]["share"], got["c"]["eta_seconds"]) == (3, 0, 0.0, None)
+    assert got["d"]["rate"] == 0.0 and got["d"]["eta_seconds"] is None  # a count that falls is no progress
+    items = T.recent_items(spark.createDataFrame([("a", t, f"u{t}") for t in range(30)], "job string, ts long, item string"), 3)
+    assert [(r["nr"], r["item"]) for r in items.orderBy("nr").collect()] == [(1, "u29"), (2, "u28"), (3, "u27")]
+
+
+def test_loop_verdicts(spark, tmp_path):
+    """Every address of a confirmed tail is refused or evicted, repeats count once, others stay."""
+    loop = [f"https://e.com/p{n}" + "/q" * (n % 5) + "/a/b/c/" for n in range(60)]
+    rows = [(u,) for u in loop + loop] + [(f"https://e.com/x{n}/d/e/f/",) for n in range(40)] + [("https://e.com/",)]
+    spark.createDataFrame(rows, "url string").repartition(4).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("url string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    verdicts = T.run_once(T.loop_verdicts(stream), "append", f"{tmp_path}/state", "verdicts")
+    out = T.loop_members(verdicts).collect()
+    assert sorted(r["url"] for r in out) == sorted(loop)
+    assert {r["role"] for r in out} == {"refused", "evicted"}
+    confirming = verdicts.where("verdict = 'confirming'").collect()
+    assert [(r["tail"], r["depths"] >= 4) for r in confirming] == [("a/b/c", True)] and confirming[0]["urls"] >= 25
+    assert verdicts.where("tail = 'd/e/f' and verdict = 'admitted'").count() == 40
+
+
+def test_findings_and_worksheet(spark):
+    rows = [("low", "low", f"l{n}") for n in range(9)] + [("many", "high", f"m{n}") for n in range(3)] + [("few", "high", "f")]
+    got = R.finding_list(spark.createDataFrame(rows, "kind string, severity string, url string")).collect()
+    assert [(r["kind"], r["n"]) for r in got] == [("many", 3), ("few", 1), ("low", 9)] and got[2]["examples"] == "l0 l1 l2 l3 l4"
+    pages = spark.createDataFrame([("u", "L1", "T", 0.12345), ("v", "L2", "T", 0.1)], "url string, level string, page_type string, score double")
+    sheet = L.worksheet(pages, spark.createDataFrame([("u", 4), ("u", 0), ("u", 0)], "url string, source int"))
+    assert [(r["url"], r["confidence"], r["signals"], r["notes"]) for r in sheet.collect()] == [("v", 0.1, "", ""), ("u", 0.123, "CMS_API_ENDPOINT|LINK_IN_DEGREE", "")]
+
+
+def test_profile_accuracy(spark):
+    labels = spark.createDataFrame([(1, "L3_LEAF_PAGE", "X"), (2, "L3_LEAF_PAGE", "UNKNOWN"), (9, "a", "b")], "page_id long, want_level string, want_type string")
+    pages = spark.createDataFrame([(1, "u"), (2, "v")], "page_id long, url string")
+    signals = spark.createDataFrame([("u", 0, "L3_LEAF_PAGE", "X", 0.9)], "url string, source int, level string, page_type string, confidence double")
+    got = A.profile_accuracy(labels, pages, C.consensus_by_profile(signals), list(C.WEIGHTS)).collect()
+    # the profile that gives the only signal no weight is the last
+    assert {r["profile"]: r["exact_hits"] for r in got} == {"default": 2, "wordpress": 2, "shopify": 2, "headless": 1} and got[-1]["profile"] == "headless"
