@@ -205,6 +205,12 @@ rec AS (SELECT key, CASE WHEN url IS NULL THEN 'ours' WHEN our_url IS NULL THEN
     WHEN our_url IS NOT NULL THEN NULL
     WHEN {I.sql_host("url")} NOT IN (SELECT {I.sql_host("url")} FROM crawled) THEN 'OFF_SITE' WHEN status BETWEEN 300 AND 399 THEN 'REDIRECT'
     WHEN status >= 400 OR status = 0 THEN 'CLIENT_ERROR' WHEN {_MEDIA} THEN 'MEDIA' WHEN {_TRAP} THEN 'TRAP' WHEN NOT indexable THEN 'NON_INDEXABLE' ELSE 'MISSED_PAGE' END AS reason FROM f) """
+_FOLDED = "list_reduce(list_prepend({{'at': 0, 'x': ''}}, list_transform({1}, lambda x: {{'at': 0, 'x': x}})), lambda p, y: {{'at': p.at + CASE WHEN {0}[p.at + 1] = y.x THEN 1 ELSE 0 END, 'x': ''}}).at = len({0})"
+_SETS = f"""+seg AS (SELECT url, page_id AS inbound, list_transform({_SEG}, lambda s: array_to_string(list_filter(regexp_split_to_array(lower(s), '[-_]+'), lambda q: q <> '' AND q NOT IN {I._in(U.SLUG_FILLERS)}), '-')) AS segs FROM spelled),
+leaves AS (SELECT url, inbound, segs[-1] AS leaf, segs[1:len(segs) - 1] AS above FROM seg WHERE len(segs) >= 2 AND segs[-1] <> ''),
+heads AS (SELECT leaf, arg_min(above, url) AS head FROM leaves GROUP BY 1),
+own AS (SELECT leaf, url, inbound FROM leaves JOIN heads USING (leaf) WHERE {_FOLDED.format('above', 'head')} OR {_FOLDED.format('head', 'above')}),
+sets AS (SELECT leaf, url, inbound, count(*) OVER (PARTITION BY leaf) AS n FROM own QUALIFY n > 1) """
 _J = "+pr AS (SELECT page_id, url, level, page_type, score FROM crawl WHERE ord % 2 = 0), j AS (SELECT l.*, p.url, p.level, p.page_type, p.score FROM labelled l LEFT JOIN pr p USING (page_id)) "
 _DEDUPED = f"+p AS (SELECT * FROM crawl QUALIFY row_number() OVER (PARTITION BY {I.sql_norm_url('url')} ORDER BY len(trail) DESC, ord) = 1) "
 _TREE = f"""WITH s AS (SELECT url, {_SEG} AS segs FROM pages), sp AS (SELECT url, segs, segs[1:n] AS path FROM (SELECT *, unnest(range(0, len(segs) + 1)) AS n FROM s)),
@@ -241,6 +247,8 @@ def oracle_sql() -> dict[str, str]:
         "au1_orphans": w(_DEDUPED + "SELECT url, CASE WHEN in_sitemap THEN 'sitemap' WHEN in_cms THEN 'cms' ELSE 'unlinked' END AS kind, page_type, level FROM p WHERE inbound = 0", "crawl"),
         "au2_sitemap_redirects": w(_DEDUPED + "SELECT url, final_url, false AS lands_home FROM p WHERE in_sitemap AND page_id % 11 = 0", "crawl"),
         "au6_paginated": w(rf"SELECT url FROM spelled WHERE regexp_matches(url, '(?i)[?&]page=\d+') OR regexp_matches({_P}, '(?i)/page/\d+/?$')", "spelled"),
+        "au3_duplicate_sets": w(_SETS + "SELECT leaf, url, inbound, n FROM sets", "spelled"),
+        "au4_survivors": w(_SETS + f"SELECT leaf, url AS keep FROM sets QUALIFY row_number() OVER (PARTITION BY leaf ORDER BY inbound DESC, length({_P}), contains(url, '?'), url) = 1", "spelled"),
         "au5_silos": f"SELECT seg, pages FROM (SELECT list_extract({_SEG}, 1) AS seg, count(*) AS pages FROM pages GROUP BY 1) WHERE seg IS NOT NULL AND pages >= 25 AND pages >= 0.01 * (SELECT count(*) FROM pages) AND NOT list_bool_or(list_transform(['aboutus', 'englishen', 'deutsch'], lambda m: contains(m, regexp_replace(lower(seg), '[^a-z0-9]', '', 'g')) OR contains(regexp_replace(lower(seg), '[^a-z0-9]', '', 'g'), m)))",
         "au8_unclassified": w("SELECT url FROM crawl WHERE score = 0", "crawl"),
         "au7_folder_mismatch": w("+q AS (SELECT url, len({S}) AS n, regexp_replace(lower({S}[1]), '[^a-z0-9]', '', 'g') AS folder, CASE WHEN page_id % 4 = 0 THEN trail ELSE trail[1:1] END AS t FROM crawl WHERE ord % 2 = 0) SELECT url, folder FROM q WHERE n >= 2 AND len(t) > 0 AND NOT list_bool_or(list_transform(t, lambda x: contains(regexp_replace(lower(x), '[^a-z0-9]', '', 'g'), folder) OR contains(folder, regexp_replace(lower(x), '[^a-z0-9]', '', 'g'))))".replace("{S}", _SEG), "crawl"),
