@@ -50,29 +50,31 @@ class Encoder:
     so takes a fifth of the time; tests hold both equal for every code point.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, text_only: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from public_tokenizers import PATTERN
         from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = text_only
         alphabet = byte_alphabet()
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         ranks = {bytes(alphabet[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
         self.fast = Encoding("vocabulary", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.long = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+        #: texts with a special token's string are rare and left to the tokenizer
+        self.control = None if text_only or not special else re.compile("|".join(map(re.escape, special)))
 
     def encode(self, text: str) -> bytes:
-        if len(text) >= LONG_RUN and self.long.search(text):
+        if (self.control and self.control.search(text)) or (len(text) >= LONG_RUN and self.long.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 
 @cache
-def encoder(tokenizer_path: str) -> Encoder:
-    return Encoder(tokenizer_path)
+def encoder(tokenizer_path: str, text_only: bool = False) -> Encoder:
+    return Encoder(tokenizer_path, text_only)
 
 
 def differencing(sizes: list[int], windows: int) -> list[list[int]]:
@@ -141,8 +143,10 @@ def padded(length: int, capacity: int) -> int:
     return length if length & (length - 1) == 0 else capacity
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, chunk: int, block: int) -> Iterator[pa.RecordBatch]:
-    encode = encoder(path).encode
+def _pack(
+    batches: Iterator[pa.RecordBatch], path: str, capacity: int, chunk: int, block: int, text_only: bool
+) -> Iterator[pa.RecordBatch]:
+    encode = encoder(path, text_only).encode
     end = np.array([END_ID], "<u4").tobytes()
     first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
     sequence = first
@@ -196,13 +200,15 @@ def pack(
     block: int = BLOCK,
     doc_id: str = "doc_id",
     text: str = "text",
+    text_only: bool = False,
 ) -> DataFrame:
     """One row per piece: document, ``start``, ``length``, the pieces' CRC and
     its place (``sequence_id``, ``offset``); ``padded_length`` is that of its sequence.
 
     ``capacity`` and ``chunk`` are ids; ``chunk`` divides ``capacity``; ``block``
-    bounds the pieces that one differencing run takes.
+    bounds the pieces that one differencing run takes.  With ``text_only`` the
+    strings of special tokens are ordinary text.
     """
     return docs.select(docs[doc_id].cast("long"), docs[text].cast("string")).mapInArrow(
-        lambda batches: _pack(batches, tokenizer_path, capacity, chunk, block), SCHEMA
+        lambda batches: _pack(batches, tokenizer_path, capacity, chunk, block, text_only), SCHEMA
     )

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, fingerprint, jaccard, langid, license, lm, packing, quality, urlfilter
+from . import align, bpe, chat, fingerprint, jaccard, langid, license, lm, packing, piece, quality, urlfilter
 from .common import prepare, table
 
 
@@ -89,6 +89,16 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return align.align(table(spark, sf_dir, "documents"), a, b)
+
+
+def op13_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return piece.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 OP2_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -197,6 +207,8 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_lm_score": op9_lm_score,
         "op10_jaccard_join": op10_jaccard_join,
+        "op12_token_alignment": op12_token_alignment,
+        "op13_piece_bpe": op13_piece_bpe,
     }
 
 
