@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, bpe, chat, fingerprint, jaccard, langid, license, lm, packing, piece, quality, urlfilter
+from . import align, bpe, chat, fingerprint, jaccard, langid, license, lm, packing, piece, quality, trie, urlfilter
 from .common import prepare, table
 
 
@@ -89,6 +89,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, percent=90)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
     return align.align(table(spark, sf_dir, "documents"), a, b)
@@ -192,6 +197,49 @@ FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  -- h: CRC-32 of the decimal id, byte by byte and bit by bit, modulo 6
+  SELECT conv_id, conv_id - conv_id % 100 AS source, xor(4294967295::BIGINT, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, i: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns)
+), taken AS (
+  SELECT c.conv_id, h, count(t.pos) AS n FROM convs c LEFT JOIN turns t ON t.conv_id = c.source AND t.pos <= c.h GROUP BY ALL
+), rebuilt AS (
+  SELECT c.conv_id, t.pos, role, text FROM convs c JOIN turns t ON t.conv_id = c.source AND t.pos <= c.h
+  UNION ALL
+  SELECT conv_id, pos - h + n, role, text FROM turns JOIN taken USING (conv_id) WHERE pos > h
+), lists AS (
+  SELECT conv_id, coalesce(list({'r': role, 't': text} ORDER BY pos) FILTER (WHERE pos IS NOT NULL), []) AS l
+  FROM convs LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), prefixes AS (
+  SELECT conv_id, len(l) AS n, d, md5(CAST(list_slice(l, 1, d) AS VARCHAR)) AS node,
+    CASE WHEN d > 0 THEN md5(CAST(list_slice(l, 1, d - 1) AS VARCHAR)) END AS above, coalesce(length(l[d].t), 0) AS size
+  FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM lists)
+), nodes AS (
+  SELECT node, d, above, size, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends_sha256
+  FROM prefixes GROUP BY ALL
+), fanned AS (
+  SELECT n.*, (SELECT count(*) FROM nodes c WHERE c.above = n.node) AS n_children FROM nodes n
+), climbed AS (
+  SELECT node, node AS top FROM nodes
+  UNION ALL SELECT c.node, n.above FROM climbed c JOIN nodes n ON n.node = c.top WHERE n.above IS NOT NULL
+), summed AS (
+  SELECT top, CAST(count_if(n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+  FROM climbed JOIN fanned USING (node) GROUP BY top
+)
+SELECT f.conv_id, f.d AS depth, p.conv_id AS parent_conv_id, f.n_convs, f.n_children, n_leaves, saved_tokens, f.ends_sha256
+FROM fanned f JOIN summed s ON s.top = f.node LEFT JOIN nodes p ON p.node = f.above
+"""
+
+
 def queries() -> dict:
     import corpus_pipeline
 
@@ -207,6 +255,7 @@ def queries() -> dict:
         "op8_license_scan": op8_license_scan,
         "op9_lm_score": op9_lm_score,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_prefix_trie": op11_prefix_trie,
         "op12_token_alignment": op12_token_alignment,
         "op13_piece_bpe": op13_piece_bpe,
     }
@@ -217,4 +266,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": OP2_SQL,
         "op4_quality_rules": OP4_SQL,
         "op10_jaccard_join": OP10_SQL,
+        "op11_prefix_trie": OP11_SQL,
     }
