@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .staging import written
 
-#: What ``monotonically_increasing_id`` counts in one task.
-_PART = 1 << 33
+#: Bits in which ``monotonically_increasing_id`` counts within a task.
+_PART = 33
 
 
 def running(
@@ -43,7 +43,7 @@ def running(
     # rows that are equal in all keys may still be dealt to several tasks
     ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(*keys, F.col("_tie"))
     placed = ranged.sortWithinPartitions(*keys, "_tie").withColumn("_at", F.monotonically_increasing_id())
-    kept = written(placed.select(*names, "_at")).withColumn("_part", F.floor(F.col("_at") / _PART))
+    kept = written(placed.select(*names, "_at")).withColumn("_part", F.shiftright("_at", _PART))
 
     own = Window.partitionBy("_part", *group).orderBy("_at")
     numbered = kept.withColumn("_rank", F.row_number().over(own).cast("long"))
