@@ -238,6 +238,8 @@ def _pieces(rows: DataFrame, pieces: int) -> tuple[DataFrame, int]:
 
     Ranges begin at quantiles of the ids; where several fall on one id (a third
     of all rows may have it, or none), its rows are cut by ``tie`` as well.
+    Quantiles are doubles and only propose the bounds: these are whole numbers,
+    and a row whose id rounds up to a bound is told from it by the id itself.
     """
     spark, lowest = rows.sparkSession, -1.7976931348623157e308
     number = F.coalesce(F.col("doc_id").cast("double"), F.lit(lowest))
@@ -248,14 +250,16 @@ def _pieces(rows: DataFrame, pieces: int) -> tuple[DataFrame, int]:
     for range_, head in enumerate(heads):
         shares = max(found.count(head) + (head == lowest), 1)
         hot = shares > (2 if head == lowest else 1)
-        table.append((range_, head, shares if hot else 0, first))
+        bound = None if head == lowest else min(int(head), (1 << 63) - 1)
+        table.append((range_, bound, shares if hot else 0, first))
         first += shares + 1 if hot else 1
     # a row for each range, so no more than ``pieces``
-    ranges = F.broadcast(spark.createDataFrame(table, "range int, head double, shares int, first int"))
+    ranges = F.broadcast(spark.createDataFrame(table, "range int, head long, shares int, first int"))
     ordered = Bucketizer(splits=[float("-inf"), *cuts, -lowest, float("inf")], inputCol="d", outputCol="b").transform(rows.withColumn("d", number))
     share = F.floor((F.col("tie") / F.lit(2.0**64) + 0.5) * F.col("shares"))
     share = F.least(F.greatest(share, F.lit(0)), F.col("shares") - 1)
-    own = F.col("first") + F.when(F.col("shares") == 0, 0).when(F.col("d") == F.col("head"), share).otherwise(F.col("shares"))
+    is_head = F.col("doc_id").eqNullSafe(F.col("head"))
+    own = F.col("first") + F.when(F.col("doc_id") < F.col("head"), -1).when(F.col("shares") == 0, 0).when(is_head, share).otherwise(F.col("shares"))
     ordered = ordered.join(ranges, F.col("b").cast("int") == F.col("range"))
     return ordered.select(own.cast("int").alias("piece"), "doc_id", "tie", "text"), first
 

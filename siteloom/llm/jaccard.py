@@ -13,7 +13,8 @@ Groups of copies cost no pairs: equal sets are one node, named by a 64-bit
 digest (two of a thousand million different sets share one with probability
 0.03), sets that a task meets together are linked there at once, and no pair of
 nodes under one root is compared.  A cluster of more than ``BLOCK`` sets or
-``BLOCK_GRAMS`` n-grams is cut into blocks by size and least n-gram, joined
+``BLOCK_GRAMS`` n-grams is cut into blocks by size and by rank in the order of
+the least n-gram, so a block's bounds hold whatever its sets share.  Blocks are joined
 inside, then by a few members of neighbouring blocks; then the sets outside of
 the cluster's main root are compared with those other blocks whose bitmaps and
 sizes leave room for a link.
@@ -36,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siteloom.operators.ranking import running
 from siteloom.operators.staging import written
 
 from .common import lower_ascii, prepare
@@ -49,6 +51,8 @@ LOCAL_TEXTS, LOCAL_GRAMS = 8000, 6_000_000
 #: Sets of more n-grams are told apart by how many of these they share, unless
 #: so many sets share one that they hang together anyway.
 LONG, CROWD = 1200, 200
+#: A task reduces its links to a forest of so many nodes at a time.
+FOREST = 1_000_000
 LEVELS = 1 << 20  # counters of n-grams that many texts hold
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -393,38 +397,23 @@ def size_class(size: int, percent: int) -> int:
     return int(math.log(max(size, 1)) / math.log(100.0 / min(percent, 99)))
 
 
-def meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, local, key, size, reach, bits) by gram, size and key: pairs that may
-    link by their sizes, bitmaps and ``reach``, the n-grams that a set has left from
+def meet(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, chunk, local, key, size, reach, bits) by gram, chunk, size and key: pairs that
+    may link by their sizes, bitmaps and ``reach``, the n-grams that a set has left from
     this one on, which is the most that two sets share whose first n-gram in common
     this is.  ``need`` is 1 where they hang together at once (these pairs are a
-    forest of the run), else how many n-grams they must meet at.
-
-    An n-gram that more than ``most`` sets hold is met list by list; two lists whose
-    sizes and reach leave room for a link hang together as a whole.
+    forest of the chunk), else how many n-grams they must meet at.  A chunk has
+    at most ``BLOCK`` rows.
     """
     out: list[tuple] = []
-    lists: list[tuple] = []  # least and most size, most reach, first key of the lists of this n-gram
-    gram = None
-    for run in _runs(batches, 1, 2, most):
-        if run[0][0] != gram:
-            gram, lists = run[0][0], []
-        keys, sizes = [r[2] for r in run], [r[3] for r in run]
-        # sets that are told apart by the number of meetings must meet at all of them
-        reach = [s if s > LONG else left for s, left in zip(sizes, (r[4] for r in run), strict=True)]
-        own = (min(sizes), max(sizes), max(reach), keys[0], keys)
-        for low, high, left, first, others in lists:
-            room = (100 + percent) * min(left, own[2]) >= percent * (low + own[0]) and 100 * high >= percent * own[0]
-            if room:  # too many to tell; what hangs together is compared later
-                out += [(first, k, 1) for k in keys]
-                out += [(first, k, 1) for k in others[1:]]
-        if len(run) >= most or lists:
-            lists.append(own)
+    for run in _runs(batches, 2, 3, 1 << 60):
+        keys, sizes = [r[3] for r in run], [r[4] for r in run]
         if len(run) > 1:
             union = Union()
             for r in run:
-                union.join(r[1], r[2])
-            for i, j in near_pairs(sizes, reach, [r[5] for r in run], [union.find(k) for k in keys], percent):
+                union.join(r[2], r[3])
+            reach = [_reach(r[4], r[5]) for r in run]
+            for i, j in near_pairs(sizes, reach, [r[6] for r in run], [union.find(k) for k in keys], percent):
                 need = common_needed(sizes[i], sizes[j], percent) if min(sizes[i], sizes[j]) > LONG else 1
                 if need > 1 and len(run) <= CROWD:
                     out.append((min(keys[i], keys[j]), max(keys[i], keys[j]), need))
@@ -436,6 +425,71 @@ def meet(batches: Iterator[pa.RecordBatch], percent: int, most: int) -> Iterator
     yield _batch(list(zip(*out, strict=True)) or [(), (), ()], NEAR_KINDS, NEAR_NAMES)
 
 
+def _reach(size: int, left: int) -> int:
+    """Sets that are told apart by the number of meetings must meet at all of them."""
+    return size if size > LONG else left
+
+
+CHUNKS = "gram long, low int, high int, reach int, first long"
+
+
+def chunk_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (gram, chunk, key, size, reach) by gram and chunk: one row for each chunk."""
+    names = [c.split()[0] for c in CHUNKS.split(", ")]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+    out = [
+        (run[0][0], min(r[3] for r in run), max(r[3] for r in run), max(_reach(r[3], r[4]) for r in run), min(r[2] for r in run))
+        for run in _runs(batches, 2, 2, 1 << 60)
+    ]
+    yield _batch(list(zip(*out, strict=True)) or [()] * 5, kinds, names)
+
+
+def join_chunks(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``CHUNKS`` by gram and least size: chunks hang together that leave room for a link.
+
+    Chunks that do are one from then on, with the widest of their bounds, so each
+    gives one row at most; those too small for all that follow are dropped.
+    """
+    gram, open_, out = None, [], []
+    for batch in batches:
+        for own_gram, low, high, left, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if own_gram != gram:
+                gram, open_ = own_gram, []
+            apart = []
+            joined = (low, high, left, first)
+            for other in open_:
+                if 100 * other[1] < percent * low:
+                    continue
+                if (100 + percent) * min(other[2], left) >= percent * (other[0] + low):
+                    out.append((other[3], first, 1))
+                    joined = (min(joined[0], other[0]), max(joined[1], other[1]), max(joined[2], other[2]), first)
+                else:
+                    apart.append(other)
+            open_ = [*apart, joined]
+        if len(out) > 10_000:
+            yield _batch(list(zip(*out, strict=True)), NEAR_KINDS, NEAR_NAMES)
+            out = []
+    yield _batch(list(zip(*out, strict=True)) or [(), (), ()], NEAR_KINDS, NEAR_NAMES)
+
+
+def _frequent(meetings: DataFrame, percent: int) -> DataFrame:
+    """Meetings at an n-gram of more than ``BLOCK`` sets, cut by rank into chunks of ``BLOCK``:
+    pairs inside the chunks, a star for each chunk, and chunks that leave room.
+
+    The sets of such an n-gram hang together, as too many to tell; a link may only
+    be between sets that do, and what hangs together is compared in blocks.
+    """
+    by = [F.col(c).asc() for c in ("size", "key")]
+    cut = running(meetings.distinct(), ["gram"], by).withColumn("chunk", F.floor((F.col("rank") - 1) / BLOCK).cast("long"))
+    cut = written(cut)
+    inside = _dealt(cut.select("gram", "chunk", "local", "key", "size", "reach", "bits"), "gram", "chunk", then=("size", "key"))
+    heads = _dealt(cut.select("gram", "chunk", "key", "size", "reach"), "gram", "chunk", then=("key",)).mapInArrow(chunk_heads, CHUNKS)
+    joined = _dealt(heads, "gram", then=("low", "first")).mapInArrow(lambda b: join_chunks(b, percent), NEAR)
+    least = cut.groupBy("gram", "chunk").agg(F.min("key").alias("a"))
+    star = cut.join(least, ["gram", "chunk"]).where("a <> key").select("a", F.col("key").alias("b"), F.lit(1).alias("need"))
+    return inside.mapInArrow(lambda b: meet(b, percent), NEAR).union(joined).union(star)
+
+
 def join_sets(keys: list[int], roots: list[int], sets: list[np.ndarray], sides: list[bool], percent: int) -> list[tuple[int, int]]:
     """Links between sets under different roots that join these (a forest).  Of
     two sets of a pair, one at least has a true side."""
@@ -483,13 +537,19 @@ def components(edges: DataFrame) -> DataFrame:
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         union = Union()
         nodes: set[int] = set()
+
+        def rows() -> pa.RecordBatch:
+            found = [(n, r) for n in nodes if (r := union.find(n)) != n]
+            return _batch(list(zip(*found, strict=True)) or [(), ()], [pa.int64(), pa.int64()], ["node", "root"])
+
         for batch in batches:
             for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes.update((a, b))
                 union.join(a, b)
-        rows = [(n, r) for n in nodes if (r := union.find(n)) != n]
-        columns = list(zip(*rows, strict=True)) or [(), ()]
-        yield _batch(columns, [pa.int64(), pa.int64()], ["node", "root"])
+            if len(nodes) >= FOREST:  # what hangs together beyond that meets in a later round
+                yield rows()
+                union, nodes = Union(), set()
+        yield rows()
 
     edges = edges.select(F.col(edges.columns[0]).alias("node"), F.col(edges.columns[1]).alias("root"))
     links = edges.mapInArrow(forest, "node long, root long").checkpoint()
@@ -536,14 +596,23 @@ def keep_first(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "do
     texts = rows.groupBy("doc_id", "mark").agg(F.count("*").alias("n"))
     gone = texts.join(kept, same(texts, kept), "left_anti")
     twice = texts.where("n > 1").join(kept, same(texts, kept), "left_semi")
-    marked = docs.withColumn("_mark", mark)
-    is_one = lambda df: marked[doc_id].cast("long").eqNullSafe(df["doc_id"]) & (marked["_mark"] == df["mark"])
+    own = _free_name("mark", docs.columns)
+    marked = docs.withColumn(own, mark)
+    is_one = lambda df: marked[doc_id].cast("long").eqNullSafe(df["doc_id"]) & (marked[own] == df["mark"])
     # few rows where copies are few; Spark broadcasts them only up to its limit
     left = marked.join(gone, is_one(gone), "left_anti")
     if twice.isEmpty():
         return left.select(docs.columns)
-    again = marked.join(twice, is_one(twice), "left_semi").dropDuplicates([doc_id, "_mark"])
-    return left.join(twice, left[doc_id].cast("long").eqNullSafe(twice["doc_id"]) & (left["_mark"] == twice["mark"]), "left_anti").unionByName(again).select(docs.columns)
+    again = marked.join(twice, is_one(twice), "left_semi").dropDuplicates([doc_id, own])
+    return left.join(twice, left[doc_id].cast("long").eqNullSafe(twice["doc_id"]) & (left[own] == twice["mark"]), "left_anti").unionByName(again).select(docs.columns)
+
+
+def _free_name(name: str, taken: list[str]) -> str:
+    """``name``, with underscores before it until no column has it in any case."""
+    lower = {c.lower() for c in taken}
+    while name in lower:
+        name = f"_{name}"
+    return name
 
 
 def _rooted(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tuple[DataFrame, Column]:
@@ -558,12 +627,15 @@ def _rooted(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tu
 
     # n-grams at which sets meet that aren't linked
     grams = placed.where("grams is not null").select(F.posexplode("grams").alias("pos", "gram"), "local", "key", "size")
-    shared = grams.groupBy("gram").agg(F.min("local").alias("low"), F.max("local").alias("high")).where("low <> high")
+    bounds = [F.min("local").alias("low"), F.max("local").alias("high"), F.count("*").alias("n")]
+    shared = written(grams.groupBy("gram").agg(*bounds).where("low <> high").select("gram", (F.col("n") > BLOCK).alias("frequent")))
     bits = placed.where("bits is not null").groupBy("key").agg(F.first("bits").alias("bits"))
-    meetings = grams.join(shared.select("gram"), "gram", "left_semi").join(bits, "key")
-    meetings = meetings.select("gram", "local", "key", "size", (F.col("size") - F.col("pos")).alias("reach"), "bits")
-    most = BLOCK
-    near = _dealt(meetings, "gram", then=("size", "key")).mapInArrow(lambda b: meet(b, percent, most), NEAR)
+    meetings = grams.join(shared, "gram").join(bits, "key")
+    meetings = meetings.select("gram", "local", "key", "size", (F.col("size") - F.col("pos")).alias("reach"), "bits", "frequent")
+    few = meetings.where("not frequent").select("gram", F.lit(0).cast("long").alias("chunk"), "local", "key", "size", "reach", "bits")
+    near = _dealt(few, "gram", then=("size", "key")).mapInArrow(lambda b: meet(b, percent), NEAR)
+    if not shared.where("frequent").isEmpty():
+        near = near.union(_frequent(meetings.where("frequent").drop("frequent"), percent))
     met = near.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("need").alias("need"))
     near = written(met.where("n >= need").select("a", "b"))
     local = placed.where("key <> local").select("key", "local").distinct()
@@ -581,17 +653,15 @@ def _rooted(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tu
     wanted = written(members.join(open_clusters, "cluster", "left_semi"))
     sets = _sets(rows, placed, wanted, n)
 
-    # blocks: a small cluster is one; a large one is cut by size class, and that by least n-gram
+    # blocks: a small cluster is one; a large one is cut by size class, and that by rank in the order of the least n-gram
     step = F.lit(math.log(100.0 / min(percent, 99)))
-    sized = wanted.join(sets.select("key", "size", "least"), "key").withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step).cast("int"))
-    by_class = sized.groupBy("cluster", "class").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
-    whole = by_class.groupBy("cluster").agg(((F.sum("n") > BLOCK) | (F.sum("s") > BLOCK_GRAMS)).alias("large"))
-    parts = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_GRAMS))
-    layout = by_class.join(whole, "cluster").select("cluster", "class", "large", parts.alias("parts"))
-    part = F.col("class") * F.lit(1 << 32).cast("long") + F.pmod(F.xxhash64("least"), "parts")
-    blocked = sized.join(layout, ["cluster", "class"]).select(
-        "key", "cluster", "root", "large", F.when(F.col("large"), part).otherwise(F.lit(0)).alias("block")
-    )
+    sized = wanted.join(sets.select("key", "size", "least"), "key")
+    totals = sized.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    sized = sized.join(totals.select("cluster", ((F.col("n") > BLOCK) | (F.col("s") > BLOCK_GRAMS)).alias("large")), "cluster")
+    sized = written(sized.withColumn("class", F.floor(F.log(F.col("size").cast("double")) / step).cast("int")))
+    blocked = sized.where("not large").select("key", "cluster", "root", "large", F.lit(0).cast("long").alias("block"))
+    if not sized.where("large").isEmpty():
+        blocked = blocked.union(_blocks(sized.where("large")).select("key", "cluster", "root", "large", "block"))
     held = blocked.join(sets.select("key", "hashes"), "key").withColumn("side", F.lit(True))
     compared = lambda df: _dealt(df.select("cluster", "block", "side", "key", "root", "hashes"), "cluster", "block", then=("key",)).mapInArrow(
         lambda b: compare(b, percent), EDGES
@@ -605,6 +675,14 @@ def _rooted(docs: DataFrame, n: int, percent: int, doc_id: str, text: str) -> tu
     return rooted.select("doc_id", "mark", "size", F.when(F.col("key") >= 0, F.coalesce("root", "key")).alias("root")), mark
 
 
+def _blocks(sized: DataFrame) -> DataFrame:
+    """Sets of large clusters with their ``block``: at most ``BLOCK`` sets, and no more n-grams
+    than ``BLOCK_GRAMS`` and one set's, whatever the sets share."""
+    placed = running(sized, ["cluster", "class"], [F.col("least").asc(), F.col("key").asc()], sums={"grams": "size"})
+    part = F.floor((F.col("rank") - 1) / BLOCK) + F.floor(F.col("grams") / BLOCK_GRAMS)
+    return placed.withColumn("block", (F.col("class") * F.lit(1 << 32).cast("long") + part).cast("long"))
+
+
 def _sets(rows: DataFrame, placed: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """``key``, ``size``, ``least``, ``hashes`` of the wanted sets, made again from the texts.  Rows
     that surely aren't wanted are passed over by a bitmap of ids of fixed size."""

@@ -49,6 +49,17 @@ def test_ids_are_those_of_the_tokenizer():
         assert encoder.encode(t) == np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_special_tokens_are_a_parameter(spark):
+    from tokenizers import Tokenizer
+
+    path, text = public_tokenizers.path("byte_bpe_50k.json"), "a <|endoftext|> b"
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    assert packing.encoder(path, True).encode(text) == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert [packing.pack(docs, path, text_only=t).first()["doc_tokens"] for t in (False, True)] == [5, len(plain.encode(text).ids) + 1]
+
+
 # chat
 def test_chat_repeats_and_other_columns(spark):
     rows = [(1, 0, "user", "q", "x"), (1, 0, "user", "q", "y"), (1, 1, "assistant", "b", "x"), (1, 1, "assistant", "a", "x")]
@@ -127,6 +138,17 @@ def test_frequent_ids_are_cut_as_well(spark):
     assert Counter((r["doc_id"], r["edited_sha256"]) for r in got) == want
 
 
+@pytest.mark.parametrize("first", [1 << 62, -(1 << 62), (1 << 63) - 301, -(1 << 63) + 1, -150])
+def test_neighbours_by_large_ids(spark, first):
+    """Ids that fall on one double, at the ends of their range, and of both signs."""
+    rows = [(first + i, f"text number {i} says {i * i} or so") for i in range(300)]
+    got = fingerprint.compare_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), pieces=10).collect()
+    want = {}
+    for (d, t), (_, after) in zip(rows, [*rows[1:], rows[0]], strict=True):
+        want[d] = hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()
+    assert {r["doc_id"]: r["edited_sha256"] for r in got} == want
+
+
 # languages
 def test_spans_of_mixed_texts(spark):
     """Halves of two languages in one text: nearly all words get their half's language."""
@@ -314,6 +336,57 @@ def test_blocks_by_ngrams_lose_no_link(spark, monkeypatch):
     assert {tuple(r) for r in jaccard.near_duplicates(made, 3, 80).collect()} == brute(rows, 3, 80)
 
 
+def near_copies(n, words=120):
+    """Texts that differ in two or three words of one text, so they share nearly all n-grams."""
+    rng, base = np.random.default_rng(2), [f"w{i}" for i in range(words)]
+    for k in range(n):
+        own = list(base)
+        for at in rng.choice(words, int(rng.integers(1, 4)), replace=False):
+            own[at] = f"x{k}_{at}"
+        yield k, " ".join(own)
+
+
+def test_blocks_are_bounded_whatever_sets_share(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 100)
+    shingles = jaccard.Shingler(5)
+    sets = [(k, 1, h.size, int(h[0] >> np.uint64(1)), True, 9) for k, h in ((k, shingles(t)) for k, t in near_copies(1500))]
+    sized = spark.createDataFrame(sets, "key long, cluster long, size long, least long, large boolean, class int").repartition(5)
+    blocks = jaccard._blocks(sized).groupBy("block").agg(F.count("*").alias("n"), F.sum("size").alias("s")).collect()
+    assert sum(b["n"] for b in blocks) == 1500 and max(b["n"] for b in blocks) <= 100 and len(blocks) <= 16
+    monkeypatch.setattr(jaccard, "BLOCK_GRAMS", 1000)
+    blocks = jaccard._blocks(sized).groupBy("block").agg(F.sum("size").alias("s")).collect()
+    assert max(b["s"] for b in blocks) <= 1000 + max(s[2] for s in sets)
+
+
+def test_near_copies_beyond_a_block(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 40)
+    rows = list(near_copies(220))
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert {tuple(r) for r in jaccard.near_duplicates(made, 5, 80).collect()} == brute(rows, 5, 80)
+
+
+def test_frequent_ngrams_give_few_edges(spark, monkeypatch):
+    """Edges grow with the sets of an n-gram, not with the pairs of its lists."""
+    monkeypatch.setattr(jaccard, "BLOCK", 50)
+    per_set = []
+    for n in (500, 2000):
+        sets = [(1, k, k, 100 + k % 30, 100 + k % 30, np.packbits(np.arange(1024) % 7 == k % 7).tobytes()) for k in range(n)]
+        rows = spark.createDataFrame(sets, "gram long, local long, key long, size int, reach int, bits binary")
+        edges = jaccard._frequent(rows, 80)
+        assert edges.groupBy().agg(F.max("need")).first()[0] == 1
+        per_set.append(edges.count() / n)
+        roots = {r["root"] for r in jaccard.components(edges.select("a", "b")).collect()}
+        assert len(roots) == 1
+    assert max(per_set) <= 3 and per_set[1] <= 1.05 * per_set[0]
+
+
+def test_keep_first_leaves_clashing_columns_alone(spark):
+    rows = [(1, "a b c d e f g", "mine1", 5), (2, "other words that stand here now", "mine2", 6), (3, "a b c d e f g", "mine3", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark string, MARK int")
+    kept = jaccard.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == rows[:2]
+
+
 def test_keep_first_by_row(spark):
     """An id with two texts: only the near copy goes."""
     t, u = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))

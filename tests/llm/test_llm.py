@@ -58,8 +58,7 @@ def empty(spark):
 def check_packed(rows, expected):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(JSON)
-    tokenizer.encode_special_tokens = True
+    tokenizer = Tokenizer.from_file(JSON)  # special tokens' strings are those tokens
     sequences = {}
     found = Counter()
     for r in rows:
