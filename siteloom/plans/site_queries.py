@@ -16,6 +16,7 @@ from siteloom.operators import performance as P
 from siteloom.operators import place as L
 from siteloom.operators import trees as T
 from siteloom.sources import html as H
+from siteloom.sources import menu as M
 
 from . import audit_queries as AQ
 from . import inputs as I
@@ -102,13 +103,26 @@ def _trails(s, d):
 
 
 def _menus(s, d, html: str):
-    return H.menu(I.pages(s, d).select("url", F.lit(html).alias("html"))).select("url", "ord", "target", shown("labels").alias("labels"))
+    return M.menu(I.pages(s, d).select("url", F.lit(html).alias("html"))).select("url", "ord", "target", shown("labels").alias("labels"))
 
 
 NESTED = '<nav><ul><li><a href="/a">A</a><ul><li><a data-menu-level="0" href="/b">B</a><ul><li><a href="/d">D</a></li></ul></li><li><a href="/c">C</a></li><li><a href="mailto:x@y.test">M</a></li></ul></li></ul></nav>'
 DECLARED = '<script type="application/ld+json">[{"@type": ["SiteNavigationElement"], "name": ["One", "Two"], "url": ["/1", "/2"]}, {"@type": "SiteNavigationElement", "name": "Else", "url": "https://elsewhere.test/"}]</script>'
 
 
+def _mega_menu(s, d):
+    """The links of a page's own list as a menu with panels, headings, a footer and a trail."""
+    link = lambda k: F.concat(F.lit('<a href="'), F.get("l", F.lit(k)), F.lit('">'), F.lit(f"Entry {k}</a>"))
+    parts = [
+        "<header><nav><ul><li>", 0, "<nav><ul><li><h3>First</h3><ul><li>", 1, "</li><li>", 2, "</li></ul></li><li><h3>Second</h3><ul><li>", 3,
+        '</li></ul></li></ul></nav></li><li><div>Alone</div></li></ul></nav></header><ol class="breadcrumb"><li>', 4, "</li></ol><footer><nav><ul><li>", 5,
+        "</li></ul></nav></footer>",
+    ]
+    html = F.concat(*(F.coalesce(link(p), F.lit("")) if isinstance(p, int) else F.lit(p) for p in parts))
+    own = F.regexp_extract_all(F.regexp_extract("html", "(?s)<nav>(.*?)</nav>", 1), F.lit('<a href="([^"]*)"'), F.lit(1))
+    return I.pages(s, d).select("url", own.alias("l")).where("size(l) > 5").select("url", html.alias("html"))
+
+
 def _stored(s, d):
     """Pages as a stored result has them, with and without what they say of themselves."""
     n = c("page_id")
@@ -174,6 +188,7 @@ def queries() -> dict:
         "ud2_batch_votes": lambda s, d: C.batch_votes(I.pages(s, d).select("url"), _judge_batch),
         "gr11_evidence": _evidence,
         "gr13_site_profiles": lambda s, d: G.site_profiles(_probes(s, d)).withColumn("locales", F.array_join("locales", ",")),
+        "htm3_mega_menu": lambda s, d: M.nodes(_mega_menu(s, d)).select("url", "target", shown("line").alias("labels"), "depth"),
         "htm4_declared_roots": lambda s, d: _menus(s, d, NESTED),
         "htm5_declared_menu": lambda s, d: _menus(s, d, DECLARED),
         "htm6_breadcrumbs": lambda s, d: H.breadcrumbs(_trails(s, d)),
@@ -226,6 +241,10 @@ def oracle_sql() -> dict[str, str]:
         "ud2_batch_votes": "SELECT url, 'L2_SUB_NAV_HUB' AS level, 'BLOG_HUB' AS page_type, 0.7::DOUBLE AS confidence FROM pages WHERE contains(url, '/en/')",
         "gr11_evidence": w(AQ._GRAPH + f", bodies AS (SELECT {I.sql_norm_url('url')} AS key, min(html) AS html FROM pages GROUP BY 1) SELECT key, in_sitemap, coalesce(length(html), 0) AS chars, CASE WHEN url IN (SELECT url FROM pages) THEN 'The X' ELSE '' END AS breadcrumb, inbound, outbound, (SELECT count(*) FROM nodes) AS total_pages FROM graph LEFT JOIN bodies USING (key)", "spelled"),
         "gr13_site_profiles": f"SELECT site, CASE WHEN n % 3 = 0 THEN 'WORDPRESS' WHEN n % 4 = 0 THEN 'SHOPIFY' WHEN n % 5 = 0 THEN 'HEADLESS' ELSE 'UNKNOWN' END AS family, n % 5 = 0 AS client_side, n % 4 = 0 AS has_catalogue, CASE WHEN n % 2 = 0 THEN 'de' ELSE '' END AS locales FROM (SELECT {I.sql_host('url')} AS site, min(page_id) AS n FROM pages GROUP BY 1)",
+        "htm3_mega_menu": f"""WITH p AS (SELECT url, {_ROOT} AS root, l FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS l FROM pages) WHERE len(l) > 5),
+  e AS (SELECT url, k, root || l[k + 1] AS target FROM p, (VALUES (0), (1), (2), (3)) v(k) QUALIFY row_number() OVER (PARTITION BY url, l[k + 1] ORDER BY k) = 1),
+  n AS (SELECT url, target, CASE k WHEN 0 THEN 'Entry 0' WHEN 3 THEN 'Entry 0 > Second > Entry 3' ELSE 'Entry 0 > First > Entry ' || k END AS labels, CASE k WHEN 0 THEN 0 ELSE 2 END AS depth FROM e)
+  SELECT * FROM n UNION ALL SELECT DISTINCT url, NULL, CASE k WHEN 3 THEN 'Entry 0 > Second' ELSE 'Entry 0 > First' END, 1 FROM e WHERE k > 0""",
         "htm4_declared_roots": two % "(1, '/a', 'A'), (2, '/b', 'B'), (3, '/d', 'B > D'), (4, '/c', 'A > C')",
         "htm5_declared_menu": two % "(1, '/1', 'One'), (2, '/2', 'Two')",
         "htm6_breadcrumbs": f"SELECT url, nr, CASE WHEN nr = 2 THEN 'Page ' || page_id ELSE label END AS label, CASE WHEN nr < 2 THEN {_ROOT} || target END AS target FROM pages, (VALUES (0, 'Home', '/'), (1, 'The X', '/x/'), (2, '', '')) v(nr, label, target)",

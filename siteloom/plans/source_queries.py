@@ -11,6 +11,7 @@ from siteloom.functions import urls as U
 from siteloom.operators.staging import staged
 from siteloom.sources import bodies as B
 from siteloom.sources import html as H
+from siteloom.sources import menu as M
 from siteloom.streaming import crawl_stream as T
 
 from . import inputs as I
@@ -126,7 +127,7 @@ def queries() -> dict:
         "st1_confirmed_loops": _stream_loops,
         "st1_loop_members": lambda s, d: T.loop_members(_verdicts(s, d)).select("url", "tail"),
         "htm2_nav_links": lambda s, d: H.nav_links(I.pages(s, d)).select("url", "nr", "href", "depth"),
-        "htm3_menu": lambda s, d: H.menu(I.pages(s, d)).select("url", "ord", "target", F.array_join("labels", " > ").alias("labels")),
+        "htm3_menu": lambda s, d: M.menu(I.pages(s, d)).select("url", "ord", "target", F.array_join("labels", " > ").alias("labels")),
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
         "src4_wordpress_records": lambda s, d: B.wordpress_records(_listings(s, d)),
         "src5_shopify_records": lambda s, d: B.shopify_records(_shop(s, d)),
@@ -156,6 +157,11 @@ def oracle_sql() -> dict[str, str]:
     return {
         "htm2_nav_links": """SELECT url, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS nr, unnest(l) AS href, 0 AS depth
   FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="([^"]*)"', 1) AS l FROM pages)""",
+        "htm3_menu": """SELECT url, CAST(row_number() OVER (PARTITION BY url ORDER BY nr) AS INTEGER) AS ord, target, label AS labels
+  FROM (SELECT url, nr, root || href AS target, label FROM (SELECT url, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS root, generate_subscripts(l, 1) AS nr,
+    unnest(list_transform(l, lambda x: regexp_extract(x, '"([^"]*)"', 1))) AS href, unnest(list_transform(l, lambda x: regexp_extract(x, '>([^<]*)<', 1))) AS label
+    FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>') AS l FROM pages))
+  QUALIFY row_number() OVER (PARTITION BY url, root || href ORDER BY nr) = 1)""",
         "src2_sitemap_entries": "SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS name, 'URLSET' AS kind, url AS loc FROM pages UNION ALL SELECT 'https://s.test/index.xml', 'INDEX', x FROM (SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS x FROM pages UNION ALL SELECT 'https://s.test/index.xml')",
         "src3_expanded_sitemaps": "SELECT DISTINCT url, 'sitemap-' || (page_id // 1000) || '.xml' AS sitemap_source FROM pages",
         "src7_rejected_rows": "SELECT * FROM (VALUES ('de', 0::BIGINT), ('en', 0::BIGINT)) v(file, rejected) UNION ALL SELECT 'words' AS file, count(*) AS rejected FROM pages",

@@ -9,7 +9,7 @@ import json
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
-from urllib.parse import urljoin, urlsplit
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls as U
 from siteloom.operators import classify as C
 
-CANONICAL_HEAD, MOST_CRUMBS, MOST_NAV, NAV_DEPTH = 200_000, 12, 2000, 3
+CANONICAL_HEAD, MOST_CRUMBS = 200_000, 12
 # JSON-LD types and the class that each declares.
 SCHEMA_TYPES = {
     "product": ("L3_LEAF_PAGE", "PRODUCT_DETAIL_PAGE"),
@@ -107,10 +107,6 @@ def schema_votes(pages: DataFrame) -> DataFrame:
     return first.select("url", C.vote("JSONLD", F.substring_index("pair", "|", 1), F.substring_index("pair", "|", -1), 0.80).alias("v")).select("url", "v.*")
 
 
-#: Attributes by which markup states the level of a menu entry.
-LEVELS = ("data-menu-level", "data-level", "aria-level")
-
-
 def leads_on(href: str) -> bool:
     """Whether a link leads to a page, and not to a place in this one or to a program."""
     return bool(href.strip()) and not href.strip().lower().startswith(("#", "javascript:", "mailto:", "tel:", "data:", "sms:"))
@@ -131,8 +127,7 @@ class _Nav(HTMLParser):
         elif self.inside and tag in ("ul", "ol"):
             self.lists += 1
         elif self.inside and tag == "a" and given.get("href"):
-            level = next((given[a] for a in LEVELS if given.get(a)), "")
-            self.open = [given["href"], "", max(0, self.lists - 1), level.strip() in ("0", "1")]
+            self.open = [given["href"], "", max(0, self.lists - 1)]
 
     def handle_data(self, data):
         if self.open is not None:
@@ -140,8 +135,8 @@ class _Nav(HTMLParser):
 
     def handle_endtag(self, tag):
         if tag == "a" and self.open is not None:
-            href, text, depth, top = self.open
-            self.found.append((href, " ".join(text.split()), depth, top))
+            href, text, depth = self.open
+            self.found.append((href, " ".join(text.split()), depth))
             self.open = None
         elif self.inside and tag in ("ul", "ol"):
             self.lists = max(0, self.lists - 1)
@@ -151,7 +146,7 @@ class _Nav(HTMLParser):
             self.lists = 0 if not self.inside else self.lists
 
 
-def _nav(html: str) -> list[tuple[str, str, int, bool]]:
+def _nav(html: str) -> list[tuple[str, str, int]]:
     parser = _Nav()
     parser.feed(html or "")
     return parser.found
@@ -159,63 +154,10 @@ def _nav(html: str) -> list[tuple[str, str, int, bool]]:
 
 def nav_links(pages: DataFrame) -> DataFrame:
     """url, nr, href, label, depth of links to pages in navigation landmarks."""
-    rows = lambda _, html: [(i, *f[:3]) for i, f in enumerate(x for x in _nav(html) if leads_on(x[0]))]
+    rows = lambda _, html: [(i, *f) for i, f in enumerate(x for x in _nav(html) if leads_on(x[0]))]
     return _by_page(pages.where(F.col("html").rlike(r"(?i)<nav\b|role\s*=\s*[\"']navigation")), F.col("html"), rows, "url string, nr int, href string, label string, depth int")
 
 
-def _site(url: str) -> str:
-    """The host of an address as ``functions.urls.site_host`` has it."""
-    try:
-        return (urlsplit(url).hostname or "").removeprefix("www.")
-    except ValueError:
-        return ""
-
-
-def _declared_menu(url: str, html: str) -> Iterator[tuple[str, str]]:
-    """Names and targets of JSON-LD navigation elements, for menus that a script draws."""
-    for node in (n for d in _documents(re.findall(BLOCKS, html or "")) for n in _nodes(d)):
-        kinds = node.get("@type")
-        if "SiteNavigationElement" in (kinds if isinstance(kinds, list) else [kinds]):
-            names, targets = (v if isinstance(v, list) else [v] for v in (node.get("name"), node.get("url")))
-            for name, target in zip(names, targets, strict=False):
-                if isinstance(name, str) and isinstance(target, str) and name.strip() and leads_on(target):
-                    yield " ".join(name.split()), urljoin(url, target)
-
-
-def menu(homepages: DataFrame) -> DataFrame:
-    """url (of the home page), ord, target, labels: the menu as label paths, at most
-    2000 entries three deep, each target once, of the same site; entries that the
-    markup calls top-level are roots; without links, the menu that JSON-LD declares."""
-
-    def rows(url: str, html: str):
-        path: list[str] = []
-        seen: set[str] = set()
-        lifted: dict[str, int] = {}
-        site = _site(url)
-        for href, label, depth, top in _nav(html):
-            target = urljoin(url, href)
-            path = [*path[: min(depth, NAV_DEPTH - 1)], label]
-            if not (label and leads_on(href) and _site(target) == site) or target in seen:
-                continue
-            if len(seen) >= MOST_NAV:
-                break
-            seen.add(target)
-            # an entry that the markup calls top-level is a root, with what lies below it
-            above = [k for k in range(len(path)) if "\x1f".join(path[: k + 1]) in lifted]
-            if top and depth:
-                lifted["\x1f".join(path)] = depth
-                above = [len(path) - 1]
-            yield len(seen), target, "\x1f".join(path[above[-1] :] if above else path)
-        if not seen:
-            for name, target in _declared_menu(url, html):
-                if target not in seen and _site(target) == site:
-                    seen.add(target)
-                    yield len(seen), target, name
-
-    flat = _by_page(homepages, F.col("html"), rows, "url string, ord int, target string, labels string")
-    return flat.where(U.same_site(F.col("url"), F.col("target"))).withColumn("labels", F.split("labels", "\x1f"))
-
-
 def breadcrumbs(pages: DataFrame) -> DataFrame:
     """url, nr, label, target: the longest JSON-LD breadcrumb list, by position if all
     have one, else the trail that the page shows; at most 12 steps."""
