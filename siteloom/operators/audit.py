@@ -21,22 +21,25 @@ def sitemap_redirects(pages: DataFrame) -> DataFrame:
     return moved.select("url", "final_url", (F.size(U.path_segments("final_url")) == 0).alias("lands_home"))
 
 
-def duplicate_sets(pages: DataFrame) -> DataFrame:
-    """Pages with the same normal leaf whose other segments are, in order, among
-    those of the set's first page, or the reverse; the set's first is by URL.
+def duplicate_sets(pages: DataFrame, order: str = "url") -> DataFrame:
+    """Pages with the same normal last segment whose segments before it are, in order,
+    among those of the set's first page (by ``order``), or the reverse.  A page at
+    the root has none before it and is only with such pages.
 
     The first page comes by an aggregate and a join, so no set is collected.
     """
     segs = F.transform(U.path_segments("url"), lambda s: U.normalize_segment(s))
-    rows = pages.select("url", "inbound", segs.alias("segs")).where(F.size("segs") >= 2)
-    rows = rows.select("url", "inbound", F.element_at("segs", -1).alias("leaf"), F.slice("segs", 1, F.size("segs") - 1).alias("above"))
-    rows = rows.where("leaf <> ''")
-    heads = rows.groupBy("leaf").agg(F.min_by(F.struct("url", "above"), "url").alias("head"))
+    rows = pages.select("url", "inbound", F.col(order).alias("at"), segs.alias("segs"))
+    leaf = F.when(F.size("segs") > 0, F.element_at("segs", -1)).otherwise("")
+    rows = rows.select("url", "inbound", "at", leaf.alias("leaf"), F.slice("segs", 1, F.greatest(F.size("segs") - 1, F.lit(0))).alias("above"))
+    heads = rows.groupBy("leaf").agg(F.min_by(F.struct("url", "above"), F.struct("at", "url")).alias("head"))
 
     def within(a, b):  # a's elements in order among b's
         return F.aggregate(b, F.lit(0), lambda at, x: F.when(F.get(a, at) == x, at + 1).otherwise(at)) == F.size(a)
 
-    own = rows.join(heads, "leaf").where(within(F.col("above"), F.col("head.above")) | within(F.col("head.above"), F.col("above")))
+    own, head = F.col("above"), F.col("head.above")
+    same = F.when((F.size(own) == 0) | (F.size(head) == 0), F.size(own) == F.size(head)).otherwise(within(own, head) | within(head, own))
+    own = rows.join(heads, "leaf").where(same)
     sizes = own.groupBy("leaf").agg(F.count("*").alias("n")).where("n > 1")
     return own.join(sizes, "leaf").select("leaf", "url", "inbound", "n")
 

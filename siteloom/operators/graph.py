@@ -13,12 +13,15 @@ from .staging import staged
 LOOP_URLS, LOOP_DEPTHS = 25, 4
 #: The href of an anchor, quoted or not.
 ANCHOR = r"(?i)<a\s[^>]*?href\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+#: What a reader never sees as markup: comments, scripts and styles, to their end or that of the page.
+UNSEEN = r"(?is)<!--.*?(?:-->|$)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|$)"
 SCHEMES = r"(?i)^\s*(#|javascript:|mailto:|tel:|data:|sms:)"
 
 
 def links(pages: DataFrame) -> DataFrame:
     """src, href of every link to a page of the same site, once for each page."""
-    found = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit(ANCHOR), F.lit(1))).alias("raw"))
+    shown = F.regexp_replace("html", UNSEEN, " ")
+    found = pages.select(F.col("url").alias("src"), F.explode(F.regexp_extract_all(shown, F.lit(ANCHOR), F.lit(1))).alias("raw"))
     found = found.select("src", U.unescape_markup(F.regexp_replace("raw", "^[\"']|[\"']$", "")).alias("raw"))
     found = found.distinct()  # links that repeat on a page; also deals what few files hold over the tasks
     usable = found.where(~F.col("raw").rlike(SCHEMES) & (F.trim("raw") != ""))
@@ -65,14 +68,17 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(inbound, "key", "left").join(outbound, "key", "left").select(*nodes.columns, zero("inbound"), zero("outbound"))
 
 
-def bfs(edges: DataFrame, roots: DataFrame, most: int = 15) -> DataFrame:
-    """key, depth: levels from the roots over edges (src, dst); facets aren't expanded.
+def bfs(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+    """key, depth: levels from the roots over edges (src, dst), to the last that is
+    reached or to ``most``.  Filtered listings (facets) are reached but not expanded.
 
     One join a level; what has been visited is staged, so plans stay short.
     """
+    edges = edges.where(~U.is_faceted("src"))
     seen = staged(roots.select("key", F.lit(0).alias("depth")).distinct())
-    frontier = seen
-    for depth in range(1, most + 1):
+    frontier, depth = seen, 0
+    while most is None or depth < most:
+        depth += 1
         step = edges.join(frontier.select(F.col("key").alias("src")), "src", "left_semi").select(F.col("dst").alias("key")).distinct()
         frontier = staged(step.join(seen, "key", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
@@ -133,23 +139,5 @@ def report(nodes: DataFrame) -> DataFrame:
     )
 
 
-def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, allowed: the longest rule that fits, allow before disallow, else allowed.
-
-    Rules (pattern, allow and, if they have one, host) of an agent.  Those of a
-    host meet its addresses by an equal join; rules without a host are those of
-    one file.
-    """
-    path = U.path_of("url")
-    fit = F.regexp(path, S.robots_regex(F.col("pattern")))
-    if "host" in rules.columns:
-        fit = (U.host_of("url") == F.col("host")) & fit
-    fits = urls.join(rules, fit, "left")
-    best = F.struct(F.length("pattern").alias("l"), F.col("allow").alias("a"))
-    return fits.groupBy("url").agg(F.max(F.when(F.col("pattern").isNotNull(), best)).alias("b")).select(
-        "url", F.coalesce("b.a", F.lit(True)).alias("allowed")
-    )
-
-
 def first_of_each(rows: DataFrame, key: str, *order: Column) -> DataFrame:
     return rows.withColumn("_nr", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nr = 1").drop("_nr")

@@ -11,11 +11,16 @@ from siteloom.operators import audit as A
 from siteloom.operators import classify as C
 from siteloom.operators import graph as G
 from siteloom.operators import resolve as R
+from siteloom.operators import robots as RB
 from siteloom.operators.staging import staged
 
 from . import inputs as I
 
 c = F.col
+ROBOTS_FILE = [
+    "Sitemap: https://x.test/s.xml", "Disallow: /nobody", "User-agent: *", "Disallow: /", "", "User-agent: Loom", "Allow: /", "Crawl-delay: 3", "User-agent: loombot",
+    "Sitemap: https://x.test/t.xml", "User-agent: Z", "Disallow: /*?page=", "Disallow: /en/*5$", "Allow: /de/", "Disallow: /de/1", "Disallow:", "Allow: /*?page=2&",
+]
 ROBOTS = [("/en/", False), ("/en/*5$", True), ("/*/4", False), ("/fr", False)]
 MENU = ["About us", "English (en)", "Deutsch"]
 
@@ -73,7 +78,7 @@ class Site:
 
     @cached_property
     def sets(self):
-        return staged(A.duplicate_sets(I.spelled(self.spark, self.d).select("url", c("page_id").alias("inbound"))))
+        return staged(A.duplicate_sets(I.spelled(self.spark, self.d).select("url", c("page_id").alias("inbound")), "inbound"))
 
     @cached_property
     def predictions(self):
@@ -85,7 +90,39 @@ def _bfs(s, d):
     p = I.pages(s, d)
     edges = staged(G.links(p))
     roots = p.groupBy(U.host_of("url").alias("host")).agg(F.min("url").alias("key")).select("key")
-    return G.bfs(edges.select("src", c("href").alias("dst")), roots, 5)
+    return G.bfs(edges.select("src", c("href").alias("dst")), roots)
+
+
+def _bfs_facets(s, d):
+    """The same with a filtered listing behind every link, and a page behind each of these."""
+    p = I.pages(s, d)
+    links = G.links(p)
+    listing = F.concat("href", F.lit("?sort=up"))
+    more = links.select(c("href").alias("src"), listing.alias("dst")).union(links.select(listing, F.concat(listing, F.lit("&more=1"))))
+    roots = p.groupBy(U.host_of("url").alias("host")).agg(F.min("url").alias("key")).select("key")
+    return G.bfs(staged(links.select("src", c("href").alias("dst")).union(more)), roots)
+
+
+def _hidden_links(s, d):
+    """Pages with anchors in a comment, a script, a style and an unfinished comment."""
+    hidden = '<!-- <a href="/h1">x</a> --><script type="x">var a = \'<a href="/h2">\'</script><STYLE><a href="/h3"></STYLE >'
+    html = F.concat(F.lit(hidden), "html", F.lit('<!-- <a href="/h4">'))
+    return G.links(I.pages(s, d).select("url", html.alias("html")))
+
+
+def _agent_rules(s, d):
+    """Robots files of three kinds by host, for an agent of several names."""
+    own = I.pages(s, d).groupBy(U.host_of("url").alias("host")).agg(F.min("page_id").alias("n"))
+    body = F.when(c("n") % 3 == 0, F.lit("\n".join(ROBOTS_FILE))).when(c("n") % 3 == 1, F.lit("User-agent: other\nDisallow: /")).otherwise("User-agent: *\r\nUser-agent: x\r\nDisallow: /fr # all of it")
+    return RB.allowed(I.pages(s, d).select("url"), RB.rules_for(own.select("host", body.alias("body")), "LoomBot/2.0"))
+
+
+def _root_duplicates(s, d):
+    """Applications at the root under many queries, and others in a folder."""
+    root, n = F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1), c("page_id")
+    job = F.concat(F.lit("job-"), (n % 50).cast("string"))
+    url = F.when(n % 3 == 0, F.concat(root, F.lit("/x/"), job)).otherwise(F.concat(root, F.lit("/"), job, F.lit("?role="), n.cast("string")))
+    return A.duplicate_sets(I.pages(s, d).select(url.alias("url"), n.alias("inbound")), "inbound")
 
 
 def _profiles(s, d):
@@ -110,7 +147,11 @@ def queries() -> dict:
         "gr7_discovery_report": lambda s, d: G.report(Site(s, d).graph),
         "gr8_unfetched": lambda s, d: Site(s, d).nodes.join(I.pages(s, d).where("page_id % 2 = 0").select(U.normalize_url("url").alias("key")), "key", "left_anti").select("key"),
         "gr10_loops": lambda s, d: G.loops(I.spelled(s, d).select(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.repeat(F.lit("/q"), (c("page_id") % 5).cast("int")), F.lit("/a/b/c/")).alias("url"))),
-        "gr12_robots": lambda s, d: G.robots_allowed(I.pages(s, d).select("url"), s.createDataFrame(ROBOTS, "pattern string, allow boolean")),
+        "gr12_robots": lambda s, d: RB.allowed(I.pages(s, d).select("url"), s.createDataFrame(ROBOTS, "pattern string, allow boolean")),
+        "gr12_agent_rules": _agent_rules,
+        "gr5_facets": _bfs_facets,
+        "htm1_hidden_links": _hidden_links,
+        "au3_root_pages": _root_duplicates,
         "cl6_signals": lambda s, d: Site(s, d).signals,
         "cl7_consensus": lambda s, d: Site(s, d).voted,
         "cl8_cascade": lambda s, d: Site(s, d).classified,
@@ -155,6 +196,7 @@ _MEDIA = rf"regexp_matches(lower({_P}), '\.({'|'.join(U.NON_PAGE_SUFFIXES)})$')"
 _LONG = f"list_filter(list_transform({_SEG}, lambda s: lower(s)), lambda s: length(s) > 3)"
 _TRAP = f"(len({_SEG}) > 15 OR len({_LONG}) <> len(list_distinct({_LONG})))"
 _CMP = lambda u: rf"'https://' || regexp_replace(lower({I.sql_netloc(u)}), '^www\.', '') || regexp_replace({I.sql_path(u)}, '/+$', '') || CASE WHEN {I.sql_query(u)} <> '' THEN '?' || {I.sql_query(u)} ELSE '' END"
+_FACET = "(len(string_split(regexp_extract({{0}}, '[?]([^#]*)', 1), '&')) > {0} OR regexp_matches(lower({{0}}), '[?&]({1})='))".format(U.MAX_PARAMS, "|".join(U.FILTER_PARAMS))
 _KIND = "['product', 'category', 'post', 'page', 'x'][CAST(page_id % 5 AS INTEGER) + 1]"
 _HUB = "CASE WHEN page_id % 3 = 0 THEN 'L1_PRIMARY_NAV_HUB' ELSE 'L2_SUB_NAV_HUB' END"
 
@@ -207,9 +249,9 @@ rec AS (SELECT key, CASE WHEN url IS NULL THEN 'ours' WHEN our_url IS NULL THEN
     WHEN status >= 400 OR status = 0 THEN 'CLIENT_ERROR' WHEN {_MEDIA} THEN 'MEDIA' WHEN {_TRAP} THEN 'TRAP' WHEN NOT indexable THEN 'NON_INDEXABLE' ELSE 'MISSED_PAGE' END AS reason FROM f) """
 _FOLDED = "list_reduce(list_prepend({{'at': 0, 'x': ''}}, list_transform({1}, lambda x: {{'at': 0, 'x': x}})), lambda p, y: {{'at': p.at + CASE WHEN {0}[p.at + 1] = y.x THEN 1 ELSE 0 END, 'x': ''}}).at = len({0})"
 _SETS = f"""+seg AS (SELECT url, page_id AS inbound, list_transform({_SEG}, lambda s: array_to_string(list_filter(regexp_split_to_array(lower(s), '[-_]+'), lambda q: q <> '' AND q NOT IN {I._in(U.SLUG_FILLERS)}), '-')) AS segs FROM spelled),
-leaves AS (SELECT url, inbound, segs[-1] AS leaf, segs[1:len(segs) - 1] AS above FROM seg WHERE len(segs) >= 2 AND segs[-1] <> ''),
-heads AS (SELECT leaf, arg_min(above, url) AS head FROM leaves GROUP BY 1),
-own AS (SELECT leaf, url, inbound FROM leaves JOIN heads USING (leaf) WHERE {_FOLDED.format('above', 'head')} OR {_FOLDED.format('head', 'above')}),
+leaves AS (SELECT url, inbound, coalesce(segs[-1], '') AS leaf, segs[1:len(segs) - 1] AS above FROM seg),
+heads AS (SELECT leaf, arg_min(above, inbound) AS head FROM leaves GROUP BY 1),
+own AS (SELECT leaf, url, inbound FROM leaves JOIN heads USING (leaf) WHERE CASE WHEN len(above) = 0 OR len(head) = 0 THEN len(above) = len(head) ELSE {_FOLDED.format('above', 'head')} OR {_FOLDED.format('head', 'above')} END),
 sets AS (SELECT leaf, url, inbound, count(*) OVER (PARTITION BY leaf) AS n FROM own QUALIFY n > 1) """
 _J = "+pr AS (SELECT page_id, url, level, page_type, score FROM crawl WHERE ord % 2 = 0), j AS (SELECT l.*, p.url, p.level, p.page_type, p.score FROM labelled l LEFT JOIN pr p USING (page_id)) "
 _DEDUPED = f"+p AS (SELECT * FROM crawl QUALIFY row_number() OVER (PARTITION BY {I.sql_norm_url('url')} ORDER BY len(trail) DESC, ord) = 1) "
@@ -230,12 +272,22 @@ def oracle_sql() -> dict[str, str]:
         "gr2_merged_nodes": w(_GRAPH + "SELECT * FROM nodes", "spelled"),
         "gr4_degrees": w(_GRAPH + "SELECT key, inbound, outbound FROM graph", "spelled"),
         "gr3_page_budget": w(_GRAPH + ", l AS (SELECT key, ord FROM nodes WHERE in_sitemap OR in_cms ORDER BY ord LIMIT 80) SELECT * FROM l UNION ALL SELECT * FROM (SELECT key, ord FROM nodes WHERE in_links AND key NOT IN (SELECT key FROM l) ORDER BY ord LIMIT (SELECT 100 - count(*) FROM l))", "spelled"),
-        "gr5_bfs_depth": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f", r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN edges e ON e.src = r.key WHERE depth < 5) SELECT key, min(depth) AS depth FROM r GROUP BY 1",
+        "gr5_bfs_depth": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f", r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN edges e ON e.src = r.key WHERE depth < (SELECT count(*) FROM pages) AND NOT {_FACET.format('r.key')}) SELECT key, min(depth) AS depth FROM r GROUP BY 1",
+        "gr5_facets": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f""", more AS (SELECT src, href FROM edges UNION SELECT href, href || '?sort=up' FROM edges UNION SELECT href || '?sort=up', href || '?sort=up&more=1' FROM edges),
+  r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN more e ON e.src = r.key WHERE depth < (SELECT count(*) FROM pages) AND NOT {_FACET.format('r.key')}) SELECT key, min(depth) AS depth FROM r GROUP BY 1""",
+        "htm1_hidden_links": w(_GRAPH + "SELECT * FROM edges", "spelled"),
+        "au3_root_pages": """WITH p AS (SELECT page_id, page_id % 3 = 0 AS deep, 'job-' || (page_id % 50) AS leaf, regexp_extract(url, '^([^:]*://[^/?#]*)', 1) AS root FROM pages),
+  h AS (SELECT leaf, arg_min(deep, page_id) AS deep FROM p GROUP BY 1)
+  SELECT leaf, root || CASE WHEN deep THEN '/x/' || leaf ELSE '/' || leaf || '?role=' || page_id END AS url, page_id AS inbound, count(*) OVER (PARTITION BY leaf) AS n FROM p JOIN h USING (leaf, deep) QUALIFY n > 1""",
+        "gr12_agent_rules": f"""WITH h AS (SELECT {I.sql_host('url')} AS host, min(page_id) AS n FROM pages GROUP BY 1),
+  u AS (SELECT DISTINCT url, n, {_P} || CASE WHEN {I.sql_query('url')} <> '' THEN '?' || {I.sql_query('url')} ELSE '' END AS said FROM pages JOIN h ON h.host = {I.sql_host('url')})
+  SELECT url, CASE n % 3 WHEN 0 THEN CASE WHEN regexp_matches(said, '^/.*[?]page=2&') THEN true WHEN regexp_matches(said, '^/.*[?]page=') THEN false WHEN regexp_matches(said, '^/en/.*5$') THEN false
+    WHEN starts_with(said, '/de/1') THEN false ELSE true END WHEN 1 THEN true ELSE NOT starts_with(said, '/fr') END AS allowed FROM u""",
         "gr6_orphans": w(_GRAPH + "SELECT key FROM graph WHERE inbound = 0", "spelled"),
         "gr7_discovery_report": w(_GRAPH + "SELECT count(*) AS nodes, count_if(in_sitemap) AS from_sitemap, count_if(in_links) AS from_links, count_if(in_cms) AS from_cms, count_if(in_sitemap AND NOT in_links AND NOT in_cms) AS sitemap_only, count_if(in_links AND NOT in_sitemap AND NOT in_cms) AS links_only, count_if(inbound = 0) AS orphans FROM graph", "spelled"),
         "gr8_unfetched": w(_GRAPH + f"SELECT key FROM nodes WHERE key NOT IN (SELECT {I.sql_norm_url('url')} FROM pages WHERE page_id % 2 = 0)", "spelled"),
         "gr10_loops": w(f"SELECT tail, count(DISTINCT url) AS urls, count(DISTINCT depth) AS depths FROM (SELECT url, array_to_string(g[-3:], '/') AS tail, len(g) AS depth FROM (SELECT url, {_SEG} AS g FROM (SELECT {loop} AS url FROM spelled)) WHERE len(g) >= 3) GROUP BY 1 HAVING count(DISTINCT url) >= 25 AND count(DISTINCT depth) >= 4", "spelled"),
-        "gr12_robots": f"SELECT url, CASE WHEN regexp_matches({_P}, '^/en/.*5$') THEN true WHEN starts_with({_P}, '/en/') THEN false WHEN regexp_matches({_P}, '^/.*/4') THEN false WHEN starts_with({_P}, '/fr') THEN false ELSE true END AS allowed FROM (SELECT DISTINCT url FROM pages)",
+        "gr12_robots": f"SELECT url, CASE WHEN regexp_matches(said, '^/en/.*5$') THEN true WHEN starts_with(said, '/en/') THEN false WHEN regexp_matches(said, '^/.*/4') THEN false WHEN starts_with(said, '/fr') THEN false ELSE true END AS allowed FROM (SELECT DISTINCT url, {_P} || CASE WHEN {I.sql_query('url')} <> '' THEN '?' || {I.sql_query('url')} ELSE '' END AS said FROM pages)",
         "cl6_signals": w(_VOTED + "SELECT * FROM signals", "crawl"),
         "cl7_consensus": w(_VOTED + "SELECT * FROM voted", "crawl"),
         "cl8_cascade": w(_CLASS + "SELECT * FROM classified", "crawl"),

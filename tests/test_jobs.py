@@ -7,6 +7,7 @@ from siteloom.operators import classify as C
 from siteloom.operators import graph as G
 from siteloom.operators import place as L
 from siteloom.operators import reports as R
+from siteloom.operators import robots as RB
 from siteloom.sources import bodies as B
 from siteloom.streaming import crawl_stream as T
 
@@ -80,7 +81,7 @@ def test_placement_is_idempotent(spark):
 def test_robots_longest_rule(spark):
     rules = spark.createDataFrame([("/a", False), ("/a/b", True), ("/*.pdf$", False)], "pattern string, allow boolean")
     urls = spark.createDataFrame([("https://e.com/a/x",), ("https://e.com/a/b/c",), ("https://e.com/q.pdf",), ("https://e.com/",)], "url string")
-    got = {r["url"].removeprefix("https://e.com"): r["allowed"] for r in G.robots_allowed(urls, rules).collect()}
+    got = {r["url"].removeprefix("https://e.com"): r["allowed"] for r in RB.allowed(urls, rules).collect()}
     assert got == {"/a/x": False, "/a/b/c": True, "/q.pdf": False, "/": True}
 
 
