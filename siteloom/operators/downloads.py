@@ -1,4 +1,4 @@
-"""The listings that people download, as rows in their column order; ``place.write_csv`` writes them."""
+"""The listings that people download, as rows in their column order; ``sources.store.write_csv`` writes them."""
 
 from __future__ import annotations
 

@@ -126,18 +126,3 @@ def worksheet(pages: DataFrame, signals: DataFrame) -> DataFrame:
         )
         .orderBy("confidence", "url")
     )
-
-
-def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Rows as RFC 4180 CSV with a header."""
-    df.write.mode(mode).option("header", True).option("quote", '"').option("escape", '"').option("lineSep", "\r\n").csv(path)
-
-
-def write_result(df: DataFrame, path: str, job_id: str) -> None:
-    """One job's rows in a folder of its own, written anew if it is run again; a run
-    never changes another's."""
-    df.write.mode("overwrite").parquet(f"{path}/job_id={job_id}")
-
-
-def read_result(spark, path: str, job_id: str) -> DataFrame:
-    return spark.read.parquet(path).where(F.col("job_id") == job_id)

@@ -24,8 +24,8 @@ def lines(files: DataFrame) -> DataFrame:
     A group begins at a ``user-agent`` that no other directly precedes; lines
     before the first group belong to none; ``sitemap`` lines don't end a group's agents.
     """
-    body = F.regexp_replace(F.coalesce("body", F.lit("")), "^﻿+", "")
-    raw = files.select("host", F.posexplode(F.slice(F.split(body, "\r\n|[\n\r\v\f\x1c\x1d\x1e\x85  ]"), 1, MOST_LINES)).alias("nr", "raw"))
+    body = F.regexp_replace(F.coalesce("body", F.lit("")), "^\\ufeff+", "")
+    raw = files.select("host", F.posexplode(F.slice(F.split(body, "\\r\\n|[\\n\\r\\x0b\\f\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"), 1, MOST_LINES)).alias("nr", "raw"))
     text = F.trim(F.regexp_replace("raw", "(?s)#.*$", ""))
     said = raw.where(text.contains(":")).select(
         "host", "nr", F.lower(F.trim(F.substring_index(text, ":", 1))).alias("field"), F.trim(F.regexp_replace(text, "(?s)^[^:]*:", "")).alias("value")

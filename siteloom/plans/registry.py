@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audit_queries, performance_queries, place_queries, report_queries, scalar_queries, site_queries, source_queries
+from . import audit_queries, performance_queries, place_queries, report_queries, scalar_queries, site_queries, source_queries, stream_queries
 
-MODULES = [scalar_queries, performance_queries, audit_queries, source_queries, place_queries, report_queries, site_queries]
+MODULES = [scalar_queries, performance_queries, audit_queries, source_queries, place_queries, report_queries, site_queries, stream_queries]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from siteloom.operators import place as L
 from siteloom.operators import reports as R
 from siteloom.operators import robots as RB
 from siteloom.sources import bodies as B
+from siteloom.sources.store import Store
 from siteloom.streaming import crawl_stream as T
 
 
@@ -92,10 +93,11 @@ def test_bfs_stops(spark):
 
 
 def test_result_round_trip(spark, tmp_path):
-    L.write_result(spark.range(3), f"{tmp_path}/jobs", "one")
-    L.write_result(spark.range(5), f"{tmp_path}/jobs", "two")
-    L.write_result(spark.range(3), f"{tmp_path}/jobs", "one")  # run again
-    assert L.read_result(spark, f"{tmp_path}/jobs", "one").count() == 3 and L.read_result(spark, f"{tmp_path}/jobs", "two").count() == 5
+    store = Store(spark, f"{tmp_path}/jobs")
+    store.write(spark.range(3), "one")
+    store.write(spark.range(5), "two")
+    store.write(spark.range(3), "one")  # run again
+    assert store.read("one").count() == 3 and store.read("two").count() == 5
 
 
 def test_progress_estimate(spark):
