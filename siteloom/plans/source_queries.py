@@ -11,6 +11,7 @@ from siteloom.functions import urls as U
 from siteloom.operators.staging import staged
 from siteloom.sources import bodies as B
 from siteloom.sources import html as H
+from siteloom.sources import listings as P
 from siteloom.sources import menu as M
 from siteloom.streaming import crawl_stream as T
 
@@ -64,6 +65,20 @@ def _export(s, d):
     return head.union(rows.select("r.*"))
 
 
+def _responses(s, d):
+    """Listings of fifty stored pages: by cursor, by a declared number, until one repeats, and without an end."""
+    n = c("page_id")
+    group, j = F.floor(n / 50).cast("long"), n % 50
+    endpoint = F.concat(F.lit("https://cms.test/e"), group.cast("string"), F.lit("?per_page=9"))
+    cursor = lambda k: F.concat(endpoint, F.lit("&after="), k.cast("string"))
+    kind = group % 4
+    url = F.when(j == 0, endpoint).when(kind == 0, cursor(j)).otherwise(F.concat(endpoint, F.lit("&page="), (j + 1).cast("string")))
+    link = F.when((kind == 0) & (j < 7), F.concat(F.lit('<https://cms.test/>; rel="prev", <'), cursor(j + 1), F.lit('>; title=x; REL="Next"')))
+    body = F.concat(F.lit("page "), F.when(kind == 2, F.least(j, F.lit(2))).otherwise(j).cast("string"))
+    headers = F.create_map(F.lit("Link"), F.coalesce(link, F.lit("")), F.lit("X-WP-TotalPages"), F.when(kind == 1, "5").otherwise("none"))
+    return I.pages(s, d).select(endpoint.alias("endpoint"), url.alias("url"), F.lit(200).alias("status"), body.alias("body"), headers.alias("headers"))
+
+
 def _corpus(s, d):
     """Label files: sites by host, some again in a later file."""
     n = c("page_id")
@@ -131,6 +146,7 @@ def queries() -> dict:
         "src2_sitemap_entries": lambda s, d: B.sitemap_entries(_sitemaps(s, d)).select("name", "kind", "loc"),
         "src4_wordpress_records": lambda s, d: B.wordpress_records(_listings(s, d)),
         "src5_shopify_records": lambda s, d: B.shopify_records(_shop(s, d)),
+        "src6_listing_pages": lambda s, d: P.listing_bodies(_responses(s, d)),
         "src3_expanded_sitemaps": _expanded,
         "src7_search_export": lambda s, d: B.search_export(_export(s, d)),
         "src7_rejected_rows": lambda s, d: B.rejected_rows(_export(s, d)),
@@ -163,6 +179,9 @@ def oracle_sql() -> dict[str, str]:
     FROM (SELECT url, regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<a href="[^"]*">[^<]*</a>') AS l FROM pages))
   QUALIFY row_number() OVER (PARTITION BY url, root || href ORDER BY nr) = 1)""",
         "src2_sitemap_entries": "SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS name, 'URLSET' AS kind, url AS loc FROM pages UNION ALL SELECT 'https://s.test/index.xml', 'INDEX', x FROM (SELECT DISTINCT 'https://s.test/sitemap-' || (page_id // 1000) || '.xml' AS x FROM pages UNION ALL SELECT 'https://s.test/index.xml')",
+        "src6_listing_pages": """WITH p AS (SELECT 'https://cms.test/e' || (page_id // 50) || '?per_page=9' AS endpoint, page_id // 50 % 4 AS kind, page_id % 50 AS j FROM pages)
+  SELECT endpoint, CAST(j + 1 AS INTEGER) AS nr, endpoint || CASE WHEN j = 0 THEN '' WHEN kind = 0 THEN '&after=' || j ELSE '&page=' || (j + 1) END AS url, 'page ' || j AS body
+  FROM p WHERE j < CASE kind WHEN 0 THEN 8 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 40 END""",
         "src3_expanded_sitemaps": "SELECT DISTINCT url, 'sitemap-' || (page_id // 1000) || '.xml' AS sitemap_source FROM pages",
         "src7_rejected_rows": "SELECT * FROM (VALUES ('de', 0::BIGINT), ('en', 0::BIGINT)) v(file, rejected) UNION ALL SELECT 'words' AS file, count(*) AS rejected FROM pages",
         "src8_picked_table": "SELECT 'en' AS file, count(*) + 1 AS rows, count(*) / (count(*) + 1)::DOUBLE AS share FROM pages",

@@ -16,7 +16,7 @@ POSITION_WORDS = ("position", "posición", "posição", "posizione", "掲載順
 #: Columns of an export whose header says nothing, and how many cells of a row are read.
 USUAL, MOST_CELLS, LEAST_SHARE = (0, 1, 2, 4), 32, 0.6
 
-MOST_LOCS, MOST_LISTINGS = 50_000, 40
+MOST_LOCS = 50_000
 
 
 def _text(inner: Column) -> Column:
@@ -65,15 +65,6 @@ def shopify_records(listings: DataFrame, collection: str = "products") -> DataFr
     )
 
 
-def listing_pages(listings: DataFrame) -> DataFrame:
-    """Stored listing pages without repeated bodies, at most 40 of an endpoint (the feature)."""
-    from pyspark.sql import Window
-
-    first = listings.groupBy("endpoint", F.sha2("body", 256).alias("digest")).agg(F.min(F.struct("page", "body")).alias("p")).select("endpoint", "p.*")
-    order = F.row_number().over(Window.partitionBy("endpoint").orderBy("page"))
-    return first.withColumn("nr", order).where(F.col("nr") <= MOST_LISTINGS)
-
-
 def export_cells(lines: DataFrame) -> DataFrame:
     """file, nr, cells of rows (file, nr, line): quoted cells whole, by the delimiter
     that the file's first lines hold more of; empty lines left out."""
