@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
 
+from .ranking import running
 from .staging import staged
 
 LOOP_URLS, LOOP_DEPTHS = 25, 4
@@ -51,13 +52,37 @@ def merge_sources(found: DataFrame) -> DataFrame:
 
 
 def within_budget(nodes: DataFrame, most: int, reserve: float = 0.2) -> DataFrame:
-    """The page budget (the feature): sitemap and CMS pages leave ``reserve`` of it
-    to pages that links found, listed ones that had no room among them.  Top-k, so
-    no task ranks all nodes."""
-    listed = staged(nodes.where("in_sitemap or in_cms").orderBy("ord").limit(int(most * (1 - reserve))))
+    """The page budget (the feature), with ``slot``, listed or linked: sitemap and CMS pages
+    leave ``reserve`` of it to pages that links found, listed ones that had no room among
+    them.  Ranks are distributed, so no task orders all nodes, however large the budget."""
+    order = [F.col("ord").asc(), F.col("key").asc()]
+    listed = running(nodes.where("in_sitemap or in_cms"), [], order).where(F.col("rank") <= most - held_back(most, reserve))
+    listed = staged(listed.drop("rank").withColumn("slot", F.lit("listed")))
     room = most - listed.count()
     rest = nodes.where("in_links").join(listed.select("key"), "key", "left_anti").select(*nodes.columns)
-    return listed.union(rest.orderBy("ord").limit(room))
+    linked = running(rest, [], order).where(F.col("rank") <= room).drop("rank").withColumn("slot", F.lit("linked"))
+    return listed.union(linked)
+
+
+def held_back(most: int, reserve: float) -> int:
+    """Pages of the budget that only links may fill; one at least is for the others."""
+    return min(int(most * max(0.0, min(reserve, 0.9))), most - 1)
+
+
+def budget_report(nodes: DataFrame, kept: DataFrame, most: int, reserve: float = 0.2) -> DataFrame:
+    """One row: nodes, admitted pages, how many were left out, whether any was, the pages
+    held back for links, and how many of these links used."""
+    held = held_back(most, reserve)
+    used = kept.agg(F.count(F.lit(1)).alias("admitted"), F.count_if(F.col("slot") == "linked").alias("linked"))
+    rows = nodes.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(used)  # one row each
+    return rows.select(
+        "nodes",
+        "admitted",
+        (F.col("nodes") - F.col("admitted")).alias("left_out"),
+        (F.col("nodes") > F.col("admitted")).alias("truncated"),
+        F.lit(held).cast("long").alias("reserved"),
+        F.least("linked", F.lit(held)).cast("long").alias("reserve_used"),
+    )
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:

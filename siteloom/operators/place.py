@@ -94,8 +94,10 @@ def placement_changes(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def sibling_order(tree: DataFrame) -> DataFrame:
     """Place of a node among its siblings: by rank of its level, then by name."""
-    order = Window.partitionBy("parent").orderBy(S.level_rank(F.col("level")), "path")
-    return tree.withColumn("nr", F.row_number().over(order))
+    from .ranking import running
+
+    ranked = running(tree.withColumn("_rank_of_level", S.level_rank(F.col("level"))), ["parent"], [F.col("_rank_of_level").asc(), F.col("path").asc()], rank="nr")
+    return ranked.drop("_rank_of_level").withColumn("nr", F.col("nr").cast("int"))
 
 
 def section_counts(pages: DataFrame) -> DataFrame:

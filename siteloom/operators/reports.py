@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
 
+from .ranking import running
 
-def affordable(pages: DataFrame, budget: float, least: float) -> DataFrame:
+
+def affordable(pages: DataFrame, budget: float) -> DataFrame:
     """The least certain pages (score, url, cost) whose running cost stays within a
-    budget (the feature).  None costs less than ``least``, so the budget bounds how
-    many can be afforded, and only so many are ranked together."""
-    some = pages.orderBy("score", "url").limit(int(round(budget / least, 9)))
-    running = F.sum("cost").over(Window.orderBy("score", "url").rowsBetween(Window.unboundedPreceding, 0))
-    return some.withColumn("spent", F.round(running, 9)).where(F.col("spent") <= budget)
+    budget (the feature), with what is ``spent`` up to each."""
+    running_ = running(pages, [], [F.col("score").asc(), F.col("url").asc()], sums={"spent": "cost"})
+    return running_.withColumn("spent", F.round("spent", 9)).where(F.col("spent") <= budget)
 
 
 def level_counts(pages: DataFrame) -> DataFrame:
@@ -36,9 +36,9 @@ def ancestors(pages: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def child_page(pages: DataFrame, size: int, page: int) -> DataFrame:
     """One page of every section's children, with how many remain."""
-    order = Window.partitionBy("section").orderBy("url")
     rows = pages.select("url", F.array_join(S.section_trail(F.col("trail")), " > ").alias("section"))
-    numbered = rows.withColumn("nr", F.row_number().over(order)).where(F.col("nr").between(size * page + 1, size * (page + 1)))
+    ranked = running(rows, ["section"], [F.col("url").asc()], rank="nr").withColumn("nr", F.col("nr").cast("int"))
+    numbered = ranked.where(F.col("nr").between(size * page + 1, size * (page + 1)))
     totals = rows.groupBy("section").agg(F.count("*").alias("n"))
     return numbered.join(totals, "section").select("section", "url", "nr", F.greatest(F.col("n") - size * (page + 1), F.lit(0)).alias("left"))
 

@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 from siteloom.functions import urls as U
 from siteloom.operators import audit as A
 from siteloom.operators import classify as C
+from siteloom.operators import escalation as E
 from siteloom.operators import graph as G
+from siteloom.operators import reports as R_
 from siteloom.operators import resolve as R
 from siteloom.operators import robots as RB
 from siteloom.operators.staging import staged
+from siteloom.sources import html as H
 
 from . import inputs as I
 
@@ -117,6 +120,47 @@ def _agent_rules(s, d):
     return RB.allowed(I.pages(s, d).select("url"), RB.rules_for(own.select("host", body.alias("body")), "LoomBot/2.0"))
 
 
+RATES = (3.0, 15.0)
+# what pages say of themselves, by ``page_id % 5``; the second of three blocks is broken
+BLOCKS = [
+    '{"@type": ["WebPage", "Product"], "offers": {"@type": "Offer"}}', '{"@graph": [{"@type": "http://schema.org/Article"}, {"x": [{"@type": "FAQPage"}]}]}',
+    '{"@type": </script><script type="application/ld+json">{"@type": "AboutPage"}', '{"@type": "Thing"}', "[]",
+]
+CANONICALS = ['<link rel="canonical" href="/c/%">', "<LINK href='/c/%#f' REL='x canonical'>", '<link rel="icon" href="/i">', '<link rel=canonical href=/c/%>', "<!-- -->"]
+
+
+def _marked_up(s, d):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (c("page_id") % 5 + 1).cast("int"))
+    link = F.replace(pick(CANONICALS), F.lit("%"), c("page_id").cast("string"))
+    html = F.concat(link, F.lit('<script type="application/ld+json">'), pick(BLOCKS), F.lit("</script>"), "html")
+    return I.pages(s, d).select("page_id", "url", html.alias("html"))
+
+
+def _five_signals(s, d):
+    own = I.crawl(s, d).where("ord % 2 = 0").select("url", "page_id").join(_marked_up(s, d).select("page_id", "html"), "page_id")
+    return Site(s, d).signals.unionByName(H.schema_votes(own.select("url", "html")))
+
+
+def _layered(s, d):
+    """Layers 2 and 3 as stand-ins that vote on all they are asked, the paid one for two thousandths a page or so."""
+    site = Site(s, d)
+    pages = I.crawl(s, d).where("ord % 2 = 0").join(I.pages(s, d).select("page_id", "html"), "page_id")
+    pages = pages.withColumn("cost", E.worst_cost(c("html"), 200, RATES, 0.5)).drop("html")
+    vote = lambda df, kind, sure: df.select("url", F.lit("L3_LEAF_PAGE").alias("level"), F.lit(kind).alias("page_type"), sure.alias("confidence"))
+    local = lambda df: vote(df.where("page_id % 3 = 0"), "BLOG_ARTICLE", F.when(c("page_id") % 2 == 0, 0.9).otherwise(0.5))
+    return E.layered(pages, site.voted, local, lambda df: vote(df, "UTILITY_LEGAL", F.lit(0.95)), 0.1)
+
+
+def _worst_case(s, d):
+    rows = I.crawl(s, d).where("ord % 2 = 0").select("page_id", "url", "score").join(I.pages(s, d).select("page_id", "html"), "page_id")
+    return R_.affordable(rows.withColumn("cost", E.worst_cost(c("html"), 200, RATES, 0.5)), 0.1).select("url", "spent")
+
+
+def _budget(s, d):
+    nodes = Site(s, d).nodes
+    return G.budget_report(nodes, G.within_budget(nodes, 100), 100)
+
+
 def _root_duplicates(s, d):
     """Applications at the root under many queries, and others in a folder."""
     root, n = F.regexp_extract("url", "^([^:]*://[^/?#]*)", 1), c("page_id")
@@ -149,6 +193,14 @@ def queries() -> dict:
         "gr10_loops": lambda s, d: G.loops(I.spelled(s, d).select(F.concat(F.regexp_replace("url", "[?#].*$", ""), F.repeat(F.lit("/q"), (c("page_id") % 5).cast("int")), F.lit("/a/b/c/")).alias("url"))),
         "gr12_robots": lambda s, d: RB.allowed(I.pages(s, d).select("url"), s.createDataFrame(ROBOTS, "pattern string, allow boolean")),
         "gr12_agent_rules": _agent_rules,
+        "fn16_schema_types": lambda s, d: H.schema_types(_marked_up(s, d)),
+        "fn17_canonical_urls": lambda s, d: _marked_up(s, d).select("url", H.canonical_url(c("html"), c("url")).alias("canonical")),
+        "htm8_schema_votes": lambda s, d: H.schema_votes(_marked_up(s, d)).select("url", "level", "page_type", "confidence"),
+        "cl6_five_signals": _five_signals,
+        "cl7_five_signals": lambda s, d: C.consensus(_five_signals(s, d)),
+        "gr3_budget_report": _budget,
+        "cl8_layers_on_demand": _layered,
+        "cl10_worst_case": _worst_case,
         "gr5_facets": _bfs_facets,
         "htm1_hidden_links": _hidden_links,
         "au3_root_pages": _root_duplicates,
@@ -197,6 +249,8 @@ _LONG = f"list_filter(list_transform({_SEG}, lambda s: lower(s)), lambda s: leng
 _TRAP = f"(len({_SEG}) > 15 OR len({_LONG}) <> len(list_distinct({_LONG})))"
 _CMP = lambda u: rf"'https://' || regexp_replace(lower({I.sql_netloc(u)}), '^www\.', '') || regexp_replace({I.sql_path(u)}, '/+$', '') || CASE WHEN {I.sql_query(u)} <> '' THEN '?' || {I.sql_query(u)} ELSE '' END"
 _FACET = "(len(string_split(regexp_extract({{0}}, '[?]([^#]*)', 1), '&')) > {0} OR regexp_matches(lower({{0}}), '[?&]({1})='))".format(U.MAX_PARAMS, "|".join(U.FILTER_PARAMS))
+_COST = "((CASE WHEN length(html) = 0 THEN 0 ELSE floor(length(html) / 3.5) + 1 END) * 3.0 + 200 * 15.0) / 1e6 * 0.5"
+_SAID = "'L3_LEAF_PAGE' AS level, CASE page_id % 5 WHEN 0 THEN 'PRODUCT_DETAIL_PAGE' WHEN 1 THEN 'BLOG_ARTICLE' ELSE 'COMPANY_ABOUT' END AS page_type, 0.8::DOUBLE AS confidence"
 _KIND = "['product', 'category', 'post', 'page', 'x'][CAST(page_id % 5 AS INTEGER) + 1]"
 _HUB = "CASE WHEN page_id % 3 = 0 THEN 'L1_PRIMARY_NAV_HUB' ELSE 'L2_SUB_NAV_HUB' END"
 
@@ -272,6 +326,18 @@ def oracle_sql() -> dict[str, str]:
         "gr2_merged_nodes": w(_GRAPH + "SELECT * FROM nodes", "spelled"),
         "gr4_degrees": w(_GRAPH + "SELECT key, inbound, outbound FROM graph", "spelled"),
         "gr3_page_budget": w(_GRAPH + ", l AS (SELECT key, ord FROM nodes WHERE in_sitemap OR in_cms ORDER BY ord LIMIT 80) SELECT * FROM l UNION ALL SELECT * FROM (SELECT key, ord FROM nodes WHERE in_links AND key NOT IN (SELECT key FROM l) ORDER BY ord LIMIT (SELECT 100 - count(*) FROM l))", "spelled"),
+        "fn16_schema_types": """SELECT url, CAST(nr AS INTEGER) AS nr, type FROM pages JOIN (VALUES (0, 0, 'WebPage'), (0, 1, 'Product'), (0, 2, 'Offer'), (1, 0, 'http://schema.org/Article'), (1, 1, 'FAQPage'), (2, 0, 'AboutPage'), (3, 0, 'Thing')) v(k, nr, type) ON page_id % 5 = k""",
+        "fn17_canonical_urls": "SELECT url, CASE WHEN page_id % 5 IN (0, 1, 3) THEN regexp_extract(url, '^([^:]*://[^/?#]*)', 1) || '/c/' || page_id ELSE '' END AS canonical FROM pages",
+        "htm8_schema_votes": f"SELECT url, {_SAID} FROM pages WHERE page_id % 5 < 3",
+        "cl6_five_signals": w(_SIGNALS + f"five AS (SELECT * FROM signals UNION ALL SELECT url, 3, {_SAID} FROM one WHERE page_id % 5 < 3) SELECT * FROM five", "crawl"),
+        "cl7_five_signals": w(_SIGNALS + f"five AS (SELECT * FROM signals UNION ALL SELECT url, 3, {_SAID} FROM one WHERE page_id % 5 < 3) " + _CONS(C.WEIGHTS["default"]).replace("FROM signals", "FROM five"), "crawl"),
+        "gr3_budget_report": w(_GRAPH + ", l AS (SELECT key FROM nodes WHERE in_sitemap OR in_cms ORDER BY ord LIMIT 80), r AS (SELECT count(*) AS n FROM (SELECT key FROM nodes WHERE in_links AND key NOT IN (SELECT key FROM l) ORDER BY ord LIMIT (SELECT 100 - count(*) FROM l))) SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM l) + r.n AS admitted, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM l) - r.n AS left_out, (SELECT count(*) FROM nodes) > (SELECT count(*) FROM l) + r.n AS truncated, 20::BIGINT AS reserved, least(r.n, 20) AS reserve_used FROM r", "spelled"),
+        "cl10_worst_case": w(f"SELECT url, spent FROM (SELECT url, round(sum({_COST}) OVER (ORDER BY score, url ROWS UNBOUNDED PRECEDING), 9) AS spent FROM (SELECT c.url, c.score, p.html FROM crawl c JOIN pages p USING (page_id) WHERE ord % 2 = 0)) WHERE spent <= 0.1::DOUBLE", "crawl"),
+        "cl8_layers_on_demand": w(_CLASS + f""", a AS (SELECT c.url, page_id, c.level, c.page_type, c.confidence, c.method, html FROM classified c JOIN one USING (url) JOIN pages USING (page_id)),
+  b AS (SELECT * REPLACE (CASE WHEN u THEN 'L3_LEAF_PAGE' ELSE level END AS level, CASE WHEN u THEN 'BLOG_ARTICLE' ELSE page_type END AS page_type, CASE WHEN u THEN v ELSE confidence END AS confidence, CASE WHEN u THEN 'LAYER2_LOCAL' ELSE method END AS method)
+    FROM (SELECT *, confidence < 0.85 AND page_id % 3 = 0 AS u, CASE WHEN page_id % 2 = 0 THEN 0.9 ELSE 0.5 END::DOUBLE AS v FROM a)),
+  paid AS (SELECT url FROM (SELECT url, round(sum({_COST}) OVER (ORDER BY confidence, url ROWS UNBOUNDED PRECEDING), 9) AS spent FROM b WHERE confidence < 0.85) WHERE spent <= 0.1::DOUBLE)
+  SELECT b.url, CASE WHEN p.url IS NULL THEN level ELSE 'UTILITY_PAGE' END AS level, CASE WHEN p.url IS NULL THEN page_type ELSE 'UTILITY_LEGAL' END AS page_type, CASE WHEN p.url IS NULL THEN confidence ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN p.url IS NULL THEN method ELSE 'LAYER3_PAID' END AS method FROM b LEFT JOIN paid p ON p.url = b.url""", "crawl"),
         "gr5_bfs_depth": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f", r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN edges e ON e.src = r.key WHERE depth < (SELECT count(*) FROM pages) AND NOT {_FACET.format('r.key')}) SELECT key, min(depth) AS depth FROM r GROUP BY 1",
         "gr5_facets": "WITH RECURSIVE " + w(_GRAPH, "spelled").removeprefix("WITH ") + f""", more AS (SELECT src, href FROM edges UNION SELECT href, href || '?sort=up' FROM edges UNION SELECT href || '?sort=up', href || '?sort=up&more=1' FROM edges),
   r AS (SELECT min(url) AS key, 0 AS depth FROM pages GROUP BY {I.sql_host('url')} UNION SELECT e.href, depth + 1 FROM r JOIN more e ON e.src = r.key WHERE depth < (SELECT count(*) FROM pages) AND NOT {_FACET.format('r.key')}) SELECT key, min(depth) AS depth FROM r GROUP BY 1""",

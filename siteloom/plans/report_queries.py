@@ -52,7 +52,7 @@ def _findings(s, d):
 
 def queries() -> dict:
     return {
-        "cl10_affordable": lambda s, d: P.affordable(_pages(s, d).withColumn("cost", (c("page_id") % 4 + 1) / 10), 20.0, 0.1).select("url", "spent"),
+        "cl10_affordable": lambda s, d: P.affordable(_pages(s, d).withColumn("cost", (c("page_id") % 4 + 1) / 10), 20.0).select("url", "spent"),
         "cl14_levels": lambda s, d: P.level_counts(_pages(s, d)),
         "tr4_types_present": lambda s, d: _pages(s, d).select("page_type").distinct().orderBy("page_type"),
         "tr12_subtree": lambda s, d: P.subtree(_pages(s, d), ["blog"]).select("url"),

@@ -44,7 +44,7 @@ def canonical_url(html: Column, base: Column) -> Column:
     head = F.substring(html, 1, CANONICAL_HEAD)
     tags = F.regexp_extract_all(head, F.lit(r"(?is)(<link\b[^>]*>)"), F.lit(1))
     named = F.filter(tags, lambda t: t.rlike(r"(?i)\brel\s*=\s*[\"']?[^\"'>]*\bcanonical\b"))
-    href = F.regexp_extract(F.coalesce(F.get(named, F.lit(0)), F.lit("")), r"(?i)\bhref\s*=\s*[\"']\s*([^\"'\s]+)", 1)
+    href = F.regexp_extract(F.coalesce(F.get(named, F.lit(0)), F.lit("")), r"(?i)\bhref\s*=\s*[\"']?\s*([^\"'\s>]+)", 1)
     return F.when(href == "", "").otherwise(U.join_href(href, base))
 
 
