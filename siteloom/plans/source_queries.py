@@ -65,6 +65,17 @@ def _export(s, d):
     return head.union(rows.select("r.*"))
 
 
+def _odd_export(s, d):
+    """A table with a byte order mark, a cell that goes over two lines, and its figures beyond forty others."""
+    n = c("page_id")
+    fill = "," * 40
+    head = s.createDataFrame([("wide", -1, "\ufeffTop pages,Note" + fill + "Clicks,Impressions,Position")], "file string, nr long, line string")
+    first = F.concat(c("url"), F.lit(',"says ""'), n.cast("string"))
+    second = F.concat(F.lit('"", and more"' + fill), F.concat_ws(",", (n % 9).cast("string"), n.cast("string"), F.concat((n % 40).cast("string"), F.lit(".5"))))
+    row = lambda k, line: F.struct(F.lit("wide").alias("file"), (2 * n + k).alias("nr"), line.alias("line"))
+    return head.union(I.pages(s, d).select(F.explode(F.array(row(0, first), row(1, second))).alias("r")).select("r.*"))
+
+
 def _responses(s, d):
     """Listings of fifty stored pages: by cursor, by a declared number, until one repeats, and without an end."""
     n = c("page_id")
@@ -149,6 +160,8 @@ def queries() -> dict:
         "src6_listing_pages": lambda s, d: P.listing_bodies(_responses(s, d)),
         "src3_expanded_sitemaps": _expanded,
         "src7_search_export": lambda s, d: B.search_export(_export(s, d)),
+        "src7_picked_export": lambda s, d: B.archive_export(_export(s, d)),
+        "src7_odd_export": lambda s, d: B.search_export(_odd_export(s, d)),
         "src7_rejected_rows": lambda s, d: B.rejected_rows(_export(s, d)),
         "src8_picked_table": lambda s, d: B.pick_table(B.export_cells(_export(s, d))),
         "src9_named_columns": lambda s, d: B.named_columns(B.export_cells(_export(s, d))),
@@ -183,6 +196,8 @@ def oracle_sql() -> dict[str, str]:
   SELECT endpoint, CAST(j + 1 AS INTEGER) AS nr, endpoint || CASE WHEN j = 0 THEN '' WHEN kind = 0 THEN '&after=' || j ELSE '&page=' || (j + 1) END AS url, 'page ' || j AS body
   FROM p WHERE j < CASE kind WHEN 0 THEN 8 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 40 END""",
         "src3_expanded_sitemaps": "SELECT DISTINCT url, 'sitemap-' || (page_id // 1000) || '.xml' AS sitemap_source FROM pages",
+        "src7_picked_export": "SELECT 'en' AS file, url, 1234::BIGINT AS clicks, page_id AS impressions, (page_id % 40) + 0.5::DOUBLE AS position FROM pages",
+        "src7_odd_export": "SELECT 'wide' AS file, url, page_id % 9 AS clicks, page_id AS impressions, (page_id % 40) + 0.5::DOUBLE AS position FROM pages",
         "src7_rejected_rows": "SELECT * FROM (VALUES ('de', 0::BIGINT), ('en', 0::BIGINT)) v(file, rejected) UNION ALL SELECT 'words' AS file, count(*) AS rejected FROM pages",
         "src8_picked_table": "SELECT 'en' AS file, count(*) + 1 AS rows, count(*) / (count(*) + 1)::DOUBLE AS share FROM pages",
         "src9_named_columns": "SELECT * FROM (VALUES ('de', true, 1, 2, 4), ('en', true, 2, 3, 1), ('words', true, 1, 2, 4)) v(file, header, clicks, impressions, position)",

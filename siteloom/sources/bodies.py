@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import scalars as S
 from siteloom.functions import urls as U
+from siteloom.operators.ranking import running
 from siteloom.operators.staging import staged
 
 #: Words by which exports name their columns, in six languages (fixed values).
 CLICK_WORDS = ("click", "klick", "clic", "clique", "cliques", "クリック")
 IMPRESSION_WORDS = ("impression", "impressionen", "impresion", "impressão", "表示")
 POSITION_WORDS = ("position", "posición", "posição", "posizione", "掲載順位")
-#: Columns of an export whose header says nothing, and how many cells of a row are read.
-USUAL, MOST_CELLS, LEAST_SHARE = (0, 1, 2, 4), 32, 0.6
+#: Columns of an export whose header says nothing, and the least share of addresses in a table of pages.
+USUAL, LEAST_SHARE = (0, 1, 2, 4), 0.6
 
 MOST_LOCS = 50_000
 
@@ -65,18 +66,35 @@ def shopify_records(listings: DataFrame, collection: str = "products") -> DataFr
     )
 
 
+def export_records(lines: DataFrame) -> DataFrame:
+    """file, nr, line: records of rows (file, nr, line) without a byte order mark; a record
+    goes on over lines until its quotes are closed."""
+    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
+    marked = lines.select("file", "nr", F.regexp_replace(F.coalesce("line", F.lit("")), "^\ufeff", "").alias("line")).withColumn("q", quotes % 2)
+    odd = marked.where("q = 1").select("file").distinct()
+    plain = marked.join(odd, "file", "left_anti").select("file", "nr", "line")
+    # only files with a quote left open somewhere are put together
+    counted = running(marked.join(odd, "file", "left_semi"), ["file"], [F.col("nr").asc()], sums={"closed": "q"}, rank="at")
+    begins = ((F.col("closed") - F.col("q")) % 2 == 0).cast("long")
+    numbered = running(counted.withColumn("b", begins), ["file"], [F.col("nr").asc()], sums={"record": "b"}, rank="place")
+    whole = numbered.groupBy("file", "record").agg(F.array_sort(F.collect_list(F.struct("nr", "line"))).alias("l"))
+    return plain.union(whole.select("file", F.col("l")[0]["nr"].alias("nr"), F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("line")))
+
+
 def export_cells(lines: DataFrame) -> DataFrame:
     """file, nr, cells of rows (file, nr, line): quoted cells whole, by the delimiter
     that the file's first lines hold more of; empty lines left out."""
+    records = export_records(lines)
     count = lambda c: F.sum(F.when(F.col("nr") < 20, F.length("line") - F.length(F.replace("line", F.lit(c), F.lit(""))))  )
-    marks = lines.groupBy("file").agg((F.coalesce(count(";"), F.lit(0)) > F.coalesce(count(","), F.lit(0))).alias("semicolons"))
-    schema = ", ".join(f"c{i} string" for i in range(MOST_CELLS))
+    marks = records.groupBy("file").agg((F.coalesce(count(";"), F.lit(0)) > F.coalesce(count(","), F.lit(0))).alias("semicolons"))
 
     def cells(sep: str) -> Column:
-        row = F.from_csv("line", F.lit(schema), {"sep": sep, "quote": '"', "escape": '"'})
-        return F.array(*[row[f"c{i}"] for i in range(MOST_CELLS)])
+        # each cell with the delimiter before it, so that none is empty
+        raw = F.regexp_extract_all(F.concat(F.lit(sep), "line"), F.lit(f'(?s){sep}("(?:[^"]|"")*"[^{sep}]*|[^{sep}]*)'), F.lit(1))
+        inner = lambda x: F.replace(F.regexp_extract(x, '(?s)^"(.*)"[^"]*$', 1), F.lit('""'), F.lit('"'))
+        return F.transform(raw, lambda x: F.when(x.rlike('(?s)^".*"'), inner(x)).when(x == "", F.lit(None)).otherwise(x))
 
-    read = lines.where("trim(line) <> ''").join(marks, "file")
+    read = records.where("trim(line) <> ''").join(marks, "file")
     return read.select("file", "nr", F.when(F.col("semicolons"), cells(";")).otherwise(cells(",")).alias("cells"))
 
 
@@ -117,7 +135,10 @@ def named_columns(cells: DataFrame) -> DataFrame:
 def search_export(lines: DataFrame) -> DataFrame:
     """file, url, clicks, impressions, position from rows (file, nr, line) of exports;
     rows without an address are left out (``rejected_rows`` counts them)."""
-    cells = export_cells(lines)
+    return _figures(staged(export_cells(lines)))
+
+
+def _figures(cells: DataFrame) -> DataFrame:
     at = lambda c: F.get(F.col("cells"), F.col(c))
     rows = cells.where(S.is_address(F.col("cells")[0])).join(named_columns(cells), "file")
     return rows.select(
@@ -129,6 +150,13 @@ def search_export(lines: DataFrame) -> DataFrame:
     )
 
 
+def archive_export(lines: DataFrame) -> DataFrame:
+    """As ``search_export``, of the one table of an archive that lists pages (``pick_table``);
+    others, such as queries, countries or the same pages again, aren't counted."""
+    cells = staged(export_cells(lines))
+    return _figures(cells.join(F.broadcast(pick_table(cells).select("file")), "file", "left_semi"))  # one row
+
+
 def rejected_rows(lines: DataFrame) -> DataFrame:
     """file, rejected: rows (but for a header) whose first cell is no address."""
     cells = export_cells(lines)
@@ -137,14 +165,14 @@ def rejected_rows(lines: DataFrame) -> DataFrame:
     return cells.join(first, "file").groupBy("file").agg(F.count_if(bad & (F.col("nr") > F.col("first"))).alias("rejected"))
 
 
-def expanded_sitemaps(bodies: DataFrame, roots: DataFrame, most: int = 10) -> DataFrame:
+def expanded_sitemaps(bodies: DataFrame, roots: DataFrame) -> DataFrame:
     """url, sitemap_source: pages of all sitemaps that the roots (name) lead to over
     indexes, a level at a time; ``name`` of a body is its address, the source the
     last part of it.  A sitemap that was met is not met again."""
     entries = staged(sitemap_entries(bodies))
     met = staged(roots.select("name").distinct())
     frontier = met
-    for _ in range(most):
+    while True:  # each level has sitemaps that weren't met, so it ends
         below = entries.where("kind = 'INDEX'").join(frontier, "name", "left_semi").select(F.col("loc").alias("name")).distinct()
         frontier = staged(below.join(met, "name", "left_anti"))
         if frontier.isEmpty():
