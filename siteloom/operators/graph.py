@@ -39,8 +39,10 @@ def refusal(url: Column) -> Column:
 
 
 def merge_sources(found: DataFrame) -> DataFrame:
-    """One node per normal address from rows url, ord, source (sitemap, link, cms), depth."""
+    """One node per normal address from rows url, ord, source (sitemap, link, cms), depth and,
+    if they are there, ``sitemap_source`` and ``cms_record``, of which the first is kept."""
     source = F.col("source")
+    kept = [F.min_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("ord"))).alias(c) for c in ("sitemap_source", "cms_record") if c in found.columns]
     return found.groupBy(U.normalize_url("url").alias("key")).agg(
         F.min_by("url", "ord").alias("url"),
         F.bool_or(source == "sitemap").alias("in_sitemap"),
@@ -48,6 +50,7 @@ def merge_sources(found: DataFrame) -> DataFrame:
         F.bool_or(source == "cms").alias("in_cms"),
         F.min("depth").alias("depth"),
         F.min("ord").alias("ord"),
+        *kept,
     )
 
 

@@ -92,6 +92,39 @@ def placement_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "url").where(~F.col("old").eqNullSafe(F.col("new")))
 
 
+def placement_report(before: DataFrame, after: DataFrame) -> DataFrame:
+    """row, name, before, after of two placements (url, trail, trail_source): pages by
+    source, pages whose trail moved (of those in both), and root labels gained or lost."""
+    one = lambda df, c, n: df.groupBy(F.coalesce(c, F.lit("none")).alias("name")).agg(F.count(F.lit(1)).alias(n))
+    both = lambda c: one(before, c, "before").join(one(after, c, "after"), "name", "full").select("name", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")))
+    moved = placement_changes(before, after).agg(F.count(F.lit(1)).alias("n"))
+    roots = both(F.get(F.col("trail"), F.lit(0))).where("(before = 0) <> (after = 0)")
+    return (
+        both(F.col("trail_source")).select(F.lit("source").alias("row"), "name", "before", "after")
+        .union(moved.select(F.lit("moved"), F.lit(""), F.lit(0).cast("long"), "n"))
+        .union(roots.select(F.when(F.col("before") == 0, "root gained").otherwise("root lost"), "name", "before", "after"))
+    )
+
+
+def placement_split(pages: DataFrame) -> DataFrame:
+    """source (menu, breadcrumb, unplaced), pages, share from url, trail, trail_source; a result
+    that is older than its source column is recounted from the trails."""
+    placed = S.trail_depth(F.col("trail")) > 0
+    known = F.when(F.col("trail_source").isin("menu", "breadcrumb"), F.col("trail_source")).when(F.col("trail_source").isNull() & placed, "menu")
+    rows = pages.groupBy(F.coalesce(known, F.lit("unplaced")).alias("source")).agg(F.count(F.lit(1)).alias("pages"))
+    total = pages.agg(F.count(F.lit(1)).alias("all"))  # one row
+    return rows.crossJoin(F.broadcast(total)).select("source", "pages", (F.col("pages") / F.col("all")).alias("share"))
+
+
+def node_search(nodes: DataFrame, wanted: str, most: int = 40) -> DataFrame:
+    """url, label, total: the first nodes whose label or address holds ``wanted`` in any
+    case, by label and address, and how many there are (the feature)."""
+    low = wanted.strip().lower()
+    hits = nodes.where(F.lower(F.coalesce("label", F.lit(""))).contains(low) | F.lower(F.coalesce("url", F.lit(""))).contains(low)) if low else nodes.limit(0)
+    total = hits.agg(F.count(F.lit(1)).alias("total"))  # one row
+    return hits.orderBy("label", "url").limit(most).crossJoin(F.broadcast(total)).select("url", "label", "total")
+
+
 def sibling_order(tree: DataFrame) -> DataFrame:
     """Place of a node among its siblings: by rank of its level, then by name."""
     from .ranking import running

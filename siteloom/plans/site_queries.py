@@ -136,6 +136,21 @@ def _stored(s, d):
     )
 
 
+def _first_sources(s, d):
+    """Nodes with the sitemap and the record that named them first."""
+    rows = AQ.Site(s, d).found
+    n = c("ord")
+    maps = F.when(c("source") == "sitemap", F.concat(F.lit("map-"), (n % 7).cast("string"), F.lit(".xml")))
+    record = F.when(c("source") == "cms", F.struct(F.lit("post").alias("record_type"), n.alias("id")))
+    nodes = G.merge_sources(rows.withColumns({"sitemap_source": maps, "cms_record": record}))
+    return nodes.select("key", "sitemap_source", c("cms_record.record_type").alias("record_type"), c("cms_record.id").alias("record_id"))
+
+
+def _placement_report(s, d):
+    stored = _stored(s, d)
+    return L.placement_report(stored, L.place_pages(stored, LQ._menu(s, d)))
+
+
 def _merged(s, d):
     n = c("page_id")
     known = I.crawled(s, d).where("ord % 2 = 0").select(
@@ -194,6 +209,10 @@ def queries() -> dict:
         "htm6_breadcrumbs": lambda s, d: H.breadcrumbs(_trails(s, d)),
         "pl4_own_breadcrumb": lambda s, d: L.own_breadcrumb(_stored(s, d)).select("url", shown("breadcrumb").alias("breadcrumb")),
         "pl5_placed_pages": lambda s, d: L.place_pages(_stored(s, d), LQ._menu(s, d)).select("url", shown("trail").alias("trail"), "trail_source"),
+        "pl7_placement_report": _placement_report,
+        "tr11_recounted_split": lambda s, d: L.placement_split(_stored(s, d).withColumn("trail_source", F.when(c("page_id") % 5 > 0, c("trail_source")))),
+        "tr9_labels_and_total": lambda s, d: L.node_search(_own(s, d).select("url", F.element_at(F.concat(F.array(F.lit("Root")), "trail"), -1).alias("label")), " TH "),
+        "gr2_first_sources": _first_sources,
         "rc6_merged": lambda s, d: _merged(s, d).select("url", "level", "page_type", "confidence", "method", shown("trail").alias("trail"), "trail_source", "added"),
         "rc7_resummarised": lambda s, d: C.resummarise(_merged(s, d), 7),
         "tr5_nav_tree": lambda s, d: T.nav_tree(_own(s, d).withColumn("nav_parent_url", F.when(c("page_id") % 3 == 0, c("url")))),
@@ -250,6 +269,10 @@ def oracle_sql() -> dict[str, str]:
         "htm6_breadcrumbs": f"SELECT url, nr, CASE WHEN nr = 2 THEN 'Page ' || page_id ELSE label END AS label, CASE WHEN nr < 2 THEN {_ROOT} || target END AS target FROM pages, (VALUES (0, 'Home', '/'), (1, 'The X', '/x/'), (2, '', '')) v(nr, label, target)",
         "pl4_own_breadcrumb": w("SELECT url, CASE WHEN page_id % 4 = 0 THEN 'a > b > c' WHEN page_id % 3 = 0 THEN array_to_string(trail, ' > ') ELSE '' END AS breadcrumb FROM crawl WHERE ord % 2 = 0", "crawl"),
         "pl5_placed_pages": w(LQ._M + f", s AS (SELECT url, page_type, CASE WHEN page_id % 4 = 0 THEN ['a', 'b', 'c'] WHEN page_id % 3 = 0 THEN trail ELSE CAST([] AS VARCHAR[]) END AS own FROM pg), t AS (SELECT s.*, shown.trail FROM s JOIN shown USING (url)) SELECT url, CASE src WHEN 'menu' THEN array_to_string(trail, ' > ') WHEN 'breadcrumb' THEN array_to_string(own, ' > ') ELSE 'OTHERS > ' || page_type END AS trail, src AS trail_source FROM (SELECT *, CASE WHEN {_PLACED} > 0 AND {_PLACED} >= len(own) THEN 'menu' WHEN len(own) > 0 THEN 'breadcrumb' ELSE 'none' END AS src FROM t)", "crawl"),
+        "pl7_placement_report": w(LQ._M + f", s AS (SELECT url, page_id, page_type, trail AS old, CASE page_id % 3 WHEN 0 THEN 'breadcrumb' WHEN 1 THEN 'menu' ELSE 'none' END AS was, CASE WHEN page_id % 4 = 0 THEN ['a', 'b', 'c'] WHEN page_id % 3 = 0 THEN trail ELSE CAST([] AS VARCHAR[]) END AS own FROM pg), t AS (SELECT s.*, shown.trail FROM s JOIN shown USING (url)), n AS (SELECT *, CASE src WHEN 'menu' THEN trail WHEN 'breadcrumb' THEN own ELSE ['OTHERS', page_type] END AS new FROM (SELECT *, CASE WHEN {_PLACED} > 0 AND {_PLACED} >= len(own) THEN 'menu' WHEN len(own) > 0 THEN 'breadcrumb' ELSE 'none' END AS src FROM t)), b AS (SELECT was AS name, 1 AS x, 0 AS y FROM n UNION ALL SELECT src, 0, 1 FROM n), r AS (SELECT coalesce(old[1], 'none') AS name, 1 AS x, 0 AS y FROM n UNION ALL SELECT coalesce(new[1], 'none'), 0, 1 FROM n) SELECT 'source' AS row, name, CAST(sum(x) AS BIGINT) AS before, CAST(sum(y) AS BIGINT) AS after FROM b GROUP BY name UNION ALL SELECT 'moved', '', 0, count_if(old IS DISTINCT FROM new) FROM n UNION ALL SELECT CASE WHEN sum(x) = 0 THEN 'root gained' ELSE 'root lost' END, name, CAST(sum(x) AS BIGINT), CAST(sum(y) AS BIGINT) FROM r GROUP BY name HAVING (sum(x) = 0) <> (sum(y) = 0)", "crawl"),
+        "tr11_recounted_split": w("SELECT source, count(*) AS pages, count(*) / (SELECT count(*) FROM crawl WHERE ord % 2 = 0)::DOUBLE AS share FROM (SELECT CASE WHEN page_id % 5 = 0 THEN CASE WHEN len(trail) > 0 AND trail[1] <> 'OTHERS' THEN 'menu' ELSE 'unplaced' END WHEN page_id % 3 = 0 THEN 'breadcrumb' WHEN page_id % 3 = 1 THEN 'menu' ELSE 'unplaced' END AS source FROM crawl WHERE ord % 2 = 0) GROUP BY 1", "crawl"),
+        "tr9_labels_and_total": w("+n AS (SELECT url, coalesce(trail[-1], 'Root') AS label FROM crawl WHERE ord % 2 = 0), h AS (SELECT * FROM n WHERE contains(lower(label), 'th') OR contains(lower(url), 'th')) SELECT url, label, (SELECT count(*) FROM h) AS total FROM h ORDER BY label, url LIMIT 40", "crawl"),
+        "gr2_first_sources": w(AQ._FOUND.rstrip(", ") + f" SELECT {I.sql_norm_url('url')} AS key, 'map-' || (min(ord) FILTER (source = 'sitemap') % 7) || '.xml' AS sitemap_source, CASE WHEN count_if(source = 'cms') > 0 THEN 'post' END AS record_type, min(ord) FILTER (source = 'cms') AS record_id FROM found GROUP BY 1", "spelled"),
         "rc6_merged": w(_MERGED + "SELECT * FROM merged", "crawled"),
         "rc7_resummarised": w(_MERGED + "SELECT count(*) AS pages, 0 AS escalated, 0::DOUBLE AS escalation_rate, count_if(page_type = 'UNKNOWN') AS unknown, count_if(NOT (confidence >= 0.85 AND page_type <> 'UNKNOWN')) AS low_confidence, 7 AS orphans FROM merged", "crawled"),
         "tr5_nav_tree": w(f"+r AS (SELECT url, page_id % 3 = 0 AS sp, {_LOCAL} || {_OWN} AS own FROM crawl WHERE ord % 2 = 0), o AS (SELECT own, min(url) AS page FROM r WHERE sp GROUP BY 1), n AS (SELECT own[1:k] AS node, count(*) AS pages FROM (SELECT own, unnest(range(1, len(own) + 1)) AS k FROM r) GROUP BY 1) SELECT '/' || array_to_string(node, '/') AS path, CAST(len(node) AS INTEGER) AS depth, page AS url, pages FROM n LEFT JOIN o ON o.own = n.node UNION ALL SELECT '/' || array_to_string(own, '/') || '#' || url, CAST(len(own) + 1 AS INTEGER), url, 1 FROM r LEFT JOIN o USING (own) WHERE NOT sp OR url <> page", "crawl"),
