@@ -51,8 +51,6 @@ from .stretches import SPACE
 BLOCK_LINKS, BLOCK_DOCS, RADICES, FRAME, FAN_IN = 1_000_000, 50_000, 64, 4096, 256
 #: Characters whose new stretches are encoded together.
 AT_ONCE = 400_000
-#: White space, then other characters: no token of either side crosses from these into white space.
-STRETCH = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
 #: A block's documents (``radix`` null), or a frame of its records.
 PARTS = (
@@ -96,7 +94,7 @@ def unpack_pairs(first: int, data: bytes) -> list[np.ndarray]:
 class Aligner:
     """Stretches of text to their ids on both sides; those of short ones are remembered, in bounded memory."""
 
-    def __init__(self, a_path: str, b_path: str, remember: int = 300_000, longest: int = 48):
+    def __init__(self, a_path: str, b_path: str, remember: int = 200_000, longest: int = 48):
         self.a, self.b = packing.encoder(a_path, True), piece.encoder(b_path)
         self.remember, self.longest = remember, longest
         alphabet = packing.byte_alphabet()
@@ -109,59 +107,79 @@ class Aligner:
         self.n_b = len(v.pieces)
         self.b_bytes = [bytes([v.byte_of[i]]) if i in v.byte_of else p.replace(piece.SPACE, " ").encode() for i, p in enumerate(v.pieces)]
         self.b_size = np.array([len(x) for x in self.b_bytes])
-        #: whether a text may be cut before white space on the B side
-        self.cuts = v.cut_at_space and not any(c in SPACE for pair in v.together for c in pair)
+        # white space that a piece of B may join to what stands before it
+        joined = "".join({y for x, y in v.together if y in SPACE and x not in SPACE})
+        more = f"(?:[{joined}][{SPACE}]*[^{SPACE}]*)*" if joined else ""
+        #: white space, then other characters: no token of either side crosses from one such stretch into the next
+        self.stretch = re.compile(f"[{SPACE}]*[^{SPACE}]+{more}|[{SPACE}]+") if v.cut_at_space else None
+        self.names = [str(i) for i in range(max(self.n_a, self.n_b))]
         #: stretch -> ids of either side, groups in writing, number of groups; None: B's bytes differ
         self.known: dict[str, tuple[bytes, bytes, str, int] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes, str, int] | None] = {}
 
     def stretches(self, text: str) -> list[str] | None:
         """Of a space and the text; None if it has no tokens."""
         if not text or piece.SPACE in text:  # B writes both this sign and a space as this sign
             return None
-        return STRETCH.findall(" " + text) if self.cuts else [" " + text]
+        return self.stretch.findall(" " + text) if self.stretch else [" " + text]
 
     def learn(self, stretches: set[str]) -> None:
+        """Encode and align the stretches that aren't known, all of them together."""
         if len(self.known) > self.remember:
-            self.known = {}
-        new = list(stretches.difference(self.known))
-        words = [self.b.split(s.replace(" ", piece.SPACE)) for s in new]
-        seen = set().union(*words)
-        self.b.learn(seen)
-        young = self.b.young
-        for stretch, parts in zip(new, words, strict=True):
-            b = b"".join([young[w][0] for w in parts])
-            ids = np.frombuffer(b, "<u4").tolist()
-            if b"".join([self.b_bytes[i] for i in ids]) != stretch.encode("utf-8", "surrogatepass"):
-                self.known[stretch] = None
-                continue
-            a = self.a.encode(stretch)
-            written_out, n = self.groups(np.frombuffer(a, "<u4").tolist(), ids)
-            self.known[stretch] = a, b, written_out, n
-        self.b.forget(seen)
+            self.known, self.old = {}, self.known
+        new = stretches.difference(self.known)
+        again = [s for s in new if s in self.old]
+        self.known.update((s, self.old[s]) for s in again)
+        new = list(new.difference(again))
+        if not new:
+            return
+        b = self.b.ids_of([s.replace(" ", piece.SPACE) for s in new])
+        if not self.b.lossless:
+            said = [b"".join([self.b_bytes[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in b]
+            other = {s for s, x in zip(new, said, strict=True) if x != s.encode("utf-8", "surrogatepass")}
+            self.known.update(dict.fromkeys(other))
+            b = [x for s, x in zip(new, b, strict=True) if s not in other]
+            new = [s for s in new if s not in other]
+        a = self.a_ids(new)
+        for stretch, own_a, own_b, found in zip(new, a, b, self.groups(a, b), strict=True):
+            self.known[stretch] = own_a, own_b, *found
+
+    def a_ids(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch.  Those with words are encoded behind one another, as no
+        token crosses from one into the white space at the start of the next."""
+        together = [s for s in stretches if len(s) < packing.LONG_RUN and s[0] in SPACE and s[-1] not in SPACE]
+        flat = np.frombuffer(self.a.encode_plainly("".join(together)), "<u4")
+        sizes = np.fromiter((len(s.encode("utf-8", "surrogatepass")) for s in together), np.int64, len(together))
+        ends = np.searchsorted(np.cumsum(self.a_size[flat]), np.cumsum(sizes)) + 1
+        data, made, start = flat.tobytes(), {}, 0
+        for s, end in zip(together, ends.tolist(), strict=True):
+            made[s] = data[4 * start : 4 * end]
+            start = end
+        return [made[s] if s in made else self.a.encode(s) for s in stretches]
+
+    def groups(self, a: list[bytes], b: list[bytes]) -> list[tuple[str, int]]:
+        """``a1,a2|b1;a3|b2``, ids between bytes at which tokens of both sides end, and how many such groups."""
+        flat_a, flat_b = (np.frombuffer(b"".join(x), "<u4") for x in (a, b))
+        end_a, end_b = np.cumsum(self.a_size[flat_a]), np.cumsum(self.b_size[flat_b])
+        both = np.intersect1d(end_a, end_b, assume_unique=True)
+        last_a, last_b = np.searchsorted(end_a, both) + 1, np.searchsorted(end_b, both) + 1
+        name_a, name_b = ([self.names[i] for i in x.tolist()] for x in (flat_a, flat_b))
+        out, i, j = [], 0, 0
+        for p, q in zip(last_a.tolist(), last_b.tolist(), strict=True):
+            if p - i == 1 and q - j == 1:
+                out.append(f"{name_a[i]}|{name_b[j]}")
+            else:
+                out.append(f"{','.join(name_a[i:p])}|{','.join(name_b[j:q])}")
+            i, j = p, q
+        # a stretch ends with a group
+        ends = (np.searchsorted(last_a, np.cumsum([len(x) // 4 for x in a])) + 1).tolist()
+        return [(out[k] if n == k + 1 else ";".join(out[k:n]), n - k) for k, n in zip([0, *ends[:-1]], ends, strict=True)]
 
     def forget(self, stretches: set[str]) -> None:
         for s in stretches:
             if len(s) > self.longest:
                 self.known.pop(s, None)
 
-    def groups(self, a: list[int], b: list[int]) -> tuple[str, int]:
-        """``a1,a2|b1;a3|b2``: ids between bytes at which tokens of both sides end."""
-        if len(a) == 1 or len(b) == 1:
-            return f"{','.join(map(str, a))}|{','.join(map(str, b))}", 1
-        out, i, j = [], 0, 0
-        end_a = end_b = from_a = from_b = 0
-        while i < len(a) or j < len(b):
-            if end_a <= end_b and i < len(a):
-                end_a += int(self.a_size[a[i]])
-                i += 1
-            else:
-                end_b += int(self.b_size[b[j]])
-                j += 1
-            if end_a == end_b:
-                out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}")
-                from_a, from_b = i, j
-        return ";".join(out), len(out)
-
     def texts(self, texts: list[str]) -> Iterator[tuple[bytes, bytes, str, int]]:
         """Of each text: ids of both sides, groups in writing, number of groups."""
         at = 0
@@ -222,7 +240,9 @@ class Block:
         if not len(a):
             return
         end_a, end_b = np.cumsum(self.made.a_size[a]), np.cumsum(self.made.b_size[b])
-        ends = np.union1d(end_a, end_b)
+        ends = np.concatenate([end_a, end_b])
+        ends.sort(kind="stable")  # two rising runs
+        ends = ends[np.append(True, ends[1:] != ends[:-1])]
         codes = self.made.code(a[np.searchsorted(end_a, ends)], b[np.searchsorted(end_b, ends)], radices)
         n = len(self.rows)
         key = codes * n + np.repeat(np.arange(n), [r[4] for r in self.rows])

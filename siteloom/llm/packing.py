@@ -69,6 +69,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if (self.control and self.control.search(text)) or (len(text) >= LONG_RUN and self.long.search(text)):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return self.encode_plainly(text)
+
+    def encode_plainly(self, text: str) -> bytes:
+        """For texts without long runs, special tokens' strings being ordinary text."""
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
 

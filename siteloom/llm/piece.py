@@ -144,6 +144,11 @@ class Encoder:
             return words
         return [part for w in words for part in ([w] if len(w) <= LONG_WORD else self._cut(w))]
 
+    @cached_property
+    def lossless(self) -> bool:
+        """Whether what ids say is always the text, but for its signs of a space."""
+        return self._identity and self.vocabulary.falls_back
+
     @cached_property
     def _identity(self) -> bool:
         """Whether the model's normaliser only marks spaces and puts one in front."""
@@ -200,6 +205,34 @@ class Encoder:
             self.young[w] = word[0] + marks[0], f"{word[1]},{marks[1]}", word[2] + marks[2]
         self.forget(parts.difference(words))
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of each word (without spaces inside) as bytes; nothing is remembered."""
+        parts: dict[str, bytes] = {}
+        cut = []
+        for w in words:
+            own = []
+            for part in [w] if len(w) <= LONG_WORD else self._cut(w):
+                word = part.rstrip(MARKS)
+                if 0 < len(word) < len(part) and part[len(word) - 1 : len(word) + 1] not in self.vocabulary.together:
+                    own += [word, part[len(word) :]]
+                else:
+                    own.append(part)
+            cut.append(own)
+            parts.update(dict.fromkeys(own, b""))
+        names, size, group = list(parts), 0, []
+        for k, w in enumerate(names):
+            group.append(w)
+            size += len(w)
+            if size >= AT_ONCE or k == len(names) - 1:
+                symbols, ends = self._merged(group)
+                odd = (symbols < 0) | (symbols >= len(self.vocabulary.pieces))
+                data = symbols.astype("<u4").tobytes()
+                starts = [0, *ends[:-1].tolist()]
+                for part, a, b, more in zip(group, starts, ends.tolist(), np.add.reduceat(odd, starts).tolist(), strict=True):
+                    parts[part] = np.array(self._with_bytes(symbols[a:b].tolist()), "<u4").tobytes() if more else data[4 * a : 4 * b]
+                size, group = 0, []
+        return [parts[own[0]] if len(own) == 1 else b"".join([parts[p] for p in own]) for own in cut]
+
     def forget(self, words: set[str]) -> None:
         """Long words aren't kept."""
         for w in words:
