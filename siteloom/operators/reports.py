@@ -87,8 +87,7 @@ SEVERITIES = ["high", "medium", "low"]
 def finding_list(findings: DataFrame, examples: int = 5) -> DataFrame:
     """kind, severity, count and a few examples of rows (kind, severity, url), the
     gravest first and of these the most frequent."""
-    first = Window.partitionBy("kind").orderBy("url")
-    some = findings.withColumn("nr", F.row_number().over(first)).where(F.col("nr") <= examples)
+    some = running(findings.select("kind", "url"), ["kind"], [F.col("url").asc()], rank="nr").where(F.col("nr") <= examples)
     named = some.groupBy("kind").agg(F.array_join(F.array_sort(F.collect_list("url")), " ").alias("examples"))
     rank = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     return findings.groupBy("kind", "severity").agg(F.count("*").alias("n")).join(named, "kind").orderBy(rank, F.desc("n"), "kind")

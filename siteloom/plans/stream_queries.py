@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siteloom.functions import urls as U
 from siteloom.sources.store import Store, csv_lines
 from siteloom.streaming import crawl_stream as T
 from siteloom.streaming import ledger as L
