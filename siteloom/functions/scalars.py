@@ -170,7 +170,9 @@ def level_rank(level: Column) -> Column:
 @once
 def clock(seconds: Column) -> Column:
     whole = F.floor(F.greatest(seconds, F.lit(0)))
-    return F.concat(F.lpad((F.floor(whole / 60)).cast("string"), 2, "0"), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
+    minutes = F.floor(whole / 60).cast("string")
+    # lpad cuts what is longer, and a long run has more than 99 minutes
+    return F.concat(F.lpad(minutes, F.greatest(F.lit(2), F.length(minutes)), F.lit("0")), F.lit(":"), F.lpad((whole % 60).cast("string"), 2, "0"))
 
 
 def percent(done: Column, total: Column) -> Column:
