@@ -203,7 +203,7 @@ def queries() -> dict:
         "ud2_batch_votes": lambda s, d: C.batch_votes(I.pages(s, d).select("url"), _judge_batch),
         "gr11_evidence": _evidence,
         "gr13_site_profiles": lambda s, d: G.site_profiles(_probes(s, d)).withColumn("locales", F.array_join("locales", ",")),
-        "htm3_mega_menu": lambda s, d: M.nodes(_mega_menu(s, d)).select("url", "target", shown("line").alias("labels"), "depth"),
+        "htm3_mega_menu": lambda s, d: M.address_nodes(_mega_menu(s, d)).select("url", "target", shown("line").alias("labels"), "depth"),
         "htm4_declared_roots": lambda s, d: _menus(s, d, NESTED),
         "htm5_declared_menu": lambda s, d: _menus(s, d, DECLARED),
         "htm6_breadcrumbs": lambda s, d: H.breadcrumbs(_trails(s, d)),
