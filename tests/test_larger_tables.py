@@ -40,3 +40,13 @@ def both(spark, name, folder):
 def test_same_rows_as_sql(spark, larger, name):
     got, want = both(spark, name, larger)
     assert got == want
+
+
+def test_menu_of_an_address(spark, larger):
+    """Entries at the same place of two pages are in any order in the SQL, in that of their targets here."""
+    got, want = both(spark, "htm3_menu", larger)
+    at = {"labels": 0, "ord": 1, "target": 2, "url": 3}
+    unplaced = lambda rows: Counter({(r[at["url"]], r[at["target"]], r[at["labels"]]): n for r, n in rows.items()})
+    assert unplaced(got) == unplaced(want)
+    orders = lambda rows: sorted((r[at["url"]], r[at["ord"]]) for r in rows)
+    assert orders(got) == orders(want) and got == both(spark, "htm3_menu", larger)[0]
