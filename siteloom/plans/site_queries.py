@@ -90,7 +90,8 @@ def _probes(s, d):
 def _evidence(s, d):
     site = AQ.Site(s, d)
     bodies = I.pages(s, d).groupBy(U.normalize_url("url").alias("key")).agg(F.min("html").alias("html"))
-    crumbs = H.section_labels(H.breadcrumbs(_trails(s, d)))
+    # one body of each address, as above: two trails would be taken for one
+    crumbs = H.section_labels(H.breadcrumbs(_trails(s, d).groupBy("url").agg(F.min("html").alias("html"))))
     found = G.evidence(site.nodes, bodies, crumbs, site.graph)
     return found.select("key", "in_sitemap", F.coalesce(F.length("html"), F.lit(0)).alias("chars"), shown("breadcrumb").alias("breadcrumb"), "inbound", "outbound", "total_pages")
 
