@@ -91,7 +91,9 @@ def collect(pages: DataFrame, *votes: Column) -> DataFrame:
 def consensus(signals: DataFrame, profile: str = "default", by: tuple[str, ...] = ("url",)) -> DataFrame:
     """The (level, type) with the most weighted confidence; ties to the earlier signal.
 
-    A source of weight 0 has no part in it.
+    A source of weight 0 has no part in it.  Where several pages share an address, their
+    votes count together; of two with equal sums from the same source the level, then the
+    type, that sorts first wins, however the rows are dealt.
     """
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS[profile])), F.col("source") + 1)
     return _weighed(signals.withColumn("w", weight), by)
@@ -108,45 +110,48 @@ def _weighed(signals: DataFrame, by: tuple[str, ...]) -> DataFrame:
     sums = signals.where("w > 0").groupBy(*by, "level", "page_type").agg(
         F.round(F.sum(F.col("w") * F.col("confidence")), 12).alias("s"), F.sum("w").alias("own"), F.min("source").alias("first"), F.count("*").alias("n")
     )
-    best = F.struct("s", (-F.col("first")).alias("f"))
+    best = F.struct((-F.col("s")).alias("s"), "first", "level", "page_type")
     return sums.groupBy(*by).agg(
-        F.max_by(F.struct("level", "page_type", "s", "n"), best).alias("b"), F.sum("own").alias("all"), F.sum("n").alias("votes")
+        F.min_by(F.struct("level", "page_type", "s", "n"), best).alias("b"), F.sum("own").alias("all"), F.sum("n").alias("votes")
     ).select(*by, "b.level", "b.page_type", F.least(F.lit(1.0), F.col("b.s") / F.col("all")).alias("confidence"), F.col("b.n").alias("supporters"), "votes")
 
 
-def cascade(pages: DataFrame, voted: DataFrame, local: DataFrame | None = None, paid: DataFrame | None = None) -> DataFrame:
+def cascade(pages: DataFrame, voted: DataFrame, local: DataFrame | None = None, paid: DataFrame | None = None, by: tuple[str, ...] = ("url",)) -> DataFrame:
     """URL rule, then consensus, then the vote of a local and of a paid classifier
     where what stands is not sure enough, else unresolved; the pair made valid.
 
     ``local`` and ``paid`` are votes (url, level, page_type, confidence) from
-    outside; see ``local_votes`` and ``batch_votes``.
+    outside; see ``local_votes`` and ``batch_votes``.  Where pages share an address,
+    ``by`` names the columns that tell them apart; votes and result have these too.
     """
+    own = list(dict.fromkeys(["url", *by]))
     vote_of = lambda method: F.when(
         F.col("level").isNotNull(), F.struct("level", "page_type", "confidence", F.lit(method).alias("method"))
     )
     rule = U.fast_path("url")
     first = F.when(rule.isNotNull(), F.struct(rule["level"].alias("level"), rule["page_type"].alias("page_type"), F.lit(FAST).alias("confidence"), F.lit("URL_RULE").alias("method")))
-    found = pages.select("url", first.alias("first")).join(voted.select("url", vote_of("x").alias("v")), "url", "left")
+    found = pages.select(*own, first.alias("first")).join(voted.select("url", vote_of("x").alias("v")), "url", "left")
     consensus_ = F.when(
         F.col("v").isNotNull(), F.col("v").withField("method", F.when(F.col("v.confidence") >= ACCEPT, "LAYER1").otherwise("WEIGHTED_CONSENSUS"))
     )
-    found = found.select("url", F.coalesce("first", consensus_).alias("o"))
+    found = found.select(*own, F.coalesce("first", consensus_).alias("o"))
     for votes, method in ((local, "LAYER2_LOCAL"), (paid, "LAYER3_PAID")):
         if votes is not None:
-            more = votes.select("url", vote_of(method).alias("more"))
+            more = votes.select(*by, vote_of(method).alias("more"))
             unsure = F.coalesce(F.col("o.confidence") < ACCEPT, F.lit(True))
-            found = found.join(more, "url", "left").select("url", F.when(unsure & F.col("more").isNotNull(), F.col("more")).otherwise(F.col("o")).alias("o"))
+            found = found.join(more, list(by), "left").select(*own, F.when(unsure & F.col("more").isNotNull(), F.col("more")).otherwise(F.col("o")).alias("o"))
     level, kind = F.coalesce("o.level", F.lit("L3_LEAF_PAGE")), F.coalesce("o.page_type", F.lit("UNKNOWN"))
     repaired = S.repaired_pair(F.col("level"), F.col("page_type"))
-    plain = found.select("url", level.alias("level"), kind.alias("page_type"), F.coalesce("o.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("o.method", F.lit("UNRESOLVED")).alias("method"))
-    return plain.select("url", repaired["level"].alias("level"), repaired["page_type"].alias("page_type"), "confidence", "method")
+    plain = found.select(*own, level.alias("level"), kind.alias("page_type"), F.coalesce("o.confidence", F.lit(0.0)).alias("confidence"), F.coalesce("o.method", F.lit("UNRESOLVED")).alias("method"))
+    return plain.select(*own, repaired["level"].alias("level"), repaired["page_type"].alias("page_type"), "confidence", "method")
 
 
-def local_votes(pages: DataFrame, classify: Column) -> DataFrame:
+def local_votes(pages: DataFrame, classify: Column, by: tuple[str, ...] = ("url",)) -> DataFrame:
     """Votes of a classifier that judges a page at a time: ``classify`` is a column
     (of a pandas UDF, or of an expression) that gives level, page_type and
-    confidence, or null where it abstains."""
-    return pages.select("url", classify.alias("v")).where("v is not null").select("url", "v.level", "v.page_type", "v.confidence")
+    confidence, or null where it abstains.  ``by`` as in ``cascade``."""
+    own = list(dict.fromkeys(["url", *by]))
+    return pages.select(*own, classify.alias("v")).where("v is not null").select(*own, "v.level", "v.page_type", "v.confidence")
 
 
 def batch_votes(pages: DataFrame, classify: Callable) -> DataFrame:

@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from siteloom.operators import classify as C
 from siteloom.plans import registry
 from test_audit import plain
 
@@ -50,3 +51,13 @@ def test_menu_of_an_address(spark, larger):
     assert unplaced(got) == unplaced(want)
     orders = lambda rows: sorted((r[at["url"]], r[at["ord"]]) for r in rows)
     assert orders(got) == orders(want) and got == both(spark, "htm3_menu", larger)[0]
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_votes_that_tie(spark, turn):
+    """Two pages of an address, each with a vote of the same source: the rows' order tells nothing."""
+    kinds = [("L3_LEAF_PAGE", "BLOG_ARTICLE"), ("L2_SUB_NAV_HUB", "SERVICE_CATEGORY_HUB"), ("L2_SUB_NAV_HUB", "PRODUCT_CATEGORY_HUB")]
+    rows = [("u", 0, level, kind, 0.88) for level, kind in kinds][::turn]
+    signals = spark.createDataFrame(rows, "url string, source int, level string, page_type string, confidence double").coalesce(1)
+    for found in (C.consensus(signals), C.consensus_by_profile(signals).where("profile = 'default'")):
+        assert [(r["level"], r["page_type"], r["votes"]) for r in found.collect()] == [("L2_SUB_NAV_HUB", "PRODUCT_CATEGORY_HUB", 3)]
