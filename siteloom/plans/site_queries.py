@@ -36,10 +36,10 @@ def _vote(level: str, kind: str, confidence: float):
 
 
 def _layers(s, d):
-    p = _own(s, d)
-    local = C.local_votes(p, F.when(c("page_id") % 5 == 1, _vote("L2_SUB_NAV_HUB", "CASE_STUDY", 0.6)))
-    paid = C.local_votes(p, F.when(c("page_id") % 7 == 2, _vote("L3_LEAF_PAGE", "UTILITY_LEGAL", 0.9)))
-    return C.cascade(p, AQ.Site(s, d).voted, local, paid)
+    p = AQ.twins(_own(s, d))
+    local = C.local_votes(p, F.when(c("page_id") % 5 == 1, _vote("L2_SUB_NAV_HUB", "CASE_STUDY", 0.6)), AQ.PAIR)
+    paid = C.local_votes(p, F.when(c("page_id") % 7 == 2, _vote("L3_LEAF_PAGE", "UTILITY_LEGAL", 0.9)), AQ.PAIR)
+    return C.cascade(p, AQ.Site(s, d).voted, local, paid, AQ.PAIR).drop(*AQ.PAIR)
 
 
 def _judge_page(url: pd.Series) -> pd.DataFrame:

@@ -37,7 +37,7 @@ def both(spark, name, folder):
     return Counter(tuple(plain(r[c]) for c in names) for r in df.collect()), Counter(tuple(plain(r[i]) for i in at) for r in made.fetchall())
 
 
-@pytest.mark.parametrize("name", ["fn26_clock", "htm8_schema_votes", "cl6_five_signals", "htm4_declared_roots", "htm5_declared_menu", "htm3_mega_menu", "gr11_evidence"])
+@pytest.mark.parametrize("name", ["fn26_clock", "htm8_schema_votes", "cl6_five_signals", "htm4_declared_roots", "htm5_declared_menu", "htm3_mega_menu", "gr11_evidence", "cl8_all_layers"])
 def test_same_rows_as_sql(spark, larger, name):
     got, want = both(spark, name, larger)
     assert got == want
