@@ -53,6 +53,15 @@ def test_menu_of_an_address(spark, larger):
     assert orders(got) == orders(want) and got == both(spark, "htm3_menu", larger)[0]
 
 
+def test_layers_on_demand(spark, larger):
+    """An address that is paid for has the answer on all its rows in the SQL, once for each
+    call; here each row that was open has it.  All other addresses are the same."""
+    got, want = both(spark, "cl8_layers_on_demand", larger)
+    paid = lambda rows: {r[4] for r in rows if r[2] == "LAYER3_PAID"}
+    rest = lambda rows: Counter({r: n for r, n in rows.items() if r[4] not in paid(want)})
+    assert paid(got) == paid(want) and rest(got) == rest(want)
+
+
 @pytest.mark.parametrize("turn", [1, -1])
 def test_votes_that_tie(spark, turn):
     """Two pages of an address, each with a vote of the same source: the rows' order tells nothing."""
