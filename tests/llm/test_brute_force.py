@@ -3,6 +3,8 @@
 import hashlib
 import itertools
 import math
+import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -403,3 +405,19 @@ def test_language_stage_by_brute_force(spark):
     rows = docs.collect()
     want = [r["doc_id"] for r, f in zip(rows, model.judge([r["text"] for r in rows]), strict=True) if f[0] != "und" and f[1] >= 0.3]
     assert sorted(r["doc_id"] for r in corpus_pipeline.language_id(spark, docs, SF).collect()) == sorted(want)
+
+
+def test_license_training_reads_every_line(spark, texts):
+    """The n-grams of templates of all ordinary lines, by counting; a long line is several rows."""
+    model, words = license.Classifier(), "redistribution of mit sources " * 120
+    rows = [*texts, (10**6, words), (10**6 + 1, "plain\nAll rights reserved.\n\nfree of charge")]
+    made = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = Counter()
+    for _, text in rows:
+        for line in (text or "").split("\n"):
+            if line.strip() and not re.search("licen|copyright|rights|permission|warrant", line.lower()):
+                own = license.words_of(line)
+                for part in [own[i : i + 200] for i in range(0, len(own), 200)] or [[]]:
+                    want[zlib.crc32(line.encode()) % 5 == 4, tuple(sorted(model.number[g] for g in license.grams_of(part) if g in model.number))] += 1
+    got = {(r["rest"], tuple(r["places"])): r["n"] for r in license.ordinary_lines(made, model).collect()}
+    assert got == want and sum(want.values()) > len(rows)
