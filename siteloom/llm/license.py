@@ -103,7 +103,9 @@ class Classifier:
 
     def places(self, words: list[str]) -> list[int]:
         """The numbers of the templates' n-grams among those of ``words``."""
-        return [] if self.words.isdisjoint(words) else sorted(self.number[g] for g in grams_of(words) if g in self.number)
+        if self.words.isdisjoint(words) and not any(map(_NUMBER.match, words)):  # any number is "#"
+            return []
+        return sorted(self.number[g] for g in grams_of(words) if g in self.number)
 
     def rows(self, share: np.ndarray) -> list[tuple[int, list[int]]]:
         """Family and n-grams of each row of training that isn't an ordinary line: notices and
