@@ -18,7 +18,8 @@ def flat_menu(menu: DataFrame) -> DataFrame:
 def place(pages: DataFrame, menu: DataFrame) -> DataFrame:
     """url, trail, how (exact, inherited, unmatched): the longest menu key that is a prefix of the page's.
 
-    Every prefix of a page's path is looked up by equality; no pattern join.
+    One row for each address, though several pages have it; of their types the one that sorts
+    first counts.  Every prefix of a page's path is looked up by equality; no pattern join.
     """
     key = U.match_key("url")
     segs = U.segments_of(F.col("key"))
@@ -26,7 +27,7 @@ def place(pages: DataFrame, menu: DataFrame) -> DataFrame:
     spread = pages.select("url", "page_type", key.alias("key")).select("url", "page_type", "key", F.explode(heads).alias("head"))
     found = spread.join(flat_menu(menu).withColumnRenamed("key", "head"), "head", "left")
     best = F.when(F.col("labels").isNotNull(), F.length("head"))
-    top = found.groupBy("url", "page_type", "key").agg(F.max_by(F.struct("head", "labels"), best).alias("m"))
+    top = found.groupBy("url", "key").agg(F.min("page_type").alias("page_type"), F.max_by(F.struct("head", "labels"), best).alias("m"))
     return top.select(
         "url",
         F.coalesce("m.labels", F.array(F.lit(S.OTHERS), F.col("page_type"))).alias("trail"),

@@ -28,8 +28,13 @@ def _pages(s, d):
     return I.crawl(s, d).where("ord % 2 = 0")
 
 
+def _addresses(s, d):
+    """The first page of each address."""
+    return _pages(s, d).groupBy("url").agg(F.min_by(F.struct("page_type", "trail"), "ord").alias("p")).select("url", "p.*")
+
+
 def _placed(s, d):
-    return L.place(_pages(s, d), _menu(s, d))
+    return L.place(_addresses(s, d), _menu(s, d))
 
 
 def _shown(s, d):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 from siteloom.operators import classify as C
+from siteloom.operators import place as L
 from siteloom.plans import registry
 from test_audit import plain
 
@@ -26,13 +27,13 @@ def larger(tmp_path_factory):
     return str(folder)
 
 
-def both(spark, name, folder):
-    """Rows of the query and of its SQL, by column name."""
+def both(spark, name, folder, mend=str):
+    """Rows of the query and of its SQL, by column name; ``mend`` completes an order in the SQL."""
     df = registry.queries()[name](spark, folder)
     names = sorted(df.columns)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{folder}/pages.parquet'")
-    made = con.execute(registry.oracle_sql()[name])
+    made = con.execute(mend(registry.oracle_sql()[name]))
     at = [[d[0] for d in made.description].index(c) for c in names]
     return Counter(tuple(plain(r[c]) for c in names) for r in df.collect()), Counter(tuple(plain(r[i]) for i in at) for r in made.fetchall())
 
@@ -70,3 +71,22 @@ def test_votes_that_tie(spark, turn):
     signals = spark.createDataFrame(rows, "url string, source int, level string, page_type string, confidence double").coalesce(1)
     for found in (C.consensus(signals), C.consensus_by_profile(signals).where("profile = 'default'")):
         assert [(r["level"], r["page_type"], r["votes"]) for r in found.collect()] == [("L2_SUB_NAV_HUB", "PRODUCT_CATEGORY_HUB", 3)]
+
+
+def first_page(sql):
+    """The SQL of placement with the first page of an address in its place, where any may be."""
+    assert sql.count("NULLS LAST)") == 1
+    return sql.replace("NULLS LAST)", "NULLS LAST, p.ord)")
+
+
+@pytest.mark.parametrize("name", ["pl2_longest_prefix"])
+def test_placed_addresses(spark, larger, name):
+    got, want = both(spark, name, larger, first_page)
+    assert got == want
+
+
+def test_pages_of_an_address_are_placed_once(spark):
+    pages = spark.createDataFrame([("https://e.com/x/1", "B"), ("https://e.com/x/1", "A"), ("https://e.com/", "B"), ("https://e.com/", "A")], "url string, page_type string")
+    menu = spark.createDataFrame([("https://e.com/x", ["X"], 1)], "url string, labels array<string>, ord long")
+    rows = sorted((r["url"], r["trail"], r["how"]) for r in L.place(pages, menu).collect())
+    assert rows == [("https://e.com/", ["OTHERS", "A"], "unmatched"), ("https://e.com/x/1", ["X"], "inherited")]
