@@ -35,12 +35,19 @@ def place(pages: DataFrame, menu: DataFrame) -> DataFrame:
     )
 
 
-def better_trail(pages: DataFrame) -> DataFrame:
-    """Menu if it places the page at least as deep as its breadcrumb, else that, else none."""
+def better_trail(pages: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """Menu if it places the page at least as deep as its breadcrumb, else that, else none.
+
+    Where pages share an address, ``by`` names the columns that tell them apart; the
+    result has these too."""
     menu, crumb = F.coalesce(S.trail_depth(F.col("menu_trail")), F.lit(0)), F.coalesce(F.size("breadcrumb"), F.lit(0))
     source = F.when((menu > 0) & (menu >= crumb), "menu").when(crumb > 0, "breadcrumb").otherwise("none")
     trail = F.when(source == "menu", F.col("menu_trail")).when(source == "breadcrumb", F.col("breadcrumb")).otherwise(F.array(F.lit(S.OTHERS), F.col("page_type")))
-    return pages.select("url", trail.alias("trail"), source.alias("source"))
+    return pages.select(*_own(by), trail.alias("trail"), source.alias("source"))
+
+
+def _own(by: tuple[str, ...]) -> list[str]:
+    return list(dict.fromkeys(["url", *by]))
 
 
 def own_breadcrumb(pages: DataFrame) -> DataFrame:
@@ -51,13 +58,14 @@ def own_breadcrumb(pages: DataFrame) -> DataFrame:
     return pages.withColumn("breadcrumb", F.coalesce(stored, F.when(F.col("trail_source") == "breadcrumb", F.col("trail")), none))
 
 
-def place_pages(pages: DataFrame, menu: DataFrame) -> DataFrame:
+def place_pages(pages: DataFrame, menu: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
     """url, trail, trail_source of every page (url, page_type, own_breadcrumb,
     trail_source, trail) by the menu and its own breadcrumb.  Its result, with the
-    stored breadcrumbs, may be placed again and stays the same."""
-    own = own_breadcrumb(pages).select("url", "page_type", "breadcrumb")
+    stored breadcrumbs, may be placed again and stays the same.  ``by`` as in
+    ``better_trail``."""
+    own = own_breadcrumb(pages).select(*_own(by), "page_type", "breadcrumb")
     by_menu = place(pages, menu).select("url", F.col("trail").alias("menu_trail"))
-    return better_trail(own.join(by_menu, "url")).withColumnRenamed("source", "trail_source")
+    return better_trail(own.join(by_menu, "url"), by).withColumnRenamed("source", "trail_source")
 
 
 def merged(pages: DataFrame, missed: DataFrame, menu: DataFrame) -> DataFrame:
@@ -87,18 +95,19 @@ def coverage(placed: DataFrame) -> DataFrame:
     )
 
 
-def placement_changes(before: DataFrame, after: DataFrame) -> DataFrame:
-    """url, old, new of pages whose trail moved."""
-    b, a = before.select("url", F.col("trail").alias("old")), after.select("url", F.col("trail").alias("new"))
-    return b.join(a, "url").where(~F.col("old").eqNullSafe(F.col("new")))
+def placement_changes(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """url, old, new of pages whose trail moved; ``by`` as in ``better_trail``."""
+    b, a = before.select(*_own(by), F.col("trail").alias("old")), after.select(*by, F.col("trail").alias("new"))
+    return b.join(a, list(by)).where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-def placement_report(before: DataFrame, after: DataFrame) -> DataFrame:
+def placement_report(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
     """row, name, before, after of two placements (url, trail, trail_source): pages by
-    source, pages whose trail moved (of those in both), and root labels gained or lost."""
+    source, pages whose trail moved (of those in both), and root labels gained or lost.
+    ``by`` as in ``better_trail``."""
     one = lambda df, c, n: df.groupBy(F.coalesce(c, F.lit("none")).alias("name")).agg(F.count(F.lit(1)).alias(n))
     both = lambda c: one(before, c, "before").join(one(after, c, "after"), "name", "full").select("name", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("before", "after")))
-    moved = placement_changes(before, after).agg(F.count(F.lit(1)).alias("n"))
+    moved = placement_changes(before, after, by).agg(F.count(F.lit(1)).alias("n"))
     roots = both(F.get(F.col("trail"), F.lit(0))).where("(before = 0) <> (after = 0)")
     return (
         both(F.col("trail_source")).select(F.lit("source").alias("row"), "name", "before", "after")

@@ -148,8 +148,8 @@ def _first_sources(s, d):
 
 
 def _placement_report(s, d):
-    stored = _stored(s, d)
-    return L.placement_report(stored, L.place_pages(stored, LQ._menu(s, d)))
+    stored, by = _stored(s, d), ("page_id",)
+    return L.placement_report(stored, L.place_pages(stored, LQ._menu(s, d), by), by)
 
 
 def _merged(s, d):

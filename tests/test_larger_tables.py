@@ -79,7 +79,7 @@ def first_page(sql):
     return sql.replace("NULLS LAST)", "NULLS LAST, p.ord)")
 
 
-@pytest.mark.parametrize("name", ["pl2_longest_prefix", "pl5_placed_pages", "pl6_coverage"])
+@pytest.mark.parametrize("name", ["pl2_longest_prefix", "pl5_placed_pages", "pl6_coverage", "pl7_placement_report"])
 def test_placed_addresses(spark, larger, name):
     got, want = both(spark, name, larger, first_page)
     assert got == want
@@ -90,3 +90,12 @@ def test_pages_of_an_address_are_placed_once(spark):
     menu = spark.createDataFrame([("https://e.com/x", ["X"], 1)], "url string, labels array<string>, ord long")
     rows = sorted((r["url"], r["trail"], r["how"]) for r in L.place(pages, menu).collect())
     assert rows == [("https://e.com/", ["OTHERS", "A"], "unmatched"), ("https://e.com/x/1", ["X"], "inherited")]
+
+
+def test_pages_of_an_address_are_compared_with_themselves(spark):
+    before = spark.createDataFrame([(1, "u", ["X"], "menu"), (2, "u", ["Y"], "menu")], "page_id long, url string, trail array<string>, trail_source string")
+    after = before.selectExpr("page_id", "url", "array('Y') AS trail", "trail_source")
+    moved = L.placement_changes(before, after, ("page_id",)).collect()
+    assert [(r["page_id"], r["old"], r["new"]) for r in moved] == [(1, ["X"], ["Y"])]
+    report = L.placement_report(before, after, ("page_id",)).where("row = 'moved'").first()
+    assert report["after"] == 1
