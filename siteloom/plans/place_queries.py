@@ -52,7 +52,7 @@ def queries() -> dict:
         "pl2_longest_prefix": _shown,
         "pl3_better_trail": lambda s, d: _better(s, d).select("url", F.array_join("trail", " > ").alias("trail"), "source"),
         "pl6_coverage": lambda s, d: L.coverage(_placed(s, d)),
-        "pl7_placement_changes": lambda s, d: L.placement_changes(_pages(s, d).select("url", "trail"), _placed(s, d)).select(
+        "pl7_placement_changes": lambda s, d: L.placement_changes(_addresses(s, d), _placed(s, d)).select(
             "url", F.array_join("old", " > ").alias("old"), F.array_join("new", " > ").alias("new")
         ),
         "tr3_sibling_order": lambda s, d: L.sibling_order(

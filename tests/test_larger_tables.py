@@ -79,7 +79,7 @@ def first_page(sql):
     return sql.replace("NULLS LAST)", "NULLS LAST, p.ord)")
 
 
-@pytest.mark.parametrize("name", ["pl2_longest_prefix", "pl5_placed_pages", "pl6_coverage", "pl7_placement_report"])
+@pytest.mark.parametrize("name", ["pl2_longest_prefix", "pl5_placed_pages", "pl6_coverage", "pl7_placement_changes", "pl7_placement_report"])
 def test_placed_addresses(spark, larger, name):
     got, want = both(spark, name, larger, first_page)
     assert got == want
