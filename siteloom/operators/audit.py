@@ -174,10 +174,15 @@ def trail_disagreement(sets: DataFrame, pages: DataFrame) -> DataFrame:
     return sets.join(trails, "url").groupBy("leaf").agg(F.countDistinct("trail").alias("trails")).where("trails > 1")
 
 
-def verify_missed(missed: DataFrame, probes: DataFrame, ours: DataFrame) -> DataFrame:
-    """url, state, held: what a probe (url, status, location) says of missed pages."""
+def verify_missed(missed: DataFrame, probes: DataFrame, ours: DataFrame, by: tuple[str, ...] = ("url",)) -> DataFrame:
+    """url, state, held: what a probe (url, status, location) says of missed pages.
+
+    Where pages share an address, ``by`` names the columns, in both, that tell them
+    apart; the result has these too."""
+    own = list(dict.fromkeys(["url", *by]))
     held = ours.select(U.compare_key("url").alias("there")).distinct().withColumn("held", F.lit(True))
-    rows = missed.join(probes, "url", "left").withColumn("there", U.compare_key(F.coalesce("location", F.lit(""))))
+    said = probes.select(*by, "status", "location")
+    rows = missed.select(*own).join(said, list(by), "left").withColumn("there", U.compare_key(F.coalesce("location", F.lit(""))))
     status = F.coalesce("status", F.lit(0))
     state = F.when(status == 0, "UNREACHABLE").when(status.between(300, 399), "REDIRECTED").when(status >= 400, "GONE").otherwise("LIVE")
-    return rows.join(held, "there", "left").select("url", state.alias("state"), F.coalesce("held", F.lit(False)).alias("held"))
+    return rows.join(held, "there", "left").select(*own, state.alias("state"), F.coalesce("held", F.lit(False)).alias("held"))

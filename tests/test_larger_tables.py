@@ -6,6 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
+from siteloom.operators import audit as A
 from siteloom.operators import classify as C
 from siteloom.operators import place as L
 from siteloom.plans import registry
@@ -38,7 +39,7 @@ def both(spark, name, folder, mend=str):
     return Counter(tuple(plain(r[c]) for c in names) for r in df.collect()), Counter(tuple(plain(r[i]) for i in at) for r in made.fetchall())
 
 
-@pytest.mark.parametrize("name", ["fn26_clock", "htm8_schema_votes", "cl6_five_signals", "htm4_declared_roots", "htm5_declared_menu", "htm3_mega_menu", "gr11_evidence", "cl8_all_layers"])
+@pytest.mark.parametrize("name", ["fn26_clock", "htm8_schema_votes", "cl6_five_signals", "htm4_declared_roots", "htm5_declared_menu", "htm3_mega_menu", "gr11_evidence", "cl8_all_layers", "rc5_verified_missed"])
 def test_same_rows_as_sql(spark, larger, name):
     got, want = both(spark, name, larger)
     assert got == want
@@ -99,3 +100,11 @@ def test_pages_of_an_address_are_compared_with_themselves(spark):
     assert [(r["page_id"], r["old"], r["new"]) for r in moved] == [(1, ["X"], ["Y"])]
     report = L.placement_report(before, after, ("page_id",)).where("row = 'moved'").first()
     assert report["after"] == 1
+
+
+def test_pages_of_an_address_are_probed_apart(spark):
+    missed = spark.createDataFrame([(1, "u"), (2, "u"), (3, "u")], "page_id long, url string")
+    probes = spark.createDataFrame([(1, 200, None), (2, 301, "https://e.com/a")], "page_id long, status int, location string")
+    ours = spark.createDataFrame([("https://e.com/a",)], "url string")
+    rows = sorted((r["page_id"], r["url"], r["state"], r["held"]) for r in A.verify_missed(missed, probes, ours, ("page_id",)).collect())
+    assert rows == [(1, "u", "LIVE", False), (2, "u", "REDIRECTED", True), (3, "u", "UNREACHABLE", False)]
