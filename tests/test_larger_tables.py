@@ -10,6 +10,7 @@ from siteloom.operators import audit as A
 from siteloom.operators import classify as C
 from siteloom.operators import place as L
 from siteloom.plans import registry
+from siteloom.sources import menu as M
 from test_audit import plain
 
 #: New pages and the page whose address each has; no new page has a vote that ties with its twin's.
@@ -108,3 +109,10 @@ def test_pages_of_an_address_are_probed_apart(spark):
     ours = spark.createDataFrame([("https://e.com/a",)], "url string")
     rows = sorted((r["page_id"], r["url"], r["state"], r["held"]) for r in A.verify_missed(missed, probes, ours, ("page_id",)).collect())
     assert rows == [(1, "u", "LIVE", False), (2, "u", "REDIRECTED", True), (3, "u", "UNREACHABLE", False)]
+
+
+def test_repeated_links_count_in_the_place_of_later_ones(spark):
+    link = lambda names: "<nav><ul>" + "".join(f'<li><a href="/{n}">{n}</a></li>' for n in names) + "</ul></nav>"
+    pages = spark.createDataFrame([("https://e.com/", link("abbc")), ("https://e.com/", link("defg"))], "url string, html string")
+    rows = sorted((r["ord"], r["labels"][0]) for r in M.address_menu(pages).collect())
+    assert [label for _, label in rows] == list("adbefcg")  # c is the fourth of its page, f the third
